@@ -127,24 +127,33 @@ def _ieee(bits: Column, exp_bits: int, frac_bits: int) -> Column:
     return F.when(negative, -size).otherwise(size)
 
 
-def physical_value(word: Column, pieces: Column, sig: Column) -> Column:
-    """Scaled value: signed, unsigned or IEEE reading, times scale plus offset."""
-    n = sig["length"]
-    sign_extended = F.call_function("shiftright", _shl(word, 64 - n), (64 - n).cast("int"))
-    narrow = F.when(sig["is_signed"], sign_extended.cast("double")).when(
-        word >= 0, word.cast("double")).otherwise(as_unsigned(word).cast("double"))
+def _wide_value(word: Column, pieces: Column, sig: Column) -> Column:
+    """Integer reading of a field of more than 64 bits."""
     top = F.element_at(pieces, -1)
-    top_bits = 64 - (n - 1) % 64 - 1
-    signed_top = F.call_function("shiftright", _shl(top, top_bits), top_bits.cast("int"))
+    pad = 63 - (sig["length"] - 1) % 64
+    signed_top = F.call_function("shiftright", _shl(top, pad), pad.cast("int"))
     exact = F.when(F.size(pieces) == 2, F.when(
         sig["is_signed"], _joined(signed_top, F.get(pieces, F.lit(0)))).otherwise(exact_raw(word, pieces))).cast("double")
     start = F.when(sig["is_signed"], signed_top.cast("double")).otherwise(as_unsigned(top).cast("double"))
-    rough = F.aggregate(F.reverse(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))), start,
-                        lambda acc, p: acc * 1.8446744073709552e19 + as_unsigned(p).cast("double"))
-    wide = F.coalesce(exact, rough)
-    integer = F.when(n <= 64, narrow).otherwise(wide)
-    nan = F.lit(float("nan"))
-    reading = (F.when(sig["value_kind"] == "IeeeFloat32", F.when(n == 32, _ieee(word, 8, 23)).otherwise(nan))
-               .when(sig["value_kind"] == "IeeeFloat64", F.when(n == 64, _ieee(word, 11, 52)).otherwise(nan))
-               .otherwise(integer))
+    lower = F.reverse(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    rough = F.aggregate(lower, start, lambda acc, p: acc * 1.8446744073709552e19 + as_unsigned(p).cast("double"))
+    return F.coalesce(exact, rough)
+
+
+def physical_value(word: Column, pieces: Column, sig: Column, *, wide: bool = True, ieee: bool = True) -> Column:
+    """Signed, unsigned or IEEE reading times scale plus offset.
+
+    wide and ieee say whether the catalog has such fields at all; without them
+    the expression stays short.
+    """
+    n = sig["length"]
+    sign_extended = F.call_function("shiftright", _shl(word, 64 - n), (64 - n).cast("int"))
+    reading = F.when(sig["is_signed"], sign_extended.cast("double")).when(
+        word >= 0, word.cast("double")).otherwise(as_unsigned(word).cast("double"))
+    if wide:
+        reading = F.when(n <= 64, reading).otherwise(_wide_value(word, pieces, sig))
+    if ieee:
+        kind, nan = sig["value_kind"], F.lit(float("nan"))
+        reading = (F.when(kind == "IeeeFloat32", F.when(n == 32, _ieee(word, 8, 23)).otherwise(nan))
+                   .when(kind == "IeeeFloat64", F.when(n == 64, _ieee(word, 11, 52)).otherwise(nan)).otherwise(reading))
     return reading * sig["scale"] + sig["offset"]
