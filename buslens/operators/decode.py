@@ -92,12 +92,18 @@ def match_messages(frames: DataFrame, catalog: Catalog, messages: DataFrame | No
         "key_ext", "key_id", "key_pgn", "exact", "by_pgn", "candidates", "pgn_messages")
 
 
+def _tame(factor: Column) -> Column:
+    """A factor that keeps every integer reading finite."""
+    return F.coalesce(F.abs(factor) < 1e100, F.lit(False))
+
+
 def decode(frames: DataFrame, catalog: Catalog) -> Decoded:
     messages = sized(decodable_messages(catalog))
     shape = messages.select(
         F.max("dynamic").alias("dynamic"),
         F.max(F.exists("signals", lambda s: s["length"] > 64)).alias("wide"),
-        F.max(F.exists("signals", lambda s: s["value_kind"] != "Integer")).alias("ieee")).first()
+        F.max(F.exists("signals", lambda s: s["value_kind"] != "Integer")).alias("ieee"),
+        F.max(F.exists("signals", lambda s: ~_tame(s["scale"]) | ~_tame(s["offset"]))).alias("wild")).first()
     matched = match_messages(frames, catalog, messages)
     carried = present(matched, ["source_file", "ts_ns", "frame_index", "source_line", "channel", "frame_format"])
     hit = matched.where(F.col("decode_status") == DECODED)
@@ -117,8 +123,10 @@ def decode(frames: DataFrame, catalog: Catalog) -> Decoded:
         bits.exact_raw(F.col("word"), F.col("pieces")).alias("raw_value"),
         bits.hex_text(F.col("word"), F.col("pieces")).alias("raw_hex"), sig["unit"].alias("unit"),
         sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"))
-    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
-    return Decoded(matched.drop("words", "swapped", "message"), samples.where(finite))
+    if shape["ieee"] or shape["wild"]:
+        # Only such catalogs can yield values that are no finite number.
+        samples = samples.where(~F.isnan("value") & (F.abs("value") < float("inf")))
+    return Decoded(matched.drop("words", "swapped", "message"), samples)
 
 
 def message_summary(decoded_frames: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows of one group that a single task may hold. Groups beyond it take the blocked plans.
@@ -41,15 +40,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Materialise a small side before a join.
+    """Write a small side before a join.
 
     The planner then knows its real size and broadcasts it only below
-    spark.sql.autoBroadcastJoinThreshold; a larger side gets a shuffle join. The
-    rows stay recomputable, so a lost executor costs work, not the result.
+    spark.sql.autoBroadcastJoinThreshold; a larger side gets a shuffle join.
     """
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+    return staged(df, "side")
 
 
 def is_large(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
