@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from buslens.functions.bits import place_of
 from buslens.functions.ids import DBC_EXTENDED_FLAG, EXTENDED_ID_MAX, j1939_pgn, normalize_dbc_id
-from buslens.plans.staging import sized
 from buslens.schema import DBC_MESSAGES, DBC_SIGNALS
 
 
@@ -101,15 +101,20 @@ def dbc_overlap(catalog: Catalog) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("shared_bits")))
 
 
+def highest_bit() -> Column:
+    """Highest payload bit of a signal; a Motorola walk enters every further byte at its bit 7."""
+    start, n = F.col("start_bit"), F.col("length")
+    last_byte = F.floor((msb_position(start) + n - 1) / 8).cast("int")
+    motorola = F.when(last_byte == F.floor(start / 8).cast("int"), start).otherwise(last_byte * 8 + 7)
+    return F.when(F.col("little_endian"), start + n - 1).otherwise(motorola)
+
+
 def layout_issues(catalog: Catalog) -> DataFrame:
     """Messages that must not be decoded, with the first reason found."""
-    spread = (occupied_bits(catalog.signals).groupBy("msg_order", "sig_order")
-              .agg(F.count(F.lit(1)).alias("n"), F.max("bit").alias("top")))
-    bad = (catalog.signals.join(spread, ["msg_order", "sig_order"], "left")
-           .join(catalog.messages.select("msg_order", "dlc"), "msg_order")
-           .select("msg_order", F.concat(F.lit("signal "), "name", F.when(
-               F.coalesce("n", F.lit(0)) != F.col("length"), " has no valid length").when(
-               F.col("top") >= F.col("dlc") * 8, " lies outside the payload")).alias("reason"), F.lit(0).alias("rank"))
+    unusable = (F.col("length") < 0) | ((F.col("length") > 0) & (F.col("start_bit") < 0))
+    bad = (catalog.signals.join(catalog.messages.select("msg_order", "dlc"), "msg_order")
+           .select("msg_order", F.concat(F.lit("signal "), "name", F.when(unusable, " has no valid length").when(
+               (F.col("length") > 0) & (highest_bit() >= F.col("dlc") * 8), " lies outside the payload")).alias("reason"), F.lit(0).alias("rank"))
            .where("reason is not null"))
     shared = dbc_overlap(catalog).select("msg_order", F.concat(
         F.lit("signals "), "left_name", F.lit(" and "), "right_name", F.lit(" share bits")).alias("reason"), F.lit(1).alias("rank"))
@@ -126,30 +131,33 @@ def layout_issue_rows(catalog: Catalog) -> DataFrame:
         F.lit("").alias("line_text"))
 
 
+NO_IDS, NO_RANGES = "array<int>", "array<struct<mux:string,lo:bigint,hi:bigint>>"
+
+
 def decodable_messages(catalog: Catalog) -> DataFrame:
     """One row per message with its signals as an array, multiplexers first.
 
     dynamic marks messages whose present signals depend on the payload or share a
     name; all others decode the whole array without looking at it again.
     """
+    place = place_of(F.col("start_bit"), F.col("length"), F.col("little_endian"), msb_position(F.col("start_bit")), F.col("dlc"))
     sig = F.struct(
-        (~F.col("is_mux")).alias("rank"), "sig_order", "name", "start_bit", "length", "little_endian", "is_signed",
-        "scale", "offset", "unit", "is_mux", F.coalesce("mux_ids", F.array().cast("array<int>")).alias("mux_ids"),
-        F.coalesce("mux_ranges", F.array().cast("array<struct<mux:string,lo:bigint,hi:bigint>>")).alias("mux_ranges"),
-        "value_kind", msb_position(F.col("start_bit")).alias("msb_pos"), F.coalesce("top", F.lit(-1)).alias("top"))
-    top = occupied_bits(catalog.signals).groupBy("msg_order", "sig_order").agg(F.max("bit").alias("top"))
-    signals = catalog.signals.join(top, ["msg_order", "sig_order"], "left").groupBy("msg_order").agg(
+        (~F.col("is_mux")).alias("rank"), "sig_order", "name", "length", "is_signed", "scale", "offset", "unit", "is_mux",
+        F.coalesce("mux_ids", F.array().cast(NO_IDS)).alias("mux_ids"), F.coalesce("mux_ranges", F.array().cast(NO_RANGES)).alias("mux_ranges"),
+        "value_kind", *[c.alias(n) for n, c in place.items()],
+        ((F.col("length") > 0) & (F.col("start_bit") >= 0) & (highest_bit() < F.col("dlc") * 8)).alias("inside"))
+    messages = with_message_ids(catalog.messages)
+    signals = catalog.signals.join(messages.select("msg_order", "dlc"), "msg_order").groupBy("msg_order").agg(
         F.sort_array(F.collect_list(sig)).alias("signals"),
         (F.countDistinct("name") < F.count(F.lit(1))).alias("same_names"))
     suppressed = layout_issues(catalog).select("msg_order", F.lit(True).alias("suppress"))
-    rows = (with_message_ids(catalog.messages).join(signals, "msg_order", "left").join(suppressed, "msg_order", "left")
-            .withColumn("signals", F.coalesce("signals", F.array().cast(signals.schema["signals"].dataType)))
-            .withColumn("suppress", F.coalesce("suppress", F.lit(False))))
+    rows = messages.join(signals, "msg_order", "left").join(suppressed, "msg_order", "left").withColumns({
+        "signals": F.coalesce("signals", F.array().cast(signals.schema["signals"].dataType)),
+        "suppress": F.coalesce("suppress", F.lit(False))})
     conditional = F.exists("signals", lambda s: (F.size(s["mux_ids"]) > 0) | (F.size(s["mux_ranges"]) > 0))
-    fits = F.forall("signals", lambda s: (s["length"] > 0) & (s["top"] >= 0) & (s["top"] < F.col("dlc") * 8))
     return rows.withColumns({
         "dynamic": conditional | F.coalesce("same_names", F.lit(False)),
-        "fits": fits,
+        "fits": F.forall("signals", lambda s: s["inside"]),
     }).drop("same_names")
 
 
@@ -158,12 +166,12 @@ MESSAGE_FIELDS = ["msg_order", "name", "dlc", "is_extended", "suppress", "dynami
 
 def exact_lookup(messages: DataFrame) -> DataFrame:
     """Per bus id: its messages in catalog order."""
-    return sized(messages.groupBy(F.col("is_extended").alias("key_ext"), F.col("frame_id").alias("key_id")).agg(
-        F.sort_array(F.collect_list(F.struct(*MESSAGE_FIELDS))).alias("exact")))
+    return messages.groupBy(F.col("is_extended").alias("key_ext"), F.col("frame_id").alias("key_id")).agg(
+        F.sort_array(F.collect_list(F.struct(*MESSAGE_FIELDS))).alias("exact"))
 
 
 def pgn_lookup(messages: DataFrame) -> DataFrame:
     """Per parameter group: how many messages share it, and the message if it is the only one."""
-    return sized(messages.where("pgn is not null").groupBy(F.col("pgn").alias("key_pgn")).agg(
+    return messages.where("pgn is not null").groupBy(F.col("pgn").alias("key_pgn")).agg(
         F.count(F.lit(1)).alias("pgn_messages"), F.collect_list(F.struct(*MESSAGE_FIELDS)).alias("by_pgn"),
-    ).withColumn("by_pgn", F.when(F.col("pgn_messages") == 1, F.col("by_pgn"))))
+    ).withColumn("by_pgn", F.when(F.col("pgn_messages") == 1, F.col("by_pgn")))

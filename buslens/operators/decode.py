@@ -31,32 +31,17 @@ class Decoded:
 def _mux_values(message: Column) -> Column:
     """Raw values of the message's multiplexers; wider than 63 bits cannot match any condition."""
     def raw(s):
-        value = F.when(s["length"] < 64, bits.raw_low64(F.col("words"), F.col("swapped"), s))
-        return F.struct(s["name"].alias("name"), value.alias("raw"))
+        return F.struct(s["name"].alias("name"), F.when(s["length"] < 64, bits.raw_low64(F.col("words"), s)).alias("raw"))
     return F.transform(F.filter(message["signals"], lambda s: s["is_mux"]), raw)
 
 
-def _present_signals(message: Column) -> Column:
-    """Signals whose multiplexer conditions hold; plain ids match any multiplexer, ranges a named one."""
-    values = _mux_values(message)
-
-    def by_id(s):
-        return (F.size(s["mux_ids"]) == 0) | F.exists(s["mux_ids"], lambda i: F.exists(
-            values, lambda v: F.coalesce(v["raw"] == i.cast("long"), F.lit(False))))
-
-    def by_range(s):
-        return (F.size(s["mux_ranges"]) == 0) | F.exists(s["mux_ranges"], lambda r: F.exists(
-            values, lambda v: F.coalesce((v["name"] == r["mux"]) & v["raw"].between(r["lo"], r["hi"]), F.lit(False))))
-
-    return F.when(~message["dynamic"], message["signals"]).otherwise(
-        F.filter(message["signals"], lambda s: s["is_mux"] | (by_id(s) & by_range(s))))
-
-
-def _decodes(message: Column, payload_len: Column) -> Column:
-    """All present signals lie inside the payload, and a message with signals has one present."""
-    seen = _present_signals(message)
-    inside = F.forall(seen, lambda s: (s["length"] > 0) & (s["top"] >= 0) & (s["top"] < payload_len * 8))
-    return F.when(~message["dynamic"], message["fits"]).otherwise((F.size(seen) > 0) & inside)
+def _is_present(s: Column, mux: Column) -> Column:
+    """Whether the multiplexers select the signal: plain ids match any of them, ranges a named one."""
+    by_id = (F.size(s["mux_ids"]) == 0) | F.exists(
+        mux, lambda v: F.coalesce(F.array_contains(s["mux_ids"], v["raw"].try_cast("int")), F.lit(False)))
+    by_range = (F.size(s["mux_ranges"]) == 0) | F.exists(s["mux_ranges"], lambda r: F.exists(
+        mux, lambda v: F.coalesce((v["name"] == r["mux"]) & v["raw"].between(r["lo"], r["hi"]), F.lit(False))))
+    return s["is_mux"] | (by_id & by_range)
 
 
 def _last_of_name(signals: Column) -> Column:
@@ -65,31 +50,37 @@ def _last_of_name(signals: Column) -> Column:
         F.slice(signals, i + 2, F.size(signals)), lambda later: later["name"] == s["name"]))
 
 
-def match_messages(frames: DataFrame, catalog: Catalog, messages: DataFrame | None = None) -> DataFrame:
-    """Add decode_status, message (struct) and frame_id to every frame.
+def match_messages(frames: DataFrame, messages: DataFrame, *, dynamic: bool = True) -> DataFrame:
+    """Add decode_status, message_name, frame_id and present (the signals to read) to every frame.
 
     An exact id decides alone, even if its messages do not decode. Only extended
     frames without any exact message fall back to a parameter group with one message.
     """
-    if messages is None:
-        messages = sized(decodable_messages(catalog))
     ext = F.col("is_extended") | (F.col("can_id") > STANDARD_ID_MAX)
     rows = frames.withColumn("key_ext", ext).withColumn("key_id", normalize_dbc_id(F.col("can_id"), F.col("key_ext")))
     rows = rows.join(exact_lookup(messages), ["key_ext", "key_id"], "left")
     rows = rows.withColumn("key_pgn", F.when(F.col("key_ext") & F.col("exact").isNull(), j1939_pgn(F.col("key_id"))))
     rows = rows.join(pgn_lookup(messages), "key_pgn", "left")
-    rows = rows.withColumn("candidates", F.coalesce("exact", "by_pgn"))
-    matched = F.col("candidates").isNotNull()
-    rows = rows.withColumn("words", F.when(matched, bits.payload_words(F.col("payload")))).withColumn(
-        "swapped", F.transform("words", bits.byte_swapped))
-    usable = F.filter("candidates", lambda m: ~m["suppress"] & (m["is_extended"] == F.col("key_ext"))
-                      & (m["dlc"] == F.col("payload_len")) & _decodes(m, F.col("payload_len")))
-    rows = rows.withColumn("message", F.get(usable, F.lit(0)))
-    status = (F.when(F.col("message").isNotNull(), DECODED).when(matched, ERROR)
+    rows = bits.with_words(rows, F.col("payload")).withColumn("candidates", F.coalesce("exact", "by_pgn"))
+    # One step per column: each is used once by the next, so nothing is worked out twice.
+    found = F.filter("candidates", lambda m: ~m["suppress"] & (m["is_extended"] == F.col("key_ext")) & (m["dlc"] == F.col("payload_len")))
+    if dynamic:
+        rows = rows.withColumn("found", F.transform(found, lambda m: F.struct(m.alias("m"), _mux_values(m).alias("mux"))))
+        rows = rows.withColumn("found", F.transform("found", lambda x: F.struct(x["m"].alias("m"), F.filter(
+            x["m"]["signals"], lambda s: _is_present(s, x["mux"])).alias("present"))))
+        good = F.filter("found", lambda x: F.forall(x["present"], lambda s: s["inside"]) & (
+            (F.size(x["present"]) > 0) | (F.size(x["m"]["signals"]) == 0)))
+        rows = rows.withColumn("pick", F.get(good, F.lit(0))).withColumn("present", F.col("pick.present"))
+        rows = rows.withColumn("present", _last_of_name(F.col("present")))
+    else:
+        usable = F.filter(found, lambda m: m["fits"])
+        rows = rows.withColumn("pick", F.struct(F.get(usable, F.lit(0)).alias("m"))).withColumn("present", F.col("pick.m.signals"))
+    name = F.col("pick.m.name")
+    status = (F.when(name.isNotNull(), DECODED).when(F.col("candidates").isNotNull(), ERROR)
               .when(F.col("pgn_messages") > 1, AMBIGUOUS).otherwise(UNMATCHED))
-    return rows.withColumns({"decode_status": status, "message_name": F.col("message.name"), "frame_id": F.col("key_id"),
+    return rows.withColumns({"decode_status": status, "message_name": name, "frame_id": F.col("key_id"),
                              "is_extended_id": F.col("key_ext")}).drop(
-        "key_ext", "key_id", "key_pgn", "exact", "by_pgn", "candidates", "pgn_messages")
+        "key_ext", "key_id", "key_pgn", "exact", "by_pgn", "candidates", "pgn_messages", "found", "pick")
 
 
 def _tame(factor: Column) -> Column:
@@ -99,34 +90,32 @@ def _tame(factor: Column) -> Column:
 
 def decode(frames: DataFrame, catalog: Catalog) -> Decoded:
     messages = sized(decodable_messages(catalog))
-    shape = messages.select(
+    # What the catalog holds decides how much the expressions below have to cover.
+    shape = messages.agg(
         F.max("dynamic").alias("dynamic"),
         F.max(F.exists("signals", lambda s: s["length"] > 64)).alias("wide"),
         F.max(F.exists("signals", lambda s: s["value_kind"] != "Integer")).alias("ieee"),
         F.max(F.exists("signals", lambda s: ~_tame(s["scale"]) | ~_tame(s["offset"]))).alias("wild")).first()
-    matched = match_messages(frames, catalog, messages)
+    matched = match_messages(frames, messages, dynamic=bool(shape["dynamic"]))
     carried = present(matched, ["source_file", "ts_ns", "frame_index", "source_line", "channel", "frame_format"])
-    hit = matched.where(F.col("decode_status") == DECODED)
-    seen = F.col("message.signals")
-    if shape["dynamic"]:
-        seen = _last_of_name(_present_signals(F.col("message")))
-    rows = hit.withColumn("present", seen).select(
-        *carried, F.col("is_extended_id").alias("is_extended"), "frame_id", "message_name", "words", "swapped",
-        F.explode("present").alias("sig"))
     sig = F.col("sig")
-    wide = F.when(sig["length"] > 64, bits.raw_pieces(F.col("words"), F.col("swapped"), sig)) if shape["wide"] else None
-    pieces = wide if wide is not None else F.lit(None).cast("array<bigint>")
-    rows = rows.withColumns({"word": bits.raw_low64(F.col("words"), F.col("swapped"), sig), "pieces": pieces}).drop("words", "swapped")
-    value = bits.physical_value(F.col("word"), F.col("pieces"), sig, wide=bool(shape["wide"]), ieee=bool(shape["ieee"]))
+    # The outer form, filtered afterwards, keeps the optimizer from testing the array expression below as well.
+    rows = matched.select(*carried, F.col("is_extended_id").alias("is_extended"), "frame_id", "message_name", "words",
+                          F.explode_outer("present").alias("sig")).where(sig.isNotNull())
+    new = {"word": bits.raw_low64(F.col("words"), sig)}
+    if shape["wide"]:
+        new["pieces"] = F.when(sig["length"] > 64, bits.raw_pieces(F.col("words"), sig))
+    pieces = F.col("pieces") if shape["wide"] else None
+    rows = rows.withColumns(new).drop("words")
     samples = rows.select(
-        *carried, "is_extended", "frame_id", "message_name", sig["name"].alias("signal_name"), value.alias("value"),
-        bits.exact_raw(F.col("word"), F.col("pieces")).alias("raw_value"),
-        bits.hex_text(F.col("word"), F.col("pieces")).alias("raw_hex"), sig["unit"].alias("unit"),
-        sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"))
+        *carried, "is_extended", "frame_id", "message_name", sig["name"].alias("signal_name"),
+        bits.physical_value(F.col("word"), pieces, sig, ieee=bool(shape["ieee"])).alias("value"),
+        bits.exact_raw(F.col("word"), pieces).alias("raw_value"), bits.hex_text(F.col("word"), pieces).alias("raw_hex"),
+        sig["unit"].alias("unit"), sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"))
     if shape["ieee"] or shape["wild"]:
         # Only such catalogs can yield values that are no finite number.
         samples = samples.where(~F.isnan("value") & (F.abs("value") < float("inf")))
-    return Decoded(matched.drop("words", "swapped", "message"), samples)
+    return Decoded(matched.drop("words", "present"), samples)
 
 
 def message_summary(decoded_frames: DataFrame) -> DataFrame:

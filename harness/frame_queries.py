@@ -258,10 +258,11 @@ fb AS (SELECT greatest(0, least(CAST(floor((ts_ns / 1e9 - start_s) / w) AS BIGIN
   sum((CASE WHEN is_extended THEN 67 ELSE 47 END + 64 + 3) * CAST(1.2 AS DOUBLE) / 500000) AS busy FROM fr, bw GROUP BY 1)"""
 
 
-@query("bus_trend", f"""WITH {SPAN} SELECT CAST(g.bin AS INT) AS bin, round(start_s + g.bin * w, 6) AS time_s, coalesce(frames, 0) AS frames, round(coalesce(frames, 0) / w, 6) AS frames_per_s,
-  round(coalesce(busy, 0) / w * 100, 6) AS load_pct FROM bw, (SELECT unnest(range(bins)) AS bin FROM bw) g LEFT JOIN fb USING (bin)""")
+@query("bus_trend", f"""WITH {SPAN} SELECT CAST(g.bin AS INT) AS bin, start_s + g.bin * w AS time_s, coalesce(frames, 0) AS frames, round(coalesce(frames, 0) / w, 5) AS frames_per_s,
+  round(coalesce(busy, 0) / w * 100, 5) AS load_pct FROM bw, (SELECT unnest(range(bins)) AS bin FROM bw) g LEFT JOIN fb USING (bin)""")
 def q_bus_trend(spark, d):
-    return rounded(TR.bus_trend(frames(spark, d), bin_ms=5000).drop("source_file"))
+    out = TR.bus_trend(frames(spark, d), bin_ms=5000).drop("source_file")
+    return out.withColumns({c: F.round(c, 5) for c in ("frames_per_s", "load_pct")})
 
 
 CYCLES = f"""cy AS (SELECT *, (ts_ns / 1e9 - lag(ts_ns / 1e9) OVER (PARTITION BY channel, direction, is_extended, can_id ORDER BY frame_index)) * 1000 AS cycle_ms FROM fr)"""
