@@ -88,31 +88,48 @@ def _tame(factor: Column) -> Column:
     return F.coalesce(F.abs(factor) < 1e100, F.lit(False))
 
 
-def decode(frames: DataFrame, catalog: Catalog) -> Decoded:
+@dataclass(frozen=True)
+class Decoder:
+    """A catalog made ready for decoding: the staged lookup, and which kinds of fields it holds."""
+
+    messages: DataFrame
+    dynamic: bool
+    wide: bool
+    ieee: bool
+    wild: bool
+
+
+def prepare(catalog: Catalog) -> Decoder:
+    """Work out the lookup once; it serves any number of recordings."""
     messages = sized(decodable_messages(catalog))
-    # What the catalog holds decides how much the expressions below have to cover.
-    shape = messages.agg(
+    kinds = messages.agg(
         F.max("dynamic").alias("dynamic"),
         F.max(F.exists("signals", lambda s: s["length"] > 64)).alias("wide"),
         F.max(F.exists("signals", lambda s: s["value_kind"] != "Integer")).alias("ieee"),
         F.max(F.exists("signals", lambda s: ~_tame(s["scale"]) | ~_tame(s["offset"]))).alias("wild")).first()
-    matched = match_messages(frames, messages, dynamic=bool(shape["dynamic"]))
+    return Decoder(messages, *[bool(k) for k in kinds])
+
+
+def decode(frames: DataFrame, catalog: Catalog | Decoder) -> Decoded:
+    """What the catalog holds decides how much the expressions have to cover."""
+    decoder = catalog if isinstance(catalog, Decoder) else prepare(catalog)
+    matched = match_messages(frames, decoder.messages, dynamic=decoder.dynamic)
     carried = present(matched, ["source_file", "ts_ns", "frame_index", "source_line", "channel", "frame_format"])
     sig = F.col("sig")
     # The outer form, filtered afterwards, keeps the optimizer from testing the array expression below as well.
     rows = matched.select(*carried, F.col("is_extended_id").alias("is_extended"), "frame_id", "message_name", "words",
                           F.explode_outer("present").alias("sig")).where(sig.isNotNull())
     new = {"word": bits.raw_low64(F.col("words"), sig)}
-    if shape["wide"]:
+    if decoder.wide:
         new["pieces"] = F.when(sig["length"] > 64, bits.raw_pieces(F.col("words"), sig))
-    pieces = F.col("pieces") if shape["wide"] else None
+    pieces = F.col("pieces") if decoder.wide else None
     rows = rows.withColumns(new).drop("words")
     samples = rows.select(
         *carried, "is_extended", "frame_id", "message_name", sig["name"].alias("signal_name"),
-        bits.physical_value(F.col("word"), pieces, sig, ieee=bool(shape["ieee"])).alias("value"),
+        bits.physical_value(F.col("word"), pieces, sig, ieee=decoder.ieee).alias("value"),
         bits.exact_raw(F.col("word"), pieces).alias("raw_value"), bits.hex_text(F.col("word"), pieces).alias("raw_hex"),
         sig["unit"].alias("unit"), sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"))
-    if shape["ieee"] or shape["wild"]:
+    if decoder.ieee or decoder.wild:
         # Only such catalogs can yield values that are no finite number.
         samples = samples.where(~F.isnan("value") & (F.abs("value") < float("inf")))
     return Decoded(matched.drop("words", "present"), samples)

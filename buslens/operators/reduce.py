@@ -26,6 +26,8 @@ def downsample_minmax(samples: DataFrame, keys: list[str], max_points: int = 400
     guess = F.floor(F.col("pos") / width)
     bucket = (F.when(F.floor((guess + 1) * width) <= F.col("pos"), guess + 1)
               .when(F.floor(guess * width) > F.col("pos"), guess - 1).otherwise(guess))
+    # Rounding may put the last row one bucket too far.
+    bucket = F.least(bucket, F.lit(buckets - 1))
     whole = F.col("len") <= max_points
     row = F.struct("pos", *[c for c in samples.columns if c not in keys])
     rows = o.select(*keys, "pos", F.col(value).alias("__v"), row.alias("row"), F.when(whole, F.col("pos")).otherwise(bucket).alias("bucket"),

@@ -15,7 +15,7 @@ from buslens.sinks.exports import decoded_export
 from buslens.sources.readers import read_log
 from harness.registry import query, rounded
 from harness.source_queries import frame_catalog_text
-from harness.views import DECODED, EXT_ID, FRAMES, LINES, STATUS, candump_logs, catalog, events, frames, log_glob, recording
+from harness.views import DECODED, EXT_ID, FRAMES, LINES, STATUS, candump_logs, catalog, decoder, events, frames, log_glob, recording
 
 
 @query("log_to_watch", f"""WITH {LINES}, s AS (SELECT *, CASE WHEN can_id < 280 THEN 'Msg' || CAST(can_id AS VARCHAR) WHEN is_extended THEN 'Group' END AS message_name FROM ok),
@@ -26,14 +26,14 @@ SELECT recording, channel, frame_format, is_extended, can_id AS frame_id, messag
 FROM (SELECT *, 'Classic' AS frame_format FROM v WHERE message_name IS NOT NULL) GROUP BY ALL""")
 def q_log_to_watch(spark, d):
     log = read_log(spark, log_glob(candump_logs(spark, d)), "candump")
-    samples = D.decode(log.frames, catalog(spark)).samples.drop("raw_value")
+    samples = D.decode(log.frames, decoder(spark)).samples.drop("raw_value")
     keys = ["source_file", "channel", "frame_format", "is_extended", "frame_id", "message_name", "signal_name"]
     watch = FR.signal_watch(samples, keys).withColumn("recording", recording()).drop("source_file")
     return rounded(watch)
 
 
 def decoded(spark, d):
-    return D.decode(frames(spark, d), catalog(spark))
+    return D.decode(frames(spark, d), decoder(spark))
 
 
 @query("decode_signals", f"""WITH {DECODED} SELECT frame_index, source_line, ts_ns, channel, is_extended, frame_id, message_name, signal_name, unit,

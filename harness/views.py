@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from buslens.operators.catalog import Catalog, catalog_from_rows
+from buslens.operators.decode import Decoder, prepare
 from buslens.plans.staging import new_path
 
 EXT_ID = 419385344  # 0x18FF5000, parameter group 0xFF50
@@ -75,6 +76,17 @@ sm AS (
   SELECT frame_index, source_line, ts_ns, channel, is_extended, can_id, message_name, 'Value', 'V',
     round(ev_value * 100) * 0.01, CAST(round(ev_value * 100) AS BIGINT), data_hex FROM de WHERE decode_status = 'decoded')"""
 
+_DECODERS: dict[str, Decoder] = {}
+
+
+def decoder(spark) -> Decoder:
+    """The catalog above, made ready once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _DECODERS:
+        _DECODERS[app] = prepare(catalog(spark))
+    return _DECODERS[app]
+
+
 SERIES = ["message_name", "signal_name"]
 
 
