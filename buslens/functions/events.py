@@ -22,62 +22,68 @@ FIELD_LENGTHS = {
 KEY_LENGTH, TEXT_LENGTH = 64, 120
 
 
-def text_field(event: Column, name: str) -> Column:
+_FIELDS = [*FIELD_LENGTHS, "timestamp_utc", "properties"]
+
+
+def _text(field: Column) -> Column:
     """A JSON text without surrounding white space; empty if missing or of another type."""
-    at = F.try_variant_get(event, f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(at) == "STRING", trimmed(F.try_variant_get(event, f"$.{name}", "string"))).otherwise("")
+    return F.when(F.schema_of_variant(field) == "STRING", trimmed(F.try_variant_get(field, "$", "string"))).otherwise("")
 
 
 def parse_event(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add event (variant, NULL if the text is no JSON), its properties and its text fields."""
-    rows = lines.withColumn("event", F.try_parse_json(F.col(value))).withColumn(
-        "properties_raw", F.try_variant_get("event", "$.properties", "variant"))
-    fields = [*FIELD_LENGTHS, "timestamp_utc"]
-    return rows.withColumns({f"raw_{n}": text_field(F.col("event"), n) for n in fields}).withColumn(
-        "event_time", F.col("raw_timestamp_utc").try_cast("timestamp"))
+    """Add is_json, is_object, the event's properties (variant) and its text fields as raw_*."""
+    rows = lines.withColumns({
+        "is_json": F.try_parse_json(F.col(value)).isNotNull(),
+        "is_object": trimmed(F.col(value)).startswith("{"),
+        "j": F.from_json(F.col(value), ", ".join(f"{n} variant" for n in _FIELDS)),
+    })
+    rows = rows.withColumns({
+        **{f"raw_{n}": _text(F.col("j")[n]) for n in _FIELDS if n != "properties"},
+        "name_text": F.try_variant_get(F.col("j")["event_name"], "$", "string"),
+        "properties_raw": F.col("j")["properties"],
+    }).drop("j")
+    return rows.withColumn("event_time", F.col("raw_timestamp_utc").try_cast("timestamp"))
 
 
 def event_error(value: Column) -> Column:
     """NULL for a valid event, else the code of the first rule it breaks."""
-    kind = F.schema_of_variant("event")
-    props = F.length(F.to_json("properties_raw"))
-    error = (F.when(F.length(value) > MAX_BODY, "payload_too_large").when(F.col("event").isNull(), "invalid_json")
-             .when(~kind.startswith("OBJECT"), "event_must_be_object")
-             .when(~_raw_text("event_name").isin(EVENT_NAMES), "unknown_event_name"))
+    # The event name must match exactly, so its untrimmed text counts.
+    error = (F.when(F.length(value) > MAX_BODY, "payload_too_large").when(~F.col("is_json"), "invalid_json")
+             .when(~F.col("is_object"), "event_must_be_object")
+             .when(~F.coalesce(F.col("name_text").isin(EVENT_NAMES), F.lit(False)), "unknown_event_name"))
     for name in REQUIRED:
         error = error.when(F.col(f"raw_{name}") == "", f"missing_{name}")
-    return error.when(F.col("event_time").isNull(), "invalid_timestamp_utc").when(props > MAX_PROPERTIES, "properties_too_large")
-
-
-def _raw_text(name: str) -> Column:
-    # The event name must match exactly, so its untrimmed text counts.
-    return F.coalesce(F.try_variant_get("event", f"$.{name}", "string"), F.lit(""))
+    too_large = F.length(F.to_json("properties_raw")) > MAX_PROPERTIES
+    return error.when(F.col("event_time").isNull(), "invalid_timestamp_utc").when(too_large, "properties_too_large")
 
 
-def sanitize_properties(props: Column) -> Column:
-    """MAP<STRING,STRING>: safe keys of up to 64 characters, texts of up to 120; anything but an object gives {}.
+def with_properties(rows: DataFrame) -> DataFrame:
+    """Add properties MAP<STRING,STRING> from properties_raw; anything but an object gives {}.
 
-    Of keys that become equal the last one counts.
+    Keys become safe and at most 64 long, texts at most 120; numbers, booleans and
+    null keep their form. Of keys that become equal the last one counts.
     """
-    is_object = F.schema_of_variant(props).startswith("OBJECT")
-    raw = F.map_entries(F.when(is_object, F.try_variant_get(props, "$", "map<string,variant>")))
-
-    def text(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        plain = F.try_variant_get(v, "$", "string")
-        listed = F.array_join(F.try_variant_get(v, "$", "array<string>"), ",", "")
-        cut = F.substring(F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), "[object Object]").otherwise(plain), 1, TEXT_LENGTH)
-        return F.when(F.is_variant_null(v) | kind.isin("BOOLEAN", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain).otherwise(cut)
-
-    clean = F.transform(raw, lambda e: F.struct(
-        F.substring(F.regexp_replace(e["key"], "[^A-Za-z0-9_-]", "_"), 1, KEY_LENGTH).alias("key"), text(e["value"]).alias("value")))
-    named = F.filter(clean, lambda e: e["key"] != "")
+    entries = F.map_entries(F.try_variant_get("properties_raw", "$", "map<string,variant>"))
+    kinds = F.transform(entries, lambda e: F.struct(
+        F.substring(F.regexp_replace(e["key"], "[^A-Za-z0-9_-]", "_"), 1, KEY_LENGTH).alias("key"),
+        F.schema_of_variant(e["value"]).alias("kind"), e["value"].alias("value")))
+
+    def text(e: Column) -> Column:
+        plain = F.try_variant_get(e["value"], "$", "string")
+        listed = F.array_join(F.try_variant_get(e["value"], "$", "array<string>"), ",", "")
+        return (F.when(e["kind"] == "STRING", F.substring(plain, 1, TEXT_LENGTH))
+                .when(e["kind"].startswith("ARRAY"), F.substring(listed, 1, TEXT_LENGTH))
+                .when(e["kind"].startswith("OBJECT"), "[object Object]").otherwise(plain))
+
+    rows = rows.withColumn("__kinds", F.filter(kinds, lambda e: e["key"] != ""))
+    rows = rows.withColumn("__named", F.transform("__kinds", lambda e: F.struct(e["key"].alias("key"), text(e).alias("value"))))
+    named = F.col("__named")
     last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
-    return F.coalesce(F.map_from_entries(last), empty)
+    return rows.withColumn("properties", F.coalesce(F.map_from_entries(last), empty)).drop("__kinds", "__named")
 
 
 def normalized_event() -> dict[str, Column]:
-    """The stored columns of a valid event."""
+    """The stored columns of a valid event, next to its properties."""
     cut = {n: F.substring(F.col(f"raw_{n}"), 1, size) for n, size in FIELD_LENGTHS.items()}
-    return {**cut, "timestamp_utc": F.date_trunc("millisecond", F.col("event_time")), "properties": sanitize_properties(F.col("properties_raw"))}
+    return {**cut, "timestamp_utc": F.date_trunc("millisecond", F.col("event_time"))}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from buslens.functions import bits
 from buslens.functions.ids import STANDARD_ID_MAX, j1939_pgn, normalize_dbc_id
 from buslens.operators.catalog import Catalog, decodable_messages, exact_lookup, pgn_lookup, with_message_ids
-from buslens.plans.staging import same_keys_join, sized
+from buslens.plans.staging import keep_where, same_keys_join, sized
 from buslens.schema import present
 
 DECODED, UNMATCHED, AMBIGUOUS, ERROR = "decoded", "unmatched", "ambiguous", "error"
@@ -131,7 +131,7 @@ def decode(frames: DataFrame, catalog: Catalog | Decoder) -> Decoded:
         sig["unit"].alias("unit"), sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"))
     if decoder.ieee or decoder.wild:
         # Only such catalogs can yield values that are no finite number.
-        samples = samples.where(~F.isnan("value") & (F.abs("value") < float("inf")))
+        samples = keep_where(samples, ~F.isnan("value") & (F.abs("value") < float("inf")))
     return Decoded(matched.drop("words", "present"), samples)
 
 

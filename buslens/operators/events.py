@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from buslens.functions.events import event_error, normalized_event, parse_event
+from buslens.functions.events import event_error, normalized_event, parse_event, with_properties
+from buslens.plans.staging import keep_where
 
 
 STORED = ["event_id", "event_name", "timestamp_utc", "app_version", "installation_id", "session_id", "os_description",
@@ -18,7 +19,8 @@ def validate_events(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def normalize_events(validated: DataFrame, carry: list[str]) -> DataFrame:
     """The stored form of the valid events, with the given columns of the input and the event as JSON text."""
-    rows = validated.where(F.col("error").isNull()).select(*carry, *[c.alias(n) for n, c in normalized_event().items()])
+    rows = with_properties(keep_where(validated, F.col("error").isNull()))
+    rows = rows.select(*carry, *[c.alias(n) for n, c in normalized_event().items()], "properties")
     iso = F.date_format("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     body = F.struct(F.lit(1).alias("schema_version"), *[iso.alias(c) if c == "timestamp_utc" else F.col(c) for c in STORED])
     return rows.withColumns({"properties_json": F.to_json("properties", {"ignoreNullFields": "false"}),
@@ -42,7 +44,7 @@ def ingest_events(lines: DataFrame, order: list[str], existing: DataFrame | None
 
 
 def rejected_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    return validate_events(lines, value).where(F.col("error").isNotNull()).select(*lines.columns, "error")
+    return keep_where(validate_events(lines, value), F.col("error").isNotNull()).select(*lines.columns, "error")
 
 
 def retain_recent(lines: DataFrame, now: Column, days: int = 365, value: str = "value") -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows of one group that a single task may hold. Groups beyond it take the blocked plans.
 MAX_GROUP_ROWS = 2_000_000
@@ -48,6 +48,15 @@ def sized(df: DataFrame) -> DataFrame:
     return staged(df, "side")
 
 
+def keep_where(df: DataFrame, test: Column) -> DataFrame:
+    """Filter on a column that was costly to work out.
+
+    A plain filter is moved below the steps that made its columns, which repeats
+    their expressions; a generated flag is not.
+    """
+    return df.withColumn("__keep", F.explode_outer(F.array(F.when(test, True)))).where("__keep").drop("__keep")
+
+
 def is_large(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
     """True if some group holds more rows than one task should order or buffer."""
     counts = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
