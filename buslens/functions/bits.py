@@ -61,7 +61,8 @@ def place_of(start_bit: Column, length: Column, little_endian: Column, msb_pos:
 
 
 def low_mask(bits: Column) -> Column:
-    return F.when(bits >= 64, F.lit(-1).cast("bigint")).otherwise(_shl(F.lit(1).cast("bigint"), bits) - 1)
+    ones = F.lit(-1).cast("bigint")
+    return F.when(bits >= 64, ones).otherwise(F.bitwise_not(_shl(ones, bits)))
 
 
 def _cut(words: Column, at: Column, sig: Column) -> Column:
