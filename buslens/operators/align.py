@@ -89,8 +89,10 @@ def align_pairs(pairs: DataFrame, keys: list[str], *, max_group_rows: int = MAX_
     def point(v):
         return F.when(F.col(v).isNotNull(), F.struct(F.col("t").alias("t"), F.col(v).alias("v")))
 
-    o = ordered(times, keys, ["ts_ns"], blocked=blocked, max_group_rows=max_group_rows).select(l=point("l_tail"), r=point("r_tail"))
-    o = o.last_known(l0="l", r0="r").next_known(l1="l", r1="r")
+    o = ordered(times, keys, ["ts_ns"], blocked=blocked, max_group_rows=max_group_rows).select(
+        l=point("l_tail"), r=point("r_tail"), l_next=point("l_head"), r_next=point("r_head"))
+    # Looking back, the last of equal times counts; looking ahead, the first.
+    o = o.last_known(l0="l", r0="r").next_known(l1="l_next", r1="r_next")
     rows = same_keys_join(o.done(), bounds.select(*keys, "start_ns", "end_ns", "l_first_ns", "r_first_ns", "slow_dt", "status"), keys)
     rows = rows.where(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns")))
 
