@@ -84,7 +84,7 @@ def every_nth_event(events: DataFrame, keys: list[str], max_events: int, *, max_
 def _chains(rows: DataFrame, keys: list[str], order: list[str], starts: Column, max_group_rows: int) -> DataFrame:
     """Number the chains; starts says whether a row begins one (given prev_t)."""
     o = ordered(rows, keys, order, max_group_rows=max_group_rows).lag(prev_t="t").select(head=starts)
-    o = o.lead(next_head="head").select(step=F.col("head").cast("int")).running_sum("chain", "step")
+    o = o.lead(next_head="head").select(step=F.col("head").cast("int")).running_sum(chain="step")
     return o.done()
 
 
@@ -134,7 +134,7 @@ def match_edges(commands: DataFrame, responses: DataFrame, keys: list[str], *, w
     o = o.select(cmd_t=F.when(F.col("is_command"), F.col("t")))
     o = o.last_known(seen_t="cmd_t").lag(prev_cmd_t="seen_t")
     head = F.col("is_command") & F.coalesce(F.col("t") - F.col("prev_cmd_t") > w, F.lit(True))
-    o = o.select(head=head, step=head.cast("int")).running_sum("chain", "step")
+    o = o.select(head=head, step=head.cast("int")).running_sum(chain="step")
     rows = o.done().where(F.col("chain") > 0).select(*keys, "chain", "t", "rank", "pos", "direction", "is_command", "head")
     rows = rows.repartition(*keys, "chain").sortWithinPartitions(*keys, "chain", "t", "rank", "pos")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)

@@ -81,15 +81,16 @@ class Ordered:
         df = self._carry(n).withColumn(name, F.row_number().over(self.window) - 1 + F.col("__before"))
         return self._with(df.drop("__before", "__total"))
 
-    def running_sum(self, name: str, value: str) -> "Ordered":
-        """Sum of a column from the first row of the series up to this row."""
-        inside = F.sum(value).over(self.window.rowsBetween(Window.unboundedPreceding, 0))
+    def running_sum(self, **cols: str) -> "Ordered":
+        """new=old: the sum from the first row of the series up to this row."""
+        w = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        inside = {n: F.sum(c).over(w) for n, c in cols.items()}
         if not self.blocked:
-            return self._with(self.df.withColumn(name, inside))
-        s = self.df.groupBy(*self.keys, BLOCK).agg(F.sum(value).alias("__s"))
-        before = F.sum("__s").over(self._blocks.rowsBetween(Window.unboundedPreceding, -1))
-        df = self._carry(s.select(*self.keys, BLOCK, F.coalesce(before, F.lit(0)).alias("__before")))
-        return self._with(df.withColumn(name, inside + F.col("__before")).drop("__before"))
+            return self._with(self.df.withColumns(inside))
+        s = self.df.groupBy(*self.keys, BLOCK).agg(*[F.sum(c).alias(n) for n, c in cols.items()])
+        outer = self._blocks.rowsBetween(Window.unboundedPreceding, -1)
+        df = self._carry(s.select(*self.keys, BLOCK, *[F.coalesce(F.sum(n).over(outer), F.lit(0)).alias(f"__{n}") for n in cols]))
+        return self._with(df.withColumns({n: v + F.col(f"__{n}") for n, v in inside.items()}).drop(*[f"__{n}" for n in cols]))
 
     def last_known(self, **cols: str) -> "Ordered":
         """new=old: the last non-null value at or before this row."""

@@ -32,7 +32,7 @@ def _ranked(df, keys, column, qs, max_group_rows) -> DataFrame:
     distinct levels; what is left is ranked by block-wise running sums.
     """
     levels = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__c"))
-    o = ordered(levels, keys, [column], max_group_rows=max_group_rows).running_sum("__to", "__c")
+    o = ordered(levels, keys, [column], max_group_rows=max_group_rows).running_sum(__to="__c")
     size = sized(levels.groupBy(*keys).agg(F.sum("__c").alias("__n")))
     ranked = same_keys_join(o.df, size, keys).withColumn("__from", F.col("__to") - F.col("__c"))
 

@@ -59,7 +59,7 @@ def event_stats(samples: DataFrame, keys: list[str], *, threshold: float | Colum
                  step=F.abs(F.col("value") - F.col("prev_v")))
     # A new run begins where the state that held over the interval differs from the one before it.
     o = o.lag(before="was_above").select(
-        flip=F.when(F.col("was_above").eqNullSafe(F.col("before")), 0).otherwise(1)).running_sum("run", "flip")
+        flip=F.when(F.col("was_above").eqNullSafe(F.col("before")), 0).otherwise(1)).running_sum(run="flip")
     rows = o.done().where(F.col("prev_v").isNotNull())
     d, dt = F.col("step"), F.col("dt")
     up, down = ~F.col("was_above") & F.col("above"), F.col("was_above") & ~F.col("above")

@@ -8,9 +8,9 @@ from buslens.functions.frame import with_frame_checks
 from buslens.functions.ids import STANDARD_ID_MAX, direction_of, hex_id, payload_from_pairs
 from buslens.functions.time import NANOS_PER_DAY, ts_tod_ns
 from buslens.operators.ordered import BLOCK, Ordered
-from buslens.plans.staging import same_keys_join, staged
-from buslens.sources.lines import (ACCEPTED, SPLIT, LogFormat, ParsedLog, classify, finish, first_times, groups,
-                                   line_offsets, number_lines, numbered, scan_lines)
+from buslens.plans.staging import staged
+from buslens.sources.lines import (ACCEPTED, SPLIT, LogFormat, ParsedLog, classify, finish, groups, number_lines, numbered,
+                                   scan_lines, split_table)
 
 # Fixed line pattern: 1 time, 2 direction, 3 channel, 4 id, 5 type, 6 length, 7 bytes.
 BUSMASTER = (r"^(\d{1,2}:\d{1,2}:\d{1,2}:\d{1,9})\s+(Rx|Tx)\s+(\S+)\s+(0x[0-9A-Fa-f]+|[0-9A-Fa-f]+)"
@@ -24,7 +24,7 @@ def busmaster_columns(lines: DataFrame) -> DataFrame:
         "g": groups(line, BUSMASTER, 7),
     }).withColumns({
         "matched": g.isNotNull(),
-        "tod_ns": ts_tod_ns(g[0]),
+        "raw_ns": ts_tod_ns(g[0]),
         "frame_type": g[1],
         "direction": direction_of(g[1]),
         "channel": g[2],
@@ -33,13 +33,13 @@ def busmaster_columns(lines: DataFrame) -> DataFrame:
         "declared": g[5].try_cast("int"),
         "payload": payload_from_pairs(g[6]),
     }).withColumns({
-        "time_ok": ~F.col("non_data") & F.col("tod_ns").isNotNull(),
+        "time_ok": ~F.col("non_data") & F.col("raw_ns").isNotNull(),
         "is_extended": F.col("type_text").contains("x") | (F.col("can_id") > STANDARD_ID_MAX),
         "payload_len": F.octet_length("payload"),
         "fd_marker": F.col("type_text").contains("fd"),
     })
     rows = with_frame_checks(rows)
-    bad = (F.when(F.col("tod_ns").isNull(), "not a time of day")
+    bad = (F.when(F.col("raw_ns").isNull(), "not a time of day")
            .when(F.col("declared").isNull(), "length is not a number")
            .when(F.col("payload").isNull(), "payload is not hex bytes")
            .when(F.col("can_id").isNull(), "identifier is not a 32-bit number")
@@ -53,26 +53,23 @@ BUSMASTER_FORMAT = LogFormat("busmaster", busmaster_columns, rebase=True)
 
 def read_busmaster(spark, path) -> ParsedLog:
     """A drop of more than half a day starts the next day; a smaller drop only warns."""
-    scan = scan_lines(spark, path)
-    offsets = line_offsets(scan)
-    parsed = numbered(busmaster_columns(scan))
-    keep = ["line_class", "line_text", "tod_ns", "can_id", "is_extended", "dlc", "payload", "payload_len", "frame_type",
+    parsed = numbered(busmaster_columns(scan_lines(spark, path)))
+    splits = split_table(parsed)
+    keep = ["line_class", "line_text", "raw_ns", "can_id", "is_extended", "dlc", "payload", "payload_len", "frame_type",
             "channel", "frame_format", "direction", "kind", "brs", "esi"]
     # The clock runs over every line with a readable time, valid frame or not.
     clock = staged(parsed.where(F.col("time_ok") & (F.col("seq") >= 0)).select(*SPLIT, "seq", *keep), "clock")
-    rows = Ordered(clock.withColumn(BLOCK, F.col("split_start")), ["source_file"], ["seq"], True).lag(prev="tod_ns")
-    drop = F.col("prev") - F.col("tod_ns")
+    rows = Ordered(clock.withColumn(BLOCK, F.col("split_start")), ["source_file"], ["seq"], True).lag(prev="raw_ns")
+    drop = F.col("prev") - F.col("raw_ns")
     rows = rows.select(
         next_day=F.when(drop > NANOS_PER_DAY // 2, 1).otherwise(0).cast("long"),
         is_frame=(F.col("line_class") == ACCEPTED).cast("long"),
-    ).running_sum("days", "next_day").running_sum("frame_no", "is_frame").done()
-    rows = rows.withColumn("raw_ns", F.col("days") * NANOS_PER_DAY + F.col("tod_ns"))
+    ).running_sum(days="next_day", frame_no="is_frame").done()
+    frames = number_lines(rows.where(F.col("line_class") == ACCEPTED), splits)
     # The first readable time has no day before it, so its time of day is the base.
-    base = first_times(clock.withColumns({"time_ok": F.lit(True), "raw_ns": F.col("tod_ns")}))
-    frames = number_lines(rows.where(F.col("line_class") == ACCEPTED), offsets)
-    frames = same_keys_join(frames, base, ["source_file"]).withColumns({
-        "ts_ns": F.col("raw_ns") - F.col("base_ns"), "frame_index": F.col("frame_no") - 1})
-    warnings = rows.where((F.col("next_day") == 0) & (F.col("tod_ns") < F.col("prev"))).select(
+    frames = frames.withColumns({"ts_ns": F.col("days") * NANOS_PER_DAY + F.col("raw_ns") - F.col("base_ns"),
+                                 "frame_index": F.col("frame_no") - 1})
+    warnings = rows.where((F.col("next_day") == 0) & (F.col("raw_ns") < F.col("prev"))).select(
         *SPLIT, "seq", F.lit("Warning").alias("severity"), F.lit("TIME_BACKWARDS").alias("code"),
         F.lit("time runs backwards within a day; source order is kept").alias("message"), "line_text")
-    return finish(offsets, parsed, BUSMASTER_FORMAT, frames, warnings)
+    return finish(splits, parsed, BUSMASTER_FORMAT, frames, warnings)

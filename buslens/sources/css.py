@@ -8,8 +8,8 @@ from buslens.functions.frame import with_frame_checks
 from buslens.functions.ids import STANDARD_ID_MAX, hex_id, payload_from_hex
 from buslens.functions.time import trimmed, ts_css_ns
 from buslens.plans.staging import same_keys_join, sized
-from buslens.sources.lines import (ACCEPTED, NON_DATA, SPLIT, LogFormat, ParsedLog, classify, finish, first_times,
-                                   line_offsets, lines_of, number_frames, number_lines, numbered, scan_lines)
+from buslens.sources.lines import (ACCEPTED, NON_DATA, LogFormat, ParsedLog, classify, finish, lines_of, number_frames,
+                                   numbered, scan_lines, split_table)
 
 # Fixed header names.
 HEADER = ["timestamp", "type", "id", "data"]
@@ -62,24 +62,22 @@ CSS_FORMAT = LogFormat("css", css_columns, rebase=True)
 
 
 def read_css(spark, path) -> ParsedLog:
-    scan = scan_lines(spark, path)
-    offsets = line_offsets(scan)
-    every = numbered(css_columns(scan))
+    every = numbered(css_columns(scan_lines(spark, path)))
     place = F.struct("split_start", "seq")
     header = sized(every.where("is_header").groupBy("source_file").agg(F.min(place).alias("header_at")))
     after = F.coalesce(place > F.col("header_at"), F.lit(False))
-
     parsed = same_keys_join(every, header, ["source_file"], "left").withColumns({
+        "valid": F.col("line_class") == ACCEPTED,
         "line_class": F.when(after, F.col("line_class")).otherwise(NON_DATA),
         "time_ok": F.col("time_ok") & after,
     })
-    # Frames are numbered before the header is known to them; those above it are a prefix to subtract.
-    numbered_frames = number_frames(lines_of(every, ACCEPTED))
-    placed = same_keys_join(numbered_frames, header, ["source_file"], "left").withColumn("after", after)
-    above = sized(placed.groupBy("source_file").agg(F.count_if(~F.col("after")).alias("above")))
-    frames = same_keys_join(number_lines(placed.where("after"), offsets), above, ["source_file"])
-    frames = same_keys_join(frames, first_times(parsed), ["source_file"]).withColumns({
+    # Frames are numbered in the scan, before the header is known to them. Those above it come first in
+    # the file, so the file's count of them is taken off again.
+    splits = split_table(parsed, F.col("valid"))
+    frames = same_keys_join(number_frames(lines_of(every, ACCEPTED), splits), header, ["source_file"], "left").where(after)
+    above = sized(parsed.groupBy("source_file").agg(F.count_if(F.col("valid") & (F.col("line_class") != ACCEPTED)).alias("above")))
+    frames = same_keys_join(frames, above, ["source_file"]).withColumns({
         "frame_index": F.col("frame_index") - F.col("above"),
         "ts_ns": F.col("raw_ns") - F.col("base_ns"),
     })
-    return finish(offsets, parsed, CSS_FORMAT, frames)
+    return finish(splits, parsed, CSS_FORMAT, frames)

@@ -10,7 +10,7 @@ from buslens.operators.catalog import Catalog, layout_issue_rows, with_message_i
 from buslens.operators.ordered import ordered
 from buslens.plans.staging import sized
 from buslens.schema import ISSUE_COLS
-from buslens.sources.lines import groups, line_offsets, number_lines, numbered, scan_lines
+from buslens.sources.lines import groups, plain_lines
 
 # Fixed line patterns.
 # 1 id, 2 name, 3 length
@@ -25,16 +25,10 @@ MUX_RANGES = r"^.*?SG_MUL_VAL_\s+(\d+)\s+(\w+)\s+(\w+)\s+((?:\d+-\d+(?:,\s*)?)+)
 VALUE_KINDS = {"1": "IeeeFloat32", "2": "IeeeFloat64"}
 
 
-def catalog_lines(spark, path) -> DataFrame:
-    scan = scan_lines(spark, path)
-    rows = number_lines(numbered(scan), line_offsets(scan)).select("source_file", "source_line", "line_text", "line")
-    # A catalog is read several times below and is small next to any log.
-    return sized(rows)
-
-
 def load_dbc(spark, path) -> Catalog:
     """Messages, signals, value types and extended multiplexing, with issues for what cannot be used."""
-    lines = catalog_lines(spark, path)
+    # A catalog is read several times below and is small next to any log.
+    lines = sized(plain_lines(spark, path))
     rows = lines.withColumns({
         "m": groups(F.col("line_text"), MESSAGE, 3), "s": groups(F.col("line_text"), SIGNAL, 11),
         "k": groups(F.col("line_text"), VALUE_TYPE, 3), "x": groups(F.col("line_text"), MUX_RANGES, 4),

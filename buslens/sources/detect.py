@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from buslens.sources.busmaster import BUSMASTER
 from buslens.sources.candump import CANDUMP
 from buslens.sources.css import is_header
-from buslens.sources.lines import line_offsets, number_lines, numbered, scan_lines
+from buslens.sources.lines import plain_lines
 from buslens.sources.peak import PEAK_CLASSIC, PEAK_TSV
 
 # Lines looked at, and the points a format gets for them.
@@ -20,9 +20,7 @@ def detect_format(spark, path) -> DataFrame:
 
     status is ok, unknown (no format scored) or ambiguous (two formats share the best score).
     """
-    scan = scan_lines(spark, path)
-    head = number_lines(numbered(scan), line_offsets(scan)).where(F.col("source_line") <= PROBE_LINES)
-    return score_heads(head)
+    return score_heads(plain_lines(spark, path).where(F.col("source_line") <= PROBE_LINES))
 
 
 def score_heads(head: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Text logs as numbered lines, and the accounting every log format shares.
 
 Each physical line ends up as exactly one of: non-data, accepted, rejected.
-Line numbers and frame numbers come from per-split counts: the scan is numbered
-within each split, the split counts are summed up per file, and the small table
-of offsets is joined back. The lines themselves are never sorted or shuffled.
+Line numbers and frame numbers come from per-split counts: one pass counts the
+lines of each split, the counts are summed up per file, and the small table of
+offsets is joined back. The lines themselves are never sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -76,35 +76,51 @@ def groups(line: Column, pattern: str, n: int) -> Column:
     return F.when(~line.contains(_CUT) & joined.contains(_CUT), F.split(joined, _CUT, -1))
 
 
-def split_offsets(rows: DataFrame, seq: str, offset: str) -> DataFrame:
-    """Per split: what to add to the scan number to get the 0-based number in the file."""
-    per_split = rows.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
-    before = F.sum("n").over(Window.partitionBy("source_file").orderBy("split_start")
-                             .rowsBetween(Window.unboundedPreceding, -1))
-    return sized(per_split.select(*SPLIT, (F.coalesce(before, F.lit(0)) - F.col("first")).alias(offset)))
+def split_table(parsed: DataFrame, numbered_if: Column | None = None) -> DataFrame:
+    """One staged row per split: its line counts, and what turns scan numbers into file numbers.
 
-
-def line_offsets(scan: DataFrame) -> DataFrame:
-    return split_offsets(numbered(scan), "seq", "line_off")
-
-
-def number_lines(rows: DataFrame, off: DataFrame) -> DataFrame:
-    """Add the 1-based physical line number."""
+    line_off and frame_off are added to seq and fseq (see number_frames). base_ns is
+    the first readable time of the file. numbered_if says which lines become fseq rows.
+    """
+    cls = F.col("line_class")
+    frames = numbered_if if numbered_if is not None else cls == ACCEPTED
+    per_split = parsed.groupBy(*SPLIT).agg(
+        F.count(F.lit(1)).alias("total"), F.min("seq").alias("first"), F.count_if(frames).alias("frames"),
+        F.count_if(cls == NON_DATA).alias("non_data"), F.count_if(cls == ACCEPTED).alias("accepted"),
+        F.count_if(cls == REJECTED).alias("rejected"), F.min_by("raw_ns", F.when(F.col("time_ok"), F.col("seq"))).alias("base"))
+    # monotonically_increasing_id() holds the task number above its lowest 33 bits, and
+    # a task reads its splits one after the other.
+    task = F.shiftright("first", 33)
+    before = Window.unboundedPreceding, -1
+    in_file = Window.partitionBy("source_file").orderBy("split_start")
+    in_task = Window.partitionBy(task).orderBy("first").rowsBetween(*before)
+    zero = F.lit(0).cast("long")
+    first_frame = F.shiftleft(task, 33) + F.coalesce(F.sum("frames").over(in_task), zero)
+    whole_file = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sized(per_split.select(
+        *SPLIT, "total", "non_data", "accepted", "rejected",
+        (F.coalesce(F.sum("total").over(in_file.rowsBetween(*before)), zero) - F.col("first") + 1).alias("line_off"),
+        (F.coalesce(F.sum("frames").over(in_file.rowsBetween(*before)), zero) - first_frame).alias("frame_off"),
+        F.first("base", ignorenulls=True).over(whole_file).alias("base_ns")))
+
+
+def number_lines(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Add the 1-based physical line number and the file's base time."""
+    off = splits.select(*SPLIT, "line_off", "base_ns")
     return (same_keys_join(rows, off, SPLIT, "left")
-            .withColumn("source_line", F.col("seq") + F.col("line_off") + 1).drop("line_off"))
+            .withColumn("source_line", F.col("seq") + F.col("line_off")).drop("line_off"))
 
 
-def number_frames(accepted: DataFrame) -> DataFrame:
-    """Add the 0-based frame number of the file. Must see the rows in scan order, before any join."""
-    rows = accepted.withColumn("fseq", F.monotonically_increasing_id())
-    off = split_offsets(rows, "fseq", "frame_off")
-    return (same_keys_join(rows, off, SPLIT, "left")
-            .withColumn("frame_index", F.col("fseq") + F.col("frame_off")).drop("frame_off", "fseq"))
-
+def number_frames(accepted: DataFrame, splits: DataFrame) -> DataFrame:
+    """Add the line number, the 0-based frame number and the file's base time.
 
-def first_times(parsed: DataFrame) -> DataFrame:
-    """Per file: time of its first line whose time parses, valid frame or not."""
-    return sized(parsed.where("time_ok").groupBy("source_file").agg(F.min_by("raw_ns", "seq").alias("base_ns")))
+    Must see the rows in scan order, before any join.
+    """
+    rows = accepted.withColumn("fseq", F.monotonically_increasing_id())
+    off = splits.select(*SPLIT, "line_off", "frame_off", "base_ns")
+    return same_keys_join(rows, off, SPLIT, "left").withColumns({
+        "source_line": F.col("seq") + F.col("line_off"), "frame_index": F.col("fseq") + F.col("frame_off"),
+    }).drop("line_off", "frame_off", "fseq")
 
 
 def classify(rows: DataFrame, bad: Column, code: str) -> DataFrame:
@@ -120,38 +136,35 @@ def classify(rows: DataFrame, bad: Column, code: str) -> DataFrame:
     })
 
 
-def finish(offsets: DataFrame, parsed: DataFrame, fmt: LogFormat, frames: DataFrame, warnings: DataFrame | None = None) -> ParsedLog:
+def finish(splits: DataFrame, parsed: DataFrame, fmt: LogFormat, frames: DataFrame, warnings: DataFrame | None = None) -> ParsedLog:
     """Assemble frames, issues and the per-file account."""
     rejected = lines_of(parsed, REJECTED).select(
         *SPLIT, "seq", F.lit("Error").alias("severity"), F.col("reject_code").alias("code"),
         F.col("reject_reason").alias("message"), "line_text")
     if warnings is not None:
         rejected = rejected.unionByName(warnings)
-    issues = number_lines(rejected, offsets).withColumn("parser", F.lit(fmt.name)).select(*ISSUE_COLS)
-    return ParsedLog(frames.select(*FRAME_COLS), issues, line_account(parsed, fmt.name))
+    issues = number_lines(rejected, splits).withColumn("parser", F.lit(fmt.name)).select(*ISSUE_COLS)
+    return ParsedLog(frames.select(*FRAME_COLS), issues, line_account(splits, fmt.name))
 
 
-def line_account(parsed: DataFrame, parser: str) -> DataFrame:
+def line_account(splits: DataFrame, parser: str) -> DataFrame:
     """Per file: total = non_data + accepted + rejected; Partial as soon as a line was rejected."""
-    cls = F.col("line_class")
-    return parsed.groupBy("source_file").agg(
-        F.lit(parser).alias("parser"),
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(cls == NON_DATA).alias("non_data"),
-        F.count_if(cls == ACCEPTED).alias("accepted"),
-        F.count_if(cls == REJECTED).alias("rejected"),
+    return splits.groupBy("source_file").agg(
+        F.lit(parser).alias("parser"), *[F.sum(c).alias(c) for c in ("total", "non_data", "accepted", "rejected")],
     ).withColumn("completeness", F.when(F.col("rejected") > 0, "Partial").otherwise("Complete"))
 
 
 def read_format(spark: SparkSession, path, fmt: LogFormat) -> ParsedLog:
     """Read files of a format in which every line stands for itself."""
-    scan = scan_lines(spark, path)
-    offsets = line_offsets(scan)
-    parsed = numbered(fmt.columns(scan))
-    frames = number_lines(number_frames(lines_of(parsed, ACCEPTED)), offsets)
-    if fmt.rebase:
-        frames = same_keys_join(frames, first_times(parsed), ["source_file"]).withColumn(
-            "ts_ns", F.col("raw_ns") - F.col("base_ns"))
-    else:
-        frames = frames.withColumn("ts_ns", F.col("raw_ns"))
-    return finish(offsets, parsed, fmt, frames)
+    parsed = numbered(fmt.columns(scan_lines(spark, path)))
+    splits = split_table(parsed)
+    frames = number_frames(lines_of(parsed, ACCEPTED), splits)
+    time = F.col("raw_ns") - F.col("base_ns") if fmt.rebase else F.col("raw_ns")
+    return finish(splits, parsed, fmt, frames.withColumn("ts_ns", time))
+
+
+def plain_lines(spark: SparkSession, path) -> DataFrame:
+    """Numbered lines without any parsing: source_file, source_line, line_text, line."""
+    rows = numbered(scan_lines(spark, path))
+    flat = rows.withColumns({"line_class": F.lit(NON_DATA), "time_ok": F.lit(False), "raw_ns": F.lit(0).cast("long")})
+    return number_lines(rows, split_table(flat)).select("source_file", "source_line", "line_text", "line")

@@ -13,7 +13,7 @@ from buslens.sources.dbc import load_dbc
 from buslens.sources.provenance import file_digests
 from buslens.sources.readers import read_log
 from harness.registry import query, rounded
-from harness.views import (EXT_ID, FRAMES, LINES, ORDER_BITS, STATUS, candump_line, candump_logs, can_id, events, hex_payload, log_glob,
+from harness.views import (EXT_ID, FRAMES, LINES, ORDER_BITS, candump_logs, can_id, events, hex_payload, log_glob,
                            order_catalog, recording, table, write_log)
 
 FRAME_VIEW = ["frame_index", "source_line", "ts_ns", "can_id", "is_extended", "dlc", "payload_hex", "frame_type", "channel",
@@ -99,9 +99,10 @@ def q_read_css(spark, d):
     day = F.floor(F.col("ts_ns") / 86_400_000_000_000) + 1
     stamp = F.concat(F.lpad(day.cast("string"), 2, "0"), F.lit("T"), F.date_format(F.col("ts").cast("timestamp"), "HHmmssSSS"))
     good = F.concat_ws(";", stamp, F.when(F.col("user_id") % 5 == 0, "1").otherwise("0"), F.hex(can_id()), hex_payload())
-    first = F.row_number().over(W_RECORDING) == 1
     line = F.when(F.col("event_id") % 100 == 7, "corrupt line").when(F.col("event_id") % 250 == 3, "# comment").otherwise(good)
-    rows = events(spark, d).withColumn("line", line).withColumn("first", first)
+    rows = events(spark, d).withColumn("line", line)
+    starts = rows.groupBy("event_type").agg(F.min("event_id").alias("first_id"))
+    rows = rows.join(starts, "event_type").withColumn("first", F.col("event_id") == F.col("first_id"))
     # The header stands on the first line of a recording, as a second text line of its row.
     rows = rows.withColumn("line", F.when(F.col("first"), F.concat(F.lit("Timestamp;Type;ID;Data\n"), F.col("line"))).otherwise(F.col("line")))
     path = write_log(spark, rows, F.col("line"))
@@ -109,11 +110,6 @@ def q_read_css(spark, d):
     return frame_view(frames.withColumn("source_line", F.col("source_line") - 1))
 
 
-from pyspark.sql import Window  # noqa: E402
-
-W_RECORDING = Window.partitionBy("event_type").orderBy("event_id")
-
-
 @query("read_generic", f"WITH {LINES} " + expected("ts_ns", frame_type="frame_type", direction="direction", ext="can_id > 2047"))
 def q_read_generic(spark, d):
     us = F.floor(F.col("ts_ns") / 1000)

@@ -41,7 +41,7 @@ def test_ordered_steps(spark, limit):
     xs = [(i * 0.5, None if i % 4 else i) for i in range(40)]
     rows = [("a", i, i // 4, v if v is None else float(v)) for i, (_, v) in enumerate(xs)] + [("b", 0, 1, None)]
     df = spark.createDataFrame(rows, "s string, pos long, x long, v double").repartition(5)
-    o = ordered(df, K, ["pos"], max_group_rows=limit).lag(p="pos").lead(q="pos").number("no", "len").running_sum("total", "x")
+    o = ordered(df, K, ["pos"], max_group_rows=limit).lag(p="pos").lead(q="pos").number("no", "len").running_sum(total="x")
     got = sorted(tuple(r) for r in o.last_known(back="v").next_known(ahead="v").done().select("s", "pos", "p", "q", "no", "len", "total", "back", "ahead").collect())
     assert o.blocked == (limit == 7)
     want, total = [], 0
