@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from buslens.functions.frame import time_s
 from buslens.operators.ordered import ordered
 from buslens.operators.series import interval_stats
-from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
+from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 from buslens.schema import SERIES_ORDER
 
 VALID, NO_OVERLAP, GAP = "Valid", "InsufficientOverlap", "GapExceeded"
@@ -24,10 +24,15 @@ GAP_FACTOR = 5.0
 
 @dataclass(frozen=True)
 class Aligned:
-    """rows: keys, ts_ns, t, left, right of the valid pairs; report: one row per pair."""
+    """rows: keys, ts_ns, t, left, right of the valid pairs; report: one row per pair.
+
+    The rows are staged: every analysis reads them more than once. blocked tells
+    whether some pair is too long for a single task.
+    """
 
     rows: DataFrame
     report: DataFrame
+    blocked: bool
 
 
 def pair_samples(samples: DataFrame, left: DataFrame, right: DataFrame, pair_cols: list[str]) -> DataFrame:
@@ -106,8 +111,9 @@ def align_pairs(pairs: DataFrame, keys: list[str], *, max_group_rows: int = MAX_
 
     rows = rows.select(*keys, "ts_ns", "t", value("l").alias("left"), value("r").alias("right"), "status",
                        (F.greatest(gap("l"), gap("r")) <= GAP_FACTOR * F.col("slow_dt")).alias("covered"))
+    rows = staged(rows, "aligned")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"), F.count_if("covered").alias("covered"))
-    return Aligned(rows.where(F.col("status") == VALID).drop("status", "covered"), _report(bounds, counts, keys))
+    return Aligned(rows.where(F.col("status") == VALID).drop("status", "covered"), _report(bounds, counts, keys), blocked)
 
 
 def _report(bounds: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,8 +12,8 @@ from buslens.functions.frame import time_s
 from buslens.operators.align import GAP, NO_OVERLAP, TOO_LARGE, VALID, align_pairs, interpolate, pair_bounds
 from buslens.operators.edges import command_steps, delay_event_stats, edge_events, match_edges
 from buslens.operators.ordered import ordered
-from buslens.operators.quantiles import quantiles
-from buslens.operators.series import histogram, normalized_value, robust_center_scale
+from buslens.operators.quantiles import grouped, quantiles
+from buslens.operators.series import histogram, normalized_value
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 
 MAX_GRID_POINTS = 2_000_000
@@ -45,7 +45,14 @@ def grid_bounds(pairs: DataFrame, keys: list[str], *, max_points: int = MAX_GRID
     return b.withColumn("status", status).withColumn("dt", (F.col("end_s") - F.col("start_s")) / (F.col("points") - 1))
 
 
-def grid_resample(pairs: DataFrame, keys: list[str], bounds: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def _needs_blocks(bounds: DataFrame, max_group_rows: int) -> bool:
+    """Whether some pair with its grid is too long for a task; bounds is small and staged."""
+    biggest = bounds.agg(F.max(F.coalesce("points", F.lit(0)) + F.coalesce("l_n", F.lit(0)) + F.coalesce("r_n", F.lit(0)))).first()[0]
+    return (biggest or 0) > max_group_rows
+
+
+def grid_resample(pairs: DataFrame, keys: list[str], bounds: DataFrame, *, blocked: bool | None = None,
+                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Both sides of the valid pairs interpolated on the uniform grid: keys, i, t, left, right."""
     ok = bounds.where(F.col("status") == VALID).select(*keys, "start_s", "dt", "points")
     chunks = ok.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("points") - 1) / GRID_CHUNK))))
@@ -53,7 +60,7 @@ def grid_resample(pairs: DataFrame, keys: list[str], bounds: DataFrame, *, max_g
     grid = chunks.withColumn("i", F.explode(F.sequence(first, F.least(first + GRID_CHUNK, F.col("points")) - 1)))
     grid = grid.select(*keys, "i", (F.col("start_s") + F.col("i") * F.col("dt")).alias("t"))
     sided = grid.withColumn("side", F.explode(F.array(F.lit("L"), F.lit("R"))))
-    values = interpolate(same_keys_join(pairs, ok.select(*keys), keys), sided, [*keys, "side"], max_group_rows=max_group_rows)
+    values = interpolate(same_keys_join(pairs, ok.select(*keys), keys), sided, [*keys, "side"], blocked=blocked, max_group_rows=max_group_rows)
     return values.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("side") == "L", F.col("value"))).alias("left"), F.max(F.when(F.col("side") == "R", F.col("value"))).alias("right"))
 
@@ -141,9 +148,10 @@ def delay_by_threshold(rows: DataFrame, keys: list[str], fraction: float = 0.2,
 
 
 def collect_delays(rows: DataFrame, keys: list[str], *, window: float, command: str = "c", response: str = "r",
-                   position: str = "i", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   position: str = "i", blocked: bool | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Matched steps of command and response on one time axis. rows: keys, t, position, command, response."""
-    blocked = is_large(rows, keys, max_group_rows)
+    if blocked is None:
+        blocked = is_large(rows, keys, max_group_rows)
 
     def points(c):
         return rows.select(*keys, "t", F.col(position).alias("pos"), F.col(c).alias("v"))
@@ -170,11 +178,14 @@ def analyze_delay(pairs: DataFrame, keys: list[str], *, search_range_s: float =
     reach_s = max(0.01, float(search_range_s))
     opts = {"max_group_rows": max_group_rows}
     bounds = sized(grid_bounds(pairs, keys, max_points=max_points, **opts))
-    raw = staged(grid_resample(pairs, keys, bounds, **opts), "grid")
-    blocked = is_large(raw, keys, max_group_rows)
-    cs = sized(same_keys_join(
-        robust_center_scale(raw, keys, "left", blocked=blocked, **opts).select(*keys, F.col("center").alias("cc"), F.col("scale").alias("cscale")),
-        robust_center_scale(raw, keys, "right", blocked=blocked, **opts).select(*keys, F.col("center").alias("rc"), F.col("scale").alias("rscale")), keys))
+    blocked = _needs_blocks(bounds, max_group_rows)
+    raw = staged(grid_resample(pairs, keys, bounds, blocked=blocked, **opts), "grid")
+    q = quantiles(raw, keys, {"c01": ("left", 0.01), "c99": ("left", 0.99), "r01": ("right", 0.01), "r99": ("right", 0.99)}, blocked=blocked, **opts)
+
+    def middle(side):
+        return (F.col(f"{side}01") + F.col(f"{side}99")) * 0.5, F.greatest(F.lit(1e-9), (F.col(f"{side}99") - F.col(f"{side}01")) * 0.5)
+
+    cs = sized(q.select(*keys, *[x.alias(f"{side}{name}") for side in "cr" for name, x in zip(("c", "scale"), middle(side))]))
     grid = same_keys_join(same_keys_join(raw, cs, keys), bounds.select(*keys, "dt", "points"), keys)
     grid = grid.withColumns({"c": normalized_value(F.col("left"), F.col("cc"), F.col("cscale")),
                              "r": normalized_value(F.col("right"), F.col("rc"), F.col("rscale"))})
@@ -189,11 +200,10 @@ def analyze_delay(pairs: DataFrame, keys: list[str], *, search_range_s: float =
     # The largest |correlation| first, then the smallest k.
     best = sized(curve.groupBy(*keys).agg(F.max_by(F.struct("k", "lag_s", "correlation"), F.struct(F.abs("correlation"), -F.col("k"))).alias("b"))
                  .select(*keys, F.col("b.lag_s").alias("lag_s"), F.col("b.correlation").alias("correlation")))
-    errors = shifted_errors(pairs, grid, keys, best, bounds, **opts)
-    err = same_keys_join(errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_abs_error"),
-                                                   F.max("error").alias("max_abs_error")),
-                         quantiles(errors, keys, {"p95_abs_error": ("error", 0.95)}, **opts), keys)
-    matches = staged(collect_delays(grid, keys, window=reach_s, **opts), "matches")
+    errors = shifted_errors(pairs, grid, keys, best, bounds, blocked=blocked, **opts)
+    base = [F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_abs_error"), F.max("error").alias("max_abs_error")]
+    err = grouped(errors, keys, base, {"p95_abs_error": ("error", 0.95)}, blocked=blocked, **opts)
+    matches = staged(collect_delays(grid, keys, window=reach_s, blocked=blocked, **opts), "matches")
     stats = delay_event_stats(matches, keys, **opts)
     threshold = delay_by_threshold(grid, keys, threshold_fraction, blocked=blocked, **opts)
     row = bounds.select(*keys, "status")
@@ -240,7 +250,7 @@ def first_response(pairs: DataFrame, keys: list[str], *, search_range_s: float =
     w, frac = max(0.01, float(search_range_s)), min(max(float(fraction), 0.001), 0.5)
     opts = {"max_group_rows": max_group_rows}
     blocked = is_large(pairs, keys, max_group_rows)
-    bounds = pair_bounds(pairs, keys, blocked=blocked)
+    bounds = sized(pair_bounds(pairs, keys, blocked=blocked))
     command, response = pairs.where(F.col("side") == "L"), pairs.where(F.col("side") == "R")
     q = quantiles(response, keys, {"p01": ("value", 0.01), "p99": ("value", 0.99)}, blocked=blocked, **opts)
     level = F.greatest(F.lit(1e-9), F.greatest(F.lit(1e-9), F.col("p99") - F.col("p01")) * frac)
@@ -248,7 +258,7 @@ def first_response(pairs: DataFrame, keys: list[str], *, search_range_s: float =
         (F.col("l_n") >= 2) & (F.col("r_n") >= 2)).select(*keys, (F.col("slow_dt") * 5.0).alias("max_gap")), keys))
     points = command.select(*keys, time_s(F.col("ts_ns")).alias("t"), F.col("frame_index").alias("pos"), F.col("value").alias("v"))
     steps = command_steps(points, keys, window=w, blocked=blocked, **opts).select(*keys, "t", "pos", "direction")
-    base = interpolate(response, steps, keys, **opts).withColumnRenamed("value", "baseline")
+    base = interpolate(response, steps, keys, blocked=blocked, **opts).withColumnRenamed("value", "baseline")
     edges = same_keys_join(base, limits, keys).withColumn("target", F.col("baseline") + F.col("direction") * F.col("level"))
     edges = edges.select(*keys, F.col("t").alias("edge_t"), F.col("pos").alias("edge_pos"), "direction", "baseline", "target", "max_gap")
 
@@ -328,9 +338,9 @@ def butterfly(signals: DataFrame, keys: list[str], *, deadzone: float = 0.10, se
         *keys, "actuator", "ts_ns", "frame_index", "value", F.lit("R").alias("side"))
     by = [*keys, "actuator"]
     aligned = align_pairs(commands.unionByName(actual), by, **opts)
-    rows = staged(aligned.rows, "aligned")
-    axes = axis_tracking(rows, by, deadzone=deadzone, **opts)
+    rows = aligned.rows
+    axes = axis_tracking(rows, by, deadzone=deadzone, blocked=aligned.blocked, **opts)
     axes = same_keys_join(aligned.report.select(*by), axes, by, "left").fillna(0, [c for c in axes.columns if c not in by])
     matches = staged(collect_delays(rows, by, window=max(0.01, search_range_s), command="left", response="right",
-                                    position="ts_ns", **opts), "matches")
+                                    position="ts_ns", blocked=aligned.blocked, **opts), "matches")
     return Butterfly(axes, delay_event_stats(matches, by, **opts), delay_histogram(matches, by, bins=bins, floor=0.01, **opts), rows)

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.operators.ordered import ordered
-from buslens.operators.quantiles import quantiles
-from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
+from buslens.operators.quantiles import grouped
+from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 
 
 def _rows(points: DataFrame, keys: list[str], blocked: bool, max_group_rows: int):
@@ -28,10 +28,9 @@ def _rows(points: DataFrame, keys: list[str], blocked: bool, max_group_rows: int
 
 
 def _levels(rows: DataFrame, keys: list[str], blocked: bool, max_group_rows: int) -> DataFrame:
-    q = quantiles(rows, keys, {"p01": ("v", 0.01), "p99": ("v", 0.99), "p80": ("size", 0.80), "mid_dt": ("dt", 0.5)},
-                  blocked=blocked, max_group_rows=max_group_rows)
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return same_keys_join(q, n, keys).withColumns({
+    points = {"p01": ("v", 0.01), "p99": ("v", 0.99), "p80": ("size", 0.80), "mid_dt": ("dt", 0.5)}
+    q = grouped(rows, keys, [F.count(F.lit(1)).alias("n")], points, blocked=blocked, max_group_rows=max_group_rows)
+    return q.withColumns({
         "range": F.greatest(F.lit(1e-9), F.col("p99") - F.col("p01")),
         "mid_dt": F.coalesce("mid_dt", F.lit(0.01)),
     })
@@ -46,7 +45,8 @@ def _steps(points, keys, high: Column, gap: Column, *, quiet: bool, min_rows: in
     if quiet:
         hit = hit.where(F.col("quiet") < F.col("high") * 0.45)
     cand = hit.select(*keys, "t", "pos", "v", F.signum("delta").cast("int").alias("direction"), F.col("size").alias("magnitude"), "gap")
-    return thin_by_gap(cand, keys, max_group_rows=max_group_rows).drop("gap")
+    # Steps are sparse; staged, the folds below read them without the series behind them.
+    return staged(thin_by_gap(staged(cand, "steps"), keys, max_group_rows=max_group_rows).drop("gap"), "edges")
 
 
 def edge_events(points: DataFrame, keys: list[str], *, window: float, blocked: bool | None = None,
@@ -191,9 +191,8 @@ def delay_event_stats(matches: DataFrame, keys: list[str], delay: str = "delay_s
     tagged = matches.select(*keys, delay, F.explode(F.array(
         F.lit("all"), F.when(F.col("direction") > 0, "rising").otherwise("falling"))).alias("edges"))
     by = [*keys, "edges"]
-    base = tagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(delay).alias("mean_s"),
-                                   F.min(delay).alias("min_s"), F.max(delay).alias("max_s"))
-    return same_keys_join(base, quantiles(tagged, by, {"p95_s": (delay, 0.95)}, max_group_rows=max_group_rows), by)
+    base = [F.count(F.lit(1)).alias("n"), F.avg(delay).alias("mean_s"), F.min(delay).alias("min_s"), F.max(delay).alias("max_s")]
+    return grouped(tagged, by, base, {"p95_s": (delay, 0.95)}, blocked=is_large(tagged, by, max_group_rows), max_group_rows=max_group_rows)
 
 
 def combined_delay(stats: DataFrame, by: list[str]) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.operators.align import Aligned, align_pairs, nearest_sample
 from buslens.operators.ordered import ordered
-from buslens.operators.quantiles import quantiles
+from buslens.operators.quantiles import grouped, quantiles
 from buslens.operators.series import histogram, slice_time
-from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
+from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,11 @@ def normalized_path(rows: DataFrame, keys: list[str], center_scale: DataFrame) -
         "radius", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).drop("center_x", "center_y", "scale")
 
 
-def pair_stats(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, saturation: float = 0.90,
+def pair_stats(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, saturation: float = 0.90, blocked: bool | None = None,
                max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """Dwell-weighted usage of aligned rows: each point counts until the next one. Returns stats and path."""
-    blocked = is_large(rows, keys, max_group_rows)
+    if blocked is None:
+        blocked = is_large(rows, keys, max_group_rows)
     cs = sized(path_center_scale(rows, keys, blocked=blocked, max_group_rows=max_group_rows))
     path = normalized_path(rows, keys, cs)
     o = ordered(path, keys, ["ts_ns"], blocked=blocked, max_group_rows=max_group_rows)
@@ -60,22 +61,22 @@ def pair_stats(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, satu
     def share(test: Column) -> Column:
         return F.sum(F.when(test, w).otherwise(0.0)) / F.sum(w) * 100.0
 
-    base = weighted.groupBy(*keys).agg(
+    base = [
         F.count(F.lit(1)).alias("n"), F.greatest(F.max("t") - F.min("t"), F.lit(0.0)).alias("duration_s"),
         (F.sum(r * w) / F.sum(w)).alias("mean_radius"), F.max(r).alias("max_radius"),
         share(r <= deadzone).alias("deadzone_pct"), share(r >= saturation).alias("saturation_pct"),
         (F.sum(x * w) / F.sum(w)).alias("bias_x"), (F.sum(y * w) / F.sum(w)).alias("bias_y"),
         share((x >= 0) & (y >= 0)).alias("quadrant1_pct"), share((x < 0) & (y >= 0)).alias("quadrant2_pct"),
         share((x < 0) & (y < 0)).alias("quadrant3_pct"), share((x >= 0) & (y < 0)).alias("quadrant4_pct"),
-        F.coalesce(F.sum("length"), F.lit(0.0)).alias("path_length"), F.coalesce(F.max("speed"), F.lit(0.0)).alias("max_speed"))
-    q = quantiles(path, keys, {"p95_radius": ("radius", 0.95), "x05": ("x", 0.05), "x95": ("x", 0.95), "y05": ("y", 0.05),
-                               "y95": ("y", 0.95)}, blocked=blocked, max_group_rows=max_group_rows)
+        F.coalesce(F.sum("length"), F.lit(0.0)).alias("path_length"), F.coalesce(F.max("speed"), F.lit(0.0)).alias("max_speed")]
+    points = {"p95_radius": ("radius", 0.95), "x05": ("x", 0.05), "x95": ("x", 0.95), "y05": ("y", 0.05), "y95": ("y", 0.95)}
+    stats = grouped(weighted, keys, base, points, blocked=blocked, max_group_rows=max_group_rows)
 
     def used(axis):
         return F.least(F.lit(100.0), (F.col(f"{axis}95") - F.col(f"{axis}05")) / 2.0 * 100.0)
 
-    q = q.select(*keys, "p95_radius", used("x").alias("used_x_range_pct"), used("y").alias("used_y_range_pct"))
-    stats = same_keys_join(same_keys_join(base, q, keys), cs, keys)
+    stats = stats.withColumns({"used_x_range_pct": used("x"), "used_y_range_pct": used("y")}).drop("x05", "x95", "y05", "y95")
+    stats = same_keys_join(stats, cs, keys)
     return stats.select(*keys, "n", "duration_s", "center_x", "center_y", *[
         c for c in stats.columns if c not in (*keys, "n", "duration_s", "center_x", "center_y", "scale")]), path
 
@@ -88,7 +89,7 @@ def analyze_pairs(pairs: DataFrame, keys: list[str], *, deadzone: float = 0.10,
 
 
 def _analyze(aligned: Aligned, keys, deadzone, saturation, bins, max_group_rows) -> PairAnalysis:
-    stats, path = pair_stats(aligned.rows, keys, deadzone=deadzone, saturation=saturation, max_group_rows=max_group_rows)
+    stats, path = pair_stats(aligned.rows, keys, deadzone=deadzone, saturation=saturation, blocked=aligned.blocked, max_group_rows=max_group_rows)
     hist = histogram(path, keys, "radius", bins=bins, low=F.lit(0.0))
     return PairAnalysis(stats, path, hist, aligned.report)
 
@@ -101,7 +102,7 @@ def joystick_usage(pairs: DataFrame, keys: list[str], *, start: float | None = N
     A pair without a point inside the window is analysed in full.
     """
     aligned = align_pairs(pairs, keys, max_group_rows=max_group_rows)
-    cs = sized(path_center_scale(aligned.rows, keys, max_group_rows=max_group_rows))
+    cs = sized(path_center_scale(aligned.rows, keys, blocked=aligned.blocked, max_group_rows=max_group_rows))
     path = slice_time(normalized_path(aligned.rows, keys, cs), start, end, keys=keys, full_if_empty=True)
     both = path.withColumn("side", F.explode(F.array(F.lit("L"), F.lit("R")))).select(
         *keys, "side", "ts_ns", F.lit(0).cast("long").alias("frame_index"),
@@ -120,9 +121,11 @@ def density_grid(path: DataFrame, keys: list[str], *, size: int = 64, edge: floa
         F.count(F.lit(1)).alias("points")).withColumn("shade", F.sqrt("points"))
 
 
-def axis_tracking(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def axis_tracking(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, blocked: bool | None = None,
+                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """How the right side follows the left: correlation, error, gain and offset in units of the left's range."""
-    blocked = is_large(rows, keys, max_group_rows)
+    if blocked is None:
+        blocked = is_large(rows, keys, max_group_rows)
     opts = {"blocked": blocked, "max_group_rows": max_group_rows}
     q = quantiles(rows, keys, {"mid": ("left", 0.5), "p01": ("left", 0.01), "p99": ("left", 0.99)}, **opts)
     cs = sized(q.select(*keys, "mid", F.greatest(F.lit(1e-9), (F.col("p99") - F.col("p01")) / 2.0).alias("half")))
@@ -131,20 +134,20 @@ def axis_tracking(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, m
     norm = norm.withColumn("err", F.abs(F.col("r") - F.col("c")))
     dz, n = max(0.0, float(deadzone)), F.count(F.lit(1))
     c, r = F.col("c"), F.col("r")
-    moments = norm.groupBy(*keys).agg(
+    base = [
         n.alias("n"), F.avg(c).alias("mc"), F.avg(r).alias("mr"), F.var_pop(c).alias("vc"), F.var_pop(r).alias("vr"),
         F.covar_pop(c, r).alias("cov"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"),
         F.avg("err").alias("mean_abs_error"), F.max("err").alias("max_abs_error"),
-        (F.count_if((F.abs(c) <= dz) & (F.abs(r) > dz)) * 100.0 / n).alias("deadzone_mismatch_pct"))
+        (F.count_if((F.abs(c) <= dz) & (F.abs(r) > dz)) * 100.0 / n).alias("deadzone_mismatch_pct")]
+    moments = grouped(norm, keys, base, {"p95_abs_error": ("err", 0.95)}, **opts)
     m = {k: F.col(k) for k in ("n", "mc", "mr", "vc", "vr", "cov")}
     spread = F.sqrt(m["n"] * m["vc"] * m["n"] * m["vr"])
     flat = (m["n"] <= 1) | (m["n"] * m["vc"] <= 1e-12)
     gain = F.when(flat, 0.0).otherwise(m["cov"] / m["vc"])
-    out = moments.withColumn("gain", gain).select(
+    return moments.withColumn("gain", gain).select(
         *keys, "n", F.when((m["n"] <= 1) | (spread <= 1e-12), 0.0).otherwise(m["n"] * m["cov"] / spread).alias("correlation"),
         "rmse", "gain", F.when(m["n"] <= 1, 0.0).otherwise(m["mr"] - F.col("gain") * m["mc"]).alias("offset"),
-        "mean_abs_error", "max_abs_error", "deadzone_mismatch_pct")
-    return same_keys_join(out, quantiles(norm, keys, {"p95_abs_error": ("err", 0.95)}, **opts), keys)
+        "mean_abs_error", "max_abs_error", "deadzone_mismatch_pct", "p95_abs_error")
 
 
 @dataclass(frozen=True)
@@ -176,35 +179,39 @@ def track_actuators(signals: DataFrame, keys: list[str], *, deadzone: float = 0.
     usable = sized(axes.report.groupBy(*keys).agg(F.count_if(F.col("aligned_rows") > 0).alias("ok"),
                                                   F.count_if((F.col("status") == "Valid")).alias("valid"))
                    .where("valid = 2 and ok = 2").select(*keys))
-    stats = axis_tracking(same_keys_join(axes.rows, usable, keys), axis_keys, deadzone=deadzone, **opts)
+    stats = axis_tracking(same_keys_join(axes.rows, usable, keys), axis_keys, deadzone=deadzone, blocked=axes.blocked, **opts)
     every = axes.report.select(*axis_keys)
     stats = same_keys_join(every, stats, axis_keys, "left").fillna(0, [c for c in stats.columns if c not in axis_keys])
 
-    stick = same_keys_join(align_pairs(pair("jx", "jy"), keys, **opts).rows, usable, keys)
-    actuator = same_keys_join(align_pairs(pair("ax", "ay"), keys, **opts).rows, usable, keys)
-    cs = sized(path_center_scale(stick, keys, **opts))
+    sticks, actuators = align_pairs(pair("jx", "jy"), keys, **opts), align_pairs(pair("ax", "ay"), keys, **opts)
+    stick, actuator = (same_keys_join(a.rows, usable, keys) for a in (sticks, actuators))
+    blocked = sticks.blocked or actuators.blocked
+    cs = sized(path_center_scale(stick, keys, blocked=blocked, **opts))
     stick_path = normalized_path(stick, keys, cs)
     actuator_path = normalized_path(actuator, keys, cs)
-    vector, hist = vector_error(stick_path, actuator_path, keys, bins=bins, **opts)
+    vector, hist = vector_error(stick_path, actuator_path, keys, bins=bins, blocked=blocked, **opts)
     return Tracking(stats, vector, hist, stick_path, actuator_path)
 
 
-def vector_errors(command_path: DataFrame, actuator_path: DataFrame, keys: list[str], *,
+def vector_errors(command_path: DataFrame, actuator_path: DataFrame, keys: list[str], *, blocked: bool | None = None,
                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Distance of every command point to the actuator point nearest in time; NULL without one."""
     target = actuator_path.select(*keys, "ts_ns", F.lit(0).cast("long").alias("frame_index"), F.struct("x", "y").alias("value"))
     probes = command_path.select(*keys, "t", "x", "y")
-    near = nearest_sample(target, probes, keys, max_group_rows=max_group_rows)
+    near = nearest_sample(target, probes, keys, blocked=blocked, max_group_rows=max_group_rows)
     dx, dy = F.col("x") - F.col("near_value.x"), F.col("y") - F.col("near_value.y")
     return near.select(*keys, "t", F.sqrt(dx * dx + dy * dy).alias("error"))
 
 
-def vector_error(command_path: DataFrame, actuator_path: DataFrame, keys: list[str], *, bins: int = 40,
+def vector_error(command_path: DataFrame, actuator_path: DataFrame, keys: list[str], *, bins: int = 40, blocked: bool | None = None,
                  max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """Mean, 95 % point and maximum of the vector errors, and their histogram."""
-    errors = vector_errors(command_path, actuator_path, keys, max_group_rows=max_group_rows)
-    blocked = is_large(errors, keys, max_group_rows)
-    q = quantiles(errors, keys, {"p95_error": ("error", 0.95), "p99_error": ("error", 0.99)}, blocked=blocked, max_group_rows=max_group_rows)
-    base = errors.groupBy(*keys).agg(F.count("error").alias("n"), F.avg("error").alias("mean_error"), F.max("error").alias("max_error"))
-    hist = histogram(errors, keys, "error", bins=bins, low=F.lit(0.0), high=F.greatest(F.lit(1.0), F.col("p99_error")), bounds=q.select(*keys, "p99_error"))
-    return same_keys_join(base, q.drop("p99_error"), keys), hist
+    errors = staged(vector_errors(command_path, actuator_path, keys, blocked=blocked, max_group_rows=max_group_rows), "errors")
+    if blocked is None:
+        blocked = is_large(errors, keys, max_group_rows)
+    base = [F.count("error").alias("n"), F.avg("error").alias("mean_error"), F.max("error").alias("max_error")]
+    stats = sized(grouped(errors, keys, base, {"p95_error": ("error", 0.95), "p99_error": ("error", 0.99)}, blocked=blocked,
+                          max_group_rows=max_group_rows))
+    hist = histogram(errors, keys, "error", bins=bins, low=F.lit(0.0), high=F.greatest(F.lit(1.0), F.col("p99_error")),
+                     bounds=stats.select(*keys, "p99_error"))
+    return stats.drop("p99_error"), hist

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.operators.ordered import ordered
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
@@ -25,6 +25,14 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
     return reduce(lambda a, b: same_keys_join(a, b, keys, "left"), parts, groups)
 
 
+def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: dict[str, tuple[str, float]], *, blocked: bool,
+            max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Aggregates and quantiles of the same groups, in one pass where groups fit a task."""
+    if not blocked:
+        return df.groupBy(*keys).agg(*aggs, *[F.percentile(c, q).alias(n) for n, (c, q) in wanted.items()])
+    return same_keys_join(df.groupBy(*keys).agg(*aggs), quantiles(df, keys, wanted, blocked=True, max_group_rows=max_group_rows), keys)
+
+
 def _ranked(df, keys, column, qs, max_group_rows) -> DataFrame:
     """Quantiles of groups that no single task could hold.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from buslens.functions.frame import time_s
 from buslens.operators.ordered import Ordered, ordered
-from buslens.operators.quantiles import quantiles
+from buslens.operators.quantiles import grouped, quantiles
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
 from buslens.schema import SERIES_ORDER
 
@@ -35,11 +35,7 @@ def signal_stats(samples: DataFrame, keys: list[str], *, max_group_rows: int = M
             F.max(v).alias("maximum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
             F.min_by(v, at).alias("first_value"), F.max_by(v, at).alias("last_value")]
     points = {"median": ("value", 0.5), "p01": ("value", 0.01), "p99": ("value", 0.99)}
-    if is_large(samples, keys, max_group_rows):
-        out = same_keys_join(samples.groupBy(*keys).agg(*base),
-                             quantiles(samples, keys, points, blocked=True, max_group_rows=max_group_rows), keys)
-    else:
-        out = samples.groupBy(*keys).agg(*base, *[F.percentile(c, q).alias(n) for n, (c, q) in points.items()])
+    out = grouped(samples, keys, base, points, blocked=is_large(samples, keys, max_group_rows), max_group_rows=max_group_rows)
     return out.withColumn("net_change", F.col("last_value") - F.col("first_value"))
 
 
@@ -150,11 +146,7 @@ def interval_stats(samples: DataFrame, keys: list[str], *, blocked: bool | None
         dt=F.when(dt > 0, dt), same=(F.col("ts_ns").isNotNull() & (dt == 0)).cast("long")).done()
     base = [F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
             F.coalesce(F.max("dt"), F.lit(0.0)).alias("max_dt"), F.coalesce(F.sum("same"), F.lit(0)).alias("dup_dt")]
-    if blocked:
-        out = same_keys_join(rows.groupBy(*keys).agg(*base), quantiles(
-            rows, keys, {"median_dt": ("dt", 0.5)}, blocked=True, max_group_rows=max_group_rows), keys)
-    else:
-        out = rows.groupBy(*keys).agg(*base, F.percentile("dt", 0.5).alias("median_dt"))
+    out = grouped(rows, keys, base, {"median_dt": ("dt", 0.5)}, blocked=blocked, max_group_rows=max_group_rows)
     # A series without a positive interval counts as sampled every 10 ms.
     return out.withColumn("median_dt", F.coalesce("median_dt", F.lit(0.01)))
 
