@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.functions.bits import place_of
 from buslens.functions.ids import DBC_EXTENDED_FLAG, EXTENDED_ID_MAX, j1939_pgn, normalize_dbc_id
@@ -71,8 +71,9 @@ def dbc_conflicts(catalog: Catalog, bits: int = 64) -> DataFrame:
                    F.sum(F.when(~inside, F.col("claims")).otherwise(0)).alias("bits_beyond_payload")))
     unnamed = catalog.signals.groupBy("msg_order").agg(
         F.count_if(F.trim(F.coalesce("name", F.lit(""))) == "").alias("unnamed_signals"))
-    same_id = Window.partitionBy("is_extended", "frame_id")
-    messages = with_message_ids(catalog.messages).withColumn("id_shared", F.count(F.lit(1)).over(same_id) > 1)
+    messages = with_message_ids(catalog.messages)
+    uses = messages.groupBy("is_extended", "frame_id").agg((F.count(F.lit(1)) > 1).alias("id_shared"))
+    messages = messages.join(uses, ["is_extended", "frame_id"])
     zero = {c: 0 for c in ["overlap_bits", "bits_beyond_dlc", "bits_beyond_payload", "unnamed_signals"]}
     return (messages.join(per_bit, "msg_order", "left").join(unnamed, "msg_order", "left")
             .select("msg_order", "name", "is_extended", "frame_id", *zero, "id_shared").fillna(zero))

@@ -95,7 +95,8 @@ def q_retain(spark, d):
 def q_stream(spark, d):
     """The event lines as files, taken in by a stream, and once more after a restart: the second run adds nothing."""
     folder, table, rejects, state = (new_path(spark, n) for n in ("drop", "events", "rejects", "state"))
-    lines = telemetry_lines(spark, d).repartition(1).sortWithinPartitions("seq").select("value")
+    # An event and its copy stay in one file, in order.
+    lines = telemetry_lines(spark, d).repartitionByRange(F.floor(F.col("seq") / 10)).sortWithinPartitions("seq").select("value")
     lines.write.text(folder)
     start_ingest(spark, folder, table, rejects, state).awaitTermination()
     lines.write.mode("append").text(folder)

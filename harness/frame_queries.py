@@ -14,8 +14,7 @@ from buslens.operators.catalog import catalog_from_rows
 from buslens.sinks.exports import decoded_export
 from buslens.sources.readers import read_log
 from harness.registry import query, rounded
-from harness.source_queries import frame_catalog_text
-from harness.views import DECODED, EXT_ID, FRAMES, LINES, STATUS, candump_logs, catalog, decoder, events, frames, log_glob, recording
+from harness.views import DECODED, EXT_ID, FRAMES, LINES, candump_logs, catalog, decoder, events, frames, log_glob, recording
 
 
 @query("log_to_watch", f"""WITH {LINES}, s AS (SELECT *, CASE WHEN can_id < 280 THEN 'Msg' || CAST(can_id AS VARCHAR) WHEN is_extended THEN 'Group' END AS message_name FROM ok),

@@ -9,6 +9,7 @@ from buslens.operators import align as A
 from buslens.operators import delay as DL
 from buslens.operators import edges as E
 from buslens.operators import pairs as P
+from buslens.operators.ordered import ordered
 from buslens.operators.suggest import suggest_signals
 from buslens.sources.refs import resolve_refs, signal_refs
 from harness.registry import query, rounded
@@ -347,17 +348,17 @@ def q_combined(spark, d):
 
 
 @query("delay_by_threshold", f"""WITH {SAMPLES},
-x AS (SELECT message_name, pos AS i, t, value AS c, avg(value) OVER (PARTITION BY message_name ORDER BY pos ROWS 3 PRECEDING) AS r FROM sl),
+x AS (SELECT message_name, pos AS i, t, value AS c, (value + coalesce(v0, value)) / 2 AS r FROM sl),
 y AS (SELECT *, lag(t) OVER w AS t0, lag(c) OVER w AS c0, lag(r) OVER w AS r0, min(c) OVER p + (max(c) OVER p - min(c) OVER p) * 0.2 AS cl, min(r) OVER p + (max(r) OVER p - min(r) OVER p) * 0.2 AS rl
   FROM x WINDOW w AS (PARTITION BY message_name ORDER BY i), p AS (PARTITION BY message_name)),
 cc AS (SELECT message_name, arg_min(t0 + (t - t0) * ((cl - c0) / (c - c0)), i) AS tc FROM y WHERE c0 < cl AND c >= cl GROUP BY 1),
 rr AS (SELECT message_name, arg_min(t0 + (t - t0) * ((rl - r0) / (r - r0)), i) AS tr FROM y WHERE r0 < rl AND r >= rl GROUP BY 1)
 SELECT message_name, round(tr - tc, 4) AS threshold_delay_s FROM cc JOIN rr USING (message_name)""")
 def q_threshold(spark, d):
-    from pyspark.sql import Window
-    w = Window.partitionBy("message_name").orderBy("ts_ns")
-    rows = samples(spark, d).select("message_name", (F.row_number().over(w) - 1).cast("long").alias("i"), (F.col("ts_ns") / F.lit(1e9)).alias("t"),
-                                    F.col("value").alias("c"), F.avg("value").over(w.rowsBetween(-3, 0)).alias("r"))
+    """The response is the mean of a value and the one before it."""
+    o = ordered(samples(spark, d), ["message_name"], ["ts_ns", "frame_index"]).lag(prev="value").number("i")
+    rows = o.done().select("message_name", "i", (F.col("ts_ns") / F.lit(1e9)).alias("t"), F.col("value").alias("c"),
+                           ((F.col("value") + F.coalesce("prev", "value")) / 2).alias("r"))
     return rounded(DL.delay_by_threshold(rows, ["message_name"], 0.2), 4)
 
 

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from buslens.functions.frame import with_frame_projections
 from buslens.operators.catalog import bit_layout, dbc_conflicts, dbc_overlap, layout_issues
-from buslens.plans.dataset import dataset_overview, load_dataset, union_issues, with_provenance
+from buslens.plans.dataset import dataset_overview, load_dataset, with_provenance
 from buslens.plans.staging import new_path
 from buslens.sources.detect import detect_format
 from buslens.sources.dbc import load_dbc
 from buslens.sources.provenance import file_digests
 from buslens.sources.readers import read_log
 from harness.registry import query, rounded
-from harness.views import (EXT_ID, FRAMES, LINES, ORDER_BITS, candump_logs, can_id, events, hex_payload, log_glob,
-                           order_catalog, recording, table, write_log)
+from harness.views import (EXT_ID, FRAMES, LINES, ORDER_BITS, RECORDING, can_id, candump_logs, events, hex_payload, log_glob,
+                           order_catalog, recording, recording_name, write_log)
 
 FRAME_VIEW = ["frame_index", "source_line", "ts_ns", "can_id", "is_extended", "dlc", "payload_hex", "frame_type", "channel",
               "frame_format", "direction"]
@@ -101,8 +101,9 @@ def q_read_css(spark, d):
     good = F.concat_ws(";", stamp, F.when(F.col("user_id") % 5 == 0, "1").otherwise("0"), F.hex(can_id()), hex_payload())
     line = F.when(F.col("event_id") % 100 == 7, "corrupt line").when(F.col("event_id") % 250 == 3, "# comment").otherwise(good)
     rows = events(spark, d).withColumn("line", line)
-    starts = rows.groupBy("event_type").agg(F.min("event_id").alias("first_id"))
-    rows = rows.join(starts, "event_type").withColumn("first", F.col("event_id") == F.col("first_id"))
+    rows = rows.withColumn("name", recording_name())
+    starts = rows.groupBy("name").agg(F.min("event_id").alias("first_id"))
+    rows = rows.join(starts, "name").withColumn("first", F.col("event_id") == F.col("first_id"))
     # The header stands on the first line of a recording, as a second text line of its row.
     rows = rows.withColumn("line", F.when(F.col("first"), F.concat(F.lit("Timestamp;Type;ID;Data\n"), F.col("line"))).otherwise(F.col("line")))
     path = write_log(spark, rows, F.col("line"))
@@ -146,7 +147,9 @@ def dbc_text(spark, d) -> str:
     body = cat.signals.select("msg_order", "sig_order", F.concat(
         F.lit(" SG_ "), "name", mux, F.format_string(" : %d|%d@%d+ (1,0) [0|0] \"\" Node", "start_bit", "length", F.col("little_endian").cast("int"))).alias("value"))
     path = new_path(spark, "dbc")
-    head.unionByName(body).repartition(1).sortWithinPartitions("msg_order", "sig_order").select("value").write.text(path)
+    # A message and its signals stay in one file.
+    rows = head.unionByName(body).withColumn("file", F.floor(F.col("msg_order") / 10_000))
+    rows.repartition("file").sortWithinPartitions("file", "msg_order", "sig_order").select("value").write.text(path)
     return path
 
 
@@ -239,7 +242,7 @@ def q_union_issues(spark, d):
     return loaded(spark, d).issues.groupBy("code").agg(F.count(F.lit(1)).alias("issues"))
 
 
-@query("with_provenance", """SELECT event_type AS recording, 'Partial' AS import_mode, 'Partial' AS completeness FROM events GROUP BY event_type""")
+@query("with_provenance", f"""SELECT {RECORDING} AS recording, 'Partial' AS import_mode, 'Partial' AS completeness FROM events GROUP BY 1""")
 def q_with_provenance(spark, d):
     return with_provenance(loaded(spark, d)).where(F.length("source_log_sha256") == 64).where(F.length("dbc_sha256") == 64).select(
         recording().alias("recording"), "import_mode", "completeness")

@@ -161,10 +161,18 @@ ss AS (SELECT pair_id, 'L' AS side, frame_index, rn * 10000000 AS ts_ns, CASE WH
     THEN CAST(0.8 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END FROM pb)"""
 
 
+RECORDING_EVENTS = 1_000_000
+RECORDING = f"event_type || '-' || CAST(event_id // {RECORDING_EVENTS} AS VARCHAR)"
+
+
+def recording_name():
+    return F.concat("event_type", F.lit("-"), F.floor(F.col("event_id") / RECORDING_EVENTS).cast("string"))
+
+
 def write_log(spark, rows: DataFrame, line) -> str:
-    """One recording per event type, lines in event order. Returns the folder."""
+    """Recordings of one event type and at most a million events each, lines in event order. Returns the folder."""
     path = new_path(spark, "log")
-    (rows.withColumn("recording", F.col("event_type")).select("recording", "event_id", line.alias("value"))
+    (rows.select(recording_name().alias("recording"), "event_id", line.alias("value"))
      .repartition("recording").sortWithinPartitions("recording", "event_id").select("recording", "value")
      .write.partitionBy("recording").text(path))
     return path
@@ -195,10 +203,10 @@ def candump_logs(spark, sf_dir) -> str:
 
 
 # Every line of the recordings with its class; base is the first readable time of the recording.
-LINES = FRAMES + """, ln AS (
-  SELECT fr.*, e.event_type AS recording, row_number() OVER (PARTITION BY e.event_type ORDER BY e.event_id) AS line_no,
+LINES = FRAMES + f""", ln AS (
+  SELECT fr.*, e.recording, row_number() OVER (PARTITION BY e.recording ORDER BY e.event_id) AS line_no,
     CASE WHEN e.event_id % 100 = 7 THEN 'rejected' WHEN e.event_id % 250 = 3 THEN 'non_data' ELSE 'accepted' END AS line_class
-  FROM fr JOIN ev e USING (event_id)),
+  FROM fr JOIN (SELECT event_id, {RECORDING} AS recording FROM events) e USING (event_id)),
 ok AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY event_id) - 1 AS frame_no,
   ts_ns - first_value(ts_ns) OVER (PARTITION BY recording ORDER BY event_id) AS rel_ns FROM ln WHERE line_class = 'accepted')"""
 
