@@ -128,6 +128,12 @@ def search_watch(watch: DataFrame, text: str | None) -> DataFrame:
     return watch.where(test)
 
 
+def frame_id_filter(samples: DataFrame, text: str | None) -> DataFrame:
+    """Samples of one frame id; a text that is no id, or none, keeps all."""
+    number = parse_id_literal(text) if text else None
+    return samples if number is None else samples.where(F.col("frame_id") == number)
+
+
 def search_signals(catalog: DataFrame, label: Column, text: str | None) -> DataFrame:
     if not text or not text.strip():
         return catalog

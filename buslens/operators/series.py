@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from buslens.functions.frame import time_s
@@ -119,6 +121,25 @@ def cdf(hist: DataFrame, keys: list[str]) -> DataFrame:
     return hist.withColumn("cumulative_pct", so_far * 100.0 / F.sum("count").over(w))
 
 
+@dataclass(frozen=True)
+class SignalAnalysis:
+    """Statistics, event statistics and both histograms, one row per series (and bin)."""
+
+    stats: DataFrame
+    events: DataFrame
+    histogram: DataFrame
+    delta_histogram: DataFrame
+
+
+def analyze_signals(samples: DataFrame, keys: list[str], *, bins: int = 40, threshold: float = 0.0, change_threshold: float = 0.01,
+                    delta_bins: int = 40, max_group_rows: int = MAX_GROUP_ROWS) -> SignalAnalysis:
+    """Everything about single signals."""
+    return SignalAnalysis(
+        signal_stats(samples, keys, max_group_rows=max_group_rows),
+        event_stats(samples, keys, threshold=threshold, change_threshold=change_threshold, max_group_rows=max_group_rows),
+        histogram(samples, keys, bins=bins), delta_histogram(samples, keys, bins=delta_bins, max_group_rows=max_group_rows))
+
+
 def rank_signals(samples: DataFrame, keys: list[str], *, change_threshold: float = 0.01, top_n: int = 20,
                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """The most active series: changes per second, spread and steepest slope in one score."""

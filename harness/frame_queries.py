@@ -249,6 +249,49 @@ def q_parse_id(spark, d):
     return table(spark, d, "part").select("p_partkey", parse_id(text).alias("id"), hex_token(token).alias("token"))
 
 
+@query("frame_id_filter", f"WITH {DECODED} SELECT frame_index, signal_name FROM sm WHERE frame_id = 258")
+def q_frame_id_filter(spark, d):
+    return FR.frame_id_filter(decoded(spark, d).samples, "0x102").select("frame_index", "signal_name")
+
+
+@query("parse_timestamps", """WITH x AS (SELECT event_id, (epoch_us(ts) - 1704067200000000) * 1000 AS ns FROM events)
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE ns + 7 END AS seconds_ns, ns + 1 AS millis_ns, ns % 86400000000000 + 5 AS tod_ns, (ns // 1000000) * 1000000 AS css_ns FROM x""")
+def q_timestamps(spark, d):
+    from buslens.functions.time import ts_css_ns, ts_millis_ns, ts_seconds_ns, ts_tod_ns
+    ns, at = F.col("ts_ns"), F.col("ts").cast("timestamp")
+    whole = F.format_string("%d.%09d", F.floor(ns / 1_000_000_000), ns % 1_000_000_000 + 7)
+    finer = F.concat(whole, F.when(F.col("event_id") % 9 == 0, "1").otherwise("0"))
+    millis = F.format_string("%d,%06d", F.floor(ns / 1_000_000), ns % 1_000_000 + 1)
+    tod = F.concat(F.date_format(at, "H:m:s"), F.lit(":"), F.lpad((ns % 1_000_000_000 + 5).cast("string"), 9, "0"))
+    css = F.concat(F.lpad((F.floor(ns / 86_400_000_000_000) + 1).cast("string"), 2, "0"), F.lit("T"), F.date_format(at, "HHmmssSSS"))
+    return events(spark, d).select("event_id", ts_seconds_ns(finer).alias("seconds_ns"), ts_millis_ns(millis).alias("millis_ns"),
+                                   ts_tod_ns(tod).alias("tod_ns"), ts_css_ns(css).alias("css_ns"))
+
+
+@query("j1939_pgn", """WITH x AS (SELECT o_orderkey, (o_orderkey * 7919) % 536870912 AS id FROM orders)
+SELECT o_orderkey, CASE WHEN id > 2047 THEN ((id >> 24) & 1) * 65536 + ((id >> 16) & 255) * 256 + CASE WHEN ((id >> 16) & 255) >= 240 THEN (id >> 8) & 255 ELSE 0 END END AS pgn FROM x""")
+def q_pgn(spark, d):
+    from harness.views import table
+    return table(spark, d, "orders").select("o_orderkey", j1939_pgn((F.col("o_orderkey") * 7919) % 536870912).cast("bigint").alias("pgn"))
+
+
+@query("normalize_frame", """WITH x AS (SELECT l_orderkey % 700 * 4 AS id, l_linenumber % 2 = 0 AS ext, CAST(l_quantity AS INT) AS declared, CAST(l_suppkey % 66 AS INT) AS n, l_linenumber = 3 AS mark FROM lineitem),
+f AS (SELECT *, mark OR n > 8 OR declared > 8 AS fd, list_position([0,1,2,3,4,5,6,7,8,12,16,20,24,32,48,64], n) - 1 AS code, [0,1,2,3,4,5,6,7,8,12,16,20,24,32,48,64][declared + 1] AS meant FROM x),
+g AS (SELECT *, CASE WHEN NOT ext AND id > 2047 THEN 'identifier out of range' WHEN n > 64 THEN 'payload length out of range' WHEN NOT fd AND declared <> n THEN 'length code does not match payload'
+  WHEN fd AND code IS NULL THEN 'payload length has no CAN FD code' WHEN fd AND declared <> n AND NOT coalesce(declared <= 15 AND meant = n, false) THEN 'declared CAN FD length does not match payload' END AS error FROM f)
+SELECT coalesce(error, 'ok') AS outcome, CASE WHEN error IS NULL THEN CAST(CASE WHEN fd THEN code ELSE declared END AS INT) END AS dlc, fd AS is_fd, count(*) AS frames FROM g GROUP BY ALL""")
+def q_normalize_frame(spark, d):
+    from buslens.functions.frame import with_frame_checks
+    from harness.views import table
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 700 * 4).cast("bigint").alias("can_id"), (F.col("l_linenumber") % 2 == 0).alias("is_extended"), F.col("l_quantity").cast("int").alias("declared"),
+        (F.col("l_suppkey") % 66).cast("int").alias("payload_len"), (F.col("l_linenumber") == 3).alias("fd_marker"))
+    out = with_frame_checks(rows)
+    ok = F.col("frame_error").isNull()
+    return out.groupBy(F.coalesce("frame_error", F.lit("ok")).alias("outcome"), F.when(ok, F.col("dlc")).alias("dlc"),
+                       (F.col("frame_format") == "FlexibleDataRate").alias("is_fd")).agg(F.count(F.lit(1)).alias("frames"))
+
+
 # --- traffic ---
 SPAN = f"""{FRAMES}, sp AS (SELECT min(ts_ns / 1e9) AS start_s, max(ts_ns / 1e9) AS end_s, count(*) AS n FROM fr),
 bn AS (SELECT *, greatest(1e-9, end_s - start_s) AS dur, greatest(1, ceil(greatest(1e-9, end_s - start_s) / CAST(5 AS DOUBLE)) + 1) AS wanted FROM sp),

@@ -362,8 +362,37 @@ def q_threshold(spark, d):
     return rounded(DL.delay_by_threshold(rows, ["message_name"], 0.2), 4)
 
 
-@query("analyze_delay", None)
+DELAY = GRID + """, qn AS (SELECT pair_id, (quantile_cont("left", 0.01) + quantile_cont("left", 0.99)) * 0.5 AS cc, greatest(1e-9, (quantile_cont("left", 0.99) - quantile_cont("left", 0.01)) * 0.5) AS cs,
+  (quantile_cont("right", 0.01) + quantile_cont("right", 0.99)) * 0.5 AS rc, greatest(1e-9, (quantile_cont("right", 0.99) - quantile_cont("right", 0.01)) * 0.5) AS rs FROM gv GROUP BY 1),
+nv AS (SELECT gv.*, rc, rs, greatest(-3, least(3, ("left" - cc) / cs)) AS c, greatest(-3, least(3, ("right" - rc) / rs)) AS r FROM gv JOIN qn USING (pair_id)),
+d1 AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (c - lag(c) OVER w) / step END AS dc, CASE WHEN i = 0 THEN 0 ELSE (r - lag(r) OVER w) / step END AS dr FROM nv WINDOW w AS (PARTITION BY pair_id ORDER BY i)),
+d2 AS (SELECT pair_id, i, points, step, CASE WHEN i = 0 OR i = points - 1 THEN dc ELSE (lag(dc) OVER w + dc + lead(dc) OVER w) / 3 END AS a,
+  CASE WHEN i = 0 OR i = points - 1 THEN dr ELSE (lag(dr) OVER w + dr + lead(dr) OVER w) / 3 END AS b FROM d1 WINDOW w AS (PARTITION BY pair_id ORDER BY i)),
+kk AS (SELECT pair_id, i, a, unnest(range(-CAST(round(0.3 / step) AS BIGINT), CAST(round(0.3 / step) AS BIGINT) + 1)) AS k, step FROM d2),
+su AS (SELECT kk.pair_id, k, any_value(step) AS step, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * b) AS sab, sum(a * a) AS saa, sum(b * b) AS sbb
+  FROM kk JOIN (SELECT pair_id, i, b FROM d2) y ON y.pair_id = kk.pair_id AND y.i = kk.i + kk.k GROUP BY ALL),
+cu AS (SELECT pair_id, k, k * step AS lag_s, n, (sab / n - sa / n * sb / n) / sqrt((saa / n - sa / n * sa / n) * (sbb / n - sb / n * sb / n)) AS correlation FROM su),
+be AS (SELECT pair_id, lag_s, correlation FROM cu QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(abs(correlation), 12) DESC, k) = 1)"""
+
+
+@query("delay_curve", f"WITH {DELAY} SELECT pair_id, CAST(k AS INT) AS k, n, round(lag_s, 6) AS lag_s, round(correlation, 6) AS correlation FROM cu")
+def q_delay_curve(spark, d):
+    return rounded(DL.analyze_delay(step_samples(spark, d), KEY, search_range_s=0.3).curve.select("pair_id", "k", "n", "lag_s", "correlation"))
+
+
+@query("analyze_delay", f"""WITH {DELAY}, sh AS (SELECT nv.pair_id, nv.i, nv.c, rc, rs, nv.t + lag_s AS x FROM nv JOIN be USING (pair_id)),
+sv AS (SELECT sh.pair_id, abs(greatest(-3, least(3, ((CASE WHEN sr.t1 IS NULL THEN sr.v ELSE sr.v + (sr.v1 - sr.v) * ((x - sr.t) / (sr.t1 - sr.t)) END) - rc) / rs)) - c) AS error
+  FROM sh JOIN md USING (pair_id) ASOF JOIN sr ON sh.pair_id = sr.pair_id AND x >= sr.t WHERE x <= (SELECT max(t) FROM sr z WHERE z.pair_id = sh.pair_id))
+SELECT pair_id, 'Valid' AS status, count(*) AS n, round(any_value(lag_s), 6) AS lag_s, round(any_value(correlation), 6) AS correlation, round(avg(error), 4) AS mean_abs_error, round(max(error), 4) AS max_abs_error
+FROM sv JOIN be USING (pair_id) GROUP BY pair_id""")
 def q_analyze_delay(spark, d):
+    s = DL.analyze_delay(step_samples(spark, d), KEY, search_range_s=0.3).summary
+    return rounded(s.select("pair_id", "status", "n", "lag_s", "correlation", F.round("mean_abs_error", 4).alias("mean_abs_error"),
+                            F.round("max_abs_error", 4).alias("max_abs_error")))
+
+
+@query("delay_summary", None)
+def q_delay_summary(spark, d):
     return rounded(DL.analyze_delay(step_samples(spark, d), KEY).summary)
 
 

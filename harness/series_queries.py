@@ -158,3 +158,23 @@ def q_buckets(spark, d):
     from harness.views import table
     return table(spark, d, "orders").select("o_orderkey", count_bucket(F.col("o_custkey")).alias("count_class"),
                                             duration_bucket(F.col("o_totalprice")).alias("duration_class"))
+
+
+@query("smoothed_derivative", WITH + """, x AS (SELECT message_name, pos AS i, len AS points, CASE WHEN pos = 0 THEN 0 ELSE (value - v0) / 0.5 END AS d FROM sl),
+y AS (SELECT *, lag(d) OVER w AS d0, lead(d) OVER w AS d1 FROM x WINDOW w AS (PARTITION BY message_name ORDER BY i))
+SELECT message_name, i, round(CASE WHEN i = 0 OR i = points - 1 THEN d ELSE (d0 + d + d1) / 3 END, 6) AS slope FROM y""")
+def q_smoothed(spark, d):
+    from buslens.operators.delay import smoothed_derivative
+    from buslens.operators.ordered import ordered
+    o = ordered(samples(spark, d), ["message_name"], ["ts_ns", "frame_index"]).number("i", "points")
+    return rounded(smoothed_derivative(o, "value", "slope", F.lit(0.5)).done().select("message_name", "i", "slope"))
+
+
+@query("analyze_signals", WITH + """ SELECT message_name, count(*) AS n, round(avg(value), 6) AS mean, count(*) FILTER (v0 < 20 AND value >= 20) AS rising,
+  count(*) FILTER (v0 >= 20 AND value < 20) AS falling, CAST(40 AS BIGINT) AS bins, count(v0) AS deltas FROM sl GROUP BY 1""")
+def q_analyze_signals(spark, d):
+    out = S.analyze_signals(samples(spark, d), ["message_name"], threshold=20.0)
+    bins = out.histogram.groupBy("message_name").agg(F.count(F.lit(1)).alias("bins"))
+    deltas = out.delta_histogram.groupBy("message_name").agg(F.sum("count").alias("deltas"))
+    rows = out.stats.select("message_name", "n", "mean").join(out.events.select("message_name", "rising", "falling"), "message_name")
+    return rounded(rows.join(bins, "message_name").join(deltas, "message_name"))
