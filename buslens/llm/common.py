@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -51,27 +52,31 @@ def running_sums(df: DataFrame, keys: list[str], value: str, group: str | None =
     """
     schema = T.StructType([*df.schema.fields, T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("__in_block", T.LongType())])
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, place, last, carry = TaskContext.get().partitionId(), 0, None, 0
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            sums = pdf[value].astype("int64")
+            values = batch.column(value).to_numpy(zero_copy_only=False).astype("int64")
+            sums = np.cumsum(values)
+            own = sums - values
             if group is None:
-                own = sums.cumsum() - sums + carry
-                carry = int(own.iloc[-1] + sums.iloc[-1])
+                own += carry
+                carry = int(own[-1] + values[-1])
             else:
-                names = pdf[group].astype(object).where(pdf[group].notna(), None)
-                code = pd.factorize(names, use_na_sentinel=False)[0]
-                own = sums.groupby(code).cumsum() - sums
-                first = names.iloc[0]
-                if last is not None and last == (first,):
-                    own = own.where(code != code[0], own + carry)
-                last, carry = (names.iloc[-1],), int(own.iloc[-1] + sums.iloc[-1])
-            yield pdf.assign(block=block, place=range(place, place + len(pdf)), __in_block=own)
-            place += len(pdf)
-
-    rows = staged(sorted_blocks(df, keys).mapInPandas(add, schema), "running")
+                names = batch.column(group)
+                codes = names.dictionary_encode("encode").indices.to_numpy()
+                starts = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1))
+                own -= np.repeat(own[starts], np.diff(starts, append=n))
+                if last is not None and last == (names[0].as_py(),):
+                    own[: starts[1] if len(starts) > 1 else n] += carry
+                last, carry = (names[n - 1].as_py(),), int(own[-1] + values[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, block)), pa.array(np.arange(place, place + n)), pa.array(own)],
+                                             names=[*batch.schema.names, "block", "place", "__in_block"])
+            place += n
+
+    rows = staged(sorted_blocks(df, keys).mapInArrow(add, schema), "running")
     by = [group] if group else []
     totals = rows.groupBy(*by, "block").agg(F.sum(value).alias("__total"))
     frame = f"sum(__total) over (partition by {', '.join(by) or '1'} order by block rows between unbounded preceding and 1 preceding)"

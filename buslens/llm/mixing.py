@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.llm.common import ASCII_WORD, pick, running_sums, same_keys_join, staged
@@ -90,21 +91,21 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .drop("row_block", "row_place"))
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import re
-
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts up to the end of their word number `part`."""
     word = re.compile(ASCII_WORD)
-    for pdf in batches:
-        texts, chars = [], []
-        for text, part in zip(pdf["text"], pdf["part"]):
+    for batch in batches:
+        texts = []
+        for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
             end = 0
             for k, m in enumerate(word.finditer(text), 1):
                 end = m.end()
                 if k == part:
                     break
             texts.append(text[:end])
-            chars.append(end)
-        yield pdf.assign(text=texts, n_chars=chars).drop(columns="part")
+        changed = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+        names = [n for n in batch.schema.names if n != "part"]
+        yield pa.RecordBatch.from_arrays([changed.get(n, batch.column(n)) for n in names], names=names)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -121,5 +122,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     found = same_keys_join(docs.withColumn("row_key", key), plan, ["doc_id", "row_key"])
     single = found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["doc_id", "row_key"]))
     whole = single.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
-    cut = single.where("part > 0").select(*names, "part").mapInPandas(_cut, docs.schema)
+    cut = single.where("part > 0").select(*names, "part").mapInArrow(_cut, docs.schema)
     return whole.unionByName(cut)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from buslens.llm.common import table
 from buslens.llm.mixing import fair_mix
 from buslens.llm.registry import query
+from buslens.llm.secrets import find_secrets
+from buslens.llm.topk import integer_search
 
 MIX_SQL = r"""
 WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -30,3 +32,23 @@ FROM queued q JOIN goals g ON q.source IS NOT DISTINCT FROM g.source
 @query("op10_fair_mix", MIX_SQL)
 def op10_fair_mix(spark, sf_dir):
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_integer_top_k", TOP_SQL)
+def op8_integer_top_k(spark, sf_dir):
+    return integer_search(table(spark, sf_dir, "embeddings"))
