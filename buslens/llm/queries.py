@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from buslens.llm.common import table
 from buslens.llm.mixing import fair_mix
+from buslens.llm.ngram_join import ngram_components
+from buslens.llm.packing import pack
 from buslens.llm.registry import query
 from buslens.llm.secrets import find_secrets
 from buslens.llm.topk import integer_search
@@ -52,3 +54,27 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query("op8_integer_top_k", TOP_SQL)
 def op8_integer_top_k(spark, sf_dir):
     return integer_search(table(spark, sf_dir, "embeddings"))
+
+
+NGRAM_SQL = r"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+grams AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * n_both >= 85 * (na + nb - n_both)),
+reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, any_value(CAST(len(s.s) AS BIGINT)) AS n_shingles, min(t.doc_id) AS component_id
+FROM reach JOIN sets s ON s.r = reach.a JOIN sets t ON t.r = reach.b GROUP BY s.r, s.doc_id
+"""
+
+
+@query("op4_ngram_jaccard", NGRAM_SQL)
+def op4_ngram_jaccard(spark, sf_dir):
+    return ngram_components(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op9_pack")
+def op9_pack(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))

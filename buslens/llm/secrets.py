@@ -61,9 +61,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def entropy_spans(text: str, base: list[tuple[str, int, int]], allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tuple[str, int, int]]:
-    """Spans of high entropy in candidate strings that no allow-list pattern covers, merged over the classes. Spans that overlap a
-    base span are left out, as that secret is found already."""
+def entropy_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tuple[str, int, int]]:
+    """Spans of high entropy in candidate strings that no allow-list pattern covers, merged over the classes."""
     found: list[tuple[int, int]] = []
     for pattern, window, bits in CLASSES:
         for m in pattern.finditer(text):
@@ -75,7 +74,7 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]], allowed: tuple[re
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    return [("entropy", s, e) for s, e in merged if not any(s < be and bs < e for _, bs, be in base)]
+    return [("entropy", s, e) for s, e in merged]
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -99,7 +98,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
                 text = value.as_py() or ""
                 base = base_spans(text)
                 kinds = [k for k, _, _ in base]
-                rows.append((*[kinds.count(k) for k in KINDS[:3]], hashlib.sha256(written(base).encode()).hexdigest(), written(base + entropy_spans(text, base, suppress))))
+                rows.append((*[kinds.count(k) for k in KINDS[:3]], hashlib.sha256(written(base).encode()).hexdigest(), written(base + entropy_spans(text, suppress))))
             found = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in found[:3]], *[pa.array(x, pa.string()) for x in found[3:]]],
                                              names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
