@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from buslens.plans.staging import new_path, same_keys_join, staged
 
-__all__ = ["ASCII_WORD", "new_path", "partitions", "pick", "running_sums", "same_keys_join", "sorted_blocks", "staged", "table"]
+__all__ = ["ASCII_WORD", "filtered", "key_filter", "may_hold", "new_path", "partitions", "pick", "running_sums", "same_keys_join", "sorted_blocks", "staged", "table"]
 
 #: A word: a run of anything but ASCII white space.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
@@ -83,3 +83,57 @@ def running_sums(df: DataFrame, keys: list[str], value: str, group: str | None =
     offsets = staged(totals.select(*by, "block", F.expr(f"coalesce({frame}, 0L)").alias("__offset")), "offsets")
     joined = same_keys_join(rows, offsets, [*by, "block"])
     return joined.withColumn("before", F.col("__in_block") + F.col("__offset")).drop("__in_block", "__offset")
+
+
+#: Bits of a key filter: 4 MB, at any input. Where it fills up it lets more rows pass, which the join behind it drops.
+FILTER_BITS = 25
+_FILTER_PIECES = 64
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast bit table of a column of long keys, to drop most rows that a join would drop before they are shuffled."""
+    size = 1 << (FILTER_BITS - 3)
+    piece = size // _FILTER_PIECES
+
+    def rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "bits": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, dtype="uint8")
+        for batch in batches:
+            at = _filter_place(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype("uint8"))
+        pieces = bits.reshape(_FILTER_PIECES, piece)
+        yield rows({i: pieces[i] for i in range(_FILTER_PIECES) if pieces[i].any()})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[p] = sums.get(p, np.zeros(piece, "uint8")) | np.frombuffer(raw, dtype="uint8")
+        yield rows(sums)
+
+    shape = "piece int, bits binary"
+    table = bytearray(size)
+    for row in keys.mapInArrow(mark, shape).repartition(_FILTER_PIECES, "piece").mapInArrow(join, shape).collect():  # 4 MB in all
+        table[row.piece * piece:(row.piece + 1) * piece] = row.bits
+    return keys.sparkSession.sparkContext.broadcast(bytes(table))
+
+
+def _filter_place(keys: np.ndarray) -> np.ndarray:
+    mixed = keys.astype("int64").view("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)).astype("int64")
+
+
+def may_hold(table, keys: np.ndarray) -> np.ndarray:
+    """Which keys a broadcast key_filter may hold: all that it was made of, and few others."""
+    at = _filter_place(keys)
+    return (np.frombuffer(table.value, dtype="uint8")[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
+
+
+def filtered(df: DataFrame, key: str, table, hold: bool = True) -> DataFrame:
+    """Rows whose key the filter may hold; with hold=False all others."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(table, batch.column(key).to_numpy()) == hold))
+    return df.mapInArrow(keep, df.schema)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from buslens.llm.common import table
+from buslens.llm.language import identify
+from buslens.llm.line_dedup import dedup_lines
 from buslens.llm.mixing import fair_mix
 from buslens.llm.ngram_join import ngram_components
 from buslens.llm.packing import pack
@@ -78,3 +80,32 @@ def op4_ngram_jaccard(spark, sf_dir):
 @query("op9_pack")
 def op9_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS l FROM documents),
+lines AS (SELECT *, list_distinct(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM split),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, line) AS t, list_sort(w) AS s FROM lines WHERE len(w) > 0),
+sets AS MATERIALIZED (SELECT min(t) AS t, any_value(s) AS s, len(any_value(s)) AS n FROM placed GROUP BY s),
+words AS MATERIALIZED (SELECT w, count(*) AS df FROM (SELECT unnest(s) AS w FROM sets) GROUP BY w),
+ranked AS MATERIALIZED (SELECT u.t, u.n, u.w, row_number() OVER (PARTITION BY u.t ORDER BY d.df, u.w) AS place
+    FROM (SELECT t, n, unnest(s) AS w FROM sets) u JOIN words d ON d.w = u.w),
+prefix AS MATERIALIZED (SELECT t, n, w FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.t AS t, b.t AS e FROM prefix a JOIN prefix b ON a.w = b.w AND b.t < a.t AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+near AS MATERIALIZED (SELECT DISTINCT p.t FROM pairs p JOIN sets x ON x.t = p.t JOIN sets y ON y.t = p.e
+    WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+gone AS MATERIALIZED (SELECT p.doc_id, p.line FROM placed p JOIN sets s ON s.s = p.s WHERE p.t > s.t OR s.t IN (SELECT t FROM near)),
+kept AS (SELECT s.doc_id, s.line, s.l, g.doc_id IS NOT NULL AS gone FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.line = s.line)
+SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed
+FROM kept GROUP BY doc_id
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
