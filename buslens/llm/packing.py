@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from buslens.llm.common import pick, same_keys_join, staged
+from buslens.llm.common import filtered, key_filter, pick, same_keys_join, staged
 from buslens.llm.tokens import WordTokens, tokenizer_path
 
 #: Tokens of a sequence.
@@ -68,6 +69,40 @@ def repeat_counts(counts: np.ndarray, combos: list[tuple[int, ...]], sweeps: int
     return used
 
 
+def greedy(left: list[int]) -> list[tuple[list[int], int]]:
+    """Full windows from the pieces that are left, which it takes from `left`: the longest first, each time the longest that fits or
+    the one that just fills up. Each pattern is used as often as there are pieces for it. Lengths that fill no window stay."""
+    window, patterns = len(left), []
+    have = [x for x in range(1, window) if left[x]]
+    skipped = 0  # the longest lengths, for which no full window was found
+    while len(have) > skipped:
+        room, lengths, used = window, [], {}
+        while room:
+            x = room if room < window and left[room] > used.get(room, 0) else 0
+            if not x:
+                at = min(bisect_right(have, room), len(have) - skipped) - 1
+                while at >= 0 and left[have[at]] <= used.get(have[at], 0):
+                    at -= 1
+                if at < 0:
+                    break
+                x = have[at]
+            lengths.append(x)
+            used[x] = used.get(x, 0) + 1
+            room -= x
+        if room:
+            skipped += 1
+            continue
+        n = min(left[x] // m for x, m in used.items())
+        patterns.append((lengths, n))
+        for x, m in used.items():
+            left[x] -= n * m
+        longest = have[len(have) - skipped:]
+        have = [x for x in have[:len(have) - skipped] if left[x]]
+        have += [x for x in longest if left[x]]
+        skipped = sum(1 for x in longest if left[x])
+    return patterns
+
+
 @dataclass
 class Plan:
     """Where the i-th piece of each length goes: `slots` rows are (length, first i, end i, first sequence, offset); from `rest[length]`
@@ -97,15 +132,16 @@ def plan(counts: np.ndarray, first: int, triples: int = TRIPLES) -> Plan:
                 uses[i] += n
                 for x in combos[i]:
                     left[x] -= n
+    patterns = [(sorted(combo, reverse=True), uses[i]) for i, combo in enumerate(combos) if uses[i]]
+    patterns += greedy(left)
     slots, taken, sequence = [], [0] * len(counts), first
-    for i, combo in enumerate(combos):
-        if uses[i]:
-            offset = 0
-            for x in sorted(combo, reverse=True):
-                slots.append((x, taken[x], taken[x] + uses[i], sequence, offset))
-                taken[x] += uses[i]
-                offset += x
-            sequence += uses[i]
+    for lengths, n in patterns:
+        offset = 0
+        for x in lengths:
+            slots.append((x, taken[x], taken[x] + n, sequence, offset))
+            taken[x] += n
+            offset += x
+        sequence += n
     rest = np.array(left, dtype="int64")
     # The rest lies in a stream, longest first: greedy, and cut where a window ends.
     tokens = rest * np.arange(len(rest))
@@ -136,7 +172,7 @@ def _tokenized(path: str, window: int, end_id: int):
     """Pieces of one window, and the rest, of each document: doc_id, mark, start, length, ids_crc32, doc_tokens, block, nth (of
     its length in the block)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, size, block = WordTokens(path), 4 * window, TaskContext.get().partitionId()
+        model, size, block = WordTokens.of(path), 4 * window, TaskContext.get().partitionId()
         seen = [0] * (window + 1)
         last = end_id.to_bytes(4, "little")
         for batch in batches:
@@ -202,7 +238,7 @@ def _placed(found: Plan, window: int):
 def _summed(path: str, end_id: int):
     """ids_crc32 of parts, from their documents' texts."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordTokens(path)
+        model = WordTokens.of(path)
         for batch in batches:
             crcs = []
             for text, start, length in zip(batch.column("text"), batch.column("start").to_pylist(), batch.column("length").to_pylist()):
@@ -244,6 +280,6 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     schema = f"doc_id {kind}, mark long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     placed = staged(ranked.mapInArrow(_placed(found, window), schema), "placed")
     parts = staged(placed.where("ids_crc32 IS NULL"), "parts")
-    texts = same_keys_join(parts, docs, ["doc_id", "mark"])
-    summed = texts.mapInArrow(_summed(path, end_id), schema).dropDuplicates(["sequence_id", "offset"])
+    texts = same_keys_join(filtered(docs, "mark", key_filter(parts.select("mark"))), parts, ["doc_id", "mark"])
+    summed = texts.select("text", *parts.columns).mapInArrow(_summed(path, end_id), schema).dropDuplicates(["sequence_id", "offset"])
     return placed.where("ids_crc32 IS NOT NULL").unionByName(summed).drop("mark")

@@ -6,10 +6,12 @@ other. tests/llm compares both ways.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 from collections.abc import Iterator
 
-#: Words kept in a worker's cache; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Words in each half of a worker's cache.
+CACHE_WORDS = 200_000
 #: Bytes of a text that are split into words at once.
 SEGMENT = 1 << 20
 
@@ -35,46 +37,68 @@ def segments(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+#: Printable stand-ins of bytes in a byte-level vocabulary: bytes that print stand for themselves, the others for 256 and on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTS))}
+
+
 class WordTokens:
-    """Little-endian 32-bit ids of texts, as bytes."""
+    """Little-endian 32-bit ids of texts, as bytes. One for each worker process (see `of`): its cache lasts over tasks. Words move
+    from the older half of the cache to the newer one when they are used, and the older half is dropped when the newer is full."""
+
+    _made: dict[str, WordTokens] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        self.pairs = self.model.model
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _simple(self, word: bytes) -> bytes | None:
+        """Ids of letters with commas or full stops behind them, straight from the pair merges; None for any other word."""
+        stem = word.rstrip(b".,")
+        if stem.isalpha():  # of bytes: A-Z and a-z only
+            letters = stem.lower().decode()
+        else:
+            text = stem.decode()
+            # Letters below U+0250 are lower-cased alike one by one, but for U+0130.
+            if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+                return None
+            letters = "".join([_BYTES[b] for b in text.lower().encode()])
+        ids = [t.id for t in self.pairs.tokenize(letters)]
+        if len(stem) < len(word):
+            ids += [t.id for t in self.pairs.tokenize(word[len(stem):].decode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Adds words to the cache. ASCII words count in lower case, and without commas and full stops at their end, which are
-        tokens of their own after a letter or digit."""
-        parts = {}
+        others = []
         for w in words:
-            stem, tail = w, b""
-            if w.isascii():
-                stem = w.lower().rstrip(b".,")
-                tail = w[len(stem):]
-                if not stem[-1:].isalnum():
-                    stem, tail = w, b""
-            parts[w] = (stem, tail)
-        new = list({x for pair in parts.values() for x in pair if x and x not in self.stems})
-        self.stems.update(zip(new, self._encode(new)))
-        self.stems[b""] = b""
-        self.words.update({w: self.stems[a] + self.stems[b] for w, (a, b) in parts.items()})
+            ids = self._simple(w)
+            if ids is None:
+                others.append(w)
+            else:
+                self.new[w] = ids
+        if others:
+            for w, e in zip(others, self.model.encode_batch([w.decode() for w in others], add_special_tokens=False)):
+                self.new[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, text: bytes) -> Iterator[bytes]:
         for part in segments(text):
             words = part.split()
             distinct = set(words)
-            missing = [w for w in distinct if w not in self.words]
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear()
-                self.stems.clear()
-                missing = list(distinct)
+            missing = [w for w in distinct if w not in self.new]
             if missing:
-                self._learn(missing)
-            yield b"".join(map(self.words.__getitem__, words))
+                if len(self.new) + len(missing) > CACHE_WORDS:
+                    self.old, self.new = self.new, {}
+                    missing = list(distinct)
+                self.new.update({w: self.old[w] for w in missing if w in self.old})
+                self._learn([w for w in missing if w not in self.new])
+            yield b"".join(map(self.new.__getitem__, words))
