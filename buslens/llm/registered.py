@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from buslens.llm import queries  # noqa: F401
+from buslens.llm import queries, queries_web  # noqa: F401
 from buslens.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
