@@ -1,0 +1,41 @@
+import math
+import random
+from collections import Counter
+
+from buslens.llm.secrets import base_spans, entropy_spans, find_secrets, hot_spans, written
+
+
+def entropy(text):
+    return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
+
+
+def test_windows_are_brute_force():
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choice(rng.choice(["ab", "0123456789abcdef", "aaaaz"])) for _ in range(rng.randint(0, 60)))
+        hot = {k for i in range(len(text) - 11) if entropy(text[i:i + 12]) >= 2.5 - 1e-9 for k in range(i, i + 12)}
+        assert {k for s, e in hot_spans(text, 12, 2.5) for k in range(s, e)} == hot
+
+
+def test_base_patterns():
+    assert base_spans("é Password = 'abc.def' token:short secret:=12345") == [("assign", 2, 21), ("assign", 35, 48)]
+    assert base_spans("api_key=token:abcdefg") == []  # the failing match takes the text of the next
+    assert base_spans("ſecret=abcdefgh") == []  # letters of ASCII only
+    assert base_spans("AKIA" + "A" * 16 + " AKIASHORT " + "a" * 24 + " " + "f" * 23) == [("access", 0, 20), ("hex", 31, 55)]
+
+
+def test_entropy_and_allow_list():
+    key = "q7Zp2Lx9Vb4Tn8Kd3Wm6Rc1Yf5Hj0Gs"
+    assert entropy_spans(f"see {key} there") == [("entropy", 4, 4 + len(key))]
+    assert entropy_spans("thisisaverylongwordwithoutanydigits and-so-is-this-one-here-too 123e4567-e89b-12d3-a456-426614174000") == []
+    assert entropy_spans("a" * 400) == []
+
+
+def test_query(spark):
+    shape = "doc_id long, text string, spans string, N_HEX int"
+    data = [(1, None, "", 0), (None, "", "", 0), (2, "password=hunter22 é", "", 0), (2, "password=hunter22 é", "", 0), (3, "x" * 300_000 + " " + "0123456789abcdef" * 4000, "", 0)]
+    got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.spans) for r in find_secrets(spark.createDataFrame(data, shape)).collect()}
+    assert {(1, 0, 0, 0, ""), (None, 0, 0, 0, ""), (2, 1, 0, 0, "assign:0:17")} <= got
+    assert any(d == 3 and h == 1 and s.startswith("hex:300001:364001") for d, _, _, h, s in got)
+    assert find_secrets(spark.createDataFrame([], shape)).collect() == []
+    assert written([("hex", 5, 9), ("assign", 5, 7), ("access", 1, 2)]) == "access:1:2,assign:5:7,hex:5:9"
