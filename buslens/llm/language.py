@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from buslens.llm.common import pick
+from buslens.llm.common import pick, staged
 from buslens.llm.words import SPACE, hash_words, mix, steps
 
 #: The classifier is fitted on so many labelled documents of each language at most, and so many characters of each.
@@ -229,10 +229,13 @@ def _move_slope(scores: np.ndarray, moves: np.ndarray, found: np.ndarray, target
 
 
 def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, bits: int = BITS) -> Model:
-    """A model from the labelled documents that are not held out: of each language the `sample_docs` with the smallest hash of their id,
-    and of each a stretch of `sample_chars` characters from a place that the hash gives."""
+    """A model from the labelled documents that are not held out: of each language the `sample_docs` with the smallest hash of id and
+    text, and of each a stretch of `sample_chars` characters from a place that the hash gives."""
     known = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    known = known.withColumn("mark", F.xxhash64(F.lit(17), "doc_id"))
+    known = known.withColumn("mark", F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 31)))
+    # Languages are counted first; then only about twice as many documents as wanted leave the scan.
+    share = known.groupBy("lang").count().select("lang", F.ceil(F.lit(1 << 31) * F.least(F.lit(1.0), 2.0 * sample_docs / F.col("count"))).alias("below"))
+    known = known.join(staged(share, "languages"), "lang").where(F.col("mark") < F.col("below"))
     ranked = known.select("mark", "lang", (F.pmod(F.col("mark"), F.greatest(F.lit(1), F.length("text") - sample_chars)) + 1).cast("int").alias("start"), "text")
     ranked = ranked.select("mark", "lang", F.substring("text", F.col("start"), F.lit(sample_chars)).alias("part"))
     ranked = ranked.withColumn("place", F.expr("row_number() over (partition by lang order by mark, part)")).where(F.col("place") <= sample_docs)
