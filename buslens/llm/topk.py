@@ -28,8 +28,9 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
     if top < EXACT:
         return (queries @ rows.T).astype("int64")
-    whole = queries.astype(object) @ rows.astype(object).T if rows.shape[1] else np.zeros((len(queries), len(rows)), dtype=object)
-    return np.clip(np.vectorize(int, otypes=[object])(whole), -LIMIT, LIMIT).astype("int64")
+    exact = [np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (queries, rows)]
+    whole = exact[0] @ exact[1].T if rows.shape[1] else np.zeros((len(queries), len(rows)), dtype=object)
+    return np.clip(whole, -LIMIT, LIMIT).astype("int64")
 
 
 def _parts(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
