@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from buslens.llm.common import partitions, pick, same_keys_join, staged
+from buslens.llm.common import filtered, key_filter, partitions, pick, same_keys_join, staged
 from buslens.llm.components import components
+from buslens.llm.prefix_lists import earliest_partners, most_common, runs, set_sketch, starts
 from buslens.llm.words import grams, hash_words, steps
 
 #: Counters of n-gram frequency; a fixed size at any input (4 MB of classes are sent to the tasks).
@@ -78,7 +80,7 @@ def gram_classes(texts: DataFrame, n: int, bits: int = BITS) -> bytes:
         rows = total.reshape(PIECES, piece)
         used = [i for i in range(PIECES) if rows[i].any()]
         small = [rows[i].astype("uint8") if rows[i].max() < 256 else rows[i] for i in used]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int32()), "counts": pa.array([x.tobytes() for x in small], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -86,6 +88,7 @@ def gram_classes(texts: DataFrame, n: int, bits: int = BITS) -> bytes:
             for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if p not in sums:
                     sums[p] = np.zeros(piece, dtype="int64")
+                raw = zlib.decompress(raw)
                 sums[p] += np.frombuffer(raw, dtype="uint8" if len(raw) == piece else "uint32")
         yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary()),
                                           "total": pa.array([int(x.sum()) for x in sums.values()], pa.int64())})
@@ -120,20 +123,21 @@ def _fragment(keys: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, rule: Rule, table, bits: int = BITS) -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, digest of the whole set, and its prefix. One row per document."""
+    """doc_id, mark (hash of the text), n_shingles, digest of the whole set, its prefix and its sketch. One row per document."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, dtype="uint8")
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for found in _text_grams(batch.column("text"), rule.n):
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 prefixes.append(_ordered(found, classes, bits)[:rule.prefix(len(found))].tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())],
-                                             names=["doc_id", "mark", "n_shingles", "digest", "prefix"])
+                sketches.append(set_sketch(found) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, prefixes, sketches)]],
+                                             names=["doc_id", "mark", "n_shingles", "digest", "prefix", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(build, f"doc_id {kind}, mark long, n_shingles long, digest binary, prefix binary")
+    return docs.mapInArrow(build, f"doc_id {kind}, mark long, n_shingles long, digest binary, prefix binary, sketch binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,58 +154,32 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["key", "cid", "size", "rest"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of the rows of whole keys (the first `keys` columns), from rows sorted by them. Holds the longest list of a key."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        if held is not None:
-            columns = [np.concatenate([a, b]) for a, b in zip(held, columns)]
-        if not len(columns[0]):
-            continue
-        cut = int(_starts(columns[:keys])[-1])
-        if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
-
-
-def _starts(keys: list[np.ndarray]) -> np.ndarray:
-    changes = np.ones(len(keys[0]), dtype=bool)
-    changes[1:] = False
-    for k in keys:
-        changes[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(changes)
-
-
 def _stars(rule: Rule):
-    """Of rows sorted by key, and then with the largest share left first: lists of several rows (kind 0), and their first row
-    paired with each other one that may link with it (kind 1)."""
+    """Of rows sorted by key, and then with the largest share left first: each row paired with the first one of its list that it
+    may link with (kind 1), and the list's rows that may link with any (kind 0)."""
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cid, size, rest in _runs(batches, ["key", "cid", "size", "rest"], 1):
-            starts = _starts([key])
-            counts = np.diff(np.append(starts, len(key)))
-            many = np.repeat(counts > 1, counts)
-            first = np.repeat(starts, counts)[many]
-            other = np.flatnonzero(many)
-            ok = (other != first) & rule.may_link(size[first].astype("int64"), rest[first], size[other].astype("int64"), rest[other])
-            a, b = cid[first[ok]], cid[other[ok]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), "int64")
-            zeros, n = np.zeros(len(pairs), "int32"), len(other)
+        for key, cid, size, rest in runs(batches, ["key", "cid", "size", "rest"], 1):
+            begins = starts([key])
+            counts = np.diff(np.append(begins, len(key)))
+            earliest, some = earliest_partners(begins, counts, lambda x, y: rule.may_link(size[x].astype("int64"), rest[x], size[y].astype("int64"), rest[y]))
+            other = np.flatnonzero(earliest >= 0)
+            a, b = cid[earliest[other]], cid[other]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            kept = np.flatnonzero(some)
+            zeros, n = np.zeros(len(pairs), "int32"), len(kept)
             yield pa.RecordBatch.from_pydict({
-                "kind": np.concatenate([np.zeros(n, "int32"), zeros + 1]), "key": np.concatenate([key[other], pairs[:, 0]]), "cid": np.concatenate([cid[other], pairs[:, 1]]),
-                "size": np.concatenate([size[other], zeros]), "rest": np.concatenate([rest[other], zeros])})
+                "kind": np.concatenate([np.zeros(n, "int32"), zeros + 1]), "key": np.concatenate([key[kept], pairs[:, 0]]), "cid": np.concatenate([cid[kept], pairs[:, 1]]),
+                "size": np.concatenate([size[kept], zeros]), "rest": np.concatenate([rest[kept], zeros])})
     return stars
 
 
 def _cross_pairs(rule: Rule, block: int):
     """Pairs of one list that lie in different components and may link. Rows carry the blocks (left, right) they are compared for."""
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, left, right, cid, size, rest, comp, own in _runs(batches, ["key", "left", "right", "cid", "size", "rest", "comp", "own"], 3):
+        for key, left, right, cid, size, rest, comp, own in runs(batches, ["key", "left", "right", "cid", "size", "rest", "comp", "own"], 3):
             out = []
-            starts = _starts([key, left, right])
-            for s, e in zip(starts, np.append(starts[1:], len(key))):
+            begins = starts([key, left, right])
+            for s, e in zip(begins, np.append(begins[1:], len(key))):
                 if (comp[s:e] == comp[s]).all():
                     continue
                 x, y = np.arange(s, e)[own[s:e] == left[s]], np.arange(s, e)[own[s:e] == right[s]]
@@ -245,10 +223,24 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("fragment"), pa.array(both, pa.int64())], names=["a", "b", "fragment", "overlap"])
 
 
+def _plausible(rule: Rule):
+    """Pairs whose sketches leave room for enough common n-grams."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*[batch.column(c).to_pylist() for c in ("sketch_a", "size_a", "sketch_b", "size_b")])
+            ok = [bool(rule.links(most_common(x, m, y, n), m, n)) for x, m, y, n in columns]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return keep
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, table, bits: int, fragments: int) -> DataFrame:
-    """Pairs of classes with their exact common n-grams: overlaps per fragment, summed. Columns a, b, linked."""
+    """The linked pairs (a, b). Sketches rule out most others; then common n-grams are counted per fragment, and summed."""
+    small = classes.select("cid", "size", "sketch")
+    known = pairs.join(small.toDF("a", "size_a", "sketch_a"), "a").join(small.toDF("b", "size_b", "sketch_b"), "b")
+    pairs = staged(known.mapInArrow(_plausible(rule), "a long, b long"), "plausible")
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b"))).distinct().join(classes.select("cid", "doc_id", "mark", "size"), "cid")
     needed = staged(needed, "needed")
+    docs = filtered(docs, "mark", key_filter(needed.select("mark")))
     texts = same_keys_join(docs, needed.select("cid", "doc_id", "mark"), ["doc_id", "mark"]).select("cid", "text")
     segments = staged(texts.mapInArrow(_segments(rule, table, bits, fragments), "cid long, fragment int, keys binary"), "segments")
     left = pairs.join(segments.select(F.col("cid").alias("a"), "fragment", F.col("keys").alias("keys_a")), "a")
@@ -259,17 +251,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule,
     sizes = needed.select("cid", "size").distinct()
     sums = pairs.join(sums, ["a", "b"], "left").join(sizes.withColumnsRenamed({"cid": "a", "size": "size_a"}), "a").join(sizes.withColumnsRenamed({"cid": "b", "size": "size_b"}), "b")
     both = F.coalesce("overlap", F.lit(0))
-    return sums.select("a", "b", rule.links(both, F.col("size_a"), F.col("size_b")).alias("linked"))
+    return sums.where(rule.links(both, F.col("size_a"), F.col("size_b"))).select("a", "b")
+
+
+def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document: see ngram_groups."""
+    return ngram_groups(docs, n, percent, **options).select("doc_id", "n_shingles", "component_id")
 
 
-def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, bits: int = BITS, fragments: int = FRAGMENTS, block: int = LIST_BLOCK) -> DataFrame:
-    """doc_id, mark (xxhash64 of the text), n_shingles and component_id of every document, from the exact Jaccard join.
+def ngram_groups(docs: DataFrame, n: int = 4, percent: int = 85, bits: int = BITS, fragments: int = FRAGMENTS, block: int = LIST_BLOCK) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text), n_shingles, component_id and component (a number of its own) of every document, from the
+    exact Jaccard join.
 
     N-grams are put in one global order, common ones last (gram_classes). Documents with equal sets form a class. In the order, two
     linked sets share an n-gram of their short prefixes: lists of classes by prefix n-gram give candidates, thinned by size and
     position. The order is cut into fragments; each candidate pair's overlap is counted per fragment and summed.
 
-    No list is expanded into all pairs: first each list's class with the most n-grams left is paired with the others; the links
+    No list is expanded into all pairs: first each class is paired with one of each list, by share of n-grams left; the links
     found give components. Then only pairs of different components that still may link are verified, so no link between
     components is lost, and pairs within one need no proof.
 
@@ -283,17 +281,15 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, bits: int =
     table = spark.sparkContext.broadcast(gram_classes(docs.select("text"), n, bits))
     sets = staged(document_sets(docs, rule, table, bits), "sets")
     groups = sets.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r"), F.max("prefix").alias("prefix"))
-    classes = staged(groups.select(F.monotonically_increasing_id().alias("cid"), "digest", "n_shingles", F.col("n_shingles").cast("int").alias("size"), "r.doc_id", "r.mark", "prefix"), "classes")
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r"), F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch"))
+    classes = staged(groups.select(F.monotonically_increasing_id().alias("cid"), "digest", "n_shingles", F.col("n_shingles").cast("int").alias("size"), "r.doc_id", "r.mark", "prefix", "sketch"), "classes")
     slots = partitions(spark)
     postings = classes.select("cid", "n_shingles", "prefix").mapInArrow(_postings, "key long, cid long, size int, rest int")
     postings = postings.repartition(slots, "key").sortWithinPartitions("key", (-F.col("rest") / F.col("size")), "cid")
     found = staged(postings.mapInArrow(_stars(rule), "kind int, key long, cid long, size int, rest int"), "lists")
     lists = found.where("kind = 0").drop("kind")
     first = staged(found.where("kind = 1").select(F.col("key").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
-    proven = staged(_verified(first, docs, classes, rule, table, bits, fragments), "proven")
-    links = proven.where("linked").select("a", "b")
-    comp = staged(components(links), "components")
+    comp = staged(components(staged(_verified(first, docs, classes, rule, table, bits, fragments), "links")), "components")
 
     placed = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     spans = placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
@@ -304,13 +300,13 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, bits: int =
     placed = placed.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
     placed = placed.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right", "cid")
     rest = placed.select("key", "cid", "size", "rest", "comp", "own", "left", "right").mapInArrow(_cross_pairs(rule, block), "a long, b long").distinct()
-    rest = staged(rest.join(proven.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    more = staged(_verified(rest, docs, classes, rule, table, bits, fragments).where("linked").select("a", "b"), "more")
+    rest = staged(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    more = staged(_verified(rest, docs, classes, rule, table, bits, fragments), "more")
     if not more.isEmpty():
         comp = staged(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
     named = classes.select("cid", "digest", "n_shingles", "doc_id").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.join(smallest, "component").select("digest", "n_shingles", "component_id"), "named")
+    named = staged(named.join(smallest, "component").select("digest", "n_shingles", "component", "component_id"), "named")
     linked = sets.select("doc_id", "mark", "n_shingles", "digest").join(named, ["digest", "n_shingles"], "left")
-    return linked.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return linked.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")

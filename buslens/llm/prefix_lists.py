@@ -60,3 +60,21 @@ def earliest_partners(begins: np.ndarray, counts: np.ndarray, may_link, block: i
                 some[x[hit, 0]] = True
                 some[y[ok.any(axis=0)]] = True
     return earliest, some
+
+
+def set_sketch(found: np.ndarray) -> bytes:
+    """A bit table of a set, of at least three quarters of a bit for each element: it bounds what two sets have in common."""
+    size = 1 << max(6, int(np.ceil(np.log2(0.75 * len(found)))))
+    bits = np.zeros(size, dtype=bool)
+    bits[(found & np.uint64(size - 1)).astype("int64")] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
+    """No more elements than that are in both sets: each bit that only one of them has is an element that the other lacks."""
+    x, y = (np.unpackbits(np.frombuffer(s, dtype="uint8")).astype(bool) for s in (a, b))
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    return min(size_a - int((x & ~y).sum()), size_b - int((y & ~x).sum()))

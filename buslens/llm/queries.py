@@ -74,7 +74,7 @@ FROM reach JOIN sets s ON s.r = reach.a JOIN sets t ON t.r = reach.b GROUP BY s.
 
 @query("op4_ngram_jaccard", NGRAM_SQL)
 def op4_ngram_jaccard(spark, sf_dir):
-    return ngram_components(table(spark, sf_dir, "documents")).drop("mark")
+    return ngram_components(table(spark, sf_dir, "documents"))
 
 
 @query("op9_pack")
