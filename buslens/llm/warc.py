@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from buslens.llm.common import new_path, partitions, pick, same_keys_join, staged
+from buslens.llm.common import new_path, partitions, pick, staged
 
 SEPARATOR = "\r\n\r\n"
 #: Payloads of so many bytes are archived once; smaller ones each time.
@@ -60,7 +60,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, comp
     and a lost task leaves nothing behind.
     """
     pages = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    heads = staged(pages.select("page_id", "url", "payload_bytes", "digest", F.monotonically_increasing_id().alias("row")), "heads")
+    pages = pages.withColumn("mark", F.xxhash64("page_id", "url"))
+    heads = staged(pages.select("page_id", "url", "payload_bytes", "digest", "mark", F.monotonically_increasing_id().alias("row")), "heads")
     heads = heads.withColumn("same", F.when(F.col("payload_bytes") >= min_bytes, F.lit(-1).cast("long")).otherwise(F.col("row")))
     seconds = F.lit(EPOCH) + 60 * F.coalesce(F.col("page_id").cast("long"), F.lit(0))
     heads = heads.withColumn("date", F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
@@ -69,10 +70,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, comp
     revisits = heads.join(first.where("n > 1"), ["digest", "payload_bytes", "same"]).where("row <> first_row")
     revisits.select(_record("revisit").alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/revisits")
     stored = staged(heads.join(first.select(F.col("first_row").alias("row")), "row"), "stored")
-    keys = ["page_id", "url", "digest"]
-    # One row for each key, whatever the table repeats; then a record for each stored row.
-    texts = same_keys_join(pages.select(*keys, "html"), stored.select(*keys).distinct(), keys).groupBy(*keys).agg(F.max("html").alias("html"))
-    responses = same_keys_join(texts, stored, keys)
+    # One text for each key, whatever the table repeats; then a record for each stored row. Payloads are shuffled once, as all steps have
+    # the same keys, and the digest alone tells the payload.
+    keys = ["mark", "digest"]
+    texts = pages.select(*keys, "html").join(stored.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.max("html").alias("html"))
+    responses = texts.join(stored, keys)
     responses.select(_record("response").alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/responses")
 
 
