@@ -58,10 +58,10 @@ def event_error(value: Column) -> Column:
 
 
 def with_properties(rows: DataFrame) -> DataFrame:
-    """Add properties MAP<STRING,STRING> from properties_raw; anything but an object gives {}.
+    """Add properties MAP<STRING,STRING> for look-ups and properties_json from properties_raw; anything but an object gives {}.
 
-    Keys become safe and at most 64 long, texts at most 120; numbers, booleans and
-    null keep their form. Of keys that become equal the last one counts.
+    Keys become safe and at most 64 long, texts at most 120; numbers, booleans and null stay what they are in the JSON. Of keys
+    that become equal the last one counts.
     """
     entries = F.map_entries(F.try_variant_get("properties_raw", "$", "map<string,variant>"))
     kinds = F.transform(entries, lambda e: F.struct(
@@ -76,11 +76,22 @@ def with_properties(rows: DataFrame) -> DataFrame:
                 .when(e["kind"].startswith("OBJECT"), "[object Object]").otherwise(plain))
 
     rows = rows.withColumn("__kinds", F.filter(kinds, lambda e: e["key"] != ""))
-    rows = rows.withColumn("__named", F.transform("__kinds", lambda e: F.struct(e["key"].alias("key"), text(e).alias("value"))))
+    def as_json(e: Column) -> Column:
+        # to_json() of a variant writes its JSON form; texts are written as the cut text.
+        kept = e["kind"].startswith("ARRAY") | e["kind"].startswith("OBJECT") | (e["kind"] == "STRING")
+        quoted = F.regexp_replace(F.to_json(F.array(text(e))), r"^\[|\]$", "")
+        return F.when(kept, quoted).otherwise(F.coalesce(F.to_json(e["value"]), F.lit("null")))
+
+    rows = rows.withColumn("__named", F.transform("__kinds", lambda e: F.struct(
+        e["key"].alias("key"), text(e).alias("value"), F.concat(F.lit('"'), e["key"], F.lit('":'), as_json(e)).alias("json"))))
     named = F.col("__named")
     last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
-    return rows.withColumn("properties", F.coalesce(F.map_from_entries(last), empty)).drop("__kinds", "__named")
+    rows = rows.withColumn("__last", last)
+    pairs = F.transform("__last", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    body = F.array_join(F.transform("__last", lambda e: e["json"]), ",")
+    return rows.withColumns({"properties": F.coalesce(F.map_from_entries(pairs), empty),
+                             "properties_json": F.concat(F.lit("{"), F.coalesce(body, F.lit("")), F.lit("}"))}).drop("__kinds", "__named", "__last")
 
 
 def normalized_event() -> dict[str, Column]:

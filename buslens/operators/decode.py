@@ -176,14 +176,13 @@ def _top_ids(decoded_frames: DataFrame, status: str, limit: int) -> DataFrame:
 
 
 def top_unmatched(decoded_frames: DataFrame, catalog: Catalog, limit: int = 12) -> DataFrame:
-    """Most frequent ids without a message, with their parameter group and names known for the id."""
+    """Most frequent ids without a message, with their parameter group and all names known for the id."""
     ext = F.col("can_id") > STANDARD_ID_MAX
     rows = _top_ids(decoded_frames, UNMATCHED, limit).withColumn("is_extended", ext)
     rows = rows.withColumn("frame_id", normalize_dbc_id(F.col("can_id"), F.col("is_extended"))).withColumn(
         "pgn", F.when(F.col("is_extended"), j1939_pgn(F.col("frame_id"))))
     names = with_message_ids(catalog.messages).groupBy("is_extended", "frame_id").agg(
-        F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("msg_order", "name"))), 1, 4),
-                                 lambda m: m["name"]), ", ").alias("known_names"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("msg_order", "name"))), lambda m: m["name"]), ", ").alias("known_names"))
     return rows.join(names, ["is_extended", "frame_id"], "left").orderBy(F.desc("frames"), "can_id")
 
 

@@ -16,7 +16,6 @@ from buslens.operators.quantiles import grouped, quantiles
 from buslens.operators.series import histogram, normalized_value
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 
-MAX_GRID_POINTS = 2_000_000
 GRID_CHUNK = 65_536
 LAG_BLOCK = 16_384
 
@@ -33,15 +32,15 @@ class Delay:
     grid: DataFrame
 
 
-def grid_bounds(pairs: DataFrame, keys: list[str], *, max_points: int = MAX_GRID_POINTS,
+def grid_bounds(pairs: DataFrame, keys: list[str], *, max_points: int | None = None,
                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Per pair: the common period on the finer median interval, or why there is none."""
+    """Per pair: the common period on the finer median interval, or why there is none. max_points: longer grids are refused."""
     b = pair_bounds(pairs, keys, blocked=is_large(pairs, keys, max_group_rows))
     start, end = time_s(F.col("start_ns")), time_s(F.col("end_ns"))
     b = b.withColumns({"start_s": start, "end_s": end}).withColumn(
         "points", F.greatest(F.lit(3), F.ceil((F.col("end_s") - F.col("start_s")) / F.greatest(F.lit(1e-9), F.col("fine_dt"))) + 1))
     status = (F.when(F.col("start_ns").isNull() | (F.col("l_n") < 2) | (F.col("r_n") < 2) | (F.col("end_ns") <= F.col("start_ns")), NO_OVERLAP)
-              .when(F.col("status") == GAP, GAP).when(F.col("points") > max_points, TOO_LARGE).otherwise(VALID))
+              .when(F.col("status") == GAP, GAP).when(F.col("points") > max_points if max_points is not None else F.lit(False), TOO_LARGE).otherwise(VALID))
     return b.withColumn("status", status).withColumn("dt", (F.col("end_s") - F.col("start_s")) / (F.col("points") - 1))
 
 
@@ -169,7 +168,7 @@ def delay_histogram(delays: DataFrame, keys: list[str], *, bins: int, floor: flo
 
 
 def analyze_delay(pairs: DataFrame, keys: list[str], *, search_range_s: float = 1.5, threshold_fraction: float = 0.2,
-                  max_points: int = MAX_GRID_POINTS, max_group_rows: int = MAX_GROUP_ROWS) -> Delay:
+                  max_points: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> Delay:
     """Left is the command, right the response.
 
     The lag is the shift with the largest correlation of the smoothed derivatives;

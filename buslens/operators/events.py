@@ -20,11 +20,12 @@ def validate_events(lines: DataFrame, value: str = "value") -> DataFrame:
 def normalize_events(validated: DataFrame, carry: list[str]) -> DataFrame:
     """The stored form of the valid events, with the given columns of the input and the event as JSON text."""
     rows = with_properties(keep_where(validated, F.col("error").isNull()))
-    rows = rows.select(*carry, *[c.alias(n) for n, c in normalized_event().items()], "properties")
+    rows = rows.select(*carry, *[c.alias(n) for n, c in normalized_event().items()], "properties", "properties_json")
     iso = F.date_format("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    body = F.struct(F.lit(1).alias("schema_version"), *[iso.alias(c) if c == "timestamp_utc" else F.col(c) for c in STORED])
-    return rows.withColumns({"properties_json": F.to_json("properties", {"ignoreNullFields": "false"}),
-                             "event_json": F.to_json(body, {"ignoreNullFields": "false"})})
+    head = F.struct(F.lit(1).alias("schema_version"), *[iso.alias(c) if c == "timestamp_utc" else F.col(c) for c in STORED if c != "properties"])
+    # Properties come last in the event, with the JSON types they had.
+    opened = F.regexp_replace(F.to_json(head, {"ignoreNullFields": "false"}), r"\}$", "")
+    return rows.withColumn("event_json", F.concat(opened, F.lit(',"properties":'), F.col("properties_json"), F.lit("}")))
 
 
 def first_per_id(events: DataFrame, order: list[str]) -> DataFrame:
@@ -48,9 +49,10 @@ def rejected_events(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def retain_recent(lines: DataFrame, now: Column, days: int = 365, value: str = "value") -> DataFrame:
-    """Event lines from the last days (30..730). Lines whose time cannot be read stay."""
-    keep = min(max(int(days), 30), 730)
-    at = parse_event(lines, value).withColumn("cutoff", now - F.make_dt_interval(F.lit(keep)))
+    """Event lines from the last days. Lines whose time cannot be read stay."""
+    if days < 0:
+        raise ValueError("days must not be negative")
+    at = parse_event(lines, value).withColumn("cutoff", now - F.make_dt_interval(F.lit(int(days))))
     return at.where(F.col("event_time").isNull() | (F.col("event_time") >= F.col("cutoff"))).select(*lines.columns)
 
 
@@ -72,11 +74,12 @@ def avg_decode_ms(events: DataFrame) -> DataFrame:
 
 
 def recent_events(events: DataFrame, limit: int = 100) -> DataFrame:
-    """The latest events, 1..500."""
-    return events.orderBy(F.desc("received_at"), "event_id").limit(min(max(int(limit), 1), 500))
+    """The latest events."""
+    return events.orderBy(F.desc("received_at"), "event_id").limit(limit)
 
 
-def export_rows(events: DataFrame, after: Column | None = None, limit: int = 5000) -> DataFrame:
-    """The next events after a receive time, oldest first, 1..10 000."""
+def export_rows(events: DataFrame, after: Column | None = None, limit: int | None = None) -> DataFrame:
+    """The events after a receive time, oldest first: all, or the first `limit`."""
     rows = events if after is None else events.where(F.col("received_at") > after)
-    return rows.orderBy("received_at", "event_id").limit(min(max(int(limit), 1), 10_000))
+    rows = rows.orderBy("received_at", "event_id")
+    return rows if limit is None else rows.limit(limit)

@@ -10,9 +10,6 @@ from buslens.functions.frame import data_hex, id_hex, time_s
 from buslens.plans.staging import same_keys_join
 from buslens.schema import present
 
-MAX_PAGE_ROWS = 2_000_000
-
-
 def parse_id_literal(text: str) -> int | None:
     """The id a search text stands for: hexadecimal with 0x or a letter A-F, else decimal; None if neither."""
     t = text.strip()
@@ -29,6 +26,18 @@ def contains_text(column: Column, text: str) -> Column:
     return F.lower(column).contains(text.lower())
 
 
+def within_time(rows: DataFrame, start: float | None, end: float | None) -> DataFrame:
+    """Rows from start to end (seconds, both included). Slightly wider whole nanoseconds go to the scan, the exact test stays on top."""
+    ts = F.col("ts_ns")
+    for bound, sign in ((start, -1), (end, 1)):
+        if bound is not None:
+            rows = rows.where(time_s(ts) >= float(bound) if sign < 0 else time_s(ts) <= float(bound))
+            slack = bound * 1e9 + sign * (abs(bound) * 1e-3 + 1e3)
+            if abs(slack) < 2**62:
+                rows = rows.where(ts >= int(slack) if sign < 0 else ts <= int(slack))
+    return rows
+
+
 def filter_frames(frames: DataFrame, *, id_text: str | None = None, payload_hex: str | None = None,
                   type_text: str | None = None, channel_text: str | None = None, time_start: float | None = None,
                   time_end: float | None = None, is_extended: bool | None = None) -> DataFrame:
@@ -46,10 +55,7 @@ def filter_frames(frames: DataFrame, *, id_text: str | None = None, payload_hex:
         out = out.where(contains_text(F.col("frame_type"), type_text))
     if channel_text and channel_text.strip():
         out = out.where(contains_text(F.col("channel"), channel_text))
-    if time_start is not None:
-        out = out.where(time_s(F.col("ts_ns")) >= float(time_start))
-    if time_end is not None:
-        out = out.where(time_s(F.col("ts_ns")) <= float(time_end))
+    out = within_time(out, time_start, time_end)
     if is_extended is not None:
         out = out.where(F.col("is_extended") == is_extended)
     return out
@@ -61,9 +67,19 @@ def page_frames(frames: DataFrame, offset: int = 0, max_rows: int = 50_000) -> D
     return frames.orderBy(*order).offset(max(0, offset)).limit(max(1, max_rows))
 
 
-def page_after(frames: DataFrame, after: int, max_rows: int = 50_000) -> DataFrame:
-    """The page that follows a frame number. Unlike an offset it skips files and row groups."""
-    return frames.where(F.col("frame_index") > after).orderBy("frame_index").limit(max(1, max_rows))
+def page_after(frames: DataFrame, after: tuple | None = None, max_rows: int = 50_000) -> DataFrame:
+    """The page that follows a row in source order, told by its (source_file, frame_index), or by its frame_index alone in a table without
+    files; None for the first page. Unlike an offset it skips files and row groups."""
+    order = present(frames, ["source_file", "frame_index"])
+    if after is not None:
+        *file, number = after if isinstance(after, tuple) else (after,)
+        if len(file) + 1 != len(order):
+            raise ValueError(f"a page is continued after {order}")
+        test = F.col("frame_index") > number
+        if file:
+            test = (F.col("source_file") > file[0]) | ((F.col("source_file") == file[0]) & test)
+        frames = frames.where(test)
+    return frames.orderBy(*order).limit(max(1, max_rows))
 
 
 def message_window(frames: DataFrame, samples: DataFrame, *, only_decoded: bool = False, search: str | None = None,
@@ -86,7 +102,7 @@ def message_window(frames: DataFrame, samples: DataFrame, *, only_decoded: bool
             | contains_text(F.col("data_hex"), text)))
     if page is None:
         return rows
-    size = min(max(page_rows, 1), MAX_PAGE_ROWS)
+    size = max(page_rows, 1)
     return page_frames(rows, (max(1, page) - 1) * size, size)
 
 

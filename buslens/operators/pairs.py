@@ -108,7 +108,7 @@ def joystick_usage(pairs: DataFrame, keys: list[str], *, start: float | None = N
         *keys, "side", "ts_ns", F.lit(0).cast("long").alias("frame_index"),
         F.when(F.col("side") == "L", F.col("x")).otherwise(F.col("y")).alias("value"))
     again = align_pairs(both, keys, max_group_rows=max_group_rows)
-    return _analyze(again, keys, max(0.0, deadzone), max(0.0, saturation), min(max(bins, 10), 100), max_group_rows)
+    return _analyze(again, keys, max(0.0, deadzone), max(0.0, saturation), bins, max_group_rows)
 
 
 def density_grid(path: DataFrame, keys: list[str], *, size: int = 64, edge: float = 1.2) -> DataFrame:

@@ -42,7 +42,9 @@ def downsample_minmax(samples: DataFrame, keys: list[str], max_points: int = 400
 def stride_reduce(rows: DataFrame, keys: list[str], max_points: int = 5000, *, order: list[str] | None = None,
                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Every ceil(n / max_points)-th row and the last one."""
-    m = min(max(int(max_points), 100), 100_000)
+    if max_points < 1:
+        raise ValueError("max_points must be positive")
+    m = int(max_points)
     o = ordered(rows, keys, order or SERIES_ORDER, max_group_rows=max_group_rows).number("pos", "len").done()
     step = F.ceil(F.col("len") / F.lit(float(m)))
     return o.where((F.col("pos") % step == 0) | (F.col("pos") == F.col("len") - 1)).drop("len")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from buslens.functions.frame import time_s
+from buslens.operators.frames import within_time
 from buslens.operators.ordered import Ordered, ordered
 from buslens.operators.quantiles import grouped, quantiles
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
@@ -87,7 +88,9 @@ def histogram(rows: DataFrame, keys: list[str], value: str = "value", *, bins: i
     low and high are expressions over vmin and vmax of the group and over the
     columns of bounds (one row per group); the range always widens to the data.
     """
-    n = min(max(int(bins), 8), 200)
+    if bins < 1:
+        raise ValueError("bins must be positive")
+    n = int(bins)
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     span = rows.groupBy(*keys).agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
     if bounds is not None:
@@ -154,7 +157,7 @@ def rank_signals(samples: DataFrame, keys: list[str], *, change_threshold: float
     out = out.withColumn("changes_per_s", F.col("changes") / F.col("duration_s"))
     # Fixed weights of the score.
     score = F.col("changes_per_s") * 0.60 + F.col("std") * 0.25 + F.col("max_abs_slope") * 0.15
-    return out.withColumn("score", score).orderBy(F.desc("score"), *keys).limit(min(max(int(top_n), 1), 500))
+    return out.withColumn("score", score).orderBy(F.desc("score"), *keys).limit(top_n)
 
 
 def interval_stats(samples: DataFrame, keys: list[str], *, blocked: bool | None = None,
@@ -180,13 +183,13 @@ def slice_time(samples: DataFrame, start: float | None = None, end: float | None
     """
     if start is not None and end is not None and start > end:
         start, end = end, start
+    if not full_if_empty:
+        return within_time(samples, start, end)
     t, inside = time_s(F.col("ts_ns")), F.lit(True)
     if start is not None:
         inside = inside & (t >= float(start))
     if end is not None:
         inside = inside & (t <= float(end))
-    if not full_if_empty:
-        return samples.where(inside)
     seen = sized(samples.groupBy(*keys).agg(F.max(inside).alias("any_inside")))
     return same_keys_join(samples, seen, keys).where(~F.col("any_inside") | inside).drop("any_inside")
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from buslens.functions.frame import frame_duration, time_s
 from buslens.operators.ordered import ordered
 from buslens.plans.staging import MAX_GROUP_ROWS, same_keys_join, sized
 from buslens.schema import STREAM_COLS
 
-MAX_BINS = 200_000
+#: Bins of one row of the grid; more rows follow.
+GRID_STEP = 100_000
 STREAM = STREAM_COLS
 
 
@@ -18,17 +19,16 @@ def _of_files(frames: DataFrame) -> DataFrame:
 
 
 def time_bins(frames: DataFrame, bin_ms: float = 100) -> DataFrame:
-    """Per file: start, duration, bin width and number of bins (wider bins beyond 200 000)."""
+    """Per file: start, duration, bin width and number of bins."""
+    if bin_ms <= 0:
+        raise ValueError("bin_ms must be positive")
     t = time_s(F.col("ts_ns"))
-    width = min(max(bin_ms / 1000.0, 0.05), 5.0)
+    width = bin_ms / 1000.0
     span = _of_files(frames).groupBy("source_file").agg(
         F.count(F.lit(1)).alias("frames"), F.min(t).alias("start_s"), F.max(t).alias("end_s"))
-    span = span.withColumn("duration_s", F.greatest(F.lit(1e-9), F.col("end_s") - F.col("start_s"))).withColumn(
-        "wanted", F.greatest(F.lit(1), F.ceil(F.col("duration_s") / width) + 1))
+    span = span.withColumn("duration_s", F.greatest(F.lit(1e-9), F.col("end_s") - F.col("start_s")))
     return sized(span.withColumns({
-        "bin_s": F.when(F.col("wanted") > MAX_BINS, F.col("duration_s") / (MAX_BINS - 1.0)).otherwise(F.lit(width)),
-        "bins": F.least(F.lit(MAX_BINS), F.col("wanted")).cast("int"),
-    }).drop("wanted", "end_s"))
+        "bin_s": F.lit(width), "bins": F.greatest(F.lit(1).cast("long"), F.ceil(F.col("duration_s") / width) + 1)}).drop("end_s"))
 
 
 def _binned(frames: DataFrame, spans: DataFrame, kbps: float, data_kbps: float) -> DataFrame:
@@ -36,7 +36,7 @@ def _binned(frames: DataFrame, spans: DataFrame, kbps: float, data_kbps: float)
     busy = frame_duration(F.col("frame_format"), F.col("is_extended"), F.col("payload_len"), F.col("brs"),
                           max(50, kbps) * 1000.0, max(50, data_kbps) * 1000.0)
     rows = same_keys_join(_of_files(frames), spans, ["source_file"])
-    at = F.floor((time_s(F.col("ts_ns")) - F.col("start_s")) / F.col("bin_s")).cast("int")
+    at = F.floor((time_s(F.col("ts_ns")) - F.col("start_s")) / F.col("bin_s"))
     return rows.groupBy("source_file", F.least(F.greatest(at, F.lit(0)), F.col("bins") - 1).alias("bin")).agg(
         F.count(F.lit(1)).alias("frames"), F.sum(busy).alias("busy_s"))
 
@@ -44,7 +44,10 @@ def _binned(frames: DataFrame, spans: DataFrame, kbps: float, data_kbps: float)
 def bus_trend(frames: DataFrame, *, bin_ms: float = 100, kbps: float = 500, data_kbps: float = 2000) -> DataFrame:
     """Frames per second and estimated load per time bin, empty bins included."""
     spans = time_bins(frames, bin_ms)
-    grid = spans.select("source_file", "start_s", "bin_s", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    # A file's grid is made in steps, so that no row holds all of it.
+    step = F.lit(GRID_STEP).cast("long")
+    grid = spans.select("source_file", "start_s", "bin_s", "bins", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1, step)).alias("from"))
+    grid = grid.select("source_file", "start_s", "bin_s", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("bins")) - 1)).alias("bin"))
     filled = same_keys_join(grid, _binned(frames, spans, kbps, data_kbps), ["source_file", "bin"], "left")
     n, busy = F.coalesce("frames", F.lit(0)), F.coalesce("busy_s", F.lit(0.0))
     return filled.select("source_file", "bin", (F.col("start_s") + F.col("bin") * F.col("bin_s")).alias("time_s"),
@@ -86,13 +89,22 @@ def bus_overview(frames: DataFrame, *, bin_ms: float = 100, kbps: float = 500, d
 
 
 def top_ids(frames: DataFrame, limit: int = 30) -> DataFrame:
-    """The busiest streams with their share of all frames."""
+    """The busiest streams of each file with their share of its frames."""
     rows = stream_counts(frames)
     totals = sized(rows.groupBy("source_file").agg(F.sum("frames").alias("all_frames")))
     rows = same_keys_join(rows, totals, ["source_file"])
-    return rows.select(*STREAM, "frames", (F.col("frames") * 100.0 / F.col("all_frames")).alias("share_pct"),
-                       (F.col("payload_bytes") / F.col("frames")).alias("mean_payload_len"),
-                       ).orderBy(F.desc("frames"), "channel", "can_id", "direction", "frame_format", "is_extended").limit(limit)
+    rows = rows.select(*STREAM, "frames", (F.col("frames") * 100.0 / F.col("all_frames")).alias("share_pct"),
+                       (F.col("payload_bytes") / F.col("frames")).alias("mean_payload_len"))
+    return _first_of_file(rows, [F.desc("frames"), *_TIES], limit)
+
+
+_TIES = ["channel", "can_id", "direction", "frame_format", "is_extended"]
+
+
+def _first_of_file(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first rows of each file, in that order; one row per stream is ranked."""
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy(*order))
+    return rows.withColumn("__place", place).where(F.col("__place") <= limit).orderBy("source_file", "__place").drop("__place")
 
 
 def cycle_times(frames: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -110,6 +122,5 @@ def cycle_stats(frames: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> D
 
 
 def cycle_timing(frames: DataFrame, limit: int = 40, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """The streams with the largest jitter."""
-    return cycle_stats(frames, max_group_rows=max_group_rows).orderBy(
-        F.desc("jitter_ms"), F.desc("cycles"), "channel", "can_id", "direction", "frame_format", "is_extended").limit(limit)
+    """The streams of each file with the largest jitter."""
+    return _first_of_file(cycle_stats(frames, max_group_rows=max_group_rows), [F.desc("jitter_ms"), F.desc("cycles"), *_TIES], limit)

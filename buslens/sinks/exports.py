@@ -27,7 +27,7 @@ def decoded_export(samples: DataFrame, frames: DataFrame, meta: dict[str, str |
         "signal_name": F.col("signal_name"), "value": F.col("value"), "label": signal_label(), "time_ns": F.col("ts_ns"),
         "frame_index": F.col("frame_index"), "source_line": F.col("source_line"), "channel": F.col("channel"),
         "frame_format": F.col("frame_format"), "is_extended": F.col("is_extended"), "dlc_code": F.col("dlc_code"),
-        "payload_length": F.col("payload_length"), "raw_value": F.col("raw_value").cast("string"), "unit": F.col("unit"),
+        "payload_length": F.col("payload_length"), "raw_value": F.coalesce(F.col("raw_value").cast("string"), *[F.col("raw_hex")] * ("raw_hex" in rows.columns)), "unit": F.col("unit"),
         "decode_quality": F.col("quality"),
     }
     named.update({c: F.lit(meta.get(c) or "") for c in
@@ -40,8 +40,8 @@ def export_decoded(samples: DataFrame, frames: DataFrame, meta: dict[str, str |
     decoded_export(samples, frames, meta).write.option("header", True).csv(path)
 
 
-def export_ndjson(events: DataFrame, path: str, after: Column | None = None, limit: int = 5000) -> None:
-    """Newline JSON of the next events, oldest first."""
+def export_ndjson(events: DataFrame, path: str, after: Column | None = None, limit: int | None = None) -> None:
+    """Newline JSON of the events after a receive time, oldest first."""
     rows = export_rows(events, after, limit).select(F.col("event_json").alias("value"))
     rows.write.text(path)
 

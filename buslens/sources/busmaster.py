@@ -7,10 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from buslens.functions.frame import with_frame_checks
 from buslens.functions.ids import STANDARD_ID_MAX, direction_of, hex_id, payload_from_pairs
 from buslens.functions.time import NANOS_PER_DAY, ts_tod_ns
-from buslens.operators.ordered import BLOCK, Ordered
-from buslens.plans.staging import staged
-from buslens.sources.lines import (ACCEPTED, SPLIT, LogFormat, ParsedLog, classify, finish, groups, number_lines, numbered,
-                                   scan_lines, split_table)
+from buslens.sources.lines import (ACCEPTED, NON_DATA, SPLIT, LogFormat, ParsedLog, classify, finish, groups, lines_of, number_frames,
+                                   scan_lines, split_table, stage_lines)
 
 # Fixed line pattern: 1 time, 2 direction, 3 channel, 4 id, 5 type, 6 length, 7 bytes.
 BUSMASTER = (r"^(\d{1,2}:\d{1,2}:\d{1,2}:\d{1,9})\s+(Rx|Tx)\s+(\S+)\s+(0x[0-9A-Fa-f]+|[0-9A-Fa-f]+)"
@@ -52,24 +50,19 @@ BUSMASTER_FORMAT = LogFormat("busmaster", busmaster_columns, rebase=True)
 
 
 def read_busmaster(spark, path) -> ParsedLog:
-    """A drop of more than half a day starts the next day; a smaller drop only warns."""
-    parsed = numbered(busmaster_columns(scan_lines(spark, path)))
+    """A drop of more than half a day starts the next day; a smaller drop only warns.
+
+    The clock runs over every line with a readable time, valid frame or not: within a split in the scan, from split to split by
+    the last time of each.
+    """
+    parsed = stage_lines(busmaster_columns(scan_lines(spark, path)), texts=F.col("line_class") != NON_DATA)
     splits = split_table(parsed)
-    keep = ["line_class", "line_text", "raw_ns", "can_id", "is_extended", "dlc", "payload", "payload_len", "frame_type",
-            "channel", "frame_format", "direction", "kind", "brs", "esi"]
-    # The clock runs over every line with a readable time, valid frame or not.
-    clock = staged(parsed.where(F.col("time_ok") & (F.col("seq") >= 0)).select(*SPLIT, "seq", *keep), "clock")
-    rows = Ordered(clock.withColumn(BLOCK, F.col("split_start")), ["source_file"], ["seq"], True).lag(prev="raw_ns")
-    drop = F.col("prev") - F.col("raw_ns")
-    rows = rows.select(
-        next_day=F.when(drop > NANOS_PER_DAY // 2, 1).otherwise(0).cast("long"),
-        is_frame=(F.col("line_class") == ACCEPTED).cast("long"),
-    ).running_sum(days="next_day", frame_no="is_frame").done()
-    frames = number_lines(rows.where(F.col("line_class") == ACCEPTED), splits)
+    rows = number_frames(parsed.where("time_ok"), splits)
+    rows = rows.withColumns({"prev": F.coalesce("prev_ns", "last_ns"), "day": F.col("days") + F.col("day_off")})
     # The first readable time has no day before it, so its time of day is the base.
-    frames = frames.withColumns({"ts_ns": F.col("days") * NANOS_PER_DAY + F.col("raw_ns") - F.col("base_ns"),
-                                 "frame_index": F.col("frame_no") - 1})
-    warnings = rows.where((F.col("next_day") == 0) & (F.col("raw_ns") < F.col("prev"))).select(
+    frames = lines_of(rows, ACCEPTED).withColumn("ts_ns", F.col("day") * NANOS_PER_DAY + F.col("raw_ns") - F.col("base_ns"))
+    drop = F.col("prev") - F.col("raw_ns")
+    warnings = rows.where((drop > 0) & (drop <= NANOS_PER_DAY // 2)).select(
         *SPLIT, "seq", F.lit("Warning").alias("severity"), F.lit("TIME_BACKWARDS").alias("code"),
         F.lit("time runs backwards within a day; source order is kept").alias("message"), "line_text")
     return finish(splits, parsed, BUSMASTER_FORMAT, frames, warnings)

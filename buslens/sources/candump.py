@@ -28,7 +28,7 @@ def candump_columns(lines: DataFrame) -> DataFrame:
     }).withColumns({
         "time_ok": ~F.col("non_data") & F.col("raw_ns").isNotNull(),
         "flags": F.when(F.col("fd_marker") & (F.length("data") > 0), F.conv(F.substring("data", 1, 1), 16, 10).cast("int")),
-        "payload": payload_from_hex(F.when(F.col("fd_marker"), F.substring("data", 2, 1_000_000)).otherwise(F.col("data"))),
+        "payload": payload_from_hex(F.when(F.col("fd_marker"), F.expr("substring(data, 2)")).otherwise(F.col("data"))),
     }).withColumns({
         "is_extended": F.col("can_id") > STANDARD_ID_MAX,
         "payload_len": F.octet_length("payload"),

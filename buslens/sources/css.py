@@ -8,8 +8,8 @@ from buslens.functions.frame import with_frame_checks
 from buslens.functions.ids import STANDARD_ID_MAX, hex_id, payload_from_hex
 from buslens.functions.time import trimmed, ts_css_ns
 from buslens.plans.staging import same_keys_join, sized
-from buslens.sources.lines import (ACCEPTED, NON_DATA, LogFormat, ParsedLog, classify, finish, lines_of, number_frames,
-                                   numbered, scan_lines, split_table)
+from buslens.sources.lines import (ACCEPTED, NON_DATA, LogFormat, ParsedLog, classify, finish, lines_of, number_frames, scan_lines,
+                                   split_table, stage_lines)
 
 # Fixed header names.
 HEADER = ["timestamp", "type", "id", "data"]
@@ -62,21 +62,19 @@ CSS_FORMAT = LogFormat("css", css_columns, rebase=True)
 
 
 def read_css(spark, path) -> ParsedLog:
-    every = numbered(css_columns(scan_lines(spark, path)))
-    place = F.struct("split_start", "seq")
+    # Valid lines are counted in the scan, before the header is known; those above it come first in the file, so the file's count of them is taken off again.
+    every = stage_lines(css_columns(scan_lines(spark, path)))
+    place, valid = F.struct("split_start", "seq"), F.col("line_class") == ACCEPTED
     header = sized(every.where("is_header").groupBy("source_file").agg(F.min(place).alias("header_at")))
     after = F.coalesce(place > F.col("header_at"), F.lit(False))
     parsed = same_keys_join(every, header, ["source_file"], "left").withColumns({
-        "valid": F.col("line_class") == ACCEPTED,
+        "above": valid & ~after,
         "line_class": F.when(after, F.col("line_class")).otherwise(NON_DATA),
         "time_ok": F.col("time_ok") & after,
     })
-    # Frames are numbered in the scan, before the header is known to them. Those above it come first in
-    # the file, so the file's count of them is taken off again.
-    splits = split_table(parsed, F.col("valid"))
-    frames = same_keys_join(number_frames(lines_of(every, ACCEPTED), splits), header, ["source_file"], "left").where(after)
-    above = sized(parsed.groupBy("source_file").agg(F.count_if(F.col("valid") & (F.col("line_class") != ACCEPTED)).alias("above")))
-    frames = same_keys_join(frames, above, ["source_file"]).withColumns({
+    splits = split_table(parsed)
+    above = sized(parsed.groupBy("source_file").agg(F.count_if("above").alias("above")))
+    frames = same_keys_join(number_frames(lines_of(parsed, ACCEPTED).drop("above"), splits), above, ["source_file"]).withColumns({
         "frame_index": F.col("frame_index") - F.col("above"),
         "ts_ns": F.col("raw_ns") - F.col("base_ns"),
     })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from buslens.functions.ids import DBC_EXTENDED_FLAG, normalize_dbc_id
 from buslens.functions.time import trimmed
@@ -25,6 +25,11 @@ MUX_RANGES = r"^.*?SG_MUL_VAL_\s+(\d+)\s+(\w+)\s+(\w+)\s+((?:\d+-\d+(?:,\s*)?)+)
 VALUE_KINDS = {"1": "IeeeFloat32", "2": "IeeeFloat64"}
 
 
+def catalog_of(source_file: Column) -> Column:
+    """Ids are known within one catalog: a file, or the folder that a catalog was written to in parts."""
+    return F.when(source_file.rlike("/part-[^/]*$"), F.regexp_replace(source_file, "/[^/]*$", "")).otherwise(source_file)
+
+
 def load_dbc(spark, path) -> Catalog:
     """Messages, signals, value types and extended multiplexing, with issues for what cannot be used."""
     # A catalog is read several times below and is small next to any log.
@@ -32,36 +37,44 @@ def load_dbc(spark, path) -> Catalog:
     rows = lines.withColumns({
         "m": groups(F.col("line_text"), MESSAGE, 3), "s": groups(F.col("line_text"), SIGNAL, 11),
         "k": groups(F.col("line_text"), VALUE_TYPE, 3), "x": groups(F.col("line_text"), MUX_RANGES, 4),
-    }).withColumn("one", F.lit(0))
+    }).withColumn("catalog", catalog_of(F.col("source_file")))
     place = ["source_file", "source_line"]
 
-    messages = rows.where("m is not null").select("one", *place, F.col("m")[0].cast("long").alias("raw_frame_id"),
+    messages = rows.where("m is not null").select("catalog", *place, F.col("m")[0].cast("long").alias("raw_frame_id"),
                                                   F.col("m")[1].alias("name"), F.col("m")[2].cast("int").alias("dlc"))
-    messages = ordered(messages, ["one"], place).number("msg_order").done().select(
-        F.col("msg_order").cast("int").alias("msg_order"), "raw_frame_id", "name", "dlc")
+    # Messages are numbered over all files: per file, then by the messages of the files before.
+    numbers = ordered(messages, ["source_file"], ["source_line"]).number("in_file").done()
+    per_file = numbers.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sized(per_file.select("source_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off")))
+    messages = sized(numbers.join(offsets, "source_file").select(
+        (F.col("in_file") + F.col("off")).cast("int").alias("msg_order"), "raw_frame_id", "name", "dlc", "catalog", *place))
 
     # Signals belong to the message line above them.
-    mark = F.when(F.col("m").isNotNull(), F.col("m")[0].cast("long"))
-    defs = ordered(rows.withColumn("here", mark), ["source_file"], ["source_line"]).last_known(raw_frame_id="here").done()
-    defs = defs.where("s is not null and raw_frame_id is not null").select("raw_frame_id", *place, "s")
-    defs = ordered(defs, ["raw_frame_id"], place).number("sig_order").done()
+    here = F.when(F.col("m").isNotNull(), F.col("source_line"))
+    defs = ordered(rows.withColumn("here", here), ["source_file"], ["source_line"]).last_known(message_line="here").done()
+    defs = defs.where("s is not null and message_line is not null").select("catalog", "message_line", *place, "line_text", "s")
+    owners = messages.select("source_file", F.col("source_line").alias("message_line"), "msg_order", "raw_frame_id")
+    defs = ordered(defs.join(owners, ["source_file", "message_line"]), ["msg_order"], place).number("sig_order").done()
     s = F.col("s")
-    kinds = rows.where("k is not null").groupBy(F.col("k")[0].cast("long").alias("raw_frame_id"), F.col("k")[1].alias("name")).agg(
+    kinds = rows.where("k is not null").groupBy("catalog", F.col("k")[0].cast("long").alias("raw_frame_id"), F.col("k")[1].alias("name")).agg(
         F.max_by(F.col("k")[2], F.struct(*place)).alias("kind"))
     kind = F.when(F.col("kind") == "1", VALUE_KINDS["1"]).when(F.col("kind") == "2", VALUE_KINDS["2"]).otherwise("Integer")
-    signals = defs.select(
-        "raw_frame_id", F.col("sig_order").cast("int").alias("sig_order"), s[0].alias("name"), s[2].cast("int").alias("start_bit"),
+    has_id = s[1].startswith("m")
+    mux_id = F.expr("substring(s[1], 2)").try_cast("int")
+    unread_mux = defs.where(has_id & mux_id.isNull())
+    signals = defs.where(~has_id | mux_id.isNotNull()).select(
+        "catalog", "raw_frame_id", "msg_order", F.col("sig_order").cast("int").alias("sig_order"), s[0].alias("name"), s[2].cast("int").alias("start_bit"),
         s[3].cast("int").alias("length"), (s[4] == "1").alias("little_endian"), (s[5] == "-").alias("is_signed"),
         *[trimmed(s[i]).try_cast("double").alias(n) for i, n in ((6, "scale"), (7, "offset"), (8, "minimum"), (9, "maximum"))],
         s[10].alias("unit"), (s[1] == "M").alias("is_mux"),
-        F.when(s[1].startswith("m"), F.array(F.substring(s[1], 2, 9).cast("int"))).otherwise(F.array().cast("array<int>")).alias("mux_ids"),
-    ).join(kinds, ["raw_frame_id", "name"], "left").withColumn("value_kind", kind).drop("kind")
-    signals = signals.join(messages.select("msg_order", "raw_frame_id"), "raw_frame_id")
+        F.when(has_id, F.array(mux_id)).otherwise(F.array().cast("array<int>")).alias("mux_ids"),
+    ).join(kinds, ["catalog", "raw_frame_id", "name"], "left").withColumn("value_kind", kind).drop("kind")
 
     ranges = _mux_ranges(rows, place)
-    first_message = with_message_ids(messages).groupBy("frame_id").agg(F.min("msg_order").alias("msg_order"))
+    first_message = with_message_ids(messages).groupBy("catalog", "frame_id").agg(F.min("msg_order").alias("msg_order"))
     owner = first_message.join(signals.groupBy("msg_order", "name").agg(F.min("sig_order").alias("sig_order")), "msg_order")
-    found = ranges.join(owner, ["frame_id", "name"], "left")
+    found = ranges.join(owner, ["catalog", "frame_id", "name"], "left")
     usable = found.where("not bad_range and sig_order is not null").groupBy("msg_order", "sig_order").agg(
         F.max_by("mux_ranges", F.struct(*place)).alias("mux_ranges"))
     signals = signals.join(usable, ["msg_order", "sig_order"], "left").select(
@@ -69,11 +82,12 @@ def load_dbc(spark, path) -> Catalog:
         "maximum", "unit", "is_mux", "mux_ids",
         F.coalesce("mux_ranges", F.array().cast("array<struct<mux:string,lo:bigint,hi:bigint>>")).alias("mux_ranges"), "value_kind")
 
-    catalog = Catalog(sized(messages), sized(signals))
+    catalog = Catalog(messages.select("msg_order", "raw_frame_id", "name", "dlc"), sized(signals))
     issues = [_issue(found.where("bad_range or sig_order is null"), "DBC_EXT_MUX", F.when(
         F.col("bad_range"), "multiplexer range is reversed").otherwise("multiplexed signal or its message is missing"))]
     unread = rows.where((F.col("line").rlike(r"^BO_\s") & F.col("m").isNull()) | (F.col("line").rlike(r"^SG_\s") & F.col("s").isNull()))
     issues.append(_issue(unread, "DBC_PARSE", F.lit("definition cannot be read")))
+    issues.append(_issue(unread_mux, "DBC_PARSE", F.lit("multiplexer id is out of range")))
     none = lines.groupBy("source_file").agg(F.lit(0).cast("long").alias("source_line"), F.lit("").alias("line_text")).join(
         rows.where("m is not null").select("source_file").distinct(), "source_file", "left_anti")
     issues.append(_issue(none, "DBC_NO_MESSAGES", F.lit("catalog has no usable messages")))
@@ -91,7 +105,7 @@ def _mux_ranges(rows: DataFrame, place: list[str]) -> DataFrame:
     spans = F.transform(F.filter(F.split(x[3], ","), lambda r: F.trim(r) != ""), lambda r: F.struct(
         x[2].alias("mux"), F.split(F.trim(r), "-")[0].cast("long").alias("lo"), F.split(F.trim(r), "-")[1].cast("long").alias("hi")))
     return rows.where("x is not null").select(
-        *place, "line_text", normalize_dbc_id(raw, ext).alias("frame_id"), x[1].alias("name"), spans.alias("mux_ranges"),
+        "catalog", *place, "line_text", normalize_dbc_id(raw, ext).alias("frame_id"), x[1].alias("name"), spans.alias("mux_ranges"),
     ).withColumn("bad_range", F.exists("mux_ranges", lambda r: r["hi"] < r["lo"]))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from buslens.sources.busmaster import BUSMASTER
 from buslens.sources.candump import CANDUMP
 from buslens.sources.css import is_header
-from buslens.sources.lines import plain_lines
+from buslens.sources.lines import scan_lines
 from buslens.sources.peak import PEAK_CLASSIC, PEAK_TSV
 
 # Lines looked at, and the points a format gets for them.
@@ -20,7 +24,24 @@ def detect_format(spark, path) -> DataFrame:
 
     status is ok, unknown (no format scored) or ambiguous (two formats share the best score).
     """
-    return score_heads(plain_lines(spark, path).where(F.col("source_line") <= PROBE_LINES))
+    lines = scan_lines(spark, path).where("split_start = 0").select("source_file", "line_text", "line")
+    return score_heads(lines.mapInArrow(_heads, lines.schema))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first lines of each file, which its first split holds, in order."""
+    file, seen = None, 0
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        codes = batch.column("source_file").dictionary_encode()
+        names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+        for s in np.flatnonzero(np.diff(codes, prepend=-1)):
+            e = s + int((codes[s:] == codes[s]).cumprod().sum())
+            if names[codes[s]] != file:
+                file, seen = names[codes[s]], 0
+            keep[s:s + max(0, min(e - s, PROBE_LINES - seen))] = True
+            seen += e - s
+        yield batch.filter(pa.array(keep))
 
 
 def score_heads(head: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from buslens.operators.events import ingest_events, normalize_events, validate_events
@@ -15,10 +14,13 @@ def event_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, table: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table)
-    except AnalysisException:
+    """The event table; None only if its folder does not exist yet or holds no rows' files."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path) or not any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(path)):
         return None
+    return spark.read.parquet(table)
 
 
 def start_ingest(spark: SparkSession, folder: str, table: str, rejects: str, checkpoint: str, **trigger):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from buslens.operators import events as EV
 from buslens.plans.staging import new_path
+from buslens.sources.telemetry import load_telemetry
 from buslens.streaming.events import start_ingest
 from harness.registry import query, rounded
 from harness.views import START_US, TELEMETRY, telemetry_lines
@@ -81,14 +82,37 @@ def q_recent(spark, d):
 @query("export_ndjson", f"WITH {TELEMETRY} SELECT id AS event_id FROM te WHERE seq > 500 ORDER BY seq LIMIT 5000")
 def q_export(spark, d):
     after = F.timestamp_micros(F.lit(START_US + 500_000_000))
-    return EV.export_rows(stored(spark, d), after).select("event_id")
+    return EV.export_rows(stored(spark, d), after, limit=5000).select("event_id")
+
+
+@query("export_all", f"WITH {TELEMETRY} SELECT id AS event_id, event_name FROM te WHERE seq > 500")
+def q_export_all(spark, d):
+    """Every event after a receive time."""
+    after = F.timestamp_micros(F.lit(START_US + 500_000_000))
+    return EV.export_rows(stored(spark, d), after).select("event_id", "event_name")
+
+
+@query("event_properties", f"""WITH {TELEMETRY} SELECT id AS event_id,
+  '{{"duration_ms":' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || ',"kind_of":"' || event_type || '"}}' AS properties_json FROM te""")
+def q_event_properties(spark, d):
+    """JSON text of the properties: the number stays a number."""
+    return stored(spark, d).select("event_id", F.regexp_extract("event_json", r'"properties":(.*)\}$', 1).alias("properties_json"))
+
+
+@query("load_telemetry", f"WITH {TELEMETRY} SELECT id AS event_id, event_name FROM te")
+def q_load_telemetry(spark, d):
+    """The event lines as files, read in one batch."""
+    folder = new_path(spark, "drop")
+    lines = telemetry_lines(spark, d).repartitionByRange(F.floor(F.col("seq") / 10)).sortWithinPartitions("seq").select("value")
+    lines.write.text(folder)
+    return load_telemetry(spark, folder).select("event_id", "event_name")
 
 
 @query("retain_recent", f"""WITH {TELEMETRY} SELECT seq FROM tl WHERE coalesce(error, '') IN ('invalid_json', 'event_must_be_object')
   OR ts >= TIMESTAMP '2024-02-20 00:00:00' - INTERVAL 30 DAY""")
 def q_retain(spark, d):
     now = F.lit("2024-02-20 00:00:00").cast("timestamp")
-    return EV.retain_recent(telemetry_lines(spark, d), now, days=7).select("seq")
+    return EV.retain_recent(telemetry_lines(spark, d), now, days=30).select("seq")
 
 
 @query("stream_ingest", f"WITH {TELEMETRY} SELECT id AS event_id, event_name FROM te")

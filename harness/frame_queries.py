@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from buslens.functions.frame import frame_duration
 from buslens.functions.ids import hex_token, j1939_pgn, parse_id
@@ -14,7 +14,7 @@ from buslens.operators.catalog import catalog_from_rows
 from buslens.sinks.exports import decoded_export
 from buslens.sources.readers import read_log
 from harness.registry import query, rounded
-from harness.views import DECODED, EXT_ID, FRAMES, LINES, candump_logs, catalog, decoder, events, frames, log_glob, recording
+from harness.views import DECODED, EXT_ID, FRAMES, LINES, candump_logs, catalog, decoder, events, frames, log_glob, recording, table
 
 
 @query("log_to_watch", f"""WITH {LINES}, s AS (SELECT *, CASE WHEN can_id < 280 THEN 'Msg' || CAST(can_id AS VARCHAR) WHEN is_extended THEN 'Group' END AS message_name FROM ok),
@@ -167,6 +167,23 @@ def q_page_frames(spark, d):
     return FR.page_frames(frames(spark, d), 100, 50).select("frame_index", "can_id")
 
 
+FILES = f"""{FRAMES}, ff AS (SELECT fr.* REPLACE (row_number() OVER (PARTITION BY event_type ORDER BY frame_index) - 1 AS frame_index), event_type AS source_file
+  FROM fr JOIN (SELECT event_id, event_type FROM events) USING (event_id))"""
+
+
+def file_frames(spark, d):
+    """The frames as one recording per event type, each numbered from 0."""
+    kinds = table(spark, d, "events").select(F.col("event_id").alias("frame_index"), F.col("event_type").alias("source_file"))
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("frame_index")) - 1
+    return frames(spark, d).join(kinds, "frame_index").withColumn("frame_index", place.cast("long"))
+
+
+@query("page_after_files", f"""WITH {FILES}, o AS (SELECT *, row_number() OVER (ORDER BY source_file, frame_index) AS n FROM ff)
+SELECT source_file, frame_index, can_id FROM o WHERE n > (SELECT n FROM o WHERE source_file = 'click' AND frame_index = 20) ORDER BY n LIMIT 5000""")
+def q_page_after_files(spark, d):
+    return FR.page_after(file_frames(spark, d), ("click", 20), 5000).select("source_file", "frame_index", "can_id")
+
+
 @query("page_after", f"WITH {FRAMES} SELECT frame_index, can_id FROM fr WHERE frame_index > 149 ORDER BY frame_index LIMIT 50")
 def q_page_after(spark, d):
     return FR.page_after(frames(spark, d), 149, 50).select("frame_index", "can_id")
@@ -295,7 +312,7 @@ def q_normalize_frame(spark, d):
 # --- traffic ---
 SPAN = f"""{FRAMES}, sp AS (SELECT min(ts_ns / 1e9) AS start_s, max(ts_ns / 1e9) AS end_s, count(*) AS n FROM fr),
 bn AS (SELECT *, greatest(1e-9, end_s - start_s) AS dur, greatest(1, ceil(greatest(1e-9, end_s - start_s) / CAST(5 AS DOUBLE)) + 1) AS wanted FROM sp),
-bw AS (SELECT *, CASE WHEN wanted > 200000 THEN dur / CAST(199999 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS w, CAST(least(200000, wanted) AS BIGINT) AS bins FROM bn),
+bw AS (SELECT *, CAST(5 AS DOUBLE) AS w, CAST(wanted AS BIGINT) AS bins FROM bn),
 fb AS (SELECT greatest(0, least(CAST(floor((ts_ns / 1e9 - start_s) / w) AS BIGINT), bins - 1)) AS bin, count(*) AS frames,
   sum((CASE WHEN is_extended THEN 67 ELSE 47 END + 64 + 3) * CAST(1.2 AS DOUBLE) / 500000) AS busy FROM fr, bw GROUP BY 1)"""
 
@@ -303,7 +320,7 @@ fb AS (SELECT greatest(0, least(CAST(floor((ts_ns / 1e9 - start_s) / w) AS BIGIN
 @query("bus_trend", f"""WITH {SPAN} SELECT CAST(g.bin AS INT) AS bin, start_s + g.bin * w AS time_s, coalesce(frames, 0) AS frames, round(coalesce(frames, 0) / w, 5) AS frames_per_s,
   round(coalesce(busy, 0) / w * 100, 5) AS load_pct FROM bw, (SELECT unnest(range(bins)) AS bin FROM bw) g LEFT JOIN fb USING (bin)""")
 def q_bus_trend(spark, d):
-    out = TR.bus_trend(frames(spark, d), bin_ms=5000).drop("source_file")
+    out = TR.bus_trend(frames(spark, d), bin_ms=5000).drop("source_file").withColumn("bin", F.col("bin").cast("int"))
     return out.withColumns({c: F.round(c, 5) for c in ("frames_per_s", "load_pct")})
 
 
@@ -324,6 +341,22 @@ def q_top_ids(spark, d):
     return rounded(TR.top_ids(frames(spark, d)).drop("source_file"))
 
 
+@query("top_ids_by_file", f"""WITH {FILES}, g AS (SELECT source_file, channel, direction, is_extended, can_id, count(*) AS frames FROM ff GROUP BY ALL),
+c AS (SELECT *, sum(frames) OVER (PARTITION BY source_file) AS all_frames FROM g)
+SELECT source_file, channel, direction, is_extended, can_id, frames, round(frames * 100.0 / all_frames, 6) AS share_pct FROM c
+QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY frames DESC, channel, can_id, direction, is_extended) <= 7""")
+def q_top_ids_by_file(spark, d):
+    return rounded(TR.top_ids(file_frames(spark, d), 7).drop("frame_format", "mean_payload_len"))
+
+
+@query("cycle_timing_by_file", f"""WITH {FILES}, cy AS (SELECT *, (ts_ns / 1e9 - lag(ts_ns / 1e9) OVER (PARTITION BY source_file, channel, direction, is_extended, can_id ORDER BY frame_index)) * 1000 AS cycle_ms FROM ff),
+c AS (SELECT source_file, channel, direction, is_extended, can_id, count(cycle_ms) AS cycles, coalesce(stddev_samp(cycle_ms), 0) AS jitter FROM cy WHERE cycle_ms IS NOT NULL GROUP BY ALL)
+SELECT source_file, channel, is_extended, can_id, cycles, round(jitter, 3) AS jitter_ms FROM c
+QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY jitter DESC, cycles DESC, channel, can_id, direction, is_extended) <= 9""")
+def q_cycle_timing_by_file(spark, d):
+    return rounded(TR.cycle_timing(file_frames(spark, d), 9).select("source_file", "channel", "is_extended", "can_id", "cycles", "jitter_ms"), 3)
+
+
 @query("cycle_times", f"WITH {FRAMES}, {CYCLES} SELECT channel, direction, is_extended, can_id, frame_index, round(cycle_ms, 3) AS cycle_ms FROM cy")
 def q_cycle_times(spark, d):
     return rounded(TR.cycle_times(frames(spark, d)).select("channel", "direction", "is_extended", "can_id", "frame_index", "cycle_ms"), 3)
