@@ -16,7 +16,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
     if blocked is None:
         blocked = is_large(df, keys, max_group_rows)
     if not blocked:
-        return df.groupBy(*keys).agg(*[F.percentile(c, q).alias(n) for n, (c, q) in wanted.items()])
+        return _in_groups(df, keys, [], wanted)
     parts = []
     for column in dict.fromkeys(c for c, _ in wanted.values()):
         mine = {n: q for n, (c, q) in wanted.items() if c == column}
@@ -29,10 +29,19 @@ def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: dict[str
             max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Aggregates and quantiles of the same groups, in one pass where groups fit a task."""
     if not blocked:
-        return df.groupBy(*keys).agg(*aggs, *[F.percentile(c, q).alias(n) for n, (c, q) in wanted.items()])
+        return _in_groups(df, keys, aggs, wanted)
     return same_keys_join(df.groupBy(*keys).agg(*aggs), quantiles(df, keys, wanted, blocked=True, max_group_rows=max_group_rows), keys)
 
 
+def _in_groups(df: DataFrame, keys: list[str], aggs: list[Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One value buffer for each column, whatever the number of its quantiles."""
+    places = {c: [n for n, (own, _) in wanted.items() if own == c] for c in dict.fromkeys(c for c, _ in wanted.values())}
+    found = [F.percentile(c, F.array(*[F.lit(float(wanted[n][1])) for n in names])).alias(f"__q_{c}") for c, names in places.items()]
+    out = df.groupBy(*keys).agg(*aggs, *found)
+    at = {n: F.get(F.col(f"__q_{c}"), F.lit(places[c].index(n))) for n, (c, _) in wanted.items()}
+    return out.withColumns(at).drop(*[f"__q_{c}" for c in places])
+
+
 def _ranked(df, keys, column, qs, max_group_rows) -> DataFrame:
     """Quantiles of groups that no single task could hold.
 
