@@ -19,14 +19,11 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
-def pack(pdf: pd.DataFrame, rows: int) -> Iterator[dict]:
-    """Blocks of at most `rows` vectors of one length."""
-    lengths = pdf["vector"].map(len)
-    for dim, part in pdf.groupby(lengths, sort=True):
-        for i in range(0, len(part), rows):
-            some = part.iloc[i:i + rows]
-            matrix = np.array(some["vector"].tolist(), dtype="float64").reshape(len(some), dim)
-            yield {"dim": int(dim), "ids": some["id"].to_numpy("int64").tobytes(), "matrix": matrix.tobytes()}
+def pack(pdf: pd.DataFrame) -> Iterator[dict]:
+    """One block for each length of vector."""
+    for dim, part in pdf.groupby(pdf["vector"].map(len), sort=True):
+        matrix = np.array(part["vector"].tolist(), dtype="float64").reshape(len(part), dim)
+        yield {"dim": int(dim), "ids": part["id"].to_numpy("int64").tobytes(), "matrix": matrix.tobytes()}
 
 
 def unpack(row) -> tuple[np.ndarray, np.ndarray]:
@@ -35,22 +32,26 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(df: DataFrame, rows: int, n_rows: int) -> DataFrame:
-    """One row per block of vectors. df: (id long, vector array<double>), dealt out by id; `n_rows` is their number."""
+    """One row per block of at most `rows` vectors. df: (id long, vector array<double>) of `n_rows` rows, dealt into blocks by a hash
+    of the id; a block that gets too many is cut."""
     n = max(1, -(-n_rows // rows))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held = pd.DataFrame()
         for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= rows:
-                whole = pd.concat(held)
-                cut = len(whole) // rows * rows
-                yield pd.DataFrame(list(pack(whole.iloc[:cut], rows)))
-                held = [whole.iloc[cut:]]
-        if held and sum(map(len, held)):
-            yield pd.DataFrame(list(pack(pd.concat(held), rows)))
-
-    return df.repartition(n, "id").mapInPandas(build, BLOCK_SCHEMA)
+            held = pd.concat([held, pdf], ignore_index=True)
+            while len(held):
+                size = int((held["block"] == held["block"].iloc[0]).sum())
+                if size == len(held) and size < rows:
+                    break  # the block may go on in the next batch
+                size = min(size, rows)
+                yield pd.DataFrame(list(pack(held.iloc[:size])))
+                held = held.iloc[size:].reset_index(drop=True)
+        if len(held):
+            yield pd.DataFrame(list(pack(held)))
+
+    dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    return dealt.repartition(n, "block").sortWithinPartitions("block", "id").mapInPandas(build, BLOCK_SCHEMA)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
