@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Iterator
 
 #: Words in each half of a worker's cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 #: Bytes of a text that are split into words at once.
 SEGMENT = 1 << 20
 
@@ -42,6 +42,18 @@ _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTS))}
 
 
+class _Words(dict):
+    """Word to ids; learns a word when it is asked for the first time."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordTokens:
     """Little-endian 32-bit ids of texts, as bytes. One for each worker process (see `of`): its cache lasts over tasks. Words move
     from the older half of the cache to the newer one when they are used, and the older half is dropped when the newer is full."""
@@ -53,7 +65,7 @@ class WordTokens:
 
         self.model = Tokenizer.from_file(path)
         self.pairs = self.model.model
-        self.new: dict[bytes, bytes] = {}
+        self.new = _Words(self._learn)
         self.old: dict[bytes, bytes] = {}
 
     @classmethod
@@ -78,27 +90,15 @@ class WordTokens:
             ids += [t.id for t in self.pairs.tokenize(word[len(stem):].decode())]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, words: list[bytes]) -> None:
-        others = []
-        for w in words:
-            ids = self._simple(w)
-            if ids is None:
-                others.append(w)
-            else:
-                self.new[w] = ids
-        if others:
-            for w, e in zip(others, self.model.encode_batch([w.decode() for w in others], add_special_tokens=False)):
-                self.new[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    def _learn(self, word: bytes) -> bytes:
+        ids = self.old.get(word) or self._simple(word)
+        if ids is None:
+            found = self.model.encode(word.decode(), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def ids(self, text: bytes) -> Iterator[bytes]:
         for part in segments(text):
-            words = part.split()
-            distinct = set(words)
-            missing = [w for w in distinct if w not in self.new]
-            if missing:
-                if len(self.new) + len(missing) > CACHE_WORDS:
-                    self.old, self.new = self.new, {}
-                    missing = list(distinct)
-                self.new.update({w: self.old[w] for w in missing if w in self.old})
-                self._learn([w for w in missing if w not in self.new])
-            yield b"".join(map(self.new.__getitem__, words))
+            if len(self.new) > CACHE_WORDS:
+                self.old, self.new = self.new, _Words(self._learn)
+            yield b"".join(map(self.new.__getitem__, part.split()))
