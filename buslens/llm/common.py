@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from buslens.plans.staging import new_path, same_keys_join, staged
 
-__all__ = ["ASCII_WORD", "filtered", "key_filter", "may_hold", "new_path", "partitions", "pick", "running_sums", "same_keys_join", "sorted_blocks", "staged", "table"]
+__all__ = ["ASCII_WORD", "combined", "filtered", "key_filter", "may_hold", "new_path", "partitions", "pick", "running_sums", "same_keys_join", "sorted_blocks", "staged", "table"]
 
 #: A word: a run of anything but ASCII white space.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
@@ -90,8 +90,14 @@ FILTER_BITS = 25
 _FILTER_PIECES = 64
 
 
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One long key for two."""
+    return (a.astype("int64").view("uint64") * np.uint64(0xD1342543DE82EF95) + b.astype("int64").view("uint64")).view("int64")
+
+
 def key_filter(keys: DataFrame):
-    """A broadcast bit table of a column of long keys, to drop most rows that a join would drop before they are shuffled."""
+    """A broadcast bit table of one column of long keys, or of two (`combined`), to drop most rows that a join would drop before they
+    are shuffled."""
     size = 1 << (FILTER_BITS - 3)
     piece = size // _FILTER_PIECES
 
@@ -101,7 +107,8 @@ def key_filter(keys: DataFrame):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, dtype="uint8")
         for batch in batches:
-            at = _filter_place(batch.column(0).to_numpy())
+            columns = [c.to_numpy() for c in batch.columns]
+            at = _filter_place(columns[0] if len(columns) == 1 else combined(*columns))
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype("uint8"))
         pieces = bits.reshape(_FILTER_PIECES, piece)
         yield rows({i: pieces[i] for i in range(_FILTER_PIECES) if pieces[i].any()})

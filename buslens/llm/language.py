@@ -25,6 +25,8 @@ LENGTH, SEQUENCES, BATCH, ROUNDS, RATE, DECAY = 32, 1_200, 128, 4, 0.3, 1e-5
 #: Words of a block of the chain; blocks are worked on side by side.
 BLOCK = 64
 UNKNOWN = "und"
+#: Text bytes whose distinct words are looked at together.
+STEP = 1 << 21
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -44,7 +46,7 @@ class Model:
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of lower-cased texts: (from, to, bytes, hash, first byte, end byte, text number) of the words that hold a letter."""
-    for i, j, data, cuts in steps(pc.utf8_lower(column)):
+    for i, j, data, cuts in steps(pc.utf8_lower(column), STEP):
         hashes, first, at = hash_words(data, cuts)
         own = np.repeat(np.arange(j - i), np.diff(at))
         if not len(first):

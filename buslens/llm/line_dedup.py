@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from buslens.llm.common import filtered, key_filter, may_hold, partitions, pick, same_keys_join, sorted_blocks, staged
-from buslens.llm.prefix_lists import earliest_partners, runs, starts
+from buslens.llm.common import combined, filtered, key_filter, may_hold, partitions, pick, same_keys_join, sorted_blocks, staged
+from buslens.llm.prefix_lists import earliest_partners, most_common, runs, set_sketch, starts
 from buslens.llm.words import hash_words, mix, steps
 
 #: Lines link when 100 * common words >= PERCENT * all words of the two.
@@ -20,6 +20,8 @@ BITS = 22
 PIECES = 64
 #: Lines of one word that are compared with each other in memory; longer lists are compared block against block.
 LIST_BLOCK = 2_048
+#: Sets of more words than that get a larger bit table than 64 bits.
+SKETCHED = 85
 
 
 def word_classes(texts: DataFrame, bits: int = BITS) -> bytes:
@@ -65,16 +67,18 @@ def _line_sets(column: pa.Array, classes: np.ndarray, bits: int) -> Iterator[tup
     line = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     for i, _, data, cuts in steps(split.flatten()):
         words, _, at = hash_words(data, cuts)
-        own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        own = np.repeat(np.arange(len(at) - 1, dtype="uint16" if len(at) < 65_536 else "int64"), np.diff(at))
         words = (classes[(words >> np.uint64(64 - bits)).astype("int64")].astype("uint64") << np.uint64(58)) | (words >> np.uint64(6))
-        order = np.lexsort((words, own))
+        order = np.argsort(words)  # then by line; two plain sorts are faster than one by both
+        order = order[np.argsort(own[order], kind="stable")]
         words, own = words[order], own[order]
         if not len(words):
             continue
         new = starts([own, words])
         words, own = words[new], own[new]
         first = starts([own])
-        yield text[i + own[first]], line[i + own[first]], first, words
+        row = i + own[first].astype("int64")
+        yield text[row], line[row], first, words
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -89,10 +93,19 @@ def _sums(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.add.reduceat(mix(words * np.uint64(c)), first).view("int64") for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def _lines(table, percent: int, bits: int, only=None):
-    """One row per line with words: where it is, its set's digest (d1, d2, size) and its prefix as 32-bit keys. Words whose bucket
-    counts one word occur once in all texts, so no other line has them: they are left out of the prefix. With `only`, the lines
-    whose d1 that filter may hold, without prefix."""
+def _bits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits of each set: bit k if one of its words is k modulo 64."""
+    return np.bitwise_or.reduceat(np.uint64(1) << (words & np.uint64(63)), first).view("int64")
+
+
+def _sketches(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """Larger bit tables (see set_sketch) of the sets that 64 bits tell too little of."""
+    return [set_sketch(words[s:s + n]) if n > SKETCHED else None for s, n in zip(first.tolist(), size.tolist())]
+
+
+def _lines(table, percent: int, bits: int):
+    """One row per line with words: where it is, its set's digest (d1, d2, size), its prefix as 32-bit keys, and its bit tables. Words whose bucket
+    counts one word occur once in all texts, so no other line has them: they are left out of the prefix."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, dtype="uint8")
         for batch in batches:
@@ -102,16 +115,14 @@ def _lines(table, percent: int, bits: int, only=None):
                 where = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "mark")]
                 columns = [*where, pa.array(line), pa.array(d1), pa.array(d2), pa.array(size)]
                 names = ["doc_id", "mark", "line", "d1", "d2", "size"]
-                if only is not None:
-                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(may_hold(only, d1)))
-                    continue
                 place = np.arange(len(words)) - np.repeat(first, size)
                 # Fewer than four words: only an equal set is similar enough for the usual threshold, and needs no list.
                 length = np.where(_partners(size, percent), _prefix(size, percent), 0)
                 keep = (place < np.repeat(length, size)) & ((words >> np.uint64(58)) > 0)
                 own = np.repeat(np.arange(len(first)), size)[keep]
                 keys = (words[keep] >> np.uint64(32)).astype("uint32").view("int32")
-                yield pa.RecordBatch.from_arrays([*columns, _binary(keys, np.bincount(own, minlength=len(first)))], names=[*names, "prefix"])
+                extra = [_binary(keys, np.bincount(own, minlength=len(first))), pa.array(_bits(words, first)), pa.array(_sketches(words, first, size), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "prefix", "bits", "sketch"])
     return build
 
 
@@ -132,32 +143,38 @@ def _postings(percent: int):
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             size = np.repeat(sizes, counts)
             left_out = np.repeat(_prefix(sizes, percent) - counts, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column("cid").to_numpy(), counts)), pa.array(size.astype("int32")), pa.array((size - place - left_out).astype("int32"))],
-                                             names=["key", "cid", "size", "rest"])
+            cid, bits = (pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("cid", "bits"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), cid, pa.array(size.astype("int32")), pa.array((size - place - left_out).astype("int32")), bits],
+                                             names=["key", "cid", "size", "rest", "bits"])
     return build
 
 
-def _may_link(size_a, rest_a, size_b, rest_b, percent: int) -> np.ndarray:
-    """At their first common word, from which on so many are left, two sets can still link."""
-    small, large = np.minimum(size_a, size_b).astype("int64"), np.maximum(size_a, size_b).astype("int64")
-    return (100 * small >= percent * large) & ((100 + percent) * np.minimum(rest_a, rest_b).astype("int64") >= percent * (small + large))
+def _may_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
+    """At their first common word two sets can still link, by (size, words left from there on, bits): sizes are near enough, and neither
+    what is left nor the bits that only one of them has rule out enough common words."""
+    size_a, size_b = a[0].astype("int64"), b[0].astype("int64")
+    only_a, only_b = np.bitwise_count(a[2] & ~b[2]).astype("int64"), np.bitwise_count(b[2] & ~a[2]).astype("int64")
+    most = np.minimum(np.minimum(a[1], b[1]).astype("int64"), np.minimum(size_a - only_a, size_b - only_b))
+    return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
 
 
 def _first_pairs(percent: int, block: int):
     """From lists sorted by key and time: each line with the earliest one of the list that it may link with (kind 1), and the list's
     rows that may link with any (kind 0)."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cid, size, rest in runs(batches, ["key", "cid", "size", "rest"], 1):
+        for key, cid, size, rest, bits in runs(batches, ["key", "cid", "size", "rest", "bits"], 1):
+            bits = bits.view("uint64")
             begins = starts([key])
             counts = np.diff(np.append(begins, len(key)))
-            earliest, some = earliest_partners(begins, counts, lambda x, y: (cid[x] != cid[y]) & _may_link(size[x], rest[x], size[y], rest[y], percent), block)
+            earliest, some = earliest_partners(begins, counts, lambda x, y: (cid[x] != cid[y]) & _may_link((size[x], rest[x], bits[x]), (size[y], rest[y], bits[y]), percent), block,
+                                               size.astype("int64") << 32 | rest, lambda x, y: _may_link((size[x], rest[x], bits[x] * 0), (size[y], rest[y], bits[y] * 0), percent))
             later = np.flatnonzero(earliest >= 0)
             pairs = np.unique(np.stack([cid[later], cid[earliest[later]]], axis=1), axis=0)
             kept = np.flatnonzero(some)
             zeros = np.zeros(len(pairs), "int32")
             yield pa.RecordBatch.from_pydict({
                 "kind": np.concatenate([np.zeros(len(kept), "int32"), zeros + 1]), "key": np.concatenate([key[kept], zeros]), "cid": np.concatenate([cid[kept], pairs[:, 0]]),
-                "earlier": np.concatenate([np.full(len(kept), -1), pairs[:, 1]]), "size": np.concatenate([size[kept], zeros]), "rest": np.concatenate([rest[kept], zeros])})
+                "earlier": np.concatenate([np.full(len(kept), -1), pairs[:, 1]]), "size": np.concatenate([size[kept], zeros]), "rest": np.concatenate([rest[kept], zeros]), "bits": np.concatenate([bits[kept].view("int64"), np.zeros(len(pairs), "int64")])})
     return build
 
 
@@ -165,7 +182,8 @@ def _other_pairs(percent: int):
     """Lines that are not removed yet with every earlier one of the list that they may link with. Rows carry the blocks (left,
     right) they are compared for."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, left, right, cid, size, rest, own, open_ in runs(batches, ["key", "left", "right", "cid", "size", "rest", "own", "open"], 3):
+        for key, left, right, cid, size, rest, bits, own, open_ in runs(batches, ["key", "left", "right", "cid", "size", "rest", "bits", "own", "open"], 3):
+            bits = bits.view("uint64")
             begins = starts([key, left, right])
             out = []
             for s, e in zip(begins, np.append(begins[1:], len(key))):
@@ -173,7 +191,7 @@ def _other_pairs(percent: int):
                 y = np.arange(s, e)
                 for i in range(0, len(x), 256):
                     a = x[i:i + 256, None]
-                    ok = (cid[y] < cid[a]) & _may_link(size[a], rest[a], size[y], rest[y], percent)
+                    ok = (cid[y] < cid[a]) & _may_link((size[a], rest[a], bits[a]), (size[y], rest[y], bits[y]), percent)
                     if left[s] != right[s]:
                         ok &= own[a] != own[y]
                     p, q = np.nonzero(ok)
@@ -184,25 +202,17 @@ def _other_pairs(percent: int):
     return build
 
 
-def _place_key(mark: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mix((mark.astype("int64").view("uint64") * np.uint64(0xD1342543DE82EF95)) + line.astype("int64").view("uint64")).view("int64")
-
-
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_place_key(batch.column("mark").to_numpy(), batch.column("line").to_numpy()))], names=["place"])
-
-
-def _word_sets(table, bits: int, places):
-    """The word sets of lines that the filter may hold."""
+def _word_sets(table, bits: int, marks, places):
+    """The word sets of lines that the filters may hold, of texts and of lines in them."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, dtype="uint8")
         for batch in batches:
-            marks = batch.column("mark").to_numpy()
+            batch = batch.filter(pa.array(may_hold(marks, batch.column("mark").to_numpy())))
+            mark = batch.column("mark").to_numpy()
             for text, line, first, words in _line_sets(batch.column("text"), classes, bits):
                 found = _binary(words, np.diff(np.append(first, len(words))))
                 rows = pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(text)) for c in ("doc_id", "mark")], pa.array(line), found], names=["doc_id", "mark", "line", "words"])
-                yield rows.filter(pa.array(may_hold(places, _place_key(marks[text], line))))
+                yield rows.filter(pa.array(may_hold(places, combined(mark[text], line))))
     return build
 
 
@@ -219,16 +229,29 @@ def _links(percent: int):
     return build
 
 
+def _plausible(percent: int):
+    """Pairs whose larger bit tables leave room for enough common words; short lines were told apart by 64 bits before."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*[batch.column(c).to_pylist() for c in ("sketch_a", "size_a", "sketch_b", "size_b")])
+            ok = [x is None or y is None or (100 + percent) * most_common(x, m, y, n) >= percent * (m + n) for x, m, y, n in columns]
+            yield batch.select(["cid", "earlier"]).filter(pa.array(ok, pa.bool_()))
+    return keep
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, table, percent: int, bits: int) -> DataFrame:
-    """Pairs with `linked`, from the words of the lines themselves."""
+    """Linked pairs. Bit tables rule out most others; then the words of the lines themselves are compared."""
+    small = classes.select("cid", "size", "sketch")
+    known = pairs.join(small.toDF("cid", "size_a", "sketch_a"), "cid").join(small.toDF("earlier", "size_b", "sketch_b"), "earlier")
+    pairs = staged(known.mapInArrow(_plausible(percent), "cid long, earlier long"), "plausible")
     ids = pairs.select("cid").union(pairs.select("earlier")).distinct()
     needed = staged(classes.select("cid", "doc_id", "mark", "line").join(ids, "cid"), "needed")
-    places = key_filter(needed.select("mark", "line").mapInArrow(_placed, "place long"))
+    marks, places = key_filter(needed.select("mark")), key_filter(needed.select("mark", "line"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_word_sets(table, bits, places), f"doc_id {kind}, mark long, line long, words binary")
+    found = docs.mapInArrow(_word_sets(table, bits, marks, places), f"doc_id {kind}, mark long, line long, words binary")
     sets = staged(same_keys_join(found, needed, ["doc_id", "mark", "line"]).select("cid", "words").dropDuplicates(["cid"]), "words")
     both = pairs.join(sets.withColumnRenamed("words", "a"), "cid").join(sets.select(F.col("cid").alias("earlier"), F.col("words").alias("b")), "earlier")
-    return both.mapInArrow(_links(percent), "cid long, earlier long, linked boolean")
+    return both.mapInArrow(_links(percent), "cid long, earlier long, linked boolean").where("linked").drop("linked")
 
 
 def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, block: int = LIST_BLOCK) -> DataFrame:
@@ -244,36 +267,34 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     table = spark.sparkContext.broadcast(word_classes(docs.select("text"), bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, mark long, line long, d1 long, d2 long, size long"
-    lines = docs.mapInArrow(_lines(table, percent, bits), f"{shape}, prefix binary")
+    lines = staged(docs.mapInArrow(_lines(table, percent, bits), f"{shape}, prefix binary, bits long, sketch binary"), "lines")
     digest = ["d1", "d2", "size"]
-    groups = lines.groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")).alias("r"), F.max("prefix").alias("prefix"), F.count(F.lit(1)).alias("rows"))
-    groups = groups.select(*digest, "rows", "prefix", "r.none", "r.doc_id", "r.mark", "r.line")
+    groups = lines.groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")).alias("r"), F.max("prefix").alias("prefix"), F.max("bits").alias("bits"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    groups = groups.select(*digest, "rows", "prefix", "bits", "sketch", "r.none", "r.doc_id", "r.mark", "r.line")
     # Sorted by time, so that ids grow with it.
     classes = sorted_blocks(groups, ["none", "doc_id", "mark", "line", "d1"]).withColumn("cid", F.monotonically_increasing_id()).drop("none")
     classes = staged(classes, "classes")
     slots = partitions(spark)
-    postings = classes.select("cid", "size", "prefix").mapInArrow(_postings(percent), "key int, cid long, size int, rest int")
+    postings = classes.select("cid", "size", "prefix", "bits").mapInArrow(_postings(percent), "key int, cid long, size int, rest int, bits long")
     postings = postings.repartition(slots, "key").sortWithinPartitions("key", "cid")
-    found = staged(postings.mapInArrow(_first_pairs(percent, block), "kind int, key int, cid long, earlier long, size int, rest int"), "lists")
+    found = staged(postings.mapInArrow(_first_pairs(percent, block), "kind int, key int, cid long, earlier long, size int, rest int, bits long"), "lists")
     first = staged(found.where("kind = 1").select("cid", "earlier").distinct(), "pairs")
-    proven = staged(_verified(first, docs, classes, table, percent, bits), "proven")
-    gone = staged(proven.where("linked").select("cid").distinct(), "gone")
+    gone = staged(_verified(first, docs, classes, table, percent, bits).select("cid").distinct(), "gone")
 
-    lists = found.where("kind = 0").select("key", "cid", "size", "rest").join(gone.withColumn("gone", F.lit(True)), "cid", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    lists = found.where("kind = 0").select("key", "cid", "size", "rest", "bits").join(gone.withColumn("gone", F.lit(True)), "cid", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
     counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("open").alias("any")).where("any")
     blocks = F.ceil(F.col("rows") / block).cast("int")
     lists = lists.join(counts.select("key", "rows"), "key").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-    lists = lists.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right", "cid").select("key", "left", "right", "cid", "size", "rest", "own", "open")
+    lists = lists.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right", "cid").select("key", "left", "right", "cid", "size", "rest", "bits", "own", "open")
     rest = lists.mapInArrow(_other_pairs(percent), "cid long, earlier long").distinct()
-    rest = staged(rest.join(proven.select("cid", "earlier"), ["cid", "earlier"], "left_anti"), "rest")
-    more = _verified(rest, docs, classes, table, percent, bits).where("linked").select("cid")
+    rest = staged(rest.join(first, ["cid", "earlier"], "left_anti"), "rest")
+    more = _verified(rest, docs, classes, table, percent, bits).select("cid")
     gone = staged(gone.unionByName(more).distinct().withColumn("gone", F.lit(True)), "gone")
 
     hit = classes.select("cid", *digest, "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "mark", "line")]).join(gone, "cid", "left").where("rows > 1 or gone").drop("cid", "rows")
     hit = staged(hit, "hit")
-    own = docs.mapInArrow(_lines(table, percent, bits, key_filter(hit.select("d1"))), shape)
-    matched = own.join(hit, digest)
+    matched = filtered(lines.select("doc_id", "mark", "line", *digest), "d1", key_filter(hit.select("d1"))).join(hit, digest)
     is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("mark") == F.col("first_mark")) & (F.col("line") == F.col("first_line"))
     return matched.where(F.col("gone").isNotNull() | ~is_first).select("doc_id", "mark", "line")
 
@@ -306,5 +327,6 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     hit = key_filter(gone.select("mark"))
     shape = docs.drop("mark").schema.add("n_lines", "long").add("n_removed", "long")
     some = same_keys_join(filtered(docs, "mark", hit), gone, ["doc_id", "mark"], "left")
-    others = filtered(docs, "mark", hit, hold=False).withColumn("gone", F.lit(None).cast("array<long>"))
-    return some.select(*columns, "gone").mapInArrow(_without, shape).unionByName(others.select(*columns, "gone").mapInArrow(_without, shape))
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    others = filtered(docs, "mark", hit, hold=False).select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return some.select(*columns, "gone").mapInArrow(_without, shape).unionByName(others)

@@ -161,7 +161,10 @@ def _stars(rule: Rule):
         for key, cid, size, rest in runs(batches, ["key", "cid", "size", "rest"], 1):
             begins = starts([key])
             counts = np.diff(np.append(begins, len(key)))
-            earliest, some = earliest_partners(begins, counts, lambda x, y: rule.may_link(size[x].astype("int64"), rest[x], size[y].astype("int64"), rest[y]))
+            def may_link(x, y, size=size.astype("int64"), rest=rest):
+                return rule.may_link(size[x], rest[x], size[y], rest[y])
+
+            earliest, some = earliest_partners(begins, counts, may_link, kinds=size.astype("int64") << 32 | rest, kinds_may_link=may_link)
             other = np.flatnonzero(earliest >= 0)
             a, b = cid[earliest[other]], cid[other]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)

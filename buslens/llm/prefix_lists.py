@@ -34,9 +34,10 @@ def runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iter
         yield held
 
 
-def earliest_partners(begins: np.ndarray, counts: np.ndarray, may_link, block: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
+def earliest_partners(begins: np.ndarray, counts: np.ndarray, may_link, block: int = 2_048, kinds: np.ndarray | None = None, kinds_may_link=None) -> tuple[np.ndarray, np.ndarray]:
     """For each row of the lists, the first row before it in its list that it may link with (or -1), and whether it may link with any
-    row at all. may_link takes two arrays of row numbers. Short lists are compared shift by shift, all at once; long ones in blocks."""
+    row at all. may_link takes two arrays of row numbers. Short lists are compared shift by shift, all at once; long ones in blocks,
+    and only rows of kinds that may link with a kind in the list: rows of one kind are alike to kinds_may_link."""
     n = int(counts.sum())
     earliest, some = np.full(n, -1), np.zeros(n, dtype=bool)
     depth = np.arange(n) - np.repeat(begins, counts)
@@ -49,10 +50,14 @@ def earliest_partners(begins: np.ndarray, counts: np.ndarray, may_link, block: i
         shift += 1
         at = at[depth[at] >= shift]
     for s, m in zip(begins[counts > 64], counts[counts > 64]):
-        for i in range(s, s + m, 256):
-            x = np.arange(i, min(i + 256, s + m))[:, None]
-            for j in range(s, x[-1, 0] + 1, block):
-                y = np.arange(j, min(j + block, x[-1, 0] + 1))
+        rows = np.arange(s, s + m)
+        if kinds is not None:
+            _, one, back = np.unique(kinds[s:s + m], return_index=True, return_inverse=True)
+            rows = rows[kinds_may_link(s + one[:, None], s + one[None, :]).any(axis=1)[back]]
+        for i in range(0, len(rows), 256):
+            x = rows[i:i + 256, None]
+            for j in range(0, min(i + 256, len(rows)), block):
+                y = rows[j:min(j + block, i + 256)]
                 ok = may_link(x, y) & (y < x)
                 hit = ok.any(axis=1)
                 new = hit & (earliest[x[:, 0]] < 0)

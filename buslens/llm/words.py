@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes that one step works on; a longer text is worked on whole.
-STEP_BYTES = 1 << 21
+#: Text bytes that one step works on, so that its arrays stay in the processor's cache; a longer text is worked on whole.
+STEP_BYTES = 1 << 18
 
 
 def _random(seed: int, n: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(np.add.reduceat(_BYTE[data] * weight, first)), first, np.searchsorted(first, cuts)
 
 
-def steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def steps(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, cuts) of runs of texts. NULL counts as empty."""
     if column.null_count:
         column = column.fill_null("")
@@ -74,7 +74,7 @@ def steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(raw, dtype="uint8") if raw is not None and raw.size else np.zeros(0, "uint8")
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         j = min(j, n)
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j

@@ -123,6 +123,14 @@ def test_line_dedup_is_brute_force(spark, seed, block):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == want
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    many = "\n".join(f"line number {i} of many" for i in range(70_000))
+    rows = [(1, many, "", 0), (2, "line number 69999 of many\nmy own words here now", "", 0)]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert (got[1].n_lines, got[1].n_removed, got[1].text) == (70_000, 0, many)
+    assert (got[2].text, got[2].n_removed) == ("my own words here now", 1)
+
+
 def test_line_dedup_of_nothing(spark):
     assert dedup_lines(spark.createDataFrame([], SHAPE)).collect() == []
     assert [tuple(r) for r in dedup_lines(spark.createDataFrame([(1, None, "", 0)], SHAPE)).collect()] == [(1, None, 0, 0)]
