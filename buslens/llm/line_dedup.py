@@ -94,8 +94,11 @@ def _sums(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _bits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 bits of each set: bit k if one of its words is k modulo 64."""
-    return np.bitwise_or.reduceat(np.uint64(1) << (words & np.uint64(63)), first).view("int64")
+    """64 bits of each set: bit k if one of its words is k modulo 64. Of larger sets only half of all words count, the same half for
+    every set, as bits that are nearly all set tell nothing."""
+    size = np.diff(np.append(first, len(words)))
+    counts = np.repeat(size <= SKETCHED, size) | ((words >> np.uint64(6)) & np.uint64(1) == 1)
+    return np.bitwise_or.reduceat(np.where(counts, np.uint64(1) << (words & np.uint64(63)), np.uint64(0)), first).view("int64")
 
 
 def _sketches(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes | None]:
@@ -153,7 +156,8 @@ def _may_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
     """At their first common word two sets can still link, by (size, words left from there on, bits): sizes are near enough, and neither
     what is left nor the bits that only one of them has rule out enough common words."""
     size_a, size_b = a[0].astype("int64"), b[0].astype("int64")
-    only_a, only_b = np.bitwise_count(a[2] & ~b[2]).astype("int64"), np.bitwise_count(b[2] & ~a[2]).astype("int64")
+    alike = (size_a > SKETCHED) == (size_b > SKETCHED)  # bits of the same words
+    only_a, only_b = (np.where(alike, np.bitwise_count(x & ~y), 0).astype("int64") for x, y in ((a[2], b[2]), (b[2], a[2])))
     most = np.minimum(np.minimum(a[1], b[1]).astype("int64"), np.minimum(size_a - only_a, size_b - only_b))
     return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
 
