@@ -116,3 +116,23 @@ def test_extract_by_differencing_and_markup(spark):
         want[d[0], d[1], text, len(text)] += 1
     assert got == want
     assert extract(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def test_unmarked_copies_keep_their_text(spark):
+    def plain(words, n=12):
+        return "<div>Site of things</div>" + "".join(f"<p>{words} {k}</p>" for k in range(n)) + "<div>All rights reserved</div>"
+
+    def text(words, n=12):
+        return "\n\n".join(f"{words} {k}" for k in range(n))
+
+    a, near = plain("Article a"), plain("Article a").replace("Article a 3", "Seen 4 times")
+    data = [(1, "http://h.org/a/1", a, "", 0), (2, "http://h.org/a/2", a, "", 0), (3, "http://h.org/a/3", near, "", 0), (1, "http://h.org/a/1", a, "", 0), (4, "http://h.org/b", plain("Other b"), "", 0)]
+    data += [(10 + k, "http://twice.org/x", plain("Only this"), "", 0) for k in range(3)]  # no other page in the host
+    data += [(20 + k, f"http://many.org/p/{k:03d}", plain("Same"), "", 0) for k in range(60)] + [(90, "http://many.org/q", plain("Else"), "", 0)]
+    whole = "Site of things\n\n" + text("Only this") + "\n\nAll rights reserved"
+    want = Counter()
+    for d in data:
+        i = d[0]
+        want[i, whole if 10 <= i < 20 else text("Else") if i == 90 else text("Same") if i >= 20 else text("Other b") if i == 4 else text("Article a").replace("Article a 3", "Seen 4 times" if i == 3 else "Article a 3")] += 1
+    for n in (1, 7):
+        assert Counter((r.page_id, r.text) for r in extract(spark.createDataFrame(data, SHAPE).repartition(n)).collect()) == want
