@@ -102,6 +102,23 @@ def test_lines_of_markup():
     assert page_lines("") == [] and [x.text for x in page_lines("a < b <p")] and [x.text for x in page_lines("</p></div>x<b")]
 
 
+def test_names_do_not_rule_out_the_article():
+    def kept(html):
+        return [x.text for x in page_lines(html) if not x.chrome]
+
+    body = '<h1>T</h1><p>Some words of an article</p>'
+    for name in ('id="page" class="has-sidebar"', 'class="layout sidebar-right"', 'class="fixed-header"', 'role="banner"', 'class="comments-closed"'):
+        assert kept(f'<div {name}><div class="sidebar">Side</div><article>{body}</article><div id="comments">Me</div></div>') == ["T", "Some words of an article"]
+    assert kept(f'<div class="has-sidebar"><div class="sidebar">Side</div><div>{body}</div></div>') == ["T", "Some words of an article"]
+    assert kept('<article><div class="post-header"><h1>T</h1></div><p>One two three</p><p class="notice">Mind the step</p><div class="social-links">Share</div></article>') == ["T", "One two three", "Mind the step"]
+    # Teasers and comments that are articles themselves; comments longer than the article.
+    assert kept(f'<article>{body}</article><div class="related"><article>Read on</article></div><div class="comments"><article>{"me too " * 9}</article></div>')[:2] == ["T", "Some words of an article"]
+    assert "Read on" not in kept(f'<article>{body}</article><div class="related"><article>Read on</article></div>')
+    assert kept(f'<div>{body}</div><div class="related"><article>Read on</article></div>') == ["T", "Some words of an article"]
+    assert kept('<div class="social-post"><article>One post</article></div><div class="social-post"><article>Two</article></div>') == ["One post", "Two"]
+    assert kept(f'<p>Short</p><div class="comments"><p>{"me too " * 9}</p></div>') == ["Short"]
+
+
 def test_extract_by_differencing_and_markup(spark):
     def plain(i):
         return f"<html><body><div>Site of things</div><p>Text number {i}.</p><p>More   on\n{i} &lt;here&gt;.</p><div>All rights reserved</div></body></html>"
