@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,24 @@ def test_common_lines_are_a_longest_common_subsequence():
         assert found.sum() == table[-1, -1] and all(any(x == y for y in rest) for x in a[found])
 
 
+def test_common_lines_of_long_pages_in_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(rng.integers(0, k, n), rng.integers(0, k, m)) for n, m, k in ((40, 60, 4), (90, 30, 30), (1, 50, 3), (70, 70, 2), (64, 200, 9))]
+    want = [common_lines(a, b).sum() for a, b in pairs]
+    monkeypatch.setattr("buslens.llm.extraction.CELLS", 16)
+    for (a, b), n in zip(pairs, want):
+        found = common_lines(a, b)
+        rest = iter(b)
+        assert found.sum() == n and all(any(x == y for y in rest) for x in a[found])
+    monkeypatch.undo()
+    a = rng.integers(0, 500, 8000)
+    tracemalloc.start()
+    common_lines(a, rng.permutation(a))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # a full table of lengths has 256 MB
+
+
 def test_lines_of_markup():
     html = """<!doctype html><title>T</title><script>var a="</p>";</script><nav><ul><li>Home</ul></nav><header>Top</header><div class="side-bar adBox">Buy</div>
     <article><header><h1>A &amp; B</h1></header><p>one<br>two <b>bold</b>&nbsp;x<p>three<ul><li>i<li>j</ul><aside>Note</aside><form>f<input></form>
