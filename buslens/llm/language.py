@@ -259,11 +259,12 @@ def word_labels(model: Model, column: pa.Array) -> Iterator[tuple[int, int, np.n
         yield i, j, own, chain_marginals(emitted[back], model.moves, sizes[sizes > 0])
 
 
-def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = (), sureness: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, from its whole text; `keep` names further columns to carry.
 
     Each word's label probabilities come from forward-backward over the whole text; lang_pred is the label with the largest mean
-    probability (ties: first by name), and score that mean. Only text is read for it. The model is fitted on the table itself
+    probability (ties: first by name), and score that mean. With `sureness`, a column `sure` has the mean over words of a word's largest probability, which
+    does not fall where a text changes its language. Only text is read for it. The model is fitted on the table itself
     (fit_on) unless one is given. NULL and empty texts, and texts without a letter, are `und` with score 0, and so is all if
     there is nothing to learn from. Repeated rows give equal rows; an empty table gives none.
     """
@@ -278,19 +279,22 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
         for batch in batches:
             text = batch.column("text")
             n, k = len(text), max(1, len(own_model.labels))
-            sums, words = np.zeros((n, k)), np.zeros(n)
+            sums, words, most = np.zeros((n, k)), np.zeros(n), np.zeros(n)
             has_letter = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if own_model.labels:
                 for i, j, own, found in word_labels(own_model, text):
                     sums[i:j] = np.stack([np.bincount(own, found[:, c], minlength=j - i) for c in range(k)], axis=1)
                     words[i:j] = np.bincount(own, minlength=j - i)
+                    most[i:j] = np.bincount(own, found.max(axis=1), minlength=j - i)
             known = has_letter & (words > 0)
             share = sums / np.maximum(words, 1)[:, None]
             best = share.argmax(axis=1)
             names = [own_model.labels[b] if ok else UNKNOWN for b, ok in zip(best, known)]
             score = np.where(known, np.clip(share[np.arange(n), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in out], batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)],
-                                             names=[*out, "held_out", "lang_pred", "score"])
+            sure = [pa.array(np.where(known, np.clip(most / np.maximum(words, 1), 0, 1), 0.0))] if sureness else []
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in out], batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), *sure],
+                                             names=[*out, "held_out", "lang_pred", "score", *(["sure"] if sureness else [])])
 
     schema = rest.select(*out).schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
+    schema = schema.add("sure", "double") if sureness else schema
     return rest.withColumn("held_out", held_out()).mapInArrow(label, schema)

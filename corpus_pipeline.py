@@ -13,16 +13,16 @@ from buslens.llm.packing import pack
 
 #: Columns of documents.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose words do not agree on a language to this mean probability go.
-MIN_SCORE = 0.5
+#: Documents whose words are, in the mean, of no language with this probability go. Documents in several languages stay.
+MIN_SURE = 0.5
 #: Near duplicates: shingles of so many words, and hundredths of Jaccard similarity.
 SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that their words agree on. NULL and empty texts and texts without a letter go."""
-    named = identify(pick(docs, *COLUMNS), keep=COLUMNS)
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    """Documents whose words are each of a language, be it one or several. NULL and empty texts and texts without a letter go."""
+    named = identify(pick(docs, *COLUMNS), keep=COLUMNS, sureness=True)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= MIN_SURE)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,19 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "mix", "pack"]
 
 
+def test_documents_in_several_languages_stay(spark):
+    texts = {
+        "en": "the house and the tree that is there with this thing of his from what they have seen",
+        "fr": "le maison et les arbres qui sont avec cette chose de son père que nous avons été là",
+        "de": "das haus und der baum ist nicht mit diesem ding von ihm was wir schon gesehen haben hier",
+    }
+    data = [(3 * i + k, " ".join(t.split()[i % 5:] * 3), lang, "s", 0) for i in range(40) for k, (lang, t) in enumerate(texts.items())]
+    mixed = [(1000 + n, " ".join(" ".join((t.split() * 3)[:m]) for t, m in zip(texts.values(), shares)), None, "s", 0) for n, shares in enumerate(((20, 17, 13), (16, 16, 0), (18, 16, 16)))]
+    bad = [(2000, "123 456", None, "s", 0), (2001, None, None, "s", 0), (2002, "", None, "s", 0)]
+    docs = spark.createDataFrame(data + mixed + bad, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == sorted(r[0] for r in data + mixed)
+
+
 def test_stages(spark, tmp_path):
     """Each stage on what the one before kept; the operators' own tests compare them with brute force."""
     sf = "/root/testdata/sf0.001"
