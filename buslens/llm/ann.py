@@ -22,9 +22,10 @@ BATCH = 512
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """One more coordinate, so that all vectors are equally long: then the nearest by distance has the largest inner product."""
+    """One more coordinate, so that all vectors are equally long: then the nearest by distance has the largest inner product.
+    In double precision, as a single very long vector makes all squares as large as its own, and distances are their differences."""
     square = (x * x).sum(axis=1)
-    return np.column_stack([x, np.sqrt(np.maximum(0, square.max(initial=0) - square))]).astype("float32")
+    return np.column_stack([x, np.sqrt(np.maximum(0, square.max(initial=0) - square))]).astype("float64")
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +33,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarra
     is not full. The last row of x stands for no node. A step opens the nearest unopened nodes of each beam."""
     none, n = len(x) - 1, len(queries)
     square, own = (x * x).sum(axis=1), (queries * queries).sum(axis=1)
-    ids, dist = np.full((n, width), none), np.full((n, width), np.inf, dtype="float32")
+    ids, dist = np.full((n, width), none), np.full((n, width), np.inf)
     opened = np.ones((n, width), dtype=bool)
     ids[:, 0], opened[:, 0] = entry, False
     dist[:, 0] = square[entry] + own - 2 * queries @ x[entry]
@@ -56,7 +57,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarra
             sizes = np.diff(np.append(first, len(row)))
             place = np.arange(len(row)) - np.repeat(first, sizes)
             rows = row[first]
-            more_ids, more = np.full((len(rows), sizes.max()), none), np.full((len(rows), sizes.max()), np.inf, dtype="float32")
+            more_ids, more = np.full((len(rows), sizes.max()), none), np.full((len(rows), sizes.max()), np.inf)
             at = np.repeat(np.arange(len(rows)), sizes)
             more_ids[at, place], more[at, place] = near, found
             all_dist = np.concatenate([dist[rows], more], axis=1)
@@ -188,7 +189,7 @@ def _search(k: int, width: int):
                 q_ids = np.frombuffer(row.q_ids, dtype="int64")
                 q = np.frombuffer(row.q_matrix, dtype="float64").reshape(len(q_ids), row.dim)
                 high = lifted(x)
-                near, _ = beam_search(np.vstack([high, np.zeros((1, row.dim + 1), "float32")]), links, row.entry, np.column_stack([q, np.zeros(len(q))]).astype("float32"), width)
+                near, _ = beam_search(np.vstack([high, np.zeros((1, row.dim + 1))]), links, row.entry, np.column_stack([q, np.zeros(len(q))]), width)
                 score = exact_scores(q, np.vstack([x, np.zeros((1, row.dim))])[near])
                 order = np.lexsort((ids, node))  # the rows of a node, smallest id first
                 first = np.searchsorted(node[order], np.arange(len(x) + 1))

@@ -80,6 +80,18 @@ def test_nearest_recall_over_shards(spark):
     assert sum(hits) / (20 * len(hits)) >= 0.9
 
 
+def test_nearest_beside_a_very_long_vector(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 32))
+    x[7] *= 30_000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = ranked(nearest(df, df.where("id % 20 = 0"), 20))
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = [len({i for i, _ in got[q]} & set(np.argsort(-scores[q])[:20])) for q in range(0, 1500, 20)]
+    assert sum(hits) / (20 * len(hits)) >= 0.85
+
+
 def test_every_node_is_in_reach():
     x = np.concatenate([np.random.default_rng(4).normal(size=(50, 3)) + 100 * k for k in range(4)])
     links, entry = build_graph(lifted(x), degree=4, beam=4)
