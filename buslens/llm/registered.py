@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
 import corpus_pipeline
-from buslens.llm import queries, queries_web  # noqa: F401
+from buslens.llm import queries, queries_text, queries_web  # noqa: F401
 from buslens.llm.registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
