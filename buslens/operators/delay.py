@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.functions.frame import time_s
@@ -14,10 +12,10 @@ from buslens.operators.edges import command_steps, delay_event_stats, edge_event
 from buslens.operators.ordered import ordered
 from buslens.operators.quantiles import grouped, quantiles
 from buslens.operators.series import histogram, normalized_value
+from buslens.operators.tiles import TILE, lag_sums
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 
 GRID_CHUNK = 65_536
-LAG_BLOCK = 16_384
 
 
 @dataclass(frozen=True)
@@ -74,54 +72,18 @@ def smoothed_derivative(o, value: str, name: str, dt: Column):
     return o.select(**{name: F.when(end, d).otherwise((d0 + d + d1) / 3.0)})
 
 
-def lag_curve(rows: DataFrame, keys: list[str], reach: DataFrame) -> DataFrame:
+def lag_curve(rows: DataFrame, keys: list[str], reach: DataFrame, tile: int = TILE) -> DataFrame:
     """Correlation of left with the shifted right for every lag of -reach..reach rows.
 
-    rows: keys, i, a, b; reach: keys, reach. The rows are cut into blocks that
-    overlap by the reach; each block gives partial sums per lag and Spark adds them.
+    rows: keys, i (without gaps), a, b; reach: keys, reach. The work is cut into tiles of rows and of lags (see `lag_sums`).
     """
-    block = F.greatest(F.lit(LAG_BLOCK), F.col("reach"))
-    data = same_keys_join(rows.select(*keys, "i", "a", "b"), reach, keys).withColumn("block", block.cast("long"))
-    own = F.floor(F.col("i") / F.col("block"))
-    seen = F.sequence(F.greatest(F.floor((F.col("i") - F.col("reach")) / F.col("block")), F.lit(0)),
-                      F.floor((F.col("i") + F.col("reach")) / F.col("block")))
-    spread = data.withColumn("own", own).withColumn("blk", F.explode(seen)).withColumn(
-        "a", F.when(F.col("blk") == F.col("own"), F.col("a"))).drop("own", "block")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    sums = spread.groupBy(*keys, "blk").applyInPandas(
-        _lag_sums(keys), f"{fields}, k int, n long, sa double, sb double, sab double, saa double, sbb double")
-    total = sums.groupBy(*keys, "k").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")])
+    total = lag_sums(rows, keys, reach, tile)
     n = F.col("n")
     ma, mb = F.col("sa") / n, F.col("sb") / n
     spread2 = (F.col("saa") / n - ma * ma) * (F.col("sbb") / n - mb * mb)
     den = F.sqrt(F.greatest(F.lit(0.0), spread2))
     corr = F.when((n <= 1) | (den <= 1e-12), 0.0).otherwise((F.col("sab") / n - ma * mb) / den)
-    return total.select(*keys, "k", "n", corr.alias("correlation"))
-
-
-def _lag_sums(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        reach, i, b = int(pdf["reach"].iloc[0]), pdf["i"].to_numpy(), pdf["b"].to_numpy(float)
-        mine = ~np.isnan(pdf["a"].to_numpy(float))
-        lags = np.arange(-reach, reach + 1)
-        out = {"k": lags, **{c: np.zeros(len(lags)) for c in ("n", "sa", "sb", "sab", "saa", "sbb")}}
-        if mine.any():
-            a = pdf["a"].to_numpy(float)[mine]
-            # Positions of the block's own rows inside the run of rows it sees.
-            first, last = int(i[mine][0] - i[0]), int(i[mine][-1] - i[0])
-            for j, k in enumerate(lags):
-                lo, hi = max(first, -k, 0), min(last, len(b) - 1 - k)
-                if lo > hi:
-                    continue
-                x, y = a[lo - first:hi - first + 1], b[lo + k:hi + k + 1]
-                out["n"][j], out["sa"][j], out["sb"][j] = len(x), x.sum(), y.sum()
-                out["sab"][j], out["saa"][j], out["sbb"][j] = x @ y, x @ x, y @ y
-        frame = pd.DataFrame(out).astype({"k": "int32", "n": "int64"})
-        for c in keys:
-            frame[c] = pdf[c].iloc[0]
-        return frame[[*keys, "k", "n", "sa", "sb", "sab", "saa", "sbb"]]
-    return run
+    return total.select(*keys, F.col("k").cast("int").alias("k"), "n", corr.alias("correlation"))
 
 
 def threshold_crossing(rows: DataFrame, keys: list[str], value: str, level: Column, *, blocked: bool | None = None,
@@ -157,7 +119,7 @@ def collect_delays(rows: DataFrame, keys: list[str], *, window: float, command:
 
     opts = {"window": window, "blocked": blocked, "max_group_rows": max_group_rows}
     return match_edges(edge_events(points(command), keys, **opts), edge_events(points(response), keys, **opts), keys,
-                       window=window, max_group_rows=max_group_rows)
+                       window=window)
 
 
 def delay_histogram(delays: DataFrame, keys: list[str], *, bins: int, floor: float, column: str = "delay_s",
@@ -168,7 +130,7 @@ def delay_histogram(delays: DataFrame, keys: list[str], *, bins: int, floor: flo
 
 
 def analyze_delay(pairs: DataFrame, keys: list[str], *, search_range_s: float = 1.5, threshold_fraction: float = 0.2,
-                  max_points: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> Delay:
+                  max_points: int | None = None, tile: int = TILE, max_group_rows: int = MAX_GROUP_ROWS) -> Delay:
     """Left is the command, right the response.
 
     The lag is the shift with the largest correlation of the smoothed derivatives;
@@ -194,7 +156,7 @@ def analyze_delay(pairs: DataFrame, keys: list[str], *, search_range_s: float =
     reach = F.least(F.greatest(F.bround(F.lit(reach_s) / F.greatest(F.lit(1e-9), F.col("dt"))).cast("long"), F.lit(1)),
                     F.greatest(F.lit(1), F.col("points") - 2))
     reaches = sized(bounds.where(F.col("status") == VALID).select(*keys, reach.alias("reach")))
-    curve = sized(same_keys_join(lag_curve(o.done(), keys, reaches), bounds.select(*keys, "dt"), keys)
+    curve = sized(same_keys_join(lag_curve(o.done(), keys, reaches, tile), bounds.select(*keys, "dt"), keys)
                   .withColumn("lag_s", F.col("k") * F.col("dt")))
     # The largest |correlation| first, then the smallest k.
     best = sized(curve.groupBy(*keys).agg(F.max_by(F.struct("k", "lag_s", "correlation"), F.struct(F.abs("correlation"), -F.col("k"))).alias("b"))

@@ -1,21 +1,19 @@
 """Steps in a series, and which response step answers which command step.
 
 Thresholds come from quantiles, candidates from lag columns. Only the greedy
-part runs in Python: over sparse candidates, cut into independent chains, as a
-stream of Arrow batches with a small state, so no chain has to fit in memory.
+part runs in Python: over sparse candidates, in slots that are worked off side
+by side, however long a chain of events that depend on each other is.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.operators.ordered import ordered
 from buslens.operators.quantiles import grouped
+from buslens.operators.scan import SLOT_ROWS, fields, in_parallel, in_slots
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 
 
@@ -46,7 +44,7 @@ def _steps(points, keys, high: Column, gap: Column, *, quiet: bool, min_rows: in
         hit = hit.where(F.col("quiet") < F.col("high") * 0.45)
     cand = hit.select(*keys, "t", "pos", "v", F.signum("delta").cast("int").alias("direction"), F.col("size").alias("magnitude"), "gap")
     # Steps are sparse; staged, the folds below read them without the series behind them.
-    return staged(thin_by_gap(staged(cand, "steps"), keys, max_group_rows=max_group_rows).drop("gap"), "edges")
+    return staged(thin_by_gap(staged(cand, "steps"), keys).drop("gap"), "edges")
 
 
 def edge_events(points: DataFrame, keys: list[str], *, window: float, blocked: bool | None = None,
@@ -81,46 +79,70 @@ def every_nth_event(events: DataFrame, keys: list[str], max_events: int, *, max_
     return o.where((F.col("all") <= max_events) | (F.col("no") % step == 0) | (F.col("no") == F.col("all") - 1)).drop("no", "all")
 
 
-def _chains(rows: DataFrame, keys: list[str], order: list[str], starts: Column, max_group_rows: int) -> DataFrame:
-    """Number the chains; starts says whether a row begins one (given prev_t)."""
-    o = ordered(rows, keys, order, max_group_rows=max_group_rows).lag(prev_t="t").select(head=starts)
-    o = o.lead(next_head="head").select(step=F.col("head").cast("int")).running_sum(chain="step")
-    return o.done()
-
-
-def thin_by_gap(cand: DataFrame, keys: list[str], *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def thin_by_gap(cand: DataFrame, keys: list[str], *, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Keep a candidate if it is at least `gap` after the last one kept.
 
-    A candidate that far after the previous candidate is kept whatever happened
-    before, so it starts an independent chain; most chains are single rows and
-    never leave the JVM.
+    cand: keys, t, pos, gap (one value per key). In a slot of rows each candidate links to the next one that would be kept after it; doubling these
+    links gives, for each candidate that may be the first one kept, the last one. The state between slots is the time of the last one kept.
     """
-    starts = F.coalesce(F.col("t") - F.col("prev_t") >= F.col("gap"), F.lit(True))
-    rows = _chains(cand, keys, ["t", "pos"], starts, max_group_rows)
-    single = F.col("head") & F.coalesce("next_head", F.lit(True))
-    cols = cand.columns
-    alone = rows.where(single).select(*cols)
-    chained = rows.where(~single).select(*cols, "head", "chain").repartition(*keys, "chain").sortWithinPartitions(
-        *keys, "chain", "t", "pos")
-    return alone.unionByName(chained.mapInPandas(_keep_by_gap, chained.schema).select(*cols))
-
-
-def _keep_by_gap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    last = -np.inf
-    for pdf in batches:
-        keep = np.zeros(len(pdf), dtype=bool)
-        for i, (t, gap, head) in enumerate(zip(pdf["t"].to_numpy(), pdf["gap"].to_numpy(), pdf["head"].to_numpy())):
-            if head or t - last >= gap:
-                keep[i], last = True, t
-        yield pdf[keep]
+    rows, slots = in_slots(cand, keys, slot_rows=slot_rows)
+    return in_parallel(rows, keys, slots, -np.inf, _kept_table, _kept_after, _keep_by_gap(keys, cand.columns), fields(cand, cand.columns)).select(*cand.columns)
+
+
+def _next_kept(t: np.ndarray, gap: float) -> np.ndarray:
+    """Place of the first candidate at least `gap` after each, or the end."""
+    at = np.searchsorted(t, t + gap, side="left")
+    # The rule compares differences, which may round differently.
+    while True:
+        early = (at > 0) & (t[np.maximum(at - 1, 0)] - t >= gap)
+        late = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] - t < gap)
+        if not (early | late).any():
+            break
+        at = at - early + late
+    return np.maximum(at, np.arange(1, len(t) + 1))
+
+
+def _kept_table(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each candidate that an earlier slot may leave as the first one kept here, the last one kept."""
+    pdf = pdf.sort_values(["t", "pos"])
+    t, gap = pdf["t"].to_numpy(float), float(pdf["gap"].iloc[0])
+    n = len(t)
+    jump = np.append(_next_kept(t, gap), n)
+    last = np.arange(n + 1)
+    while (jump[:n] < n).any():
+        last = np.where(jump < n, last[np.minimum(jump, n)], last)
+        jump = jump[jump]
+    entry = min(n, int(np.count_nonzero(t - t[0] < gap)) + 1)
+    return t[:entry], np.append(t[last[:entry]], gap)
+
+
+def _kept_after(state: float, entries: np.ndarray | None, exits: np.ndarray | None) -> float:
+    if entries is None:
+        return state
+    hit = np.flatnonzero(entries - state >= exits[-1])
+    return float(exits[hit[0]]) if len(hit) else state
+
+
+def _keep_by_gap(keys: list[str], names: list[str]):
+    def run(pdf: pd.DataFrame, last: float) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "pos"])
+        t, gap = pdf["t"].to_numpy(float), float(pdf["gap"].iloc[0])
+        follow, keep = _next_kept(t, gap), np.zeros(len(t), dtype=bool)
+        at = int(np.argmax(t - last >= gap)) if t[-1] - last >= gap else len(t)
+        while at < len(t):
+            keep[at] = True
+            at = follow[at]
+        return pdf.loc[keep, names]
+    return run
 
 
 def match_edges(commands: DataFrame, responses: DataFrame, keys: list[str], *, window: float, same_time: bool = False,
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Give each command the first unused response of its direction within the window, in time order.
 
-    A response before an earlier command's match is spent. Commands further apart
-    than the window cannot compete, so they are matched independently.
+    A response before an earlier command's match is spent. So all that a stretch of time hands on is how many of the next one's responses are spent. Slots are as wide as the window
+    at least: commands of one see the responses of the next and no further. A slot's table holds that number for every number that the slot can start with; commands
+    move all of them at once, and numbers that meet stay together.
     """
     w = max(0.01, float(window))
     # At equal times the side that sorts first is the one that must not (or may) see the other.
@@ -129,59 +151,68 @@ def match_edges(commands: DataFrame, responses: DataFrame, keys: list[str], *, w
     def side(rows, name):
         return rows.select(*keys, "t", "pos", "direction", F.lit(rank[name]).alias("rank"), F.lit(name == "command").alias("is_command"))
 
-    both = side(commands, "command").unionByName(side(responses, "response"))
-    o = ordered(both, keys, ["t", "rank", "pos"], max_group_rows=max_group_rows)
-    o = o.select(cmd_t=F.when(F.col("is_command"), F.col("t")))
-    o = o.last_known(seen_t="cmd_t").lag(prev_cmd_t="seen_t")
-    head = F.col("is_command") & F.coalesce(F.col("t") - F.col("prev_cmd_t") > w, F.lit(True))
-    o = o.select(head=head, step=head.cast("int")).running_sum(chain="step")
-    rows = o.done().where(F.col("chain") > 0).select(*keys, "chain", "t", "rank", "pos", "direction", "is_command", "head")
-    rows = rows.repartition(*keys, "chain").sortWithinPartitions(*keys, "chain", "t", "rank", "pos")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    schema = f"{fields}, command_t double, response_t double, delay_s double, direction int"
-    return rows.mapInPandas(_matcher(keys, w, same_time), schema)
-
-
-def _matcher(keys: list[str], window: float, same_time: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        commands, responses, found = deque(), deque(), []
-
-        def settle(now: float) -> None:
-            """Decide the oldest commands as far as the rows up to now allow."""
-            while commands:
-                key, tc, dc = commands[0]
-                while responses and (responses[0][0] < tc or (responses[0][0] == tc and not same_time)):
-                    responses.popleft()
-                hit = next((j for j, (tr, dr) in enumerate(responses) if tr - tc <= window and dr == dc), None)
-                if hit is None and now - tc <= window:
-                    return
-                commands.popleft()
-                if hit is not None:
-                    tr = responses[hit][0]
-                    for _ in range(hit + 1):
-                        responses.popleft()
-                    found.append((*key, tc, tr, tr - tc, dc))
-
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame(found, columns=[*keys, "command_t", "response_t", "delay_s", "direction"])
-            found.clear()
-            return frame
-
-        for pdf in batches:
-            names = list(zip(*[pdf[k].tolist() for k in keys]))
-            for key, t, d, is_command, head in zip(names, pdf["t"].tolist(), pdf["direction"].tolist(),
-                                                   pdf["is_command"].tolist(), pdf["head"].tolist()):
-                if head:
-                    settle(np.inf)
-                    responses.clear()
-                if is_command:
-                    commands.append((key, t, d))
-                elif commands:
-                    responses.append((t, d))
-                settle(t)
-            yield out()
-        settle(np.inf)
-        yield out()
+    rows, slots = in_slots(side(commands, "command").unionByName(side(responses, "response")), keys, least=w * (1 + 1e-9), slot_rows=slot_rows)
+    if slots > 1:
+        seen = F.when(F.col("is_command") | (F.col("slot") == 0), F.array("slot")).otherwise(F.array("slot", F.col("slot") - 1))
+        rows = rows.withColumn("seen", F.explode(seen)).withColumn("ahead", F.col("seen") < F.col("slot")).drop("slot").withColumnRenamed("seen", "slot")
+    else:
+        rows = rows.withColumn("ahead", F.lit(False))
+    schema = f"{fields(rows, keys)}, command_t double, response_t double, delay_s double, direction int"
+    return in_parallel(rows, keys, slots, 0.0, _spent_table(w, same_time), _spent_after, _match(keys, w, same_time), schema)
+
+
+class _Sides:
+    """Commands and responses of a slot in order, and for each direction the next response from each place on."""
+
+    def __init__(self, pdf: pd.DataFrame, same_time: bool):
+        pdf = pdf.sort_values(["t", "rank", "pos"])
+        is_command = pdf["is_command"].to_numpy(bool)
+        t, direction = pdf["t"].to_numpy(float), pdf["direction"].to_numpy()
+        self.begin = t[0]
+        self.tc, self.dc = t[is_command], direction[is_command].tolist()
+        self.tr, dr = t[~is_command], direction[~is_command]
+        self.own = int((~pdf["ahead"].to_numpy(bool)[~is_command]).sum())
+        self.first = np.searchsorted(self.tr, self.tc, side="left" if same_time else "right")
+        n = len(dr)
+        self.next = {}
+        for d in set(self.dc):
+            place = np.append(np.where(dr == d, np.arange(n), n), n)
+            self.next[d] = np.minimum.accumulate(place[::-1])[::-1]
+        self.padded = np.append(self.tr, np.inf)
+
+
+def _spent_table(window: float, same_time: bool):
+    def table(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = _Sides(pdf, same_time)
+        count = int(np.count_nonzero(x.tr[:x.own] - x.begin <= window)) + 1
+        spent, which = np.arange(count), np.arange(count)
+        for k, (tc, dc, first) in enumerate(zip(x.tc.tolist(), x.dc, x.first.tolist())):
+            hit = x.next[dc][np.maximum(spent, first)]
+            spent = np.where(x.padded[hit] - tc <= window, hit + 1, spent)
+            if len(spent) > 1 and k % 16 == 0:
+                spent, place = np.unique(spent, return_inverse=True)
+                which = place[which]
+        return np.arange(count), np.maximum(0, spent[which] - x.own)
+    return table
+
+
+def _spent_after(state: float, entries: np.ndarray | None, exits: np.ndarray | None) -> float:
+    return 0.0 if exits is None else float(exits[min(int(state), len(exits) - 1)])
+
+
+def _match(keys: list[str], window: float, same_time: bool):
+    def run(pdf: pd.DataFrame, state: float) -> pd.DataFrame:
+        x, spent, found = _Sides(pdf, same_time), int(state), []
+        after, times = {d: n.tolist() for d, n in x.next.items()}, x.padded.tolist()
+        for tc, dc, first in zip(x.tc.tolist(), x.dc, x.first.tolist()):
+            hit = after[dc][max(spent, first)]
+            if times[hit] - tc <= window:
+                found.append((tc, times[hit], times[hit] - tc, dc))
+                spent = hit + 1
+        out = pd.DataFrame(found, columns=["command_t", "response_t", "delay_s", "direction"])
+        for i, c in enumerate(keys):
+            out.insert(i, c, pd.Series([pdf[c].iloc[0]] * len(out), dtype=pdf[c].dtype))
+        return out
     return run
 
 

@@ -214,13 +214,13 @@ def test_greedy_folds_against_plain_loops(spark, limit):
         for gap in (0.5, 3.0):
             times = {k: sorted(rnd.sample(range(0, 400), 120)) for k in "ab"}
             cand = spark.createDataFrame([(k, t / 10, t, gap) for k, ts in times.items() for t in ts], "s string, t double, pos long, gap double")
-            got = sorted((r["s"], r["t"]) for r in E.thin_by_gap(cand, K, max_group_rows=limit).collect())
+            got = sorted((r["s"], r["t"]) for r in E.thin_by_gap(cand, K, slot_rows=limit).collect())
             assert got == [(k, t) for k in "ab" for t in greedy([t / 10 for t in times[k]], gap)]
         for same_time in (False, True):
             for window in (0.4, 2.5):
                 data = {k: [[(t / 10, t, rnd.choice((1, -1))) for t in sorted(rnd.sample(range(0, 500), 90))] for _ in range(2)] for k in "ab"}
                 frames = [spark.createDataFrame([(k, *x) for k in "ab" for x in data[k][n]], "s string, t double, pos long, direction int") for n in (0, 1)]
-                got = sorted(tuple(r) for r in E.match_edges(*frames, K, window=window, same_time=same_time, max_group_rows=limit)
+                got = sorted(tuple(r) for r in E.match_edges(*frames, K, window=window, same_time=same_time, slot_rows=limit)
                              .select("s", "command_t", "response_t", "direction").collect())
                 want = []
                 for k in "ab":
@@ -282,15 +282,10 @@ def test_delay_of_a_late_wave(spark, limit):
     tr = [i * 0.02 for i in range(150)]
     command = [math.sin(2 * math.pi * t * 0.7) + 0.3 * math.sin(9 * t) for t in tc]
     response = [0.9 * (math.sin(2 * math.pi * (t - 0.04) * 0.7) + 0.3 * math.sin(9 * (t - 0.04))) + 0.05 for t in tr]
-    old = DL.LAG_BLOCK
-    DL.LAG_BLOCK = 64 if limit == 60 else old
-    try:
-        out = DL.analyze_delay(pair_rows(spark, {"p": (list(zip(tc, command)), list(zip(tr, response))), "short": ([(0, 1)], [(0, 1), (1, 1)]),
-                                                 "gap": ([(0, 1), (1, 1), (2, 1), (90, 1)], [(0, 1), (1, 1), (2, 1), (90, 1)])}), K, search_range_s=0.3, max_group_rows=limit)
-        rows = {r["s"]: r for r in out.summary.collect()}
-        curve = {r["k"]: r["correlation"] for r in out.curve.where("s = 'p'").collect()}
-    finally:
-        DL.LAG_BLOCK = old
+    out = DL.analyze_delay(pair_rows(spark, {"p": (list(zip(tc, command)), list(zip(tr, response))), "short": ([(0, 1)], [(0, 1), (1, 1)]),
+                                             "gap": ([(0, 1), (1, 1), (2, 1), (90, 1)], [(0, 1), (1, 1), (2, 1), (90, 1)])}), K, search_range_s=0.3, tile=64 if limit == 60 else 4096, max_group_rows=limit)
+    rows = {r["s"]: r for r in out.summary.collect()}
+    curve = {r["k"]: r["correlation"] for r in out.curve.where("s = 'p'").collect()}
     lag, want, err = numpy_delay(np.array(tc), np.array(command), np.array(tr), np.array(response), 0.3)
     s = rows["p"]
     assert s["status"] == "Valid" and rows["short"]["status"] == "InsufficientOverlap" and rows["gap"]["status"] == "GapExceeded"
