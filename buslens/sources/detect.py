@@ -8,26 +8,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from buslens.functions.time import trimmed
 from buslens.sources.busmaster import BUSMASTER
 from buslens.sources.candump import CANDUMP
 from buslens.sources.css import is_header
+from buslens.sources.files import chunks, first_lines, listed, open_stream, streamed, unpacked
 from buslens.sources.lines import scan_lines
 from buslens.sources.peak import PEAK_CLASSIC, PEAK_TSV
 
 # Lines looked at, and the points a format gets for them.
 PROBE_LINES = 200
+#: Bytes of a file that are looked at, where lines are long.
+PROBE_BYTES = 4 << 20
+PROBE_CHUNK = 1 << 15
 FORMATS = ["candump", "busmaster", "peak", "css"]
 
 
-def detect_format(spark, path) -> DataFrame:
-    """One row per file: four scores, the best format, and a status.
+def detect_format(spark, path, *, stream: bool | None = None) -> DataFrame:
+    """One row per file that has lines: four scores, the best format, and a status.
 
-    status is ok, unknown (no format scored) or ambiguous (two formats share the best score).
+    status is ok, unknown (no format scored) or ambiguous (two formats share the best score). A file is opened and read until its first lines are complete; how long it
+    is does not matter. In stores that only Spark's readers reach (stream=False), and for packings that only they know, all of the text is scanned.
     """
+    files = listed(spark, path)
+    if stream is None:
+        stream = streamed(files) and files.where(F.lower("path").rlike(r"\.(zst|lz4|snappy|xz|lzo)$")).isEmpty()
+    if stream:
+        heads = files.mapInArrow(_file_heads, "source_file string, line_text string")
+        return score_heads(heads.withColumn("line", trimmed(F.col("line_text"))))
     lines = scan_lines(spark, path).where("split_start = 0").select("source_file", "line_text", "line")
     return score_heads(lines.mapInArrow(_heads, lines.schema))
 
 
+def _file_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first lines of each file."""
+    for batch in batches:
+        for name, path in zip(batch.column("source_file").to_pylist(), batch.column("path").to_pylist()):
+            with open_stream(path) as stream:
+                lines = first_lines(unpacked(path, chunks(stream, PROBE_CHUNK)), PROBE_LINES, PROBE_BYTES)
+            yield pa.RecordBatch.from_pydict({"source_file": pa.array([name] * len(lines), pa.string()), "line_text": pa.array(lines, pa.string())})
+
+
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first lines of each file, which its first split holds, in order."""
     file, seen = None, 0

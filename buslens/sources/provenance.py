@@ -5,52 +5,31 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_EMPTY = hashlib.sha256().hexdigest().upper()
+from buslens.sources.files import chunks, listed, open_stream, streamed
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of each file from its parts in order; a line feed stands between parts, and after the last one if the size says so."""
-    file, size, state, seen = None, 0, None, 0
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            state = hashlib.sha256()
+            with open_stream(path) as stream:
+                for data in chunks(stream):
+                    state.update(data)
+            found.append(state.hexdigest().upper())
+        yield pa.RecordBatch.from_arrays([batch.column("source_file"), batch.column("bytes"), pa.array(found, pa.string())], names=["source_file", "bytes", "sha256"])
 
-    def result() -> pa.RecordBatch:
-        if size > seen:
-            state.update(b"\n")
-        return pa.RecordBatch.from_pydict({"source_file": [file], "sha256": [state.hexdigest().upper()]})
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = batch.column("source_file").dictionary_encode()
-        names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
-        begins = np.flatnonzero(np.diff(codes, prepend=-1))
-        for s, e in zip(begins, [*begins[1:], len(codes)]):
-            if names[codes[s]] != file:
-                if file is not None:
-                    yield result()
-                file, size, state, seen = names[codes[s]], batch.column("bytes")[s].as_py(), hashlib.sha256(), 0
-            else:
-                state.update(b"\n")
-                seen += 1
-            data = b"\n".join(batch.column("part").slice(s, e - s).to_pylist())
-            state.update(data)
-            seen += len(data)
-    if file is not None:
-        yield result()
-
-
-def file_digests(spark, path) -> DataFrame:
-    """source_file, bytes, sha256 (upper case).
-
-    Each file's bytes flow through one task as a sorted stream of the parts between line feeds; nothing holds a whole file.
+def file_digests(spark, path, *, stream: bool | None = None) -> DataFrame:
+    """source_file, bytes, sha256 (upper case) of the files as they lie, packed ones included.
+
+    The task that a file is dealt to streams its bytes through the hash: nothing is shuffled, and nothing holds a whole file. In stores that only Spark's readers
+    reach (stream=False), the hash is taken of the file as one value, which Spark limits to 2 GB.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.col("length").alias("bytes"))
-    parts = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("part"))
-    parts = parts.repartition("source_file").sortWithinPartitions("source_file", "start", "place")
-    found = parts.mapInArrow(_digests, "source_file string, sha256 string")
-    return files.join(found, "source_file", "left").withColumn("sha256", F.coalesce("sha256", F.lit(_EMPTY)))
+    files = listed(spark, path)
+    if streamed(files) if stream is None else stream:
+        return files.mapInArrow(_digests, "source_file string, bytes long, sha256 string")
+    return listed(spark, path, content=True).select("source_file", "bytes", F.upper(F.sha2("content", 256)).alias("sha256"))

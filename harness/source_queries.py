@@ -130,10 +130,12 @@ def q_detect_format(spark, d):
     return found.select(recording().alias("recording"), *[F.col(c).cast("bigint").alias(c) for c in ("candump", "busmaster", "peak", "css")], "format", "status")
 
 
-@query("file_digests", f"""WITH {LINES}, tx AS (SELECT recording, event_id, CASE line_class WHEN 'rejected' THEN 'corrupt line' WHEN 'non_data' THEN '# comment'
+LOG_TEXT = LINES + """, tx AS (SELECT recording, event_id, CASE line_class WHEN 'rejected' THEN 'corrupt line' WHEN 'non_data' THEN '# comment'
   ELSE printf('(%d.%06d) %s %X#%s', (ts_ns // 1000) // 1000000, (ts_ns // 1000) % 1000000, channel, can_id, data_hex) END AS value FROM ln),
-js AS (SELECT recording, string_agg(value, chr(10) ORDER BY event_id) || chr(10) AS body FROM tx GROUP BY recording)
-SELECT recording, CAST(strlen(body) AS BIGINT) AS bytes, upper(sha256(body)) AS sha256 FROM js""")
+js AS (SELECT recording, string_agg(value, chr(10) ORDER BY event_id) || chr(10) AS body FROM tx GROUP BY recording)"""
+
+
+@query("file_digests", f"WITH {LOG_TEXT} SELECT recording, CAST(strlen(body) AS BIGINT) AS bytes, upper(sha256(body)) AS sha256 FROM js")
 def q_file_digests(spark, d):
     return file_digests(spark, log_glob(candump_logs(spark, d))).select(recording().alias("recording"), "bytes", "sha256")
 
@@ -242,7 +244,7 @@ def q_union_issues(spark, d):
     return loaded(spark, d).issues.groupBy("code").agg(F.count(F.lit(1)).alias("issues"))
 
 
-@query("with_provenance", f"""SELECT {RECORDING} AS recording, 'Partial' AS import_mode, 'Partial' AS completeness FROM events GROUP BY 1""")
+@query("with_provenance", f"WITH {LOG_TEXT} SELECT recording, upper(sha256(body)) AS source_log_sha256, 'Partial' AS import_mode, 'Partial' AS completeness FROM js")
 def q_with_provenance(spark, d):
-    return with_provenance(loaded(spark, d)).where(F.length("source_log_sha256") == 64).where(F.length("dbc_sha256") == 64).select(
-        recording().alias("recording"), "import_mode", "completeness")
+    return with_provenance(loaded(spark, d)).where(F.length("dbc_sha256") == 64).select(
+        recording().alias("recording"), "source_log_sha256", "import_mode", "completeness")
