@@ -19,18 +19,21 @@ ROWS, QUERIES = 4_096, 512
 STEP = 2_048
 #: Below it, integers and their sums are exact as doubles.
 EXACT = 2.0**53
-#: Scores beyond it stop there, so that differences of scores fit into a long.
-LIMIT = 2**61
+#: The scores a long holds.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products as int64, stopping at LIMIT."""
+def _scores(queries: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Integer inner products as int64, exact, and 0 for pairs of a query with itself; products that a long cannot hold are refused."""
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
     if top < EXACT:
         return (queries @ rows.T).astype("int64")
     exact = [np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (queries, rows)]
     whole = exact[0] @ exact[1].T if rows.shape[1] else np.zeros((len(queries), len(rows)), dtype=object)
-    return np.clip(whole, -LIMIT, LIMIT).astype("int64")
+    whole[own] = 0
+    if whole.size and not LEAST <= whole.min() <= whole.max() <= MOST:
+        raise ValueError("an inner product is beyond the range of a long")
+    return whole.astype("int64")
 
 
 def _parts(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -40,7 +43,8 @@ def _parts(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     q_matrix = np.frombuffer(row.q_matrix, dtype="float64").reshape(len(q_ids), row.q_dim)
     for i in range(0, len(ids), STEP):
         some = ids[i:i + STEP]
-        yield q_ids, some, _scores(q_matrix, matrix[i:i + STEP]), q_ids[:, None] == some[None, :]
+        own = q_ids[:, None] == some[None, :]
+        yield q_ids, some, _scores(q_matrix, matrix[i:i + STEP], own), own
 
 
 def _rows_of(batches: Iterator[pd.DataFrame]) -> Iterator:
@@ -52,8 +56,14 @@ def _arrays(row, *names: str) -> list[np.ndarray]:
     return [np.frombuffer(getattr(row, n), dtype="int64").copy() for n in names]
 
 
+def _offset(values: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """values - low, as unsigned numbers: a difference of two longs may be larger than a long."""
+    return values.view("uint64") - low.view("uint64")
+
+
 def _width(low: np.ndarray, high: np.ndarray, n_bins: int) -> np.ndarray:
-    return np.maximum(1, -(-(high - low) // n_bins))
+    """Width of a bin of the interval low..high, both ends included."""
+    return _offset(high, low) // np.uint64(n_bins) + np.uint64(1)
 
 
 def _count(k: int, n_bins: int):
@@ -65,8 +75,8 @@ def _count(k: int, n_bins: int):
             counts = np.zeros((len(low), n_bins), dtype="int64")
             at = np.arange(len(low))[:, None] * n_bins
             for _, _, scores, own in _parts(row):
-                keep = (scores >= low[:, None]) & (scores < high[:, None]) & ~own
-                place = at + (scores - low[:, None]) // width
+                keep = (scores >= low[:, None]) & (scores <= high[:, None]) & ~own
+                place = at + np.minimum(_offset(scores, low[:, None]) // width, np.uint64(n_bins - 1)).astype("int64")
                 counts += np.bincount(place[keep], minlength=counts.size).reshape(counts.shape)
             beyond = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
             q, b = np.nonzero((counts > 0) & (beyond < k))
@@ -75,8 +85,8 @@ def _count(k: int, n_bins: int):
 
 
 def _locate(k: int, n_bins: int):
-    """The bin with the kth value becomes the next interval [low, high); `above` counts the values beyond it. A block of queries
-    is a group: at most 512 times 64 rows. An interval of one value is the kth value: low, high = value, value."""
+    """The bin with the kth value becomes the next interval low..high; `above` counts the values beyond it. A block of queries
+    is a group: at most 512 times 64 rows. An interval of one value is the kth value."""
     def locate(key, found: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         row = next(state.itertuples(index=False))
         low, high, above = _arrays(row, "low", "high", "above")
@@ -88,9 +98,11 @@ def _locate(k: int, n_bins: int):
         going = (low < high) & (bins >= 0)
         b = np.maximum(bins, 0)
         above = np.where(going, (reach - counts)[np.arange(len(low)), b], above)
-        first = np.where(going, low + b * width, low)
+        skipped = b.astype("uint64") * width
+        first = np.where(going, (low.view("uint64") + skipped).view("int64"), low)
+        rest = np.minimum(width - np.uint64(1), _offset(high, low) - skipped)
         # Fewer than k candidates: all of them are wanted, so the interval ends at its lower bound.
-        last = np.where(going & (width > 1), np.minimum(high, first + width), first)
+        last = np.where(going, (first.view("uint64") + rest).view("int64"), first)
         return pd.DataFrame([{"query_block": key[0], "low": first.tobytes(), "high": last.tobytes(), "above": above.tobytes(), "open": int((first < last).sum())}])
     return locate
 
@@ -120,7 +132,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, n_bins: int = BINS) -> Da
 
     A query's own id is no candidate. Repeated queries count once, with the smallest vector; repeated rows count each. Rows with a
     NULL id, or a vector that is NULL or holds a NULL or non-finite component, take no part; vectors of different length are not
-    compared. With fewer than k candidates all are returned; without rows or queries, none.
+    compared. Scores are exact over the range of a long; a pair beyond it stops the job. With fewer than k candidates all are returned; without rows or queries, none.
     """
     keep = F.col("id").isNotNull() & usable("vector")
     rows = staged(rows.where(keep), "vectors")
@@ -136,8 +148,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, n_bins: int = BINS) -> Da
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in _rows_of(batches):
             _, matrix = unpack(row)
-            reach = np.array([min(LIMIT, int(x) + 2) for x in np.sqrt((matrix * matrix).sum(axis=1)) * largest**0.5 * (1 + 1e-9)], dtype="int64")
-            yield pd.DataFrame([{"query_block": row.query_block, "low": (-reach).tobytes(), "high": (reach + 1).tobytes(), "above": np.zeros(len(reach), "int64").tobytes(), "open": len(reach)}])
+            # In the norms' product; squares of very long vectors may not be finite.
+            reach = np.array([min(MOST, int(x) + 2) if np.isfinite(x) else MOST for x in np.sqrt((matrix * matrix).sum(axis=1)) * largest**0.5 * (1 + 1e-9)], dtype="int64")
+            low = np.where(reach == MOST, LEAST, -reach)
+            yield pd.DataFrame([{"query_block": row.query_block, "low": low.tobytes(), "high": reach.tobytes(), "above": np.zeros(len(reach), "int64").tobytes(), "open": len(reach)}])
 
     shape = "query_block int, low binary, high binary, above binary, open long"
     state = staged(q.mapInPandas(begin, shape), "state")

@@ -19,8 +19,8 @@ SEPARATOR = "\r\n\r\n"
 MIN_BYTES = 0
 #: Records of a file, and captures that one task merges.
 FILE_RECORDS, MERGE_ROWS = 2_000, 100_000
-#: Pages have no time of capture: ids count minutes from here.
-EPOCH = 1_704_067_200
+#: Pages have no time of capture: ids count minutes from here, over and over after so many, so that every id has a year of four digits.
+EPOCH, MINUTES = 1_704_067_200, 4_000_000_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -63,7 +63,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, comp
     pages = pages.withColumn("mark", F.xxhash64("page_id", "url"))
     heads = staged(pages.select("page_id", "url", "payload_bytes", "digest", "mark", F.monotonically_increasing_id().alias("row")), "heads")
     heads = heads.withColumn("same", F.when(F.col("payload_bytes") >= min_bytes, F.lit(-1).cast("long")).otherwise(F.col("row")))
-    seconds = F.lit(EPOCH) + 60 * F.coalesce(F.col("page_id").cast("long"), F.lit(0))
+    seconds = F.lit(EPOCH) + 60 * F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0).cast("long")), F.lit(MINUTES))
     heads = heads.withColumn("date", F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
     first = heads.groupBy("digest", "payload_bytes", "same").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = staged(first.select("digest", "payload_bytes", "same", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"), "n"), "first")
@@ -218,7 +218,9 @@ def merge_index(captures: DataFrame) -> DataFrame:
     URL's history, and a range is merged by one task with a loser tree over the runs' slices, of about MERGE_ROWS rows in all.
     """
     spark = captures.sparkSession
-    keyed = captures.withColumn("page_key", F.coalesce(F.lpad("page_id", 20, "0"), F.lit("")))
+    # Digits that sort as the numbers do, negative ones first.
+    number = F.expr("lpad(hex(try_cast(page_id AS bigint) ^ cast(-9223372036854775808 AS bigint)), 16, '0')")
+    keyed = captures.withColumn("page_key", F.coalesce(number, "page_id", F.lit("")))
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields)
     runs = staged(keyed.sortWithinPartitions("url_key", "timestamp", "page_key").mapInArrow(_run_rows, f"{shape}, run int, place long"), "runs")
     n = max(partitions(spark), -(-runs.count() // MERGE_ROWS))

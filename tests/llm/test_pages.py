@@ -52,6 +52,14 @@ def test_archives_round_trip(spark, tmp_path):
     assert Counter(r.url_key for r in got) == Counter(url_key(re.sub(r"[\x00-\x20]", "%20", d[1] or "")) for d in data)
 
 
+def test_archives_of_ids_at_both_ends_of_a_long(spark, tmp_path):
+    ids = [2**63 - 1, -(2**63), 2**60, 200_000_000_000, -5, -1, 0, 7, None]
+    got = archive_index(spark.createDataFrame([(i, "http://a.org/", f"p{i}", "", 0) for i in ids], SHAPE), path=str(tmp_path / "l")).collect()
+    assert Counter(r.page_id for r in got) == Counter(ids) and all(r.record_type == "response" and len(r.timestamp) == 14 for r in got)
+    order = [(r.timestamp, -(2**64) if r.page_id is None else r.page_id) for r in sorted(got, key=lambda r: (r.range, r.position))]
+    assert order == sorted(order)
+
+
 def test_archives_are_warc_files(spark, tmp_path):
     write_archives(spark.createDataFrame([(1, "http://a.org/", "é", "", 0), (2, "http://a.org/", "é", "", 0)], SHAPE).select("page_id", "url", "html"), str(tmp_path / "w"), compression="none")
     text = "".join(f.read_bytes().decode() for f in sorted(tmp_path.rglob("part-*")))

@@ -57,6 +57,25 @@ def test_integer_top_k_of_large_numbers_and_few_rows(spark):
     assert integer_search(table(spark, [])).collect() == []
 
 
+def test_integer_top_k_up_to_the_ends_of_a_long(spark):
+    """Scores between 2**61 and 2**63, of both signs, one apart and at both ends of the range."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(2**31), float(rng.integers(0, 3)), 1.0]) for i in range(1, 40)]
+    rows += [(101 + i, [x * 2.0**30, float(i), 0.0]) for i, x in enumerate((-3.5, 2.5, 3.25, 3.0, -2.0, 1.0))]
+    rows += [(0, [2.0**31, 1.0, 2.0**20]), (50, [-(2.0**31), 0.0, -1.0]), (200, [2.0**31, 0.0, 0.0])]
+    rows += [(250, [-(2.0**31), 5.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    want = brute([(i, [int(x) for x in v]) for i, v in rows], 50, 5, lambda v: v)
+    assert max(abs(s) for v in want.values() for _, s in v) > 2**61
+    assert ranked(top_k(df, df.where("id % 50 = 0"), 5)) == want
+    edge = spark.createDataFrame([(0, [-(2.0**62), 1.0]), (1, [2.0, 0.0]), (2, [-1.0, 7.0]), (3, [2.0, 1.0])], "id long, vector array<double>")
+    got = ranked(top_k(edge, edge.where("id = 0"), 5))
+    assert got[0] == [(2, 2**62 + 7), (3, 1 - 2**63), (1, -(2**63))]
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        beyond = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "id long, vector array<double>")
+        top_k(beyond, beyond.where("id = 0"), 5).collect()
+
+
 def test_nearest_finds_all_of_small_shards(spark):
     data = odd_rows(np.random.default_rng(2))
     valid = [(i, v) for i, v in good(data) if any(v)]
