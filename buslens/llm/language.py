@@ -16,6 +16,8 @@ from buslens.llm.words import SPACE, hash_words, mix, steps
 
 #: The classifier is fitted on so many labelled documents of each language at most, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 4_000
+#: Bytes of text that a worker labels before it hands rows on.
+SLICE_BYTES = 4 << 20
 #: Feature weights are kept in 2**BITS rows.
 BITS = 18
 #: Lengths in bytes of the n-grams, of the prefixes and of the suffixes that are features.
@@ -259,6 +261,18 @@ def word_labels(model: Model, column: pa.Array) -> Iterator[tuple[int, int, np.n
         yield i, j, own, chain_marginals(emitted[back], model.moves, sizes[sizes > 0])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with SLICE_BYTES of text or a row more. What Arrow has freed goes back to the system, as workers outlive their tasks."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE_BYTES, side="right")) + 1
+            yield batch.slice(begin, end - begin)
+            begin = end
+        pa.default_memory_pool().release_unused()
+
+
 def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = (), sureness: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, from its whole text; `keep` names further columns to carry.
 
@@ -276,7 +290,7 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_model: Model = pickle.loads(sent.value)
-        for batch in batches:
+        for batch in _slices(batches):
             text = batch.column("text")
             n, k = len(text), max(1, len(own_model.labels))
             sums, words, most = np.zeros((n, k)), np.zeros(n), np.zeros(n)

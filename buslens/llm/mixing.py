@@ -17,6 +17,8 @@ SHARE = 1.5
 #: A document goes into the mix this many times at most.
 REPEATS = 2
 SEED = "mix-1"
+#: Words that are served at once: longer documents queue in so many parts as they need.
+QUANTUM = 256
 
 
 def n_words(text: str = "text") -> Column:
@@ -54,18 +56,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         FROM levels""", sums=sums)
 
 
-def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, key: Column | None = None) -> DataFrame:
+def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, key: Column | None = None, quantum: int = QUANTUM) -> DataFrame:
     """Which documents a mix of weighted sources takes, one row per row of `docs`.
 
-    Each source's documents queue in a fixed shuffled order, again and again up to `repeats` times. A copy's virtual finish time
-    is the source's words up to its end over the source's target. All copies are range-sorted by it and taken until the words
-    of the mix reach the budget. The copy in service when its source reaches its target is cut there, so a source comes within a
-    word of its target.
+    Each source's documents queue in a fixed shuffled order, again and again up to `repeats` times, in parts of at most `quantum` words. A part's virtual finish time
+    is the source's words up to its end over the source's target. All parts of all sources are range-sorted by it, and taken until their words reach the
+    budget, where the last one is cut. As targets add up to the budget, that is when each source is within a part of its target; no source is cut by itself.
 
     Columns: doc_id, source, size, source_size, target, taken (words, repeats counted), copies (whole ones), part (words of the
     cut one), and row_key if `key` gives one. NULL text has size 0; a NULL source is a source of its own, last in order; NULL
-    doc_id shuffles as the word null. Documents of size 0 are taken once, with 0 words, if their finish time is in the mix.
-    Rows repeated in full get the same rows in any run. An empty table gives none.
+    doc_id shuffles as the word null. Documents of size 0 are taken once, with 0 words, if their finish time is in the mix. Equal finish times go by source,
+    shuffled order and size, so rows repeated in full are interchangeable and get the same rows in any run. Texts of any length are counted whole. Other
+    columns are ignored, whatever their names. An empty table gives none.
     """
     docs = docs.withColumn("__key", key if key is not None else F.lit(0).cast("long"))
     rows = pick(docs, "doc_id", "source", "text", "__key").select("doc_id", "source", n_words().alias("size"), shuffle_key(seed=seed).alias("order"), F.col("__key").alias("row_key"))
@@ -73,22 +75,21 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     goals = staged(targets(rows, weights, share, repeats), "targets")
     queued = running_sums(rows, ["source", "order", "size", "row_key"], "size", "source")
     queued = same_keys_join(queued, goals, ["source"]).withColumnRenamed("block", "row_block").withColumnRenamed("place", "row_place")
-    copies = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"))
-    start = F.col("copy") * F.col("source_size") + F.col("before")
-    copies = copies.withColumn("served", F.when((F.col("size") == 0) & (F.col("copy") > 0), None).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - start))))
-    copies = copies.withColumn("served", F.when((F.col("served") == 0) & ((F.col("size") > 0) | (start > F.col("target"))), None).otherwise(F.col("served")))
-    finish = F.when(F.col("target") > 0, (start + F.col("served")) / F.col("target")).otherwise(F.lit(0.0))
-    # Copies beyond the mix keep served = NULL: they finish after all others and take nothing.
-    copies = copies.withColumn("finish", F.coalesce(finish, F.lit(float("inf")))).withColumn("words", F.coalesce("served", F.lit(0).cast("long"))).drop("before")
-    mixed = running_sums(copies, ["finish", "source", "order", "row_block", "row_place", "copy"], "words")
-    budget = goals.agg(F.floor(F.sum("source_size") * F.lit(share))).first()[0] or 0
-    in_mix = F.col("served").isNotNull() & (F.col("before") + F.col("words") <= F.lit(budget))
-    words = F.when(F.col("served").isNull(), 0).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.lit(budget) - F.col("before"))))
-    whole = in_mix & (F.col("words") == F.col("size"))
-    return (mixed.groupBy("row_block", "row_place").agg(
+    copies = queued.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > 0, repeats - 1).otherwise(0))).alias("copy"))
+    parts = copies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / quantum) - 1, F.lit(0)))).alias("part"))
+    words = F.least(F.lit(quantum).cast("long"), F.col("size") - F.col("part") * quantum)
+    end = F.col("copy") * F.col("source_size") + F.col("before") + F.col("part") * quantum + words
+    finish = F.when(F.col("target") > 0, end / F.col("target")).otherwise(F.lit(0.0))
+    parts = parts.select("row_block", "row_place", "copy", "part", "source", "order", "size", "row_key", "doc_id", "source_size", "target", words.alias("words"), finish.alias("finish"))
+    mixed = running_sums(parts, ["finish", "source", "order", "size", "row_block", "row_place", "copy", "part"], "words")
+    budget = F.lit(goals.agg(F.floor(F.sum("source_size") * F.lit(share))).first()[0] or 0)
+    taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), budget - F.col("before")))
+    found = mixed.groupBy("row_block", "row_place").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target", "row_key")],
-        F.sum(words).alias("taken"), F.sum(whole.cast("long")).alias("copies"), F.sum(F.when(whole, 0).otherwise(words)).alias("part"))
-        .drop("row_block", "row_place"))
+        F.sum(taken).alias("taken"), F.max((F.col("before") <= budget).cast("long")).alias("reached"))
+    # A source serves one copy to its end before the next one begins.
+    whole = F.when(F.col("size") > 0, F.expr("taken div greatest(size, 1L)")).otherwise(F.col("reached"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "row_key", "taken", whole.alias("copies"), F.expr("taken % greatest(size, 1L)").alias("part"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +112,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of doc_id, text, lang, source, n_chars, a document once for each time it is taken.
 
-    A copy cut where its source reached its target holds the words up to there (one for a source at most). Copies of a row
-    that is repeated in full are counted together.
+    A copy that the budget cuts holds the words up to there (one for a source at most). Copies of a row that is repeated in full are counted together. NULL texts
+    and sources, ties, empty tables and other columns: as in `fair_mix`.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = pick(docs, *names)

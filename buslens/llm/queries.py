@@ -25,11 +25,15 @@ levels AS (SELECT *, (budget - CAST(coalesce(sum(stop) OVER (ORDER BY place ROWS
 free AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM levels WHERE level * weight <= stop),
 goals AS (SELECT source, source_size, CASE WHEN f.place IS NULL OR l.place < f.place THEN CAST(stop AS DOUBLE) ELSE f.level * weight END AS target
     FROM levels l, free f),
-queued AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM docs)
-SELECT q.doc_id, q.size, g.source_size, g.target,
-  CAST(greatest(0, least(q.size, CAST(floor(g.target) AS BIGINT) - q.before))
-     + greatest(0, least(q.size, CAST(floor(g.target) AS BIGINT) - g.source_size - q.before)) AS BIGINT) AS taken
-FROM queued q JOIN goals g ON q.source IS NOT DISTINCT FROM g.source
+queued AS (SELECT *, row_number() OVER () AS r, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM docs),
+copies AS (SELECT q.*, g.source_size, g.target, unnest(range(0, CASE WHEN size > 0 THEN 2 ELSE 1 END)) AS copy FROM queued q JOIN goals g ON q.source IS NOT DISTINCT FROM g.source),
+parts AS (SELECT *, unnest(range(0, greatest(1, (size + 255) // 256))) AS part FROM copies),
+timed AS (SELECT *, least(256, size - 256 * part) AS words,
+    CASE WHEN target > 0 THEN CAST(copy * source_size + before + 256 * part + least(256, size - 256 * part) AS DOUBLE) / target ELSE 0e0 END AS finish FROM parts),
+mixed AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source NULLS FIRST, ord, size, r, copy, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM timed)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(sum(greatest(0, least(words, CAST(floor((SELECT sum(source_size) FROM sums) * 1.5e0) AS BIGINT) - ahead))) AS BIGINT) AS taken
+FROM mixed GROUP BY r
 """
 
 
