@@ -32,16 +32,16 @@ def _text(field: Column) -> Column:
 
 def parse_event(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add is_json, is_object, the event's properties (variant) and its text fields as raw_*."""
-    rows = lines.withColumns({
-        "is_json": F.try_parse_json(F.col(value)).isNotNull(),
-        "is_object": trimmed(F.col(value)).startswith("{"),
-        "j": F.from_json(F.col(value), ", ".join(f"{n} variant" for n in _FIELDS)),
-    })
+    # One parse; all fields are looked up in its result.
+    rows = lines.withColumn("j", F.try_parse_json(F.col(value)))
+    rows = rows.withColumns({f"__{n}": F.try_variant_get("j", f"$.{n}", "variant") for n in _FIELDS})
     rows = rows.withColumns({
-        **{f"raw_{n}": _text(F.col("j")[n]) for n in _FIELDS if n != "properties"},
-        "name_text": F.try_variant_get(F.col("j")["event_name"], "$", "string"),
-        "properties_raw": F.col("j")["properties"],
-    }).drop("j")
+        "is_json": F.col("j").isNotNull(),
+        "is_object": trimmed(F.col(value)).startswith("{"),
+        **{f"raw_{n}": _text(F.col(f"__{n}")) for n in _FIELDS if n != "properties"},
+        "name_text": F.try_variant_get("__event_name", "$", "string"),
+        "properties_raw": F.col("__properties"),
+    }).drop("j", *[f"__{n}" for n in _FIELDS])
     return rows.withColumn("event_time", F.col("raw_timestamp_utc").try_cast("timestamp"))
 
 
@@ -53,7 +53,8 @@ def event_error(value: Column) -> Column:
              .when(~F.coalesce(F.col("name_text").isin(EVENT_NAMES), F.lit(False)), "unknown_event_name"))
     for name in REQUIRED:
         error = error.when(F.col(f"raw_{name}") == "", f"missing_{name}")
-    too_large = F.length(F.to_json("properties_raw")) > MAX_PROPERTIES
+    # Written out, numbers may grow, but not beyond forty digits: short lines need no look.
+    too_large = F.when(F.length(value) * 20 <= MAX_PROPERTIES, False).otherwise(F.length(F.to_json("properties_raw")) > MAX_PROPERTIES)
     return error.when(F.col("event_time").isNull(), "invalid_timestamp_utc").when(too_large, "properties_too_large")
 
 
@@ -75,23 +76,28 @@ def with_properties(rows: DataFrame) -> DataFrame:
                 .when(e["kind"].startswith("ARRAY"), F.substring(listed, 1, TEXT_LENGTH))
                 .when(e["kind"].startswith("OBJECT"), "[object Object]").otherwise(plain))
 
+    # The text of a value is worked out once, in a step of its own.
     rows = rows.withColumn("__kinds", F.filter(kinds, lambda e: e["key"] != ""))
+    rows = rows.withColumn("__texts", F.transform("__kinds", lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("kind"), e["value"].alias("value"), text(e).alias("text"))))
+
     def as_json(e: Column) -> Column:
         # to_json() of a variant writes its JSON form; texts are written as the cut text.
         kept = e["kind"].startswith("ARRAY") | e["kind"].startswith("OBJECT") | (e["kind"] == "STRING")
-        quoted = F.regexp_replace(F.to_json(F.array(text(e))), r"^\[|\]$", "")
+        escaped = F.regexp_replace(F.to_json(F.array(e["text"])), r"^\[|\]$", "")
+        quoted = F.when(e["text"].rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(F.concat(F.lit('"'), e["text"], F.lit('"')))
         return F.when(kept, quoted).otherwise(F.coalesce(F.to_json(e["value"]), F.lit("null")))
 
-    rows = rows.withColumn("__named", F.transform("__kinds", lambda e: F.struct(
-        e["key"].alias("key"), text(e).alias("value"), F.concat(F.lit('"'), e["key"], F.lit('":'), as_json(e)).alias("json"))))
+    rows = rows.withColumn("__named", F.transform("__texts", lambda e: F.struct(
+        e["key"].alias("key"), e["text"].alias("value"), F.concat(F.lit('"'), e["key"], F.lit('":'), as_json(e)).alias("json"))))
     named = F.col("__named")
     last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
-    rows = rows.withColumn("__last", last)
+    once = F.size(F.array_distinct(F.transform(named, lambda e: e["key"]))) == F.size(named)
+    rows = rows.withColumn("__last", F.when(once, named).otherwise(last))
     pairs = F.transform("__last", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     body = F.array_join(F.transform("__last", lambda e: e["json"]), ",")
     return rows.withColumns({"properties": F.coalesce(F.map_from_entries(pairs), empty),
-                             "properties_json": F.concat(F.lit("{"), F.coalesce(body, F.lit("")), F.lit("}"))}).drop("__kinds", "__named", "__last")
+                             "properties_json": F.concat(F.lit("{"), F.coalesce(body, F.lit("")), F.lit("}"))}).drop("__kinds", "__texts", "__named", "__last")
 
 
 def normalized_event() -> dict[str, Column]:
