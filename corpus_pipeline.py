@@ -17,10 +17,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SURE = 0.5
 #: Near duplicates: shingles of so many words, and hundredths of Jaccard similarity.
 SHINGLE, PERCENT = 5, 80
+#: What goes to a Python worker at once, in rows and bytes: documents are whole texts, and the batches of all tasks lie in the executor beside its heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words are each of a language, be it one or several. NULL and empty texts and texts without a letter go."""
+    """Documents whose words are each of a language, be it one or several. NULL and empty texts and texts without a letter go.
+
+    Sets the session's batch size for Python workers, for this stage and those that follow it.
+    """
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     named = identify(pick(docs, *COLUMNS), keep=COLUMNS, sureness=True)
     return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= MIN_SURE)).select(*COLUMNS)
 
