@@ -5,7 +5,7 @@ from buslens.llm.registered import ORACLES, QUERIES
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {q.partition("_")[0] for q in QUERIES if q != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {q.partition("_")[0] for q in QUERIES if q != "pipeline"}
     assert "pipeline" in QUERIES and "pipeline" not in ORACLES
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "mix", "pack"]
 
