@@ -9,8 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from buslens.llm.bit_tables import Tables, room, set_tables
 from buslens.llm.common import combined, filtered, key_filter, may_hold, partitions, pick, same_keys_join, sorted_blocks, staged
-from buslens.llm.prefix_lists import earliest_partners, most_common, runs, set_sketch, starts
+from buslens.llm.prefix_lists import earliest_partners, starts
 from buslens.llm.words import hash_words, mix, steps
 
 #: Lines link when 100 * common words >= PERCENT * all words of the two.
@@ -20,8 +21,10 @@ BITS = 22
 PIECES = 64
 #: Lines of one word that are compared with each other in memory; longer lists are compared block against block.
 LIST_BLOCK = 2_048
-#: Sets of more words than that get a larger bit table than 64 bits.
+#: Of sets of more words than that, 64 bits stand for half of the words only.
 SKETCHED = 85
+#: Lists are dealt in so many parts for each shuffle partition; a task holds one part at a time.
+LIST_PARTS = 16
 
 
 def word_classes(texts: DataFrame, bits: int = BITS) -> bytes:
@@ -93,19 +96,6 @@ def _sums(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.add.reduceat(mix(words * np.uint64(c)), first).view("int64") for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def _bits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 bits of each set: bit k if one of its words is k modulo 64. Of larger sets only half of all words count, the same half for
-    every set, as bits that are nearly all set tell nothing."""
-    size = np.diff(np.append(first, len(words)))
-    counts = np.repeat(size <= SKETCHED, size) | ((words >> np.uint64(6)) & np.uint64(1) == 1)
-    return np.bitwise_or.reduceat(np.where(counts, np.uint64(1) << (words & np.uint64(63)), np.uint64(0)), first).view("int64")
-
-
-def _sketches(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    """Larger bit tables (see set_sketch) of the sets that 64 bits tell too little of."""
-    return [set_sketch(words[s:s + n]) if n > SKETCHED else None for s, n in zip(first.tolist(), size.tolist())]
-
-
 def _lines(table, percent: int, bits: int):
     """One row per line with words: where it is, its set's digest (d1, d2, size), its prefix as 32-bit keys, and its bit tables. Words whose bucket
     counts one word occur once in all texts, so no other line has them: they are left out of the prefix."""
@@ -124,8 +114,8 @@ def _lines(table, percent: int, bits: int):
                 keep = (place < np.repeat(length, size)) & ((words >> np.uint64(58)) > 0)
                 own = np.repeat(np.arange(len(first)), size)[keep]
                 keys = (words[keep] >> np.uint64(32)).astype("uint32").view("int32")
-                extra = [_binary(keys, np.bincount(own, minlength=len(first))), pa.array(_bits(words, first)), pa.array(_sketches(words, first, size), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "prefix", "bits", "sketch"])
+                extra = [_binary(keys, np.bincount(own, minlength=len(first))), set_tables(words, first)]
+                yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "prefix", "sketch"])
     return build
 
 
@@ -134,24 +124,66 @@ def _partners(size: np.ndarray, percent: int) -> np.ndarray:
     return 100 * size >= percent * (size + 1)
 
 
-def _postings(percent: int):
+#: Fields of a posting, in the order they are packed in.
+POSTING = (("key", "int32"), ("cid", "int64"), ("size", "int32"), ("rest", "int32"), ("bits", "uint64"))
+POSTING_BYTES = 28
+
+
+def _postings(percent: int, parts: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per prefix word: how many words are left from it on, its own included."""
+        """Postings, one per prefix word with how many words are left from it on, its own included. Those of a batch that go to the same part are packed into one
+        row, so that Spark moves and sorts few rows; their bytes lie by significance, as most high ones are zero."""
         for batch in batches:
             sizes = batch.column("size").to_numpy()
-            keys = [np.frombuffer(x, dtype="int32") for x in batch.column("prefix").to_pylist()]
-            if not keys:
+            prefix = batch.column("prefix")
+            offsets = np.frombuffer(prefix.buffers()[1], dtype="int32")[prefix.offset:prefix.offset + len(prefix) + 1]
+            counts = np.diff(offsets) // 4
+            if not counts.sum():
                 continue
-            counts = np.array([len(k) for k in keys])
-            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            key = np.frombuffer(np.frombuffer(prefix.buffers()[2], dtype="uint8")[offsets[0]:offsets[-1]].tobytes(), dtype="int32")
+            place = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
             size = np.repeat(sizes, counts)
             left_out = np.repeat(_prefix(sizes, percent) - counts, counts)
-            cid, bits = (pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("cid", "bits"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), cid, pa.array(size.astype("int32")), pa.array((size - place - left_out).astype("int32")), bits],
-                                             names=["key", "cid", "size", "rest", "bits"])
+            cid, bits = (np.repeat(c, counts) for c in (batch.column("cid").to_numpy(), Tables(batch.column("sketch")).small(sizes > SKETCHED)))
+            part = (mix(key.view("uint32").astype("uint64")) % np.uint64(parts)).astype("int32")
+            order = np.lexsort([key, part])
+            fields = [x.astype(kind)[order] for x, (_, kind) in zip((key, cid, size, size - place - left_out, bits), POSTING)]
+            part = part[order]
+            begins = starts([part])
+            chunks = [b"".join(f[s:e].view("uint8").reshape(e - s, -1).T.tobytes() for f in fields) for s, e in zip(begins, np.append(begins[1:], len(part)))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[begins]), pa.array(chunks, pa.binary())], names=["part", "chunk"])
     return build
 
 
+def _unpacked(chunks: list[bytes]) -> list[np.ndarray]:
+    """The fields of packed postings, sorted by key and cid."""
+    fields: list[list[np.ndarray]] = [[] for _ in POSTING]
+    for chunk in chunks:
+        raw, at = np.frombuffer(chunk, dtype="uint8"), 0
+        n = len(raw) // POSTING_BYTES
+        for found, (_, kind) in zip(fields, POSTING):
+            width = np.dtype(kind).itemsize
+            found.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).view(kind).ravel())
+            at += n * width
+    columns = [np.concatenate(f) for f in fields]
+    order = np.lexsort([columns[1], columns[0]])
+    return [c[order] for c in columns]
+
+
+def _list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Postings of one part after the other, from chunks sorted by part. A part has whole keys."""
+    held, last = [], None
+    for batch in batches:
+        for part, chunk in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist()):
+            if held and part != last:
+                yield _unpacked(held)
+                held = []
+            held.append(chunk)
+            last = part
+    if held:
+        yield _unpacked(held)
+
+
 def _may_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
     """At their first common word two sets can still link, by (size, words left from there on, bits): sizes are near enough, and neither
     what is left nor the bits that only one of them has rule out enough common words."""
@@ -163,11 +195,9 @@ def _may_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
 
 
 def _first_pairs(percent: int, block: int):
-    """From lists sorted by key and time: each line with the earliest one of the list that it may link with (kind 1), and the list's
-    rows that may link with any (kind 0)."""
+    """From packed lists: each line with the earliest one of the list that it may link with (kind 1), and the list's rows that may link with any (kind 0)."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cid, size, rest, bits in runs(batches, ["key", "cid", "size", "rest", "bits"], 1):
-            bits = bits.view("uint64")
+        for key, cid, size, rest, bits in _list_parts(batches):
             begins = starts([key])
             counts = np.diff(np.append(begins, len(key)))
             earliest, some = earliest_partners(begins, counts, lambda x, y: (cid[x] != cid[y]) & _may_link((size[x], rest[x], bits[x]), (size[y], rest[y], bits[y]), percent), block,
@@ -178,16 +208,36 @@ def _first_pairs(percent: int, block: int):
             zeros = np.zeros(len(pairs), "int32")
             yield pa.RecordBatch.from_pydict({
                 "kind": np.concatenate([np.zeros(len(kept), "int32"), zeros + 1]), "key": np.concatenate([key[kept], zeros]), "cid": np.concatenate([cid[kept], pairs[:, 0]]),
-                "earlier": np.concatenate([np.full(len(kept), -1), pairs[:, 1]]), "size": np.concatenate([size[kept], zeros]), "rest": np.concatenate([rest[kept], zeros]), "bits": np.concatenate([bits[kept].view("int64"), np.zeros(len(pairs), "int64")])})
+                "earlier": np.concatenate([np.full(len(kept), -1), pairs[:, 1]]), "size": np.concatenate([size[kept], zeros]), "rest": np.concatenate([rest[kept], zeros])})
     return build
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole keys (the named columns), from rows sorted by them. Holds the longest list of a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(n).to_numpy() for n in names]
+        cut = int(starts(keys)[-1])
+        if held and (cut or any(held[-1].column(n)[-1].as_py() != k[0] for n, k in zip(names, keys))):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _other_pairs(percent: int):
-    """Lines that are not removed yet with every earlier one of the list that they may link with. Rows carry the blocks (left,
+    """Lines that are not removed yet with every earlier one of the list that they may link with, by size, place and bit tables. Rows carry the blocks (left,
     right) they are compared for."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, left, right, cid, size, rest, bits, own, open_ in runs(batches, ["key", "left", "right", "cid", "size", "rest", "bits", "own", "open"], 3):
-            bits = bits.view("uint64")
+        for batch in _whole_keys(batches, ["key", "left", "right"]):
+            key, left, right, cid, size, rest, own, open_ = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "left", "right", "cid", "size", "rest", "own", "open"))
+            tables = Tables(batch.column("sketch"))
+            bits = tables.small(size > SKETCHED)
             begins = starts([key, left, right])
             out = []
             for s, e in zip(begins, np.append(begins[1:], len(key))):
@@ -199,7 +249,9 @@ def _other_pairs(percent: int):
                     if left[s] != right[s]:
                         ok &= own[a] != own[y]
                     p, q = np.nonzero(ok)
-                    out.append(np.stack([cid[a[p, 0]], cid[y[q]]], axis=1))
+                    p, q = a[p, 0], y[q]
+                    near = (100 + percent) * room(tables, p, size[p], tables, q, size[q]) >= percent * (size[p].astype("int64") + size[q])
+                    out.append(np.stack([cid[p[near]], cid[q[near]]], axis=1))
             if out:
                 pairs = np.unique(np.concatenate(out), axis=0)
                 yield pa.RecordBatch.from_pydict({"cid": pairs[:, 0], "earlier": pairs[:, 1]})
@@ -234,20 +286,24 @@ def _links(percent: int):
 
 
 def _plausible(percent: int):
-    """Pairs whose larger bit tables leave room for enough common words; short lines were told apart by 64 bits before."""
+    """Pairs whose bit tables leave room for enough common words."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*[batch.column(c).to_pylist() for c in ("sketch_a", "size_a", "sketch_b", "size_b")])
-            ok = [x is None or y is None or (100 + percent) * most_common(x, m, y, n) >= percent * (m + n) for x, m, y, n in columns]
-            yield batch.select(["cid", "earlier"]).filter(pa.array(ok, pa.bool_()))
+            size_a, size_b = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
+            rows = np.arange(len(size_a))
+            most = room(Tables(batch.column("sketch_a")), rows, size_a, Tables(batch.column("sketch_b")), rows, size_b)
+            yield batch.select(["cid", "earlier"]).filter(pa.array((100 + percent) * most >= percent * (size_a + size_b)))
     return keep
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, table, percent: int, bits: int) -> DataFrame:
-    """Linked pairs. Bit tables rule out most others; then the words of the lines themselves are compared."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     small = classes.select("cid", "size", "sketch")
     known = pairs.join(small.toDF("cid", "size_a", "sketch_a"), "cid").join(small.toDF("earlier", "size_b", "sketch_b"), "earlier")
-    pairs = staged(known.mapInArrow(_plausible(percent), "cid long, earlier long"), "plausible")
+    return staged(known.mapInArrow(_plausible(percent), "cid long, earlier long"), "plausible")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, table, percent: int, bits: int) -> DataFrame:
+    """Linked pairs: the words of the lines themselves are compared. `pairs` is a written table."""
     ids = pairs.select("cid").union(pairs.select("earlier")).distinct()
     needed = staged(classes.select("cid", "doc_id", "mark", "line").join(ids, "cid"), "needed")
     marks, places = key_filter(needed.select("mark")), key_filter(needed.select("mark", "line"))
@@ -271,26 +327,27 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     table = spark.sparkContext.broadcast(word_classes(docs.select("text"), bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, mark long, line long, d1 long, d2 long, size long"
-    lines = staged(docs.mapInArrow(_lines(table, percent, bits), f"{shape}, prefix binary, bits long, sketch binary"), "lines")
+    lines = staged(docs.mapInArrow(_lines(table, percent, bits), f"{shape}, prefix binary, sketch binary"), "lines")
     digest = ["d1", "d2", "size"]
-    groups = lines.groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")).alias("r"), F.max("prefix").alias("prefix"), F.max("bits").alias("bits"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
-    groups = groups.select(*digest, "rows", "prefix", "bits", "sketch", "r.none", "r.doc_id", "r.mark", "r.line")
+    groups = lines.groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")).alias("r"), F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    groups = groups.select(*digest, "rows", "prefix", "sketch", "r.none", "r.doc_id", "r.mark", "r.line")
     # Sorted by time, so that ids grow with it.
     classes = sorted_blocks(groups, ["none", "doc_id", "mark", "line", "d1"]).withColumn("cid", F.monotonically_increasing_id()).drop("none")
     classes = staged(classes, "classes")
     slots = partitions(spark)
-    postings = classes.select("cid", "size", "prefix", "bits").mapInArrow(_postings(percent), "key int, cid long, size int, rest int, bits long")
-    postings = postings.repartition(slots, "key").sortWithinPartitions("key", "cid")
-    found = staged(postings.mapInArrow(_first_pairs(percent, block), "kind int, key int, cid long, earlier long, size int, rest int, bits long"), "lists")
+    shape = "part int, chunk binary"
+    postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent, LIST_PARTS * slots), shape)
+    postings = postings.repartition(slots, "part").sortWithinPartitions("part")
+    found = staged(postings.mapInArrow(_first_pairs(percent, block), "kind int, key int, cid long, earlier long, size int, rest int"), "lists")
     first = staged(found.where("kind = 1").select("cid", "earlier").distinct(), "pairs")
-    gone = staged(_verified(first, docs, classes, table, percent, bits).select("cid").distinct(), "gone")
+    gone = staged(_verified(_near(first, classes, percent), docs, classes, table, percent, bits).select("cid").distinct(), "gone")
 
-    lists = found.where("kind = 0").select("key", "cid", "size", "rest", "bits").join(gone.withColumn("gone", F.lit(True)), "cid", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    lists = found.where("kind = 0").select("key", "cid", "size", "rest").join(gone.withColumn("gone", F.lit(True)), "cid", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
     counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("open").alias("any")).where("any")
     blocks = F.ceil(F.col("rows") / block).cast("int")
-    lists = lists.join(counts.select("key", "rows"), "key").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    lists = lists.join(counts.select("key", "rows"), "key").join(classes.select("cid", "sketch"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-    lists = lists.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right", "cid").select("key", "left", "right", "cid", "size", "rest", "bits", "own", "open")
+    lists = lists.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right").select("key", "left", "right", "cid", "size", "rest", "sketch", "own", "open")
     rest = lists.mapInArrow(_other_pairs(percent), "cid long, earlier long").distinct()
     rest = staged(rest.join(first, ["cid", "earlier"], "left_anti"), "rest")
     more = _verified(rest, docs, classes, table, percent, bits).select("cid")
@@ -331,6 +388,6 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     hit = key_filter(gone.select("mark"))
     shape = docs.drop("mark").schema.add("n_lines", "long").add("n_removed", "long")
     some = same_keys_join(filtered(docs, "mark", hit), gone, ["doc_id", "mark"], "left")
-    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     others = filtered(docs, "mark", hit, hold=False).select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     return some.select(*columns, "gone").mapInArrow(_without, shape).unionByName(others)
