@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from buslens.llm.bit_tables import Tables, room, set_tables
 from buslens.llm.common import combined, filtered, key_filter, may_hold, partitions, pick, same_keys_join, sorted_blocks, staged
-from buslens.llm.prefix_lists import earliest_partners, starts
+from buslens.llm.prefix_lists import starts
 from buslens.llm.words import hash_words, mix, steps
 
 #: Lines link when 100 * common words >= PERCENT * all words of the two.
@@ -19,12 +19,16 @@ PERCENT = 80
 #: Counters of word frequency; a fixed size at any input.
 BITS = 22
 PIECES = 64
-#: Lines of one word that are compared with each other in memory; longer lists are compared block against block.
+#: Residual rows of one word that one task compares; longer lists are compared block against block.
 LIST_BLOCK = 2_048
 #: Of sets of more words than that, 64 bits stand for half of the words only.
 SKETCHED = 85
 #: Lists are dealt in so many parts for each shuffle partition; a task holds one part at a time.
 LIST_PARTS = 16
+#: Pairs of a list that are looked at together.
+PAIR_STEP = 1 << 18
+#: Later than every line.
+NEVER = np.iinfo("int64").max
 
 
 def word_classes(texts: DataFrame, bits: int = BITS) -> bytes:
@@ -156,7 +160,7 @@ def _postings(percent: int, parts: int):
 
 
 def _unpacked(chunks: list[bytes]) -> list[np.ndarray]:
-    """The fields of packed postings, sorted by key and cid."""
+    """The fields of packed postings, sorted by key and size."""
     fields: list[list[np.ndarray]] = [[] for _ in POSTING]
     for chunk in chunks:
         raw, at = np.frombuffer(chunk, dtype="uint8"), 0
@@ -166,7 +170,7 @@ def _unpacked(chunks: list[bytes]) -> list[np.ndarray]:
             found.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).view(kind).ravel())
             at += n * width
     columns = [np.concatenate(f) for f in fields]
-    order = np.lexsort([columns[1], columns[0]])
+    order = np.lexsort([columns[2], columns[0]])
     return [c[order] for c in columns]
 
 
@@ -184,26 +188,41 @@ def _list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield _unpacked(held)
 
 
-def _may_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
-    """At their first common word two sets can still link, by (size, words left from there on, bits): sizes are near enough, and neither
-    what is left nor the bits that only one of them has rule out enough common words."""
-    size_a, size_b = a[0].astype("int64"), b[0].astype("int64")
-    alike = (size_a > SKETCHED) == (size_b > SKETCHED)  # bits of the same words
-    only_a, only_b = (np.where(alike, np.bitwise_count(x & ~y), 0).astype("int64") for x, y in ((a[2], b[2]), (b[2], a[2])))
-    most = np.minimum(np.minimum(a[1], b[1]).astype("int64"), np.minimum(size_a - only_a, size_b - only_b))
-    return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
-
-
-def _first_pairs(percent: int, block: int):
+def _may_link(lists: np.ndarray, size: np.ndarray, rest: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list that can still link, each pair once: sizes are near enough, and neither what is left of the words at the first common one
+    nor the bits that only one set has rule out enough common words. Rows are sorted by list and size, so a row's partners follow it; they are
+    looked at in steps, whatever the length of a list."""
+    at = lists.astype("int64") << 32
+    partners = np.searchsorted(at + size, at + np.minimum(100 * size.astype("int64") // percent, 0xFFFFFFFF), side="right") - np.arange(len(size)) - 1
+    ends = np.cumsum(partners)
+    for t in range(0, int(ends[-1]), PAIR_STEP):
+        to = min(t + PAIR_STEP, int(ends[-1]))
+        rows = np.arange(np.searchsorted(ends, t, side="right"), np.searchsorted(ends, to - 1, side="right") + 1)
+        begins = ends[rows] - partners[rows]
+        n = np.minimum(ends[rows], to) - np.maximum(begins, t)
+        i = np.repeat(rows, n)
+        j = i + 1 + np.arange(t, to) - np.repeat(begins, n)
+        both = size[i].astype("int64") + size[j]
+        near = (100 + percent) * np.minimum(rest[i], rest[j]).astype("int64") >= percent * both
+        i, j, both = i[near], j[near], both[near]
+        alike = (size[i] > SKETCHED) == (size[j] > SKETCHED)  # bits of the same words
+        only_i, only_j = (np.where(alike, np.bitwise_count(bits[x] & ~bits[y]), 0).astype("int64") for x, y in ((i, j), (j, i)))
+        near = (100 + percent) * np.minimum(size[i] - only_i, size[j] - only_j) >= percent * both
+        yield i[near], j[near]
+
+
+def _first_pairs(percent: int):
     """From packed lists: each line with the earliest one of the list that it may link with (kind 1), and the list's rows that may link with any (kind 0)."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, cid, size, rest, bits in _list_parts(batches):
-            begins = starts([key])
-            counts = np.diff(np.append(begins, len(key)))
-            earliest, some = earliest_partners(begins, counts, lambda x, y: (cid[x] != cid[y]) & _may_link((size[x], rest[x], bits[x]), (size[y], rest[y], bits[y]), percent), block,
-                                               size.astype("int64") << 32 | rest, lambda x, y: _may_link((size[x], rest[x], bits[x] * 0), (size[y], rest[y], bits[y] * 0), percent))
-            later = np.flatnonzero(earliest >= 0)
-            pairs = np.unique(np.stack([cid[later], cid[earliest[later]]], axis=1), axis=0)
+            earliest, some = np.full(len(key), NEVER), np.zeros(len(key), dtype=bool)
+            for i, j in _may_link(_numbers([key]), size, rest, bits, percent):
+                other = cid[i] != cid[j]
+                i, j = i[other], j[other]
+                some[i] = some[j] = True
+                np.minimum.at(earliest, np.where(cid[i] > cid[j], i, j), np.minimum(cid[i], cid[j]))
+            later = np.flatnonzero(earliest < NEVER)
+            pairs = np.unique(np.stack([cid[later], earliest[later]], axis=1), axis=0)
             kept = np.flatnonzero(some)
             zeros = np.zeros(len(pairs), "int32")
             yield pa.RecordBatch.from_pydict({
@@ -212,6 +231,12 @@ def _first_pairs(percent: int, block: int):
     return build
 
 
+def _numbers(keys: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the runs of equal keys."""
+    begins = starts(keys)
+    return np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(keys[0]))))
+
+
 def _whole_keys(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of whole keys (the named columns), from rows sorted by them. Holds the longest list of a key."""
     held: list[pa.RecordBatch] = []
@@ -238,20 +263,13 @@ def _other_pairs(percent: int):
             key, left, right, cid, size, rest, own, open_ = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "left", "right", "cid", "size", "rest", "own", "open"))
             tables = Tables(batch.column("sketch"))
             bits = tables.small(size > SKETCHED)
-            begins = starts([key, left, right])
             out = []
-            for s, e in zip(begins, np.append(begins[1:], len(key))):
-                x = np.arange(s, e)[open_[s:e].astype(bool)]
-                y = np.arange(s, e)
-                for i in range(0, len(x), 256):
-                    a = x[i:i + 256, None]
-                    ok = (cid[y] < cid[a]) & _may_link((size[a], rest[a], bits[a]), (size[y], rest[y], bits[y]), percent)
-                    if left[s] != right[s]:
-                        ok &= own[a] != own[y]
-                    p, q = np.nonzero(ok)
-                    p, q = a[p, 0], y[q]
-                    near = (100 + percent) * room(tables, p, size[p], tables, q, size[q]) >= percent * (size[p].astype("int64") + size[q])
-                    out.append(np.stack([cid[p[near]], cid[q[near]]], axis=1))
+            for i, j in _may_link(_numbers([key, left, right]), size, rest, bits, percent):
+                later, earlier = np.where(cid[i] > cid[j], i, j), np.where(cid[i] > cid[j], j, i)
+                wanted = open_[later] & (cid[i] != cid[j]) & ((left[i] == right[i]) | (own[i] != own[j]))
+                later, earlier = later[wanted], earlier[wanted]
+                near = (100 + percent) * room(tables, later, size[later], tables, earlier, size[earlier]) >= percent * (size[later].astype("int64") + size[earlier])
+                out.append(np.stack([cid[later[near]], cid[earlier[near]]], axis=1))
             if out:
                 pairs = np.unique(np.concatenate(out), axis=0)
                 yield pa.RecordBatch.from_pydict({"cid": pairs[:, 0], "earlier": pairs[:, 1]})
@@ -338,7 +356,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     shape = "part int, chunk binary"
     postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent, LIST_PARTS * slots), shape)
     postings = postings.repartition(slots, "part").sortWithinPartitions("part")
-    found = staged(postings.mapInArrow(_first_pairs(percent, block), "kind int, key int, cid long, earlier long, size int, rest int"), "lists")
+    found = staged(postings.mapInArrow(_first_pairs(percent), "kind int, key int, cid long, earlier long, size int, rest int"), "lists")
     first = staged(found.where("kind = 1").select("cid", "earlier").distinct(), "pairs")
     gone = staged(_verified(_near(first, classes, percent), docs, classes, table, percent, bits).select("cid").distinct(), "gone")
 
@@ -347,7 +365,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     blocks = F.ceil(F.col("rows") / block).cast("int")
     lists = lists.join(counts.select("key", "rows"), "key").join(classes.select("cid", "sketch"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-    lists = lists.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right").select("key", "left", "right", "cid", "size", "rest", "sketch", "own", "open")
+    lists = lists.repartition(slots, "key", "left", "right").sortWithinPartitions("key", "left", "right", "size").select("key", "left", "right", "cid", "size", "rest", "sketch", "own", "open")
     rest = lists.mapInArrow(_other_pairs(percent), "cid long, earlier long").distinct()
     rest = staged(rest.join(first, ["cid", "earlier"], "left_anti"), "rest")
     more = _verified(rest, docs, classes, table, percent, bits).select("cid")
