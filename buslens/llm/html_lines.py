@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -15,6 +17,8 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
  h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
 #: Elements that a start tag of the key closes by itself.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond which none is closed that way.
+LISTS = ("ul", "ol", "dl", "table", "select", "body")
 #: Words in class, id, role and aria-label that mark what is not the article.
 CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies
  consent copyright disclaimer footer gdpr header menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion
@@ -59,23 +63,30 @@ def _named(tag: str, attrs: list[tuple[str, str | None]], inside_main: bool) ->
 
 class _Lines(HTMLParser):
     """Lines with what is around them. Names are weighed when the whole page is known: `named` has the words of each element that its names
-    speak against, and lines have the numbers of such elements around them."""
+    speak against, and a line has the number of the nearest such element around it, which links to the next one around that. Open elements are
+    found by their tag, so time grows with the page however deep it nests."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []  # text, number of the main element or -1, chrome by kind, named elements
-        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = []  # tag, silent, main, chrome, named elements of it and all around it
+        self.lines: list[tuple[str, int, bool, int]] = []  # text, number of the main element or -1, chrome by kind, nearest named element or -1
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # tag, silent, main, chrome, nearest named element
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in `open` each tag stands
+        self.blocks: list[int] = []  # and where blocks stand
         self.parts: list[str] = []
         self.named: list[frozenset[str]] = []
+        self.around: list[int] = []  # for each named element, the next one around it or -1
         self.inside: list[int] = []  # for each named element, the main element around it or -1
-        self.mains: list[tuple[int, ...]] = []  # for each outermost article or main, the named elements around it
+        self.mains: list[int] = []  # for each outermost article or main, the nearest named element around it or -1
 
-    def state(self) -> tuple[bool, int, bool, tuple[int, ...]]:
-        return self.open[-1][1:] if self.open else (False, -1, False, ())
+    def state(self) -> tuple[bool, int, bool, int]:
+        return self.open[-1][1:] if self.open else (False, -1, False, -1)
 
     def finished(self) -> list[Line]:
         void = self._void()
-        return [Line(text, main >= 0, chrome or any(k not in void for k in named)) for text, main, chrome, named in self.lines]
+        against: list[bool] = []  # whether a named element, or one around it, speaks against its lines
+        for k, around in enumerate(self.around):
+            against.append(k not in void or (around >= 0 and against[around]))
+        return [Line(text, main >= 0, chrome or (k >= 0 and against[k])) for text, main, chrome, k in self.lines]
 
     def _void(self) -> set[int]:
         """Named elements whose names say nothing: those around the largest article, and around others by the same names; without one, those
@@ -84,18 +95,29 @@ class _Lines(HTMLParser):
         if not self.named:
             return set()
         held, total, free = [0] * len(self.named), [0] * (len(self.mains) + 1), 0
-        for text, main, chrome, named in self.lines:
+        for text, main, chrome, k in self.lines:
             if not chrome:
                 total[main] += len(text)  # the last for text outside articles
-                free += len(text) if main < 0 and not named else 0
-                for k in named:
+                free += len(text) if main < 0 and k < 0 else 0
+                if k >= 0:
                     held[k] += len(text)
+        holds = [False] * len(self.named)  # an outermost article or main
+        for k in self.mains:
+            if k >= 0:
+                holds[k] = True
+        for k in range(len(self.named) - 1, -1, -1):  # inner elements come later
+            if self.around[k] >= 0:
+                held[self.around[k]] += held[k]
+                holds[self.around[k]] |= holds[k]
         largest = max(range(len(self.mains)), key=total.__getitem__, default=-1)
-        marked = largest >= 0 and total[largest] > 0 and (total[largest] >= free or not self.mains[largest])
+        marked = largest >= 0 and total[largest] > 0 and (total[largest] >= free or self.mains[largest] < 0)
         void = set()
         if marked:
-            cleared = {self.named[k] for k in self.mains[largest]}
-            void = {k for around in self.mains for k in around if self.named[k] in cleared}
+            cleared, k = set(), self.mains[largest]
+            while k >= 0:
+                cleared.add(self.named[k])
+                k = self.around[k]
+            void = {k for k, words in enumerate(self.named) if holds[k] and words in cleared}
         page = sum(total)
         for k, words in enumerate(self.named):
             if (self.inside[k] >= 0 or not marked) and 2 * held[k] > (total[self.inside[k]] if self.inside[k] >= 0 else page) and not words <= READER_WORDS:
@@ -131,10 +153,14 @@ class _Lines(HTMLParser):
             main = len(self.mains)
             self.mains.append(named)
         if words:
-            named = (*named, len(self.named))
             self.named.append(words)
+            self.around.append(named)
             self.inside.append(main)
+            named = len(self.named) - 1
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
+            if tag in BLOCKS:
+                self.blocks.append(len(self.open))
             self.open.append((tag, silent or tag in SILENT, main, own_chrome, named))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -143,31 +169,40 @@ class _Lines(HTMLParser):
         elif tag in BLOCKS:
             self.end_line()
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close(self, place: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.open) > place:
+            self.places[self.open.pop()[0]].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
     def _close_implied(self, tag: str) -> None:
-        names = [o[0] for o in self.open]
-        if "p" in names and not set(names[len(names) - names[::-1].index("p"):]) & BLOCKS:  # a block ends a paragraph
-            del self.open[len(names) - 1 - names[::-1].index("p"):]
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in CLOSES.get(tag, ()):
-                del self.open[i:]
-                break
-            if self.open[i][0] in ("ul", "ol", "dl", "table", "select", "body"):
-                break
+        if self.blocks and self.open[self.blocks[-1]][0] == "p":  # a block ends a paragraph
+            self._close(self.blocks[-1])
+        if tag in CLOSES:
+            place = self._last(CLOSES[tag])
+            if place > self._last(LISTS):
+                self._close(place)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCKS or any(o[0] in BLOCKS for o in self.open[i:]) or self.open[i][3:] != (self.open[i - 1][3:] if i else (False, ())):
-                    self.end_line()
-                del self.open[i:]
-                return
-            if tag not in BLOCKS and self.open[i][0] in BLOCKS:
-                return  # an inline end tag does not close a block
-        if tag in BLOCKS:
+        place = self._last((tag,))
+        if place < 0:
+            if tag in BLOCKS:
+                self.end_line()
+            return
+        within = bool(self.blocks) and self.blocks[-1] > place
+        if within and tag not in BLOCKS:
+            return  # an inline end tag does not close a block
+        if within or tag in BLOCKS or self.open[place][3:] != (self.open[place - 1][3:] if place else (False, -1)):
             self.end_line()
+        self._close(place)
 
     def handle_data(self, data: str) -> None:
         if not self.state()[0]:

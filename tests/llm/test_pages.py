@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -180,3 +181,15 @@ def test_unmarked_copies_keep_their_text(spark):
         want[i, whole if 10 <= i < 20 else text("Else") if i == 90 else text("Same") if i >= 20 else text("Other b") if i == 4 else text("Article a").replace("Article a 3", "Seen 4 times" if i == 3 else "Article a 3")] += 1
     for n in (1, 7):
         assert Counter((r.page_id, r.text) for r in extract(spark.createDataFrame(data, SHAPE).repartition(n)).collect()) == want
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(html):
+        begun = time.process_time()
+        page_lines(html)
+        return time.process_time() - begun
+
+    for html in ("<div>", '<div class="ad">', "<b>", "</section><div>", "<li><b></i>", '<article><div class="ad">'):
+        assert seconds(html * 40_000 + "x") < 15 * max(seconds(html * 8000 + "x"), 0.05)  # 25 times, were it quadratic
+    assert [x.text for x in page_lines("<div>" * 50_000 + "in" + "</div>" * 50_000 + "out")] == ["in", "out"]
+    assert page_lines('<div class="ad">' * 20_000 + "x" * 9 + "</div>" * 20_000 + "<p>" + "y" * 99) == [("x" * 9, False, True), ("y" * 99, False, False)]
