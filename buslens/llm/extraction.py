@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from buslens.llm.common import pick, same_keys_join, sorted_blocks, staged
 from buslens.llm.html_lines import Line, page_lines
@@ -107,8 +109,15 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEYS = ["host", "path", "copy"]
 #: Pages with this share of the longer one's lines in common are copies of each other.
 COPY = 0.9
-#: So many pages on each side are looked at for one that is no copy.
-REACH = 16
+#: Places, among the rows of a block, of the four rows around it.
+OUTER, BEFORE, AFTER, BEYOND = -2, -1, 2**62, 2**62 + 1
+
+
+class Row(NamedTuple):
+    host: str
+    path: str
+    hashes: np.ndarray
+    copy: bytes
 
 
 def _alike(a: str, b: str) -> int:
@@ -130,99 +139,135 @@ def nearly_equal(a: np.ndarray, b: np.ndarray) -> bool:
     return int(np.minimum(n[i], m[j]).sum()) >= least
 
 
-def _shared(row: tuple, before: list[tuple], after: list[tuple]) -> list[bool]:
-    """Lines of a page that its nearest page has too. On each side by URL in the host, the first page that is no copy of it is looked for; of the
-    two found, the one whose path starts alike the longest is taken (ties: the one before). Copies would have the text in common as well."""
-    near = []
-    for side in (before, after):
-        for other in side:
-            if other[0] != row[0]:
-                break
-            if not nearly_equal(row[2], other[2]):
-                near.append(other)
-                break
-    if not near:
-        return [False] * len(row[2])
-    best = max(near, key=lambda n: _alike(row[1], n[1]))
-    return common_lines(row[2], best[2]).tolist()
+def _begins_run(row: Row, before: Row | None) -> bool:
+    """Whether a page does not go on the run of copies that the page before it is in."""
+    return before is None or before.host != row.host or not nearly_equal(before.hashes, row.hashes)
+
+
+def _nearest(row: Row, before: Row | None, after: Row | None) -> Row | None:
+    """Of two pages, the one of the same host whose path starts alike the longest (ties: the one before)."""
+    near = [other for other in (before, after) if other is not None and other.host == row.host]
+    return max(near, key=lambda other: _alike(row.path, other.path), default=None)
+
+
+def _pairs(run: list[Row], outer: Row | None, before: Row | None, after: Row | None, beyond: Row | None) -> Iterator[tuple[Row, Row | None]]:
+    """The page that each of a run of copies is compared with. `outer` and `beyond` are the pages around the run, `before` and `after` those next to
+    the given rows. Copies have the text in common as well, so the nearest page outside the run is taken, unless it is a copy of the page too.
+    Where a run is all of its host nothing tells text from site, and what the pages next to each other share is the site's."""
+    for i, row in enumerate(run):
+        around = [other for other in (outer, beyond) if other is not None and other.host == row.host]
+        if around:
+            other = _nearest(row, *[None if o is None or nearly_equal(row.hashes, o.hashes) else o for o in (outer, beyond)])
+        else:
+            other = _nearest(row, run[i - 1] if i else before, run[i + 1] if i + 1 < len(run) else after)
+        yield row, other
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, place = TaskContext.get().partitionId(), 0
+    """Rows with their block and place, and whether a run of copies begins there (NULL for a block's first row)."""
+    block, place, last = TaskContext.get().partitionId(), 0, None
     for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, block, "int64")), pa.array(np.arange(place, place + n))], names=[*batch.schema.names, "block", "place"])
+        n, begins = batch.num_rows, []
+        for row in _rows(batch):
+            begins.append(_begins_run(row, last) if last else None)
+            last = row
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(n, block, "int64")), pa.array(np.arange(place, place + n)), pa.array(begins, pa.bool_())],
+            names=[*batch.schema.names, "block", "place", "begins"])
         place += n
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
+    hashes = (np.array(h.as_py() or [], dtype="int64") for h in batch.column("hashes"))
+    return (Row(*values) for values in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), hashes, batch.column("copy").to_pylist()))
+
+
+def _first_begins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the first row of each block, whether a run begins there, by the last row of the block before it."""
+    for batch in batches:
+        before = batch.select(["host0", "path0", "hashes0", "copy0"]).rename_columns(["host", "path", "hashes", "copy"])
+        begins = [_begins_run(row, None if last.host is None else last) for row, last in zip(_rows(batch), _rows(before))]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(begins, pa.bool_())], names=["block", "starts"])
+
+
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in URL order, one at a time with REACH rows on each side; rows with `ghost` only serve as neighbours."""
-    held: list[tuple] = []  # (host, path, hashes, copy, ghost)
-    at = 0  # the next row of `held` to be done
+    """Rows of a block in URL order, with the rows around it. The rows of one run of copies are held at a time, at most a block."""
+    run: list[Row] = []
+    around: dict[int, Row] = {}
+    outer = before = last = None
 
-    def do() -> tuple[tuple, list[bool]] | None:
-        row = held[at]
-        return None if row[4] else (row, _shared(row, held[:at][::-1][:REACH], held[at + 1:at + 1 + REACH]))
+    def flush(after: Row | None, beyond: Row | None) -> pa.RecordBatch:
+        rows = [(row, common_lines(row.hashes, other.hashes).tolist()) for row, other in _pairs(run, outer, before, after, beyond) if other is not None]
+        return _result(rows)
 
     for batch in batches:
-        done = []
-        hashes = (np.array(h.as_py() or [], dtype="int64") for h in batch.column("hashes"))
-        for row in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), hashes, batch.column("copy").to_pylist(), batch.column("ghost").to_pylist()):
-            held.append(row)
-            if len(held) - at > REACH:
-                done.append(do())
-                at += 1
-                if at > REACH:
-                    held, at = held[1:], at - 1
-        yield _result(done)
-    done = []
-    while at < len(held):
-        done.append(do())
-        at += 1
-    yield _result(done)
-
-
-def _result(done: list[tuple[tuple, list[bool]] | None]) -> pa.RecordBatch:
-    rows = [(r[0], r[3], s) for r, s in filter(None, done) if any(s)]
+        for row, place, begins in zip(_rows(batch), batch.column("place").to_pylist(), batch.column("begins").to_pylist()):
+            if place in (OUTER, BEFORE, AFTER, BEYOND):
+                around[place] = row
+                continue
+            if last is None:
+                last = around.get(BEFORE)
+                if not _begins_run(row, last):
+                    begins, outer, before = False, around.get(OUTER), last
+            if begins is not False:
+                if run:
+                    yield flush(row, row)
+                run, outer, before = [], last, last
+            run.append(row)
+            last = row
+    if run:
+        yield flush(around.get(AFTER), around.get(BEYOND))
+
+
+def _result(done: list[tuple[Row, list[bool]]]) -> pa.RecordBatch:
+    rows = [(r.host, r.copy, s) for r, s in done if any(s)]
     return pa.RecordBatch.from_pydict({"host": pa.array([r[0] for r in rows], pa.string()), "copy": pa.array([r[1] for r in rows], pa.binary()), "shared": pa.array([r[2] for r in rows], pa.list_(pa.bool_()))})
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
     """(page_id, mark, shared), of pages with such lines: for each line of a page, whether the nearest page of its host that is no copy of it
     has it at the same place in a longest common subsequence. Only hashes of lines are shuffled. Pages of a host with the same lines are one
-    row, with the smallest path. Rows are range-sorted by host and path, so a large host is spread over many tasks; each block also gets
-    the REACH rows before it and after it."""
+    row, with the smallest path. Rows are range-sorted by host and path, so a large host is spread over many tasks. Neighbours that are nearly
+    equal form a run, however long; a run is compared with the pages around it (`_pairs`). Each block also gets four rows of other blocks: those
+    next to it, and those around the runs that it begins and ends in."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     rows = pages.select("page_id", "mark", host.alias("host"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     every = staged(rows.mapInArrow(_line_hashes, f"page_id {kind}, mark long, host string, path string, hashes array<long>, copy binary"), "hashes")
     rows = every.groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes")).select("host", "path", "hashes", "copy")
-    rows = staged(sorted_blocks(rows, _KEYS).mapInArrow(_numbered, "host string, path string, hashes array<long>, copy binary, block long, place long"), "sorted")
-    # Neighbours over the ends of blocks: the first and last rows of all blocks are numbered in one go, which tells the rows around each block
-    # also where blocks are short.
-    sizes = rows.groupBy("block").agg(F.max("place").alias("last"))
-    ends = same_keys_join(rows.select("block", "place"), sizes, ["block"]).where((F.col("place") < REACH) | (F.col("place") > F.col("last") - REACH))
-    ends = staged(ends.select("block", "place", F.row_number().over(_by_block()).cast("long").alias("number")), "ends")
-    around = ends.groupBy("block").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    steps = F.explode(F.sequence(F.lit(1), F.lit(REACH))).alias("step")
-    before = around.select("block", steps, "low").select(F.col("block").alias("to"), (F.col("low") - F.col("step")).alias("number"), (-F.col("step")).cast("long").alias("at"))
-    after = around.select("block", steps, "high").select(F.col("block").alias("to"), (F.col("high") + F.col("step")).alias("number"), (F.lit(2**62) + F.col("step")).alias("at"))
-    asked = staged(ends.join(before.unionByName(after), "number").select("block", "place", "to", "at"), "asked")
-    ghosts = rows.join(asked, ["block", "place"]).select("host", "path", "hashes", "copy", F.col("to").alias("block"), F.col("at").alias("place"), F.lit(True).alias("ghost"))
-    sides = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-    # A block is at most one range of the sort above; a task holds one row and its neighbours at a time.
-    blocks = sides.repartition("block").sortWithinPartitions("block", "place")
-    found = staged(blocks.mapInArrow(_by_blocks, "host string, copy binary, shared array<boolean>"), "differenced")
+    shape = "host string, path string, hashes array<long>, copy binary, block long, place long, begins boolean"
+    rows = staged(sorted_blocks(rows, _KEYS).mapInArrow(_numbered, shape), "sorted")
+    # A block is at most one range of the sort above.
+    sides = rows.withColumn("to", F.col("block")).unionByName(_around(rows)).drop("block").repartition("to").sortWithinPartitions("to", "place")
+    found = staged(sides.withColumnRenamed("to", "block").mapInArrow(_by_blocks, "host string, copy binary, shared array<boolean>"), "differenced")
     # Equal rows have equal lines.
     own = every.select("page_id", "mark", "host", "copy").distinct()
     return same_keys_join(own, found, ["host", "copy"]).select("page_id", "mark", "shared")
 
 
-def _by_block():
-    from pyspark.sql import Window
-
-    return Window.orderBy("block", "place")
+def _around(rows: DataFrame) -> DataFrame:
+    """The four rows around each block, as rows of it. Windows run over one small row per block."""
+    blocks = rows.groupBy("block").agg(F.max("place").alias("last"), F.min(F.when(F.col("begins"), F.col("place"))).alias("first_run"), F.max(F.when(F.col("begins"), F.col("place"))).alias("last_run"))
+    order = Window.orderBy("block")
+    side = lambda column, step: F.lag(column, step).over(order)
+    blocks = staged(blocks.select("*", side("block", 1).alias("prev"), side("last", 1).alias("prev_last"), side("block", -1).alias("next")), "blocks")
+    ends = rows.select(F.col("block").alias("prev"), F.col("place").alias("prev_last"), *[F.col(c).alias(f"{c}0") for c in ("host", "path", "hashes", "copy")])
+    ends = ends.join(blocks.select("block", "prev", "prev_last"), ["prev", "prev_last"]).drop("prev", "prev_last")
+    starts = rows.where(F.col("place") == 0).drop("place", "begins").join(ends, "block", "left").mapInArrow(_first_begins, "block long, starts boolean")
+    blocks = blocks.join(starts, "block").withColumn("first_run", F.when(F.col("starts"), 0).otherwise(F.col("first_run")))
+    blocks = blocks.withColumn("last_run", F.coalesce("last_run", F.when(F.col("starts"), 0)))
+    # The row before the run that is open when a block begins, and the first row of the next run after the block.
+    opened = F.when(F.col("last_run") > 0, F.struct("block", (F.col("last_run") - 1).alias("place"))).when(F.col("last_run") == 0, F.struct(F.col("prev").alias("block"), F.col("prev_last").alias("place")))
+    coming = F.when(F.col("first_run").isNotNull(), F.struct("block", F.col("first_run").alias("place")))
+    asked = blocks.select(F.col("block").alias("to"), F.array(
+        F.struct(F.lit(OUTER).cast("long").alias("at"), F.last(opened, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("row")),
+        F.struct(F.lit(BEFORE).cast("long").alias("at"), F.struct(F.col("prev").alias("block"), F.col("prev_last").alias("place")).alias("row")),
+        F.struct(F.lit(AFTER).alias("at"), F.struct(F.col("next").alias("block"), F.lit(0).cast("long").alias("place")).alias("row")),
+        F.struct(F.lit(BEYOND).alias("at"), F.first(coming, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("row"))).alias("asked"))
+    asked = asked.select("to", F.explode("asked").alias("a")).select("to", "a.at", "a.row.block", "a.row.place").where(F.col("block").isNotNull())
+    found = rows.join(staged(asked, "asked"), ["block", "place"])
+    return found.select("host", "path", "hashes", "copy", "block", F.col("at").alias("place"), F.lit(None).cast("boolean").alias("begins"), "to")
 
 
 def _by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,31 +296,34 @@ def _by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _differenced(of_block())
 
 
-def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _main_text(batches: Iterator[pa.RecordBatch], markup: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for value, shared in zip(batch.column("html"), batch.column("shared")):
             lines = page_lines(value.as_py() or "")
             shared = shared.as_py() or [False] * len(lines)
-            texts.append("\n\n".join(line.text for line, ok, both in zip(lines, wanted(lines), shared) if ok and (line.main or not both)))
+            kept = [ok and (line.main or not both) for line, ok, both in zip(lines, wanted(lines), shared)] if markup else [not both for both in shared]
+            texts.append("\n\n".join(line.text for line, keep in zip(lines, kept) if keep))
         names = [n for n in batch.schema.names if n not in ("html", "shared")]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, *, markup: bool = True) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars. Blocks in page order, joined by an empty line.
 
-    Pages of a host are put in order of URL path, and each is paired with its neighbour whose path starts alike the longest, of those that are no
-    copies of it (COPY of the lines in common; up to REACH pages on each side are looked at). The pair's text lines are aligned by a longest common subsequence; lines that both have are deleted. Markup has its say as well: lines in menus,
-    headers, footers, sidebars, notices, adverts, forms, comments and hidden elements go in any case, and lines in a marked article stay,
-    as copies of an article share all their lines. On a page that marks no article, all other lines are left to differencing.
+    Pages of a host are put in order of URL path, and each is paired with its neighbour whose path starts alike the longest. Neighbours with COPY
+    of their lines in common are copies, which share their text as well: they are paired with the pages around all of them, whatever their
+    number, and with each other only if the host has nothing else. The pair's text lines are aligned by a longest common subsequence; lines that
+    both have are deleted. Markup has its say as well, unless `markup` is false: lines in menus, headers, footers, sidebars, notices, adverts,
+    forms, comments and hidden elements go in any case, and lines in a marked article stay, as copies of an article share all their lines. On
+    a page that marks no article, all other lines are left to differencing.
 
     NULL html counts as empty and gives an empty text; a NULL url is an empty one, and so of host ''. Pages alone in their host, or
-    with nothing but copies of themselves around them, have no pair and lose no line to it. Pages with the same lines count as one page and have
+    with nothing but pages of the same lines around them, have no pair and lose no line to it. Pages with the same lines count as one page and have
     the same pair. An empty table gives none.
     """
     pages = pick(pages, "page_id", "url", "html").withColumn("mark", F.xxhash64("url", "html"))
     shared = staged(shared_lines(pages), "shared")
     found = same_keys_join(pages, shared, ["page_id", "mark"], "left")
     shape = T.StructType([*pages.select("page_id", "url").schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return found.select("page_id", "url", "html", "shared").mapInArrow(_main_text, shape)
+    return found.select("page_id", "url", "html", "shared").mapInArrow(partial(_main_text, markup=markup), shape)

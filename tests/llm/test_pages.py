@@ -193,3 +193,67 @@ def test_deep_nesting_takes_linear_time():
         assert seconds(html * 40_000 + "x") < 15 * max(seconds(html * 8000 + "x"), 0.05)  # 25 times, were it quadratic
     assert [x.text for x in page_lines("<div>" * 50_000 + "in" + "</div>" * 50_000 + "out")] == ["in", "out"]
     assert page_lines('<div class="ad">' * 20_000 + "x" * 9 + "</div>" * 20_000 + "<p>" + "y" * 99) == [("x" * 9, False, True), ("y" * 99, False, False)]
+
+
+def site(bar, own, foot):
+    return "".join(f"<div>{x}</div>" for x in (*bar, *own, *foot))
+
+
+def test_every_copy_of_a_long_run_loses_the_site_bar(spark):
+    same = [f"Same {k}" for k in range(20)]
+    data = [(k, f"http://many.org/p/{k:03d}", site(["Site"], [*same, f"Seen {k} times"], []), "", 0) for k in range(60)]
+    data += [(900 + k, f"http://many.org/{p}", site(["Site"], [f"Else {k} {j}" for j in range(9)], []), "", 0) for k, p in enumerate(("a", "q", "r"))]
+    for n in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in extract(spark.createDataFrame(data, SHAPE)).collect()}
+        assert all(got[k] == "\n\n".join([*same, f"Seen {k} times"]) for k in range(60))
+        assert all("Site" not in got[900 + k] and f"Else {k} 8" in got[900 + k] for k in range(3))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_pages_that_are_mostly_menu_lose_it(spark):
+    menu = [f"Menu {k}" for k in range(40)]
+    data = [(k, f"http://menu.org/p/{k:02d}", site(menu, [f"Own {k} {j}" for j in range(3)], ["End"]), "", 0) for k in range(12)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(data, SHAPE)).collect()}
+    assert got == {k: "\n\n".join(f"Own {k} {j}" for j in range(3)) for k in range(12)}
+
+
+def test_differencing_equals_a_plain_pass_over_each_host(spark):
+    """Pairs by brute force: every host's pages in order, runs of copies, the pages around them."""
+    rng = random.Random(7)
+    data = []
+    for i in range(150):
+        host, kind, bar = rng.randint(0, 4), rng.randint(0, 4), [f"Bar {k}" for k in range(rng.choice((1, 3, 30)))]
+        data.append((i, f"http://h{host}.org/{rng.choice('abc')}/{i:03d}", site(bar, [f"Text {kind} {k}" for k in range(rng.choice((4, 12)))] + [f"Page {i % 40}"], []), "", 0))
+    rows = {}
+    for d in data:
+        host, path = d[1].split("/")[2], "/" + d[1].split("/", 3)[3]
+        lines = tuple(x.text for x in page_lines(d[2]))
+        rows[host, lines] = min(path, rows.get((host, lines), path))
+    kept = {}
+
+    def copies(a, b):
+        return sum((Counter(a) & Counter(b)).values()) >= 0.9 * max(len(a), len(b))
+
+    def alike(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for host in {h for h, _ in rows}:
+        order = sorted((path, lines) for (h, lines), path in rows.items() if h == host)
+        runs = [0]
+        for a, b in zip(order, order[1:]):
+            runs.append(runs[-1] + (not copies(a[1], b[1])))
+        for i, (path, lines) in enumerate(order):
+            outside = [max((j for j in range(len(order)) if runs[j] < runs[i]), default=None), min((j for j in range(len(order)) if runs[j] > runs[i]), default=None)]
+            outside = [order[j] for j in outside if j is not None]
+            near = [o for o in outside if not copies(lines, o[1])] if outside else [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order)]
+            other = max(near, key=lambda o: alike(path, o[0]), default=None)
+            number = {x: k for k, x in enumerate({*lines, *(other[1] if other else ())})}
+            gone = common_lines(np.array([number[x] for x in lines]), np.array([number[x] for x in other[1]])) if other else np.zeros(len(lines), bool)
+            kept[host, lines] = "\n\n".join(x for x, g in zip(lines, gone) if not g)
+    want = {d[0]: kept[d[1].split("/")[2], tuple(x.text for x in page_lines(d[2]))] for d in data}
+    assert len({t for t in want.values()}) > 20
+    for n in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert {r.page_id: r.text for r in extract(spark.createDataFrame(data, SHAPE), markup=False).collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
