@@ -115,9 +115,10 @@ def decode(frames: DataFrame, catalog: Catalog | Decoder) -> Decoded:
     decoder = catalog if isinstance(catalog, Decoder) else prepare(catalog)
     matched = match_messages(frames, decoder.messages, dynamic=decoder.dynamic)
     carried = present(matched, ["source_file", "ts_ns", "frame_index", "source_line", "channel", "frame_format"])
+    sizes = [F.col(c).alias(n) for c, n in (("dlc", "dlc_code"), ("payload_len", "payload_length")) if c in frames.columns]
     sig = F.col("sig")
     # The outer form, filtered afterwards, keeps the optimizer from testing the array expression below as well.
-    rows = matched.select(*carried, F.col("is_extended_id").alias("is_extended"), "frame_id", "message_name", "words",
+    rows = matched.select(*carried, F.col("is_extended_id").alias("is_extended"), "frame_id", "message_name", "words", *sizes,
                           F.explode_outer("present").alias("sig")).where(sig.isNotNull())
     new = {"word": bits.raw_low64(F.col("words"), sig)}
     if decoder.wide:
@@ -128,7 +129,8 @@ def decode(frames: DataFrame, catalog: Catalog | Decoder) -> Decoded:
         *carried, "is_extended", "frame_id", "message_name", sig["name"].alias("signal_name"),
         bits.physical_value(F.col("word"), pieces, sig, ieee=decoder.ieee).alias("value"),
         bits.exact_raw(F.col("word"), pieces).alias("raw_value"), bits.hex_text(F.col("word"), pieces).alias("raw_hex"),
-        sig["unit"].alias("unit"), sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"))
+        sig["unit"].alias("unit"), sig["sig_order"].alias("sig_order"), F.lit("Valid").alias("quality"),
+        *present(rows, ["dlc_code", "payload_length"]))
     if decoder.ieee or decoder.wild:
         # Only such catalogs can yield values that are no finite number.
         samples = keep_where(samples, ~F.isnan("value") & (F.abs("value") < float("inf")))

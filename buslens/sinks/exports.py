@@ -11,15 +11,20 @@ from buslens.plans.staging import same_keys_join
 from buslens.schema import present
 
 
-def export_join(samples: DataFrame, frames: DataFrame) -> DataFrame:
-    """Samples with the length code and payload length of their frame, 0 where the frame is missing."""
+def export_join(samples: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Samples with the length code and payload length of their frame, 0 where the frame is missing. Samples that carry both from decoding need no
+    join; others get them from `frames`."""
+    if {"dlc_code", "payload_length"} <= set(samples.columns):
+        return samples.fillna(0, ["dlc_code", "payload_length"])
+    if frames is None:
+        raise ValueError("samples without dlc_code and payload_length need their frames")
     keys = [c for c in ["source_file", "frame_index"] if c in samples.columns and c in frames.columns]
     sizes = frames.select(*keys, F.col("dlc").alias("dlc_code"), F.col("payload_len").alias("payload_length"))
     return same_keys_join(samples, sizes, keys, "left").withColumns({
         "dlc_code": F.coalesce("dlc_code", F.lit(0)), "payload_length": F.coalesce("payload_length", F.lit(0))})
 
 
-def decoded_export(samples: DataFrame, frames: DataFrame, meta: dict[str, str | None]) -> DataFrame:
+def decoded_export(samples: DataFrame, frames: DataFrame | None, meta: dict[str, str | None]) -> DataFrame:
     """The 22 export columns. meta: dataset_status, source_log_sha256, dbc_sha256, app_version, import_mode."""
     rows = export_join(samples, frames)
     named: dict[str, Column] = {
@@ -35,7 +40,7 @@ def decoded_export(samples: DataFrame, frames: DataFrame, meta: dict[str, str |
     return rows.select(*[c.alias(n) for n, c in named.items()])
 
 
-def export_decoded(samples: DataFrame, frames: DataFrame, meta: dict[str, str | None], path: str) -> None:
+def export_decoded(samples: DataFrame, frames: DataFrame | None, meta: dict[str, str | None], path: str) -> None:
     """CSV folder with a header per part. Doubles are written in their shortest exact form."""
     decoded_export(samples, frames, meta).write.option("header", True).csv(path)
 

@@ -11,7 +11,9 @@ from buslens.operators import decode as D
 from buslens.operators import frames as FR
 from buslens.operators import traffic as TR
 from buslens.operators.catalog import catalog_from_rows
+from buslens.plans.staging import new_path
 from buslens.sinks.exports import decoded_export
+from buslens.sinks.frame_store import ranked_count, ranked_page, write_by_id, write_ranked
 from buslens.sources.readers import read_log
 from harness.registry import query, rounded
 from harness.views import DECODED, EXT_ID, FRAMES, LINES, candump_logs, catalog, decoder, events, frames, log_glob, recording, table
@@ -178,6 +180,21 @@ def file_frames(spark, d):
     return frames(spark, d).join(kinds, "frame_index").withColumn("frame_index", place.cast("long"))
 
 
+@query("ranked_page", f"""WITH {FILES} SELECT source_file, frame_index, can_id, channel FROM (SELECT *, row_number() OVER (ORDER BY source_file, frame_index) AS n FROM ff)
+  WHERE n > (SELECT count(*) FROM ff) // 2 AND n <= (SELECT count(*) FROM ff) // 2 + 5000""")
+def q_ranked_page(spark, d):
+    path = new_path(spark, "ranked")
+    write_ranked(file_frames(spark, d), path)
+    return ranked_page(spark, path, ranked_count(spark, path) // 2, 5000).select("source_file", "frame_index", "can_id", "channel")
+
+
+@query("filter_by_id", f"""WITH {FRAMES} SELECT frame_index, can_id, channel, ts_ns FROM fr WHERE can_id = 273 AND ts_ns / 1e9 >= 100000.5 AND ts_ns / 1e9 <= 20000000.25""")
+def q_filter_by_id(spark, d):
+    path = new_path(spark, "by_id")
+    write_by_id(frames(spark, d), path)
+    return FR.filter_frames(spark.read.parquet(path), id_text="0x111", time_start=100000.5, time_end=20000000.25).select("frame_index", "can_id", "channel", "ts_ns")
+
+
 @query("page_after_files", f"""WITH {FILES}, o AS (SELECT *, row_number() OVER (ORDER BY source_file, frame_index) AS n FROM ff)
 SELECT source_file, frame_index, can_id FROM o WHERE n > (SELECT n FROM o WHERE source_file = 'click' AND frame_index = 20) ORDER BY n LIMIT 5000""")
 def q_page_after_files(spark, d):
@@ -245,7 +262,7 @@ def q_channels(spark, d):
   '1.0.0' AS app_version, 'Strict' AS import_mode FROM sm""")
 def q_export_decoded(spark, d):
     meta = {"dataset_status": "COMPLETE", "source_log_sha256": "AA", "app_version": "1.0.0", "import_mode": "Strict"}
-    return rounded(decoded_export(decoded(spark, d).samples, frames(spark, d), meta))
+    return rounded(decoded_export(decoded(spark, d).samples, None, meta))
 
 
 @query("frame_duration", f"""WITH {FRAMES} SELECT frame_index, round((CASE WHEN is_extended THEN 67 ELSE 47 END + 64 + 3) * 1.2 / 500000, 9) AS classic_s,
