@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Rows of one group that a single task may hold. Groups beyond it take the blocked plans.
 MAX_GROUP_ROWS = 2_000_000
+# Rows of a side that may be broadcast, however well its files are packed.
+MAX_SIDE_ROWS = 100_000
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -42,10 +44,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 def sized(df: DataFrame) -> DataFrame:
     """Write a small side before a join.
 
-    The planner then knows its real size and broadcasts it only below
-    spark.sql.autoBroadcastJoinThreshold; a larger side gets a shuffle join.
+    The planner then knows the size of its files and broadcasts it only below
+    spark.sql.autoBroadcastJoinThreshold; a larger side gets a shuffle join. Packed files
+    can be a hundredth of the rows in memory, so a side of many rows always gets one.
     """
-    return staged(df, "side")
+    seen = Observation()
+    side = staged(df.observe(seen, F.count(F.lit(1)).alias("rows")), "side")
+    return side.hint("merge") if seen.get["rows"] > MAX_SIDE_ROWS else side
 
 
 def keep_where(df: DataFrame, test: Column) -> DataFrame:
