@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.functions.bits import place_of
 from buslens.functions.ids import DBC_EXTENDED_FLAG, EXTENDED_ID_MAX, j1939_pgn, normalize_dbc_id
+from buslens.plans.staging import MAX_GROUP_ROWS
 from buslens.schema import DBC_MESSAGES, DBC_SIGNALS
 
 
@@ -49,10 +50,18 @@ def occupied_bits(signals: DataFrame) -> DataFrame:
     return rows.withColumn("bit", bit).drop("start_bit", "i")
 
 
-def bit_layout(catalog: Catalog, bits: int = 64) -> DataFrame:
+def _dealt(signals: DataFrame, max_task_bits: int) -> DataFrame:
+    """Signals dealt to so many tasks that each holds about max_task_bits of their bits."""
+    total = signals.agg(F.sum(F.greatest(F.col("length"), F.lit(0)).cast("long"))).first()[0] or 0
+    tasks = -(-total // max_task_bits)
+    return signals.repartition(tasks, "msg_order", "sig_order") if tasks > 1 else signals
+
+
+def bit_layout(catalog: Catalog, bits: int = 64, *, max_task_bits: int = MAX_GROUP_ROWS) -> DataFrame:
     """Per message and payload bit in use: the owning signal, or that several claim it."""
     label = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "(unnamed)").otherwise(F.col("name"))
-    used = occupied_bits(catalog.signals).where(F.col("bit").between(0, bits - 1))
+    # A task sorts the bits of its signals before they are combined.
+    used = occupied_bits(_dealt(catalog.signals, max_task_bits)).where(F.col("bit").between(0, bits - 1))
     return used.groupBy("msg_order", "bit").agg(
         F.count(F.lit(1)).alias("claims"), F.min_by(label, F.col("sig_order")).alias("first_owner"),
     ).select("msg_order", "bit", F.when(F.col("claims") > 1, "OVERLAP").otherwise(F.col("first_owner")).alias("owner"),

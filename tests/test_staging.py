@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from buslens.operators.catalog import bit_layout, catalog_from_rows
 from buslens.plans.staging import sized
 
 
@@ -12,3 +13,11 @@ def test_packed_sides_are_not_broadcast(spark):
     packed = spark.range(200_000).select("id", F.lit("the same text in each row").alias("text"))
     assert "BroadcastHashJoin" not in plan(left.join(sized(packed), "id", "left"))
     assert "BroadcastHashJoin" in plan(left.join(sized(packed.limit(100)), "id", "left"))
+
+
+def test_bits_are_dealt_out_before_they_are_sorted(spark):
+    rows = [(m, s, f"s{s}", 8 * s, 9, True, False, 1.0, 0.0, 0.0, 0.0, "", False, [], [], "Integer") for m in range(20) for s in range(3)]
+    cat = catalog_from_rows(spark, [(m, m, f"m{m}", 8) for m in range(20)], rows)
+    dealt = bit_layout(cat, max_task_bits=100)
+    assert "REPARTITION_BY_NUM" in plan(dealt) and "hashpartitioning(msg_order" in plan(dealt).replace("#", " ").replace("msg_order ", "msg_order")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, bit_layout(cat).collect()))
