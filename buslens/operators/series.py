@@ -10,7 +10,7 @@ from buslens.functions.frame import time_s
 from buslens.operators.frames import within_time
 from buslens.operators.ordered import Ordered, ordered
 from buslens.operators.quantiles import grouped, quantiles
-from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized
+from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 from buslens.schema import SERIES_ORDER
 
 
@@ -165,9 +165,11 @@ def interval_stats(samples: DataFrame, keys: list[str], *, blocked: bool | None
     """Per series: rows, first and last time, median and largest positive interval, equal consecutive times."""
     if blocked is None:
         blocked = is_large(samples, keys, max_group_rows)
-    dt = F.col("t") - F.col("prev_t")
-    rows = series_rows(samples, keys, blocked=blocked, max_group_rows=max_group_rows).select(
-        dt=F.when(dt > 0, dt), same=(F.col("ts_ns").isNotNull() & (dt == 0)).cast("long")).done()
+    dt = time_s(F.col("ts_ns")) - time_s(F.col("prev_ns"))
+    o = ordered(samples.select(*keys, *SERIES_ORDER), keys, SERIES_ORDER, blocked=blocked, max_group_rows=max_group_rows).lag(prev_ns="ts_ns")
+    rows = o.select(dt=F.when(dt > 0, dt), same=(F.col("ts_ns").isNotNull() & (dt == 0)).cast("long")).done().select(*keys, "ts_ns", "dt", "same")
+    # Read for the sums and for the median: beyond one task, the order is worked out once.
+    rows = staged(rows, "intervals") if blocked else rows
     base = [F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
             F.coalesce(F.max("dt"), F.lit(0.0)).alias("max_dt"), F.coalesce(F.sum("same"), F.lit(0)).alias("dup_dt")]
     out = grouped(rows, keys, base, {"median_dt": ("dt", 0.5)}, blocked=blocked, max_group_rows=max_group_rows)
