@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.functions.frame import time_s
-from buslens.operators.ordered import ordered
+from buslens.operators.ordered import BLOCK, Ordered, ordered
 from buslens.operators.series import interval_stats
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
 from buslens.schema import SERIES_ORDER
@@ -27,12 +27,14 @@ class Aligned:
     """rows: keys, ts_ns, t, left, right of the valid pairs; report: one row per pair.
 
     The rows are staged: every analysis reads them more than once. blocked tells
-    whether some pair is too long for a single task.
+    whether some pair is too long for a single task; in_order holds the rows ready
+    for row-order work by ts_ns, in the blocks that they were aligned in.
     """
 
     rows: DataFrame
     report: DataFrame
     blocked: bool
+    in_order: Ordered
 
 
 def pair_samples(samples: DataFrame, left: DataFrame, right: DataFrame, pair_cols: list[str]) -> DataFrame:
@@ -98,7 +100,7 @@ def align_pairs(pairs: DataFrame, keys: list[str], *, max_group_rows: int = MAX_
         l=point("l_tail"), r=point("r_tail"), l_next=point("l_head"), r_next=point("r_head"))
     # Looking back, the last of equal times counts; looking ahead, the first.
     o = o.last_known(l0="l", r0="r").next_known(l1="l_next", r1="r_next")
-    rows = same_keys_join(o.done(), bounds.select(*keys, "start_ns", "end_ns", "l_first_ns", "r_first_ns", "slow_dt", "status"), keys)
+    rows = same_keys_join(o.df, bounds.select(*keys, "start_ns", "end_ns", "l_first_ns", "r_first_ns", "slow_dt", "status"), keys)
     rows = rows.where(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns")))
 
     def value(s):
@@ -109,11 +111,12 @@ def align_pairs(pairs: DataFrame, keys: list[str], *, max_group_rows: int = MAX_
     def gap(s):
         return F.when(F.col(s).isNotNull(), 0.0).otherwise(F.coalesce(F.col(f"{s}1.t") - F.col(f"{s}0.t"), F.lit(0.0)))
 
-    rows = rows.select(*keys, "ts_ns", "t", value("l").alias("left"), value("r").alias("right"), "status",
+    rows = rows.select(*keys, BLOCK, "ts_ns", "t", value("l").alias("left"), value("r").alias("right"), "status",
                        (F.greatest(gap("l"), gap("r")) <= GAP_FACTOR * F.col("slow_dt")).alias("covered"))
     rows = staged(rows, "aligned")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"), F.count_if("covered").alias("covered"))
-    return Aligned(rows.where(F.col("status") == VALID).drop("status", "covered"), _report(bounds, counts, keys), blocked)
+    valid = rows.where(F.col("status") == VALID).drop("status", "covered")
+    return Aligned(valid.drop(BLOCK), _report(bounds, counts, keys), blocked, Ordered(valid, list(keys), ["ts_ns"], blocked))
 
 
 def _report(bounds: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from buslens.operators.align import Aligned, align_pairs, nearest_sample
-from buslens.operators.ordered import ordered
+from buslens.operators.ordered import Ordered, ordered
 from buslens.operators.quantiles import grouped, quantiles
 from buslens.operators.series import histogram, slice_time
 from buslens.plans.staging import MAX_GROUP_ROWS, is_large, same_keys_join, sized, staged
@@ -42,14 +42,22 @@ def normalized_path(rows: DataFrame, keys: list[str], center_scale: DataFrame) -
 
 
 def pair_stats(rows: DataFrame, keys: list[str], *, deadzone: float = 0.10, saturation: float = 0.90, blocked: bool | None = None,
-               max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Dwell-weighted usage of aligned rows: each point counts until the next one. Returns stats and path."""
+               in_order: Ordered | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Dwell-weighted usage of aligned rows: each point counts until the next one. Returns stats and path.
+
+    in_order: the same rows, ready for row-order work by ts_ns.
+    """
+    if in_order is not None:
+        blocked = in_order.blocked
     if blocked is None:
         blocked = is_large(rows, keys, max_group_rows)
     cs = sized(path_center_scale(rows, keys, blocked=blocked, max_group_rows=max_group_rows))
     path = normalized_path(rows, keys, cs)
-    o = ordered(path, keys, ["ts_ns"], blocked=blocked, max_group_rows=max_group_rows)
-    o = o.lead(next_t="t").lag(t0="t", x0="x", y0="y")
+    if in_order is None:
+        in_order = ordered(path, keys, ["ts_ns"], blocked=blocked, max_group_rows=max_group_rows)
+    else:
+        in_order = Ordered(normalized_path(in_order.df, keys, cs), in_order.keys, in_order.order, in_order.blocked)
+    o = in_order.lead(next_t="t").lag(t0="t", x0="x", y0="y")
     dx, dy, dt = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("t") - F.col("t0")
     length = F.sqrt(dx * dx + dy * dy)
     alone = F.col("next_t").isNull() & F.col("t0").isNull()
@@ -89,7 +97,7 @@ def analyze_pairs(pairs: DataFrame, keys: list[str], *, deadzone: float = 0.10,
 
 
 def _analyze(aligned: Aligned, keys, deadzone, saturation, bins, max_group_rows) -> PairAnalysis:
-    stats, path = pair_stats(aligned.rows, keys, deadzone=deadzone, saturation=saturation, blocked=aligned.blocked, max_group_rows=max_group_rows)
+    stats, path = pair_stats(aligned.rows, keys, deadzone=deadzone, saturation=saturation, in_order=aligned.in_order, max_group_rows=max_group_rows)
     hist = histogram(path, keys, "radius", bins=bins, low=F.lit(0.0))
     return PairAnalysis(stats, path, hist, aligned.report)
 
