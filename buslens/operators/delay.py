@@ -162,6 +162,7 @@ def analyze_delay(pairs: DataFrame, keys: list[str], *, search_range_s: float =
     best = sized(curve.groupBy(*keys).agg(F.max_by(F.struct("k", "lag_s", "correlation"), F.struct(F.abs("correlation"), -F.col("k"))).alias("b"))
                  .select(*keys, F.col("b.lag_s").alias("lag_s"), F.col("b.correlation").alias("correlation")))
     errors = shifted_errors(pairs, grid, keys, best, bounds, blocked=blocked, **opts)
+    errors = staged(errors, "errors") if blocked else errors
     base = [F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_abs_error"), F.max("error").alias("max_abs_error")]
     err = grouped(errors, keys, base, {"p95_abs_error": ("error", 0.95)}, blocked=blocked, **opts)
     matches = staged(collect_delays(grid, keys, window=reach_s, blocked=blocked, **opts), "matches")

@@ -38,6 +38,8 @@ def _steps(points, keys, high: Column, gap: Column, *, quiet: bool, min_rows: in
     if blocked is None:
         blocked = is_large(points, keys, max_group_rows)
     rows = _rows(points, keys, blocked, max_group_rows).done()
+    # Read for the levels and for the steps: beyond one task, the order is worked out once.
+    rows = staged(rows.drop("t0", "v0", "before"), "deltas") if blocked else rows
     levels = sized(_levels(rows, keys, blocked, max_group_rows).select(*keys, "n", high.alias("high"), gap.alias("gap")))
     hit = same_keys_join(rows, levels, keys).where((F.col("n") >= min_rows) & (F.col("size") >= F.col("high")) & (F.col("size") > 0))
     if quiet:
