@@ -50,7 +50,7 @@ def sized(df: DataFrame) -> DataFrame:
     """
     seen = Observation()
     side = staged(df.observe(seen, F.count(F.lit(1)).alias("rows")), "side")
-    return side.hint("merge") if seen.get["rows"] > MAX_SIDE_ROWS else side
+    return side.hint("merge") if seen.get.get("rows", 0) > MAX_SIDE_ROWS else side
 
 
 def keep_where(df: DataFrame, test: Column) -> DataFrame:
