@@ -29,6 +29,8 @@ BLOCK = 64
 UNKNOWN = "und"
 #: Text bytes whose distinct words are looked at together.
 STEP = 1 << 21
+#: Distinct words whose features and weights are held at a time.
+WORD_STEP = 8_192
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -255,8 +257,10 @@ def word_labels(model: Model, column: pa.Array) -> Iterator[tuple[int, int, np.n
             yield i, j, own, np.zeros((0, len(model.labels)))
             continue
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        feats, begin = features(data, first[at], ends[at], distinct, bits)
-        emitted = np.add.reduceat(model.weights[feats].astype("float64"), begin)
+        emitted = np.empty((len(distinct), len(model.labels)))
+        for a in range(0, len(distinct), WORD_STEP):
+            feats, begin = features(data, first[at[a:a + WORD_STEP]], ends[at[a:a + WORD_STEP]], distinct[a:a + WORD_STEP], bits)
+            emitted[a:a + WORD_STEP] = np.add.reduceat(model.weights[feats].astype("float64"), begin)
         sizes = np.bincount(own)
         yield i, j, own, chain_marginals(emitted[back], model.moves, sizes[sizes > 0])
 

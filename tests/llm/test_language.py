@@ -74,3 +74,27 @@ def test_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify(table, keep=("lang",)).where("held_out").selectExpr("avg(int(lang = lang_pred)) AS share").first().share
     assert got == pytest.approx(1, abs=0.05)
+
+
+def test_many_distinct_words_are_scored_in_steps(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from buslens.llm import language
+
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(2_000)) for _ in range(20)])
+    model = fit([EN * 5, FR * 5], ["en", "fr"])
+
+    def run():
+        tracemalloc.start()
+        found = [x.tobytes() for *_, x in word_labels(model, texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak
+
+    found, peak = run()
+    monkeypatch.setattr(language, "WORD_STEP", 1 << 30)
+    whole, before = run()
+    assert found == whole and peak < 60e6 < before
