@@ -97,13 +97,21 @@ def wanted(lines: list[Line]) -> list[bool]:
     return [not line.chrome and (line.main or not any_main) for line in lines]
 
 
-def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all lines of each page, and a digest of them that copies have in common."""
+def _parsed(batches: Iterator[pa.RecordBatch], markup: bool) -> Iterator[pa.RecordBatch]:
+    """Each page's lines: hashes of all of them, a digest that copies have in common, and the texts that markup leaves with their places among all lines, or
+    -1 for a line that stays even if the neighbour has it."""
     for batch in batches:
-        hashes = [np.array([_hash(line) for line in page_lines(value.as_py() or "")], dtype="int64") for value in batch.column("html")]
+        pages = [page_lines(value.as_py() or "") for value in batch.column("html")]
+        hashes = [np.array([_hash(line) for line in lines], dtype="int64") for lines in pages]
         copies = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashes]
+        texts, places = [], []
+        for lines in pages:
+            left = [i for i, ok in enumerate(wanted(lines)) if ok] if markup else range(len(lines))
+            texts.append([lines[i].text for i in left])
+            places.append([-1 if markup and lines[i].main else i for i in left])
         names = [n for n in batch.schema.names if n != "html"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(hashes, pa.list_(pa.int64())), pa.array(copies, pa.binary())], names=[*names, "hashes", "copy"])
+        new = [pa.array(hashes, pa.list_(pa.int64())), pa.array(copies, pa.binary()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], names=[*names, "hashes", "copy", "texts", "places"])
 
 
 _KEYS = ["host", "path", "copy"]
@@ -224,17 +232,22 @@ def _result(done: list[tuple[Row, list[bool]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"host": pa.array([r[0] for r in rows], pa.string()), "copy": pa.array([r[1] for r in rows], pa.binary()), "shared": pa.array([r[2] for r in rows], pa.list_(pa.bool_()))})
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
+def parsed_pages(pages: DataFrame, markup: bool) -> DataFrame:
+    """Pages with their host and path, and their lines (`_parsed`), in place of their html. Written, so that a page is parsed once."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
+    rows = pages.select("page_id", "url", "mark", host.alias("host"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    kinds = pages.select("page_id", "url").schema
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    return staged(rows.mapInArrow(partial(_parsed, markup=markup), f"{shape}, mark long, host string, path string, hashes array<long>, copy binary, texts array<string>, places array<int>"), "parsed")
+
+
+def shared_lines(every: DataFrame) -> DataFrame:
     """(page_id, mark, shared), of pages with such lines: for each line of a page, whether the nearest page of its host that is no copy of it
     has it at the same place in a longest common subsequence. Only hashes of lines are shuffled. Pages of a host with the same lines are one
     row, with the smallest path. Rows are range-sorted by host and path, so a large host is spread over many tasks. Neighbours that are nearly
     equal form a run, however long; a run is compared with the pages around it (`_pairs`). Each block also gets four rows of other blocks: those
-    next to it, and those around the runs that it begins and ends in."""
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    rows = pages.select("page_id", "mark", host.alias("host"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    every = staged(rows.mapInArrow(_line_hashes, f"page_id {kind}, mark long, host string, path string, hashes array<long>, copy binary"), "hashes")
+    next to it, and those around the runs that it begins and ends in. every: parsed_pages."""
     rows = every.groupBy("host", "copy").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes")).select("host", "path", "hashes", "copy")
     shape = "host string, path string, hashes array<long>, copy binary, block long, place long, begins boolean"
     rows = staged(sorted_blocks(rows, _KEYS).mapInArrow(_numbered, shape), "sorted")
@@ -296,15 +309,12 @@ def _by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _differenced(of_block())
 
 
-def _main_text(batches: Iterator[pa.RecordBatch], markup: bool) -> Iterator[pa.RecordBatch]:
+def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for value, shared in zip(batch.column("html"), batch.column("shared")):
-            lines = page_lines(value.as_py() or "")
-            shared = shared.as_py() or [False] * len(lines)
-            kept = [ok and (line.main or not both) for line, ok, both in zip(lines, wanted(lines), shared)] if markup else [not both for both in shared]
-            texts.append("\n\n".join(line.text for line, keep in zip(lines, kept) if keep))
-        names = [n for n in batch.schema.names if n not in ("html", "shared")]
+        for lines, places, shared in zip(*(batch.column(c).to_pylist() for c in ("texts", "places", "shared"))):
+            texts.append("\n\n".join(line for line, place in zip(lines, places) if place < 0 or not shared or not shared[place]))
+        names = [n for n in batch.schema.names if n not in ("texts", "places", "shared")]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
 
@@ -320,10 +330,11 @@ def extract(pages: DataFrame, *, markup: bool = True) -> DataFrame:
 
     NULL html counts as empty and gives an empty text; a NULL url is an empty one, and so of host ''. Pages alone in their host, or
     with nothing but pages of the same lines around them, have no pair and lose no line to it. Pages with the same lines count as one page and have
-    the same pair. An empty table gives none.
+    the same pair. An empty table gives none. A page is parsed once; what it may keep is written with the hashes of its lines.
     """
     pages = pick(pages, "page_id", "url", "html").withColumn("mark", F.xxhash64("url", "html"))
-    shared = staged(shared_lines(pages), "shared")
-    found = same_keys_join(pages, shared, ["page_id", "mark"], "left")
+    every = parsed_pages(pages, markup)
+    shared = staged(shared_lines(every), "shared")
+    found = same_keys_join(every, shared, ["page_id", "mark"], "left")
     shape = T.StructType([*pages.select("page_id", "url").schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return found.select("page_id", "url", "html", "shared").mapInArrow(partial(_main_text, markup=markup), shape)
+    return found.select("page_id", "url", "texts", "places", "shared").mapInArrow(_main_text, shape)

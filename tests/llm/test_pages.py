@@ -257,3 +257,13 @@ def test_differencing_equals_a_plain_pass_over_each_host(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         assert {r.page_id: r.text for r in extract(spark.createDataFrame(data, SHAPE), markup=False).collect()} == want
     spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_pages_are_parsed_once(spark, tmp_path):
+    data = [(k, f"http://once.org/{k}", site(["Site"], [f"Own {k} {j}" for j in range(3)], []), "", 0) for k in range(6)] + [(7, None, None, "", 0)]
+    spark.createDataFrame(data, SHAPE).write.parquet(str(tmp_path / "pages"))
+    for markup in (True, False):
+        found = extract(spark.read.parquet(str(tmp_path / "pages")), markup=markup)
+        assert not [f for f in found.inputFiles() if "/pages/" in f]  # the last step reads lines, not html
+        got = {r.page_id: r.text for r in found.collect()}
+        assert got == {**{k: "\n\n".join(f"Own {k} {j}" for j in range(3)) for k in range(6)}, 7: ""}
