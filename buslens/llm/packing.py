@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,10 +177,9 @@ def _tokenized(path: str, window: int, end_id: int):
         last = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for i, text in enumerate(batch.column("text")):
+            for i, parts in enumerate(model.texts(batch.column("text"))):
                 held, crcs = b"", []
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for ids in _ended(model.ids(data), last):
+                for ids in _ended(parts, last):
                     held += ids
                     whole = len(held) // size * size
                     crcs += [zlib.crc32(held[k:k + size]) for k in range(0, whole, size)]
@@ -199,7 +198,7 @@ def _tokenized(path: str, window: int, end_id: int):
     return cut
 
 
-def _ended(parts: Iterator[bytes], last: bytes) -> Iterator[bytes]:
+def _ended(parts: Iterable[bytes], last: bytes) -> Iterator[bytes]:
     yield from parts
     yield last
 
@@ -241,8 +240,8 @@ def _summed(path: str, end_id: int):
         model = WordTokens.of(path)
         for batch in batches:
             crcs = []
-            for text, start, length in zip(batch.column("text"), batch.column("start").to_pylist(), batch.column("length").to_pylist()):
-                ids = b"".join(_ended(model.ids(text.as_buffer().to_pybytes() if text.is_valid else b""), end_id.to_bytes(4, "little")))
+            for parts, start, length in zip(model.texts(batch.column("text")), batch.column("start").to_pylist(), batch.column("length").to_pylist()):
+                ids = b"".join(_ended(parts, end_id.to_bytes(4, "little")))
                 crcs.append(zlib.crc32(ids[4 * start:4 * (start + length)]))
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([pa.array(crcs, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names=names)

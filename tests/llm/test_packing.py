@@ -94,3 +94,21 @@ def test_pack_is_exact(spark, whole):
     pieces = Counter((r.doc_id, r.doc_tokens) for r in got for _ in range(r.length))
     assert pieces == Counter((d, len(x)) for d, v in ids.items() for x in v for _ in x)
     assert pack(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def test_letters_are_merged_once_whatever_is_around_them(whole, monkeypatch):
+    import pyarrow as pa
+
+    from buslens.llm import tokens
+
+    words = WordTokens(tokenizer_path())
+    asked = []
+    merged = words._merged
+    monkeypatch.setattr(words, "_merged", lambda letters: asked.append(letters) or merged(letters))
+    text = "abode Abode, ABODE... abode!! (abode abode$$$\nabode\t"
+    texts = [text, None, *ODD, "a's. b'.. c<|endoftext|>. d!'s", "  lead", "\x0b x\x0c", "z" * 50, text * 3]
+    for size in (tokens.RUN_BYTES, 40, 1):
+        monkeypatch.setattr(tokens, "RUN_BYTES", size)
+        got = [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in words.texts(pa.chunked_array([texts, texts]).combine_chunks().slice(1))]
+        assert got == [whole(t) for t in (texts * 2)[1:]]
+    assert asked.count("abode") == 1 and list(words.texts(pa.array([], pa.string()))) == []
