@@ -88,6 +88,8 @@ def running_sums(df: DataFrame, keys: list[str], value: str, group: str | None =
 #: Bits of a key filter: 4 MB, at any input. Where it fills up it lets more rows pass, which the join behind it drops.
 FILTER_BITS = 25
 _FILTER_PIECES = 64
+#: Tasks that join the pieces: a task costs more than the pieces it joins.
+_FILTER_TASKS = 8
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +124,7 @@ def key_filter(keys: DataFrame):
 
     shape = "piece int, bits binary"
     table = bytearray(size)
-    for row in keys.mapInArrow(mark, shape).repartition(_FILTER_PIECES, "piece").mapInArrow(join, shape).collect():  # 4 MB in all
+    for row in keys.mapInArrow(mark, shape).repartition(_FILTER_TASKS, "piece").mapInArrow(join, shape).collect():  # 4 MB in all
         table[row.piece * piece:(row.piece + 1) * piece] = row.bits
     return keys.sparkSession.sparkContext.broadcast(bytes(table))
 
@@ -139,8 +141,8 @@ def may_hold(table, keys: np.ndarray) -> np.ndarray:
 
 
 def filtered(df: DataFrame, key: str, table, hold: bool = True) -> DataFrame:
-    """Rows whose key the filter may hold; with hold=False all others."""
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_hold(table, batch.column(key).to_numpy()) == hold))
-    return df.mapInArrow(keep, df.schema)
+    """Rows whose key the filter may hold; with hold=False all others. Only the key goes to Python."""
+    @F.arrow_udf("boolean")
+    def keep(keys: pa.Array) -> pa.Array:
+        return pa.array(may_hold(table, keys.to_numpy()) == hold)
+    return df.where(keep(key))

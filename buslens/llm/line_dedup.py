@@ -19,6 +19,8 @@ PERCENT = 80
 #: Counters of word frequency; a fixed size at any input.
 BITS = 22
 PIECES = 64
+#: Tasks that sum the counters up.
+COUNT_TASKS = 16
 #: Residual rows of one word that one task compares; longer lists are compared block against block.
 LIST_BLOCK = 2_048
 #: Of sets of more words than that, 64 bits stand for half of the words only.
@@ -27,6 +29,8 @@ SKETCHED = 85
 LIST_PARTS = 16
 #: Pairs of a list that are looked at together.
 PAIR_STEP = 1 << 18
+#: How tables of hashes and bits are written: hardly a value repeats.
+HASHES = {"parquet.enable.dictionary": "false"}
 #: Later than every line.
 NEVER = np.iinfo("int64").max
 
@@ -54,7 +58,7 @@ def word_classes(texts: DataFrame, bits: int = BITS) -> bytes:
         yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "classes": pa.array(out, pa.binary())})
 
     table = bytearray(size)
-    counted = texts.mapInArrow(count, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(classes, "piece int, classes binary")
+    counted = texts.mapInArrow(count, "piece int, counts binary").repartition(COUNT_TASKS, "piece").mapInArrow(classes, "piece int, classes binary")
     for row in counted.collect():  # 2**bits bytes in all
         table[row.piece * piece:(row.piece + 1) * piece] = row.classes
     return bytes(table)
@@ -102,10 +106,12 @@ def _sums(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _lines(table, percent: int, bits: int):
     """One row per line with words: where it is, its set's digest (d1, d2, size), its prefix as 32-bit keys, and its bit tables. Words whose bucket
-    counts one word occur once in all texts, so no other line has them: they are left out of the prefix."""
+    counts one word occur once in all texts, so no other line has them: they are left out of the prefix. Lines that have an earlier equal one in
+    their batch are told from it here (size 0), and spread, so a line that very many texts have is a row a batch."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, dtype="uint8")
         for batch in batches:
+            found = []
             for text, line, first, words in _line_sets(batch.column("text"), classes, bits):
                 size = np.diff(np.append(first, len(words)))
                 d1, d2 = _sums(words, first)
@@ -119,10 +125,57 @@ def _lines(table, percent: int, bits: int):
                 own = np.repeat(np.arange(len(first)), size)[keep]
                 keys = (words[keep] >> np.uint64(32)).astype("uint32").view("int32")
                 extra = [_binary(keys, np.bincount(own, minlength=len(first))), set_tables(words, first)]
-                yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "prefix", "sketch"])
+                found.append(pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "prefix", "sketch"]))
+            if found:
+                rows = pa.concat_batches(found)
+                first, later = _first_lines(rows)
+                yield rows.filter(pa.array(first))
+                rows = rows.filter(pa.array(later))
+                spread = pa.array(combined(rows.column("mark").to_numpy(), rows.column("line").to_numpy()))
+                none, empty = pa.array(np.zeros(len(rows), "int64")), pa.nulls(len(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], spread, none, none, empty, empty], names=rows.schema.names)
     return build
 
 
+def _first_lines(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the earliest of their set, and which are later. A row of the same place as the earliest is neither."""
+    d1, d2, size = (rows.column(c).to_numpy() for c in ("d1", "d2", "size"))
+    first, later = np.ones(len(d1), dtype=bool), np.zeros(len(d1), dtype=bool)
+    order = np.argsort(d1, kind="stable")
+    same = np.zeros(len(d1) + 1, dtype=bool)
+    same[1:-1] = d1[order[1:]] == d1[order[:-1]]
+    again = order[same[1:] | same[:-1]]
+    if len(again):
+        place = _places(rows.select(["doc_id", "mark", "line"]).take(pa.array(again)))
+        at = np.lexsort([place, size[again], d2[again], d1[again]])
+        again, place = again[at], place[at]
+        begins = starts([d1[again], d2[again], size[again]])
+        first[again] = False
+        first[again[begins]] = True
+        later[again] = place != np.repeat(place[begins], np.diff(np.append(begins, len(again))))
+    return first, later
+
+
+def _places(rows: pa.RecordBatch) -> np.ndarray:
+    """Numbers of (doc_id, mark, line) in their order, a NULL doc_id last; equal ones share a number."""
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("doc_id", "mark", "line")]).to_numpy()
+    keys = [rows.column("doc_id").dictionary_encode("encode").indices.to_numpy(), rows.column("mark").to_numpy(), rows.column("line").to_numpy()]
+    found = np.empty(len(order), dtype="int64")
+    found[order] = _numbers([k[order] for k in keys])
+    return found
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From lines sorted by d1: the earliest of each set, and the places of the others with size 0."""
+    names = ["doc_id", "mark", "line", "size", "prefix", "sketch"]
+    for batch in _whole_keys(batches, ["d1"]):
+        first, later = _first_lines(batch)
+        yield batch.filter(pa.array(first)).select(names)
+        rows = batch.filter(pa.array(later)).select(names)
+        empty = pa.nulls(len(rows), pa.binary())
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(np.zeros(len(rows), "int64")), empty, empty], names=names)
+
+
 def _partners(size: np.ndarray, percent: int) -> np.ndarray:
     """Whether a set of that size can link with a set that is not equal."""
     return 100 * size >= percent * (size + 1)
@@ -212,15 +265,22 @@ def _may_link(lists: np.ndarray, size: np.ndarray, rest: np.ndarray, bits: np.nd
 
 
 def _first_pairs(percent: int):
-    """From packed lists: each line with the earliest one of the list that it may link with (kind 1), and the list's rows that may link with any (kind 0)."""
+    """From packed lists: each line with the earliest one of the list that it may link with (kind 1), and the list's rows of all other pairs that may
+    link (kind 0)."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, cid, size, rest, bits in _list_parts(batches):
-            earliest, some = np.full(len(key), NEVER), np.zeros(len(key), dtype=bool)
+            earliest, where, some = np.full(len(key), NEVER), np.zeros(len(key), dtype="int64"), np.zeros(len(key), dtype=bool)
             for i, j in _may_link(_numbers([key]), size, rest, bits, percent):
                 other = cid[i] != cid[j]
                 i, j = i[other], j[other]
-                some[i] = some[j] = True
-                np.minimum.at(earliest, np.where(cid[i] > cid[j], i, j), np.minimum(cid[i], cid[j]))
+                after, before = np.where(cid[i] > cid[j], i, j), np.where(cid[i] > cid[j], j, i)
+                known = earliest.copy()
+                np.minimum.at(earliest, after, cid[before])
+                passed = np.flatnonzero((earliest < known) & (known < NEVER))  # their earliest so far is one of the others now
+                some[passed] = some[where[passed]] = True
+                best = cid[before] == earliest[after]
+                where[after[best]] = before[best]
+                some[after[~best]] = some[before[~best]] = True
             later = np.flatnonzero(earliest < NEVER)
             pairs = np.unique(np.stack([cid[later], earliest[later]], axis=1), axis=0)
             kept = np.flatnonzero(some)
@@ -344,19 +404,17 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(word_classes(docs.select("text"), bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, mark long, line long, d1 long, d2 long, size long"
-    lines = staged(docs.mapInArrow(_lines(table, percent, bits), f"{shape}, prefix binary, sketch binary"), "lines")
-    digest = ["d1", "d2", "size"]
-    groups = lines.groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")).alias("r"), F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
-    groups = groups.select(*digest, "rows", "prefix", "sketch", "r.none", "r.doc_id", "r.mark", "r.line")
-    # Sorted by time, so that ids grow with it.
-    classes = sorted_blocks(groups, ["none", "doc_id", "mark", "line", "d1"]).withColumn("cid", F.monotonically_increasing_id()).drop("none")
-    classes = staged(classes, "classes")
     slots = partitions(spark)
+    lines = docs.mapInArrow(_lines(table, percent, bits), f"doc_id {kind}, mark long, line long, d1 long, d2 long, size long, prefix binary, sketch binary")
+    lines = lines.repartition(slots, "d1").sortWithinPartitions("d1").mapInArrow(_classes, f"doc_id {kind}, mark long, line long, size long, prefix binary, sketch binary")
+    lines = staged(lines, "lines", **HASHES)
+    # Sorted by time, so that ids grow with it.
+    classes = sorted_blocks(lines.where("size > 0").withColumn("none", F.col("doc_id").isNull()), ["none", "doc_id", "mark", "line"])
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()).drop("none"), "classes", **HASHES)
     shape = "part int, chunk binary"
     postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent, LIST_PARTS * slots), shape)
     postings = postings.repartition(slots, "part").sortWithinPartitions("part")
-    found = staged(postings.mapInArrow(_first_pairs(percent), "kind int, key int, cid long, earlier long, size int, rest int"), "lists")
+    found = staged(postings.mapInArrow(_first_pairs(percent), "kind int, key int, cid long, earlier long, size int, rest int"), "lists", **HASHES)
     first = staged(found.where("kind = 1").select("cid", "earlier").distinct(), "pairs")
     gone = staged(_verified(_near(first, classes, percent), docs, classes, table, percent, bits).select("cid").distinct(), "gone")
 
@@ -369,13 +427,9 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     rest = lists.mapInArrow(_other_pairs(percent), "cid long, earlier long").distinct()
     rest = staged(rest.join(first, ["cid", "earlier"], "left_anti"), "rest")
     more = _verified(rest, docs, classes, table, percent, bits).select("cid")
-    gone = staged(gone.unionByName(more).distinct().withColumn("gone", F.lit(True)), "gone")
-
-    hit = classes.select("cid", *digest, "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "mark", "line")]).join(gone, "cid", "left").where("rows > 1 or gone").drop("cid", "rows")
-    hit = staged(hit, "hit")
-    matched = filtered(lines.select("doc_id", "mark", "line", *digest), "d1", key_filter(hit.select("d1"))).join(hit, digest)
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("mark") == F.col("first_mark")) & (F.col("line") == F.col("first_line"))
-    return matched.where(F.col("gone").isNotNull() | ~is_first).select("doc_id", "mark", "line")
+    gone = staged(gone.unionByName(more).distinct(), "gone")
+    place = ["doc_id", "mark", "line"]
+    return lines.where("size = 0").select(*place).unionByName(classes.select("cid", *place).join(gone, "cid").select(*place))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +459,7 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     gone = staged(gone.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone")), "removed")
     hit = key_filter(gone.select("mark"))
     shape = docs.drop("mark").schema.add("n_lines", "long").add("n_removed", "long")
-    some = same_keys_join(filtered(docs, "mark", hit), gone, ["doc_id", "mark"], "left")
+    some = same_keys_join(filtered(docs, "mark", hit), gone.hint("shuffle_hash"), ["doc_id", "mark"], "left")  # no sort of the texts
     n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     others = filtered(docs, "mark", hit, hold=False).select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     return some.select(*columns, "gone").mapInArrow(_without, shape).unionByName(others)

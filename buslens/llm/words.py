@@ -29,6 +29,10 @@ _BYTE = _random(1, 256)
 _BYTE[65:91] = _BYTE[97:123]
 _BYTE[SPACE] = 0
 _PLACE = [_random(2 + i, 256) for i in range(4)]
+for _far in _PLACE[1:]:
+    _far[0] = 1  # a word hashes alike, whatever the length of others beside it
+#: What a byte at a place (modulo 256) adds to its word.
+_BYTE_AT = (_BYTE[:, None] * _PLACE[0][None, :]).ravel()
 _GRAM = _random(11, 64)
 
 
@@ -41,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte) of each word, and for each text the place of its first word. data: bytes of texts one after the
     other, which start and end at `cuts`."""
-    word = ~SPACE[data]
+    word = (data != 32) & (data - np.uint8(9) > 4)
     start = word.copy()
     start[1:] &= ~word[:-1]
     inner = cuts[(cuts > 0) & (cuts < len(data))]
@@ -49,16 +53,17 @@ def hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.flatnonzero(start)
     if not len(first):
         return np.zeros(0, "uint64"), first, np.zeros(len(cuts), "int64")
-    place = np.arange(len(data)) - np.repeat(first, np.diff(first, append=len(data))) if first[0] == 0 else \
-        np.arange(len(data)) - np.concatenate([np.zeros(first[0], "int64"), np.repeat(first, np.diff(first, append=len(data)))])
-    weight = _PLACE[0][place & 255]
-    far = int(place.max(initial=0)) >> 8
-    for level in range(1, 4):
-        if not far:
-            break
-        weight = weight * _PLACE[level][(place >> (8 * level)) & 255]
-        far >>= 8
-    return mix(np.add.reduceat(_BYTE[data] * weight, first)), first, np.searchsorted(first, cuts)
+    counts = np.diff(first, append=len(data))
+    step = np.ones(len(data), dtype="uint8")  # sums of it are places in words, modulo 256; before the first word they don't matter
+    step[first] = np.concatenate([-first[:1], 1 - counts[:-1]]).astype("uint8")
+    values = _BYTE_AT.take((data.astype("uint16") << 8) | np.cumsum(step, dtype="uint8"))
+    if counts.max() > 256:
+        place = np.arange(len(data) - first[0]) - np.repeat(first - first[0], counts)
+        for level in range(1, 4):
+            values[first[0]:] *= _PLACE[level][(place >> (8 * level)) & 255]
+    sums = np.cumsum(values)[np.append(first[1:], len(data)) - 1]
+    sums[1:] -= sums[:-1].copy()
+    return mix(sums), first, np.searchsorted(first, cuts)
 
 
 def steps(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -33,11 +33,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write the table to the shared folder and read it back: lineage ends at durable files."""
+def staged(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """Write the table to the shared folder and read it back: lineage ends at durable files. Options go to the writer."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
