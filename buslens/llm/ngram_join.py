@@ -244,7 +244,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule,
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b"))).distinct().join(classes.select("cid", "doc_id", "mark", "size"), "cid")
     needed = staged(needed, "needed")
     docs = filtered(docs, "mark", key_filter(needed.select("mark")))
-    texts = same_keys_join(docs, needed.select("cid", "doc_id", "mark"), ["doc_id", "mark"]).select("cid", "text")
+    # Shuffled, whatever the size: two Python steps in one task would hold two workers, and each executor keeps them from then on.
+    texts = same_keys_join(docs, needed.select("cid", "doc_id", "mark").hint("merge"), ["doc_id", "mark"]).select("cid", "text")
     segments = staged(texts.mapInArrow(_segments(rule, table, bits, fragments), "cid long, fragment int, keys binary"), "segments")
     left = pairs.join(segments.select(F.col("cid").alias("a"), "fragment", F.col("keys").alias("keys_a")), "a")
     both = left.join(segments.select(F.col("cid").alias("b"), "fragment", F.col("keys").alias("keys_b")), ["b", "fragment"])

@@ -195,6 +195,7 @@ def _tokenized(path: str, window: int, end_id: int):
             at, *numbers = [np.array(c, dtype="int64") for c in zip(*rows)] if rows else [np.zeros(0, "int64")] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("mark").take(pa.array(at)), *map(pa.array, numbers[:4]), pa.array(np.full(len(at), block)), pa.array(numbers[4])],
                                              names=["doc_id", "mark", "start", "length", "ids_crc32", "doc_tokens", "block", "nth"])
+            pa.default_memory_pool().release_unused()  # workers outlive their tasks
     return cut
 
 
@@ -279,6 +280,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     schema = f"doc_id {kind}, mark long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     placed = staged(ranked.mapInArrow(_placed(found, window), schema), "placed")
     parts = staged(placed.where("ids_crc32 IS NULL"), "parts")
-    texts = same_keys_join(filtered(docs, "mark", key_filter(parts.select("mark"))), parts, ["doc_id", "mark"])
+    # Shuffled, whatever the size: two Python steps in one task would hold two workers, and each executor keeps them from then on.
+    texts = same_keys_join(filtered(docs, "mark", key_filter(parts.select("mark"))), parts.hint("merge"), ["doc_id", "mark"])
     summed = texts.select("text", *parts.columns).mapInArrow(_summed(path, end_id), schema).dropDuplicates(["sequence_id", "offset"])
     return placed.where("ids_crc32 IS NOT NULL").unionByName(summed).drop("mark")

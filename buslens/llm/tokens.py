@@ -15,13 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in each half of a worker's cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 #: What may stand behind a word's letters, as a piece of its own: ASCII marks, without those of contractions and added tokens.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Runs of marks that are kept.
 CACHE_MARKS = 10_000
 #: Bytes of texts whose distinct words are looked up together.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Bytes of a text that are split into words at once.
 SEGMENT = 1 << 20
 

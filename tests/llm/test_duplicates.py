@@ -136,6 +136,28 @@ def test_line_dedup_of_nothing(spark):
     assert [tuple(r) for r in dedup_lines(spark.createDataFrame([(1, None, "", 0)], SHAPE)).collect()] == [(1, None, 0, 0)]
 
 
+def test_a_word_hashes_alike_beside_a_long_one():
+    for other in ("y" * 300, " " * 300 + "z", "y" * 70_000):
+        alone, beside = (next(steps(pa.array([t])))[2:] for t in ("same words", f"same words {other}"))
+        assert hash_words(*alone)[0].tolist() == hash_words(*beside)[0][:2].tolist()
+
+
+def test_two_python_steps_are_not_in_one_task(spark, monkeypatch):
+    import buslens.llm.ngram_join as join
+
+    plans = []
+
+    def staged(df, name, real=join.staged):
+        if name == "segments":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return real(df, name)
+
+    monkeypatch.setattr(join, "staged", staged)
+    assert len(ngram_groups(spark.createDataFrame([(1, "a b c d e f g h", "", 0), (2, "a b c d e f g h i", "", 0), (3, "other", "", 0)], SHAPE)).collect()) == 3
+    assert plans and all("Broadcast" not in p for p in plans)
+
+
 def test_words_and_grams():
     rng = random.Random(7)
     texts = ["".join(rng.choice("abAB é\t\n\x0b ") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "x" * 700 + "y", "y" + "x" * 700, "x" * 256 + "y" + "x" * 255 + "z", "x" * 256 + "z" + "x" * 255 + "y"]
