@@ -25,8 +25,12 @@ COUNT_TASKS = 16
 LIST_BLOCK = 2_048
 #: Of sets of more words than that, 64 bits stand for half of the words only.
 SKETCHED = 85
-#: Lists are dealt in so many parts for each shuffle partition; a task holds one part at a time.
-LIST_PARTS = 16
+#: Lists are dealt in so many parts at any input: were they more with every partition, packed rows would grow with the square of the input.
+LIST_PARTS = 4_096
+#: Postings that a task packs together, 28 bytes each: 64 a part. So packed rows grow with the postings.
+PACKED = LIST_PARTS * 64
+#: Postings of whole parts that a task looks at together; a larger part is looked at alone.
+UNPACKED = 1 << 15
 #: Pairs of a list that are looked at together.
 PAIR_STEP = 1 << 18
 #: How tables of hashes and bits are written: hardly a value repeats.
@@ -186,10 +190,11 @@ POSTING = (("key", "int32"), ("cid", "int64"), ("size", "int32"), ("rest", "int3
 POSTING_BYTES = 28
 
 
-def _postings(percent: int, parts: int):
+def _postings(percent: int):
+    """Postings, one per prefix word with how many words are left from it on, its own included. Those that go to the same part are packed into one row,
+    so that Spark moves and sorts few rows."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings, one per prefix word with how many words are left from it on, its own included. Those of a batch that go to the same part are packed into one
-        row, so that Spark moves and sorts few rows; their bytes lie by significance, as most high ones are zero."""
+        held, n = [], 0
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             prefix = batch.column("prefix")
@@ -202,16 +207,27 @@ def _postings(percent: int, parts: int):
             size = np.repeat(sizes, counts)
             left_out = np.repeat(_prefix(sizes, percent) - counts, counts)
             cid, bits = (np.repeat(c, counts) for c in (batch.column("cid").to_numpy(), Tables(batch.column("sketch")).small(sizes > SKETCHED)))
-            part = (mix(key.view("uint32").astype("uint64")) % np.uint64(parts)).astype("int32")
-            order = np.lexsort([key, part])
-            fields = [x.astype(kind)[order] for x, (_, kind) in zip((key, cid, size, size - place - left_out, bits), POSTING)]
-            part = part[order]
-            begins = starts([part])
-            chunks = [b"".join(f[s:e].view("uint8").reshape(e - s, -1).T.tobytes() for f in fields) for s, e in zip(begins, np.append(begins[1:], len(part)))]
-            yield pa.RecordBatch.from_arrays([pa.array(part[begins]), pa.array(chunks, pa.binary())], names=["part", "chunk"])
+            held.append([x.astype(kind) for x, (_, kind) in zip((key, cid, size, size - place - left_out, bits), POSTING)])
+            n += len(key)
+            if n >= PACKED:
+                yield _packed(held)
+                held, n = [], 0
+        if held:
+            yield _packed(held)
     return build
 
 
+def _packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """One row per part; the bytes of its postings lie by significance, as most high ones are zero."""
+    fields = [np.concatenate(f) for f in zip(*held)]
+    part = (mix(fields[0].view("uint32").astype("uint64")) % np.uint64(LIST_PARTS)).astype("int32")
+    order = np.lexsort([fields[0], part])
+    fields, part = [f[order] for f in fields], part[order]
+    begins = starts([part])
+    chunks = [b"".join(f[s:e].view("uint8").reshape(e - s, -1).T.tobytes() for f in fields) for s, e in zip(begins, np.append(begins[1:], len(part)))]
+    return pa.RecordBatch.from_arrays([pa.array(part[begins]), pa.array(chunks, pa.binary())], names=["part", "chunk"])
+
+
 def _unpacked(chunks: list[bytes]) -> list[np.ndarray]:
     """The fields of packed postings, sorted by key and size."""
     fields: list[list[np.ndarray]] = [[] for _ in POSTING]
@@ -228,15 +244,15 @@ def _unpacked(chunks: list[bytes]) -> list[np.ndarray]:
 
 
 def _list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Postings of one part after the other, from chunks sorted by part. A part has whole keys."""
-    held, last = [], None
+    """Postings of whole parts, from chunks sorted by part. A part has whole keys."""
+    held, last, size = [], None, 0
     for batch in batches:
         for part, chunk in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist()):
-            if held and part != last:
+            if part != last and size >= UNPACKED * POSTING_BYTES:
                 yield _unpacked(held)
-                held = []
+                held, size = [], 0
             held.append(chunk)
-            last = part
+            last, size = part, size + len(chunk)
     if held:
         yield _unpacked(held)
 
@@ -412,7 +428,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     classes = sorted_blocks(lines.where("size > 0").withColumn("none", F.col("doc_id").isNull()), ["none", "doc_id", "mark", "line"])
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()).drop("none"), "classes", **HASHES)
     shape = "part int, chunk binary"
-    postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent, LIST_PARTS * slots), shape)
+    postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent), shape)
     postings = postings.repartition(slots, "part").sortWithinPartitions("part")
     found = staged(postings.mapInArrow(_first_pairs(percent), "kind int, key int, cid long, earlier long, size int, rest int"), "lists", **HASHES)
     first = staged(found.where("kind = 1").select("cid", "earlier").distinct(), "pairs")

@@ -131,6 +131,40 @@ def test_line_dedup_of_very_many_lines(spark):
     assert (got[2].text, got[2].n_removed) == ("my own words here now", 1)
 
 
+def test_packed_postings_of_line_dedup_grow_with_the_input(spark, monkeypatch):
+    import buslens.llm.line_dedup as line_dedup
+
+    def packed_rows(n, slots):
+        """Of n lines on so many shuffle partitions, with 100 lines a batch."""
+        count, real = spark.sparkContext.accumulator(0), line_dedup._postings
+
+        def counted(*args):
+            build = real(*args)
+
+            def run(batches):
+                for batch in build(batches):
+                    count.add(batch.num_rows)
+                    yield batch
+            return run
+
+        rng = random.Random(n)
+        lines = [" ".join(f"w{rng.randrange(n // 2)}" for _ in range(10)) for _ in range(n)]
+        rows = [(i, "\n".join(lines[i:i + 20]), "", 0) for i in range(0, n, 20)]
+        with monkeypatch.context() as patch:
+            patch.setattr(line_dedup, "_postings", counted)
+            spark.conf.set("spark.sql.shuffle.partitions", slots)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+            try:
+                assert len(dedup_lines(spark.createDataFrame(rows, SHAPE).repartition(4)).collect()) == len(rows)
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", 4)
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return count.value
+
+    small, large = packed_rows(3_000, 4), packed_rows(15_000, 20)
+    assert 0 < large < 7.5 * small
+
+
 def test_line_dedup_of_nothing(spark):
     assert dedup_lines(spark.createDataFrame([], SHAPE)).collect() == []
     assert [tuple(r) for r in dedup_lines(spark.createDataFrame([(1, None, "", 0)], SHAPE)).collect()] == [(1, None, 0, 0)]
