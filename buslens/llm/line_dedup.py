@@ -190,7 +190,7 @@ POSTING = (("key", "int32"), ("cid", "int64"), ("size", "int32"), ("rest", "int3
 POSTING_BYTES = 28
 
 
-def _postings(percent: int):
+def _postings(percent: int, parts: int):
     """Postings, one per prefix word with how many words are left from it on, its own included. Those that go to the same part are packed into one row,
     so that Spark moves and sorts few rows."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,17 +210,17 @@ def _postings(percent: int):
             held.append([x.astype(kind) for x, (_, kind) in zip((key, cid, size, size - place - left_out, bits), POSTING)])
             n += len(key)
             if n >= PACKED:
-                yield _packed(held)
+                yield _packed(held, parts)
                 held, n = [], 0
         if held:
-            yield _packed(held)
+            yield _packed(held, parts)
     return build
 
 
-def _packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+def _packed(held: list[list[np.ndarray]], parts: int) -> pa.RecordBatch:
     """One row per part; the bytes of its postings lie by significance, as most high ones are zero."""
     fields = [np.concatenate(f) for f in zip(*held)]
-    part = (mix(fields[0].view("uint32").astype("uint64")) % np.uint64(LIST_PARTS)).astype("int32")
+    part = (mix(fields[0].view("uint32").astype("uint64")) % np.uint64(parts)).astype("int32")
     order = np.lexsort([fields[0], part])
     fields, part = [f[order] for f in fields], part[order]
     begins = starts([part])
@@ -428,7 +428,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, blo
     classes = sorted_blocks(lines.where("size > 0").withColumn("none", F.col("doc_id").isNull()), ["none", "doc_id", "mark", "line"])
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()).drop("none"), "classes", **HASHES)
     shape = "part int, chunk binary"
-    postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent), shape)
+    postings = classes.select("cid", "size", "prefix", "sketch").mapInArrow(_postings(percent, LIST_PARTS), shape)
     postings = postings.repartition(slots, "part").sortWithinPartitions("part")
     found = staged(postings.mapInArrow(_first_pairs(percent), "kind int, key int, cid long, earlier long, size int, rest int"), "lists", **HASHES)
     first = staged(found.where("kind = 1").select("cid", "earlier").distinct(), "pairs")
